@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, sharding
+from . import bpe, decontaminate, exact_dedup, line_dedup, sharding
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.query,
+        "op2_bpe": bpe.query,
         "op3_exact_dedup": exact_dedup.query,
+        "op5_decontamination": decontaminate.query,
         "op7_sharding": sharding.query,
     }
 
