@@ -1,8 +1,8 @@
 """Exact dedup by most-significant-digit radix partitioning over the bytes of the texts.
 
 Level by level the documents are split by their next bytes. A group of one is done, and so is a group
-whose texts have ended; only the others go to the next, wider, digit. A group is named by the bytes
-that its members have in common so far, so equality needs no digest.
+whose texts have ended; only the others go to the next, wider, digit. Groups are told apart by their
+bytes alone, so equality needs no digest.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 
-#: Bytes up to which the first level looks; every further level looks GROW times as far.
+#: Bytes of the first digit; every further digit is GROW times as wide.
 FIRST, GROW = 48, 4
 #: Groups that go on are broadcast to the documents up to this size, else joined by shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -23,18 +23,26 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _level(active: DataFrame, depth: int, broadcast_bytes: int) -> DataFrame:
-    """One radix level: __n and __keep of the group of every row, __over if the group is settled."""
-    digit = F.substring(F.col("__bytes"), 1, depth)
-    ended = F.octet_length("__bytes") <= depth
-    rows = active.withColumns({"__digit": digit, "__ended": ended})
-    groups = rows.groupBy("__digit", "__ended").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__keep")).filter("__n > 1")
-    groups = materialize(groups, "radix-groups")
-    size = groups.agg(F.sum(F.octet_length("__digit") + 48)).first()[0] or 0
-    other = groups.select(F.col("__digit").alias("__d"), F.col("__ended").alias("__e"), "__n", "__keep")
-    joined = rows.join(F.broadcast(other) if size <= broadcast_bytes else other, (F.col("__digit") == F.col("__d")) & (F.col("__ended") == F.col("__e")), "left")
+def _level(active: DataFrame, width: int, broadcast_bytes: int) -> DataFrame:
+    """One radix level: __n and __keep of the group of every row, __over if the group is settled.
+
+    __group names the bytes that the rows have in common so far: the first digit itself, later the
+    number of one row of the group. Only the bytes after the digit go on.
+    """
+    rest = F.expr(f"substring(__bytes, {width + 1}, 2147483647)")
+    rows = active.withColumns({"__digit": F.substring("__bytes", 1, width), "__rest": rest, "__ended": F.octet_length("__bytes") <= width}).drop("__bytes")
+    numbered = "__row" in active.columns
+    name = F.min("__row").cast("string").cast("binary") if numbered else F.first("__digit")
+    groups = rows.groupBy("__group", "__digit", "__ended").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__keep"), name.alias("__next"))
+    groups = materialize(groups.filter("__n > 1"), "radix-groups")
+    size = groups.agg(F.sum(F.octet_length("__digit") + 64)).first()[0] or 0
+    other = groups.select(F.col("__group").alias("__g"), F.col("__digit").alias("__d"), F.col("__ended").alias("__e"), "__n", "__keep", "__next")
+    same = (F.col("__group") == F.col("__g")) & (F.col("__digit") == F.col("__d")) & (F.col("__ended") == F.col("__e"))
+    joined = rows.join(F.broadcast(other) if size <= broadcast_bytes else other, same, "left")
     over = F.col("__n").isNull() | F.col("__ended")
-    return joined.withColumn("__over", over).drop("__digit", "__ended", "__d", "__e")
+    row = F.col("__row") if numbered else F.monotonically_increasing_id()
+    level = joined.select("__id", "__sha", row.alias("__row"), over.alias("__over"), "__n", "__keep", F.when(~over, F.col("__next")).alias("__group"), F.when(~over, F.col("__rest")).alias("__bytes"))
+    return materialize(level, "radix-level")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", first: int = FIRST, grow: int = GROW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -51,17 +59,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fir
     """
     text_col = normalise(F.col(text))
     rows = docs.select(F.col(id_col).alias("__id"), text_col.alias("__text"))
-    active = rows.select("__id", F.sha2("__text", 256).alias("__sha"), F.encode("__text", "UTF-8").alias("__bytes"))
-    parts, depth = [], first
+    active = rows.select("__id", F.sha2("__text", 256).alias("__sha"), F.expr("X''").alias("__group"), F.encode("__text", "UTF-8").alias("__bytes"))
+    parts, width = [], first
     while True:
-        level = _level(active, depth, broadcast_bytes)
-        level = level.withColumn("__bytes", F.when(F.col("__over"), F.lit(None)).otherwise(F.col("__bytes")))
-        level = materialize(level, "radix-level")
+        level = _level(active, width, broadcast_bytes)
         parts.append(level.filter("__over").select("__id", "__sha", "__n", "__keep"))
-        active = level.filter("NOT __over").select("__id", "__sha", "__bytes")
+        active = level.filter("NOT __over").select("__id", "__sha", "__row", "__group", "__bytes")
         if active.isEmpty():
             break
-        depth *= grow
+        width *= grow
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
