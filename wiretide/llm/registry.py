@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, sharding
+from . import bpe, decontaminate, exact_dedup, line_dedup, quality, sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.query,
         "op5_decontamination": decontaminate.query,
         "op7_sharding": sharding.query,
+        "op8_quality": quality.query,
     }
 
 
