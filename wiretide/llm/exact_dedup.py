@@ -14,7 +14,8 @@ from .common import materialize, read_table
 
 #: Bytes of the first digit; every further digit is GROW times as wide.
 FIRST, GROW = 48, 4
-#: Groups that go on are broadcast to the documents up to this size, else joined by shuffle.
+#: The first level's groups are broadcast to the documents up to this size, which spares a shuffle of
+#: all texts. The rows of later levels are few and always shuffled, so that each size behaves alike.
 BROADCAST_BYTES = 16 << 20
 
 
@@ -38,7 +39,7 @@ def _level(active: DataFrame, width: int, broadcast_bytes: int) -> DataFrame:
     size = groups.agg(F.sum(F.octet_length("__digit") + 64)).first()[0] or 0
     other = groups.select(F.col("__group").alias("__g"), F.col("__digit").alias("__d"), F.col("__ended").alias("__e"), "__n", "__keep", "__next")
     same = (F.col("__group") == F.col("__g")) & (F.col("__digit") == F.col("__d")) & (F.col("__ended") == F.col("__e"))
-    joined = rows.join(F.broadcast(other) if size <= broadcast_bytes else other, same, "left")
+    joined = rows.join(F.broadcast(other) if not numbered and size <= broadcast_bytes else other.hint("merge"), same, "left")
     over = F.col("__n").isNull() | F.col("__ended")
     row = F.col("__row") if numbered else F.monotonically_increasing_id()
     level = joined.select("__id", "__sha", row.alias("__row"), over.alias("__over"), "__n", "__keep", F.when(~over, F.col("__next")).alias("__group"), F.when(~over, F.col("__rest")).alias("__bytes"))
