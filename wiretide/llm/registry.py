@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, quality, sharding
+from . import bpe, decontaminate, exact_dedup, line_dedup, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_decontamination": decontaminate.query,
         "op7_sharding": sharding.query,
         "op8_quality": quality.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
