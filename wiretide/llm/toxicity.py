@@ -251,7 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, learnt, label: str = "toxic", rows
     label model's posteriors. Without usable labels only the lexicon votes.
     """
     small_batches(docs.sparkSession)
-    found = sample(docs, labels, label, learnt, rows=rows)
+    # Copies would make every word of a toxic text stand out.
+    found = sample(docs, labels, label, learnt, rows=rows).dropDuplicates(["text", "y"])
     picked, share = mined(found)
     names = Voters(picked).voters
 
