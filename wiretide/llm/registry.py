@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, quality, sharding, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard, line_dedup, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bpe": bpe.query,
         "op3_exact_dedup": exact_dedup.query,
         "op5_decontamination": decontaminate.query,
+        "op6_jaccard_join": jaccard.query,
         "op7_sharding": sharding.query,
         "op8_quality": quality.query,
         "op10_toxicity": toxicity.query,
