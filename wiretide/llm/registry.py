@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard, line_dedup, quality, sharding, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard, line_dedup, quality, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_jaccard_join": jaccard.query,
         "op7_sharding": sharding.query,
         "op8_quality": quality.query,
+        "op9_substring_dedup": substring_dedup.query,
         "op10_toxicity": toxicity.query,
     }
 
