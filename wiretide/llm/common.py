@@ -200,3 +200,9 @@ class SegmentFilter:
 def low_bits(keys: np.ndarray, segment_bits: int) -> np.ndarray:
     """What a segment stores of its keys."""
     return ((keys >> np.uint64(32 - segment_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def segment_bits(df: DataFrame, least: int = 8, most: int = 16, each: int = 64 << 20) -> int:
+    """Leading hash bits that name a segment, so that a segment stands for a bounded part of the input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(most, (size // each).bit_length()))

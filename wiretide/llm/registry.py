@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard, line_dedup, quality, sharding, substring_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard, language_model, line_dedup, quality, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.query,
         "op2_bpe": bpe.query,
         "op3_exact_dedup": exact_dedup.query,
+        "op4_lm_scoring": language_model.query,
         "op5_decontamination": decontaminate.query,
         "op6_jaccard_join": jaccard.query,
         "op7_sharding": sharding.query,
