@@ -156,7 +156,7 @@ def named_nodes(rows: list[list[int]], at: np.ndarray, window: int, reach: int)
     rows: word numbers (from 1) of each suffix with its left words; at: its anchor. The names of depth
     2d are the ranks of pairs of names of depth d (prefix doubling), so equal names are equal words.
     """
-    width = 2 * reach + window
+    width = reach + window
     names = np.zeros((len(rows), width), np.int64)
     for k, (row, a) in enumerate(zip(rows, at.tolist())):
         names[k, reach - a : reach - a + len(row)] = row
@@ -175,21 +175,34 @@ def _repeats(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
     reach = window - prefix
 
     def solve(table: pa.Table):
-        seen: dict[bytes, int] = {}
-        rows = [[seen.setdefault(w, len(seen) + 1) for w in body.split(b" ")] for body in table.column("body").to_pylist()]
+        # Equal suffixes with equal surroundings are one leaf with a count: all their windows repeat.
+        body = table.column("body").combine_chunks().dictionary_encode()
         at, first, count = (table.column(c).to_numpy().astype(np.int64) for c in ("at", "first", "count"))
-        names = named_nodes(rows, at, window, reach)
+        shape, which = np.unique(np.stack([body.indices.to_numpy(zero_copy_only=False), at, count]), axis=1, return_inverse=True)
+        which = which.reshape(-1)
+        copies = np.bincount(which)
+        bodies = body.dictionary.to_pylist()
+        seen: dict[bytes, int] = {}
+        number = seen.setdefault
+        split = [[number(w, len(seen) + 1) for w in x.split(b" ")] for x in bodies]
+        own_at, own_count = shape[1], shape[2]
+        names = named_nodes([split[k] for k in shape[0].tolist()], own_at, window, reach)
         offset = np.arange(reach + 1)[None, :]
-        valid = (offset >= (reach - at)[:, None]) & (offset < (reach - at + count)[:, None])
-        owned = names[valid]
-        total = np.bincount(owned) if len(owned) else np.zeros(1, np.int64)
+        valid = (offset >= (reach - own_at)[:, None]) & (offset < (reach - own_at + own_count)[:, None])
+        total = np.bincount(names[valid], np.broadcast_to(copies[:, None], names.shape)[valid])
         twice = np.zeros(names.shape, np.bool_)
-        twice[valid] = total[owned] > 1
+        twice[valid] = total[names[valid]] > 1
         edge = np.diff(np.pad(twice.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        who, a = np.nonzero(edge == 1)
+        leaf, a = np.nonzero(edge == 1)
         _, b = np.nonzero(edge == -1)
-        start = first[who] + a - (reach - at[who])
-        return pa.RecordBatch.from_arrays([pa.array(table.column("rid").to_numpy()[who]), pa.array(start), pa.array(start + (b - a) - 1 + window)], names=["rid", "start", "stop"])
+        # Back from leaves to all their suffixes.
+        runs = np.bincount(leaf, minlength=len(copies))
+        begin = np.concatenate([[0], np.cumsum(runs)])
+        who = np.repeat(np.arange(len(which)), runs[which])
+        nth = np.arange(len(who)) - np.repeat(np.concatenate([[0], np.cumsum(runs[which])])[:-1], runs[which])
+        k = begin[which[who]] + nth
+        start = first[who] + a[k] - (reach - at[who])
+        return pa.RecordBatch.from_arrays([pa.array(table.column("rid").to_numpy()[who]), pa.array(start), pa.array(start + (b[k] - a[k]) - 1 + window)], names=["rid", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
