@@ -25,6 +25,8 @@ from .labelled import remainder
 FILTER_BITS, PROBES = 1 << 29, 3
 #: Counts from BASE**(q-1) on have level q.
 BASE, LEVELS = 1.5, 64
+#: Bytes of text that a worker counts or scores at once.
+GROUP_BYTES = 4 << 20
 #: Weight of the unigram estimate beside a bigram's count.
 BACKOFF = 4.0
 #: One document in so many is held out.
@@ -70,6 +72,10 @@ class LogFilter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each n-gram hash, 0 if it is not in the filter."""
+        parts = [self._levels(keys[a : a + (1 << 17)]) for a in range(0, len(keys), 1 << 17)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         at = (keys >> np.uint64(64 - self.bits)).astype(np.int64) * self.each
         low, alive = low_bits(keys, self.bits), np.arange(len(keys))
@@ -118,7 +124,7 @@ def train(docs: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) -
     each = filter_bits >> bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped_batches(batches, text):
+        for table in grouped_batches(batches, text, GROUP_BYTES):
             ids, starts, hashes = _tokens(texts(table.column(0).combine_chunks()))
             grams, at = _bigrams(hashes, ids, starts)
             order = np.argsort(hashes)
@@ -197,7 +203,7 @@ def score(docs: DataFrame, model: LogFilter, learnt, id_col: str = "doc_id", tex
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        for table in grouped_batches(batches, text):
+        for table in grouped_batches(batches, text, GROUP_BYTES):
             ids, starts, hashes = _tokens(texts(table.column(1).combine_chunks()))
             logs = log_probabilities(held.value, ids, starts, hashes)
             train_row = table.column(2).to_numpy()
