@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import struct
@@ -18,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table, small_batches, texts
+from .common import read_table, small_batches, texts, tidy
 
-#: Fragments that a worker remembers; beyond that it forgets all and starts again.
-MEMO = 600_000
+#: Fragments that a worker remembers; beyond that it forgets all and starts again. Between tasks it
+#: keeps the first of them only, as other work may follow in the same process.
+MEMO, KEPT = 600_000, 150_000
 #: White space beyond ASCII (Unicode White_Space), fixed values.
 WIDE_SPACE = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -171,6 +173,11 @@ class _Memo(dict):
         super().__init__()
         self.function, self.most = function, most
 
+    def shorten(self) -> None:
+        first = dict(itertools.islice(self.items(), KEPT))
+        self.clear()
+        self.update(first)
+
     def __missing__(self, key):
         if len(self) >= self.most:
             self.clear()
@@ -221,10 +228,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
             if keep_ids:
                 columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        bpe.memo.shorten()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return docs.select(id_col, text).mapInArrow(run, schema)
+    return docs.select(id_col, text).mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -237,7 +245,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", path: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[id_col, "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return encoded.select(id_col, ids).mapInArrow(tidy(run), f"`{id_col}` {kind}, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

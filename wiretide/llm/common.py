@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Text that a worker takes at once where it counts before it passes on.
+GROUP_BYTES = 4 << 20
 #: Rows of one Arrow batch; long texts make larger batches a memory risk.
 ARROW_ROWS = 512
 
@@ -124,7 +127,7 @@ def ngram_hashes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndar
     return h[at], at
 
 
-def grouped_batches(batches: Iterator[pa.RecordBatch], column: str, budget: int = 12 << 20) -> Iterator[pa.Table]:
+def grouped_batches(batches: Iterator[pa.RecordBatch], column: str, budget: int = GROUP_BYTES) -> Iterator[pa.Table]:
     """Arrow batches joined until their text reaches the budget, so that local counting pays."""
     held, size = [], 0
     for batch in batches:
@@ -137,6 +140,24 @@ def grouped_batches(batches: Iterator[pa.RecordBatch], column: str, budget: int
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def trim() -> None:
+    """Give free memory back to the system: workers are reused, and what one task leaves adds up."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
+def tidy(run):
+    """A function for mapInArrow that gives memory back when its partition is done."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def cut_segments(keys: np.ndarray, bits: int) -> np.ndarray:
     """Bounds of the 2**bits segments (by leading bits) in sorted 64-bit keys."""
     edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches, texts
+from .common import materialize, read_table, small_batches, texts, tidy
 
 #: Words of a window.
 WINDOW = 10
@@ -124,7 +124,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
                 columns = list(zip(*out)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.string())), pairs(columns[3]), pairs(columns[4])], names=[id_col, "n_words", "n_hit", "items", "spans", "words"])
 
-        return docs.select(id_col, text).mapInArrow(run, schema)
+        return docs.select(id_col, text).mapInArrow(tidy(run), schema)
 
     blocks = _blocks(benchmark, item_col, item_text, block_bytes)
     first = next(blocks)
@@ -192,7 +192,7 @@ def _cleaned(docs: DataFrame, held, at: int) -> DataFrame:
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SegmentFilter, cut_segments, grouped_batches, intern_words, low_bits, materialize, mix64, ngram_hashes, partitions, read_table, small_batches, texts, word_hashes
+from .common import SegmentFilter, cut_segments, grouped_batches, intern_words, low_bits, materialize, mix64, ngram_hashes, partitions, read_table, small_batches, texts, tidy, word_hashes
 from .components import components
 
 #: Leading hash bits that name a segment, and the bits of the filter of repeated shingles (16 MB).
@@ -104,8 +104,8 @@ def repeated_filter(docs: DataFrame, text: str, k: int, filter_bits: int = FILTE
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data], pa.binary())], names=["segment", "bits"])
 
     spark = docs.sparkSession
-    counted = docs.select(text).mapInArrow(count, "segment int, once binary, more binary")
-    rows = counted.repartition(partitions(spark), "segment").mapInArrow(build, "segment int, bits binary").collect()
+    counted = docs.select(text).mapInArrow(tidy(count), "segment int, once binary, more binary")
+    rows = counted.repartition(partitions(spark), "segment").mapInArrow(tidy(build), "segment int, bits binary").collect()
     return SegmentFilter([(r.segment, r.bits) for r in rows], SEGMENT_BITS, filter_bits)
 
 
@@ -127,7 +127,7 @@ def _sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int, shared:
             classes = [None if x is None else int.from_bytes(hashlib.md5(x).digest()[:8], "little", signed=True) for x in items]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(items, pa.binary())], names=["id", "n", "class", "items"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, n long, class long, items binary")
+    return docs.select(id_col, text).mapInArrow(tidy(run), f"id {kind}, n long, class long, items binary")
 
 
 def _list_lengths(classes: DataFrame) -> tuple[np.ndarray, float]:
@@ -155,8 +155,8 @@ def _list_lengths(classes: DataFrame) -> tuple[np.ndarray, float]:
             np.maximum.at(table, (keys >> np.uint32(32 - (CELL_BITS - SEGMENT_BITS))).astype(np.int64), np.minimum(255, np.ceil(8 * np.log2(total))).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([table.tobytes()], pa.binary()), pa.array([float((total**2).sum())]), pa.array([float(total.sum())])], names=["segment", "cells", "squares", "total"])
 
-    counted = classes.select("items").mapInArrow(count, "segment int, low binary, n binary")
-    rows = counted.repartition(partitions(classes.sparkSession), "segment").mapInArrow(build, "segment int, cells binary, squares double, total double").collect()
+    counted = classes.select("items").mapInArrow(tidy(count), "segment int, low binary, n binary")
+    rows = counted.repartition(partitions(classes.sparkSession), "segment").mapInArrow(tidy(build), "segment int, cells binary, squares double, total double").collect()
     table = np.zeros(1 << CELL_BITS, np.uint8)
     for r in rows:
         table[r.segment * cells : (r.segment + 1) * cells] = np.frombuffer(r.cells, np.uint8)
@@ -204,7 +204,7 @@ def _candidates(classes: DataFrame, lengths: np.ndarray, light: int, percent: in
             key = np.concatenate(keys).view(np.int64) if sum(counts) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts), pa.int64())], names=["key", "class"])
 
-    keys = materialize(classes.select("class", "items").mapInArrow(run, "key long, class long"), "jaccard-keys")
+    keys = materialize(classes.select("class", "items").mapInArrow(tidy(run), "key long, class long"), "jaccard-keys")
     lists = keys.groupBy("key").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     return keys.join(lists.select(F.col("key").alias("k"), "first"), F.col("key") == F.col("k")).select(F.col("class").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
 

@@ -18,15 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom_positions, cut_segments, grouped_batches, has_bits, intern_words, low_bits, materialize, mix64, partitions, read_table, segment_bits, set_bits, small_batches, texts, word_hashes
+from .common import bloom_positions, cut_segments, grouped_batches, has_bits, intern_words, low_bits, materialize, mix64, partitions, read_table, segment_bits, set_bits, small_batches, texts, tidy, word_hashes
 from .labelled import remainder
 
 #: Bits of the filter (64 MB) and probes for each entry.
 FILTER_BITS, PROBES = 1 << 29, 3
 #: Counts from BASE**(q-1) on have level q.
 BASE, LEVELS = 1.5, 64
-#: Bytes of text that a worker counts or scores at once.
-GROUP_BYTES = 4 << 20
 #: Weight of the unigram estimate beside a bigram's count.
 BACKOFF = 4.0
 #: One document in so many is held out.
@@ -124,7 +122,7 @@ def train(docs: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) -
     each = filter_bits >> bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped_batches(batches, text, GROUP_BYTES):
+        for table in grouped_batches(batches, text):
             ids, starts, hashes = _tokens(texts(table.column(0).combine_chunks()))
             grams, at = _bigrams(hashes, ids, starts)
             order = np.argsort(hashes)
@@ -162,8 +160,8 @@ def train(docs: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) -
                         set_bits(array, p)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([array.tobytes()], pa.binary()), pa.array([int(n.sum())], pa.int64()), pa.array([len(types)], pa.int64())], names=["segment", "bits", "tokens", "types"])
 
-    counted = docs.select(text).mapInArrow(count, "segment int, once binary, more binary, times binary, words binary, counts binary")
-    rows = counted.repartition(partitions(docs.sparkSession), "segment").mapInArrow(build, "segment int, bits binary, tokens long, types long").collect()
+    counted = docs.select(text).mapInArrow(tidy(count), "segment int, once binary, more binary, times binary, words binary, counts binary")
+    rows = counted.repartition(partitions(docs.sparkSession), "segment").mapInArrow(tidy(build), "segment int, bits binary, tokens long, types long").collect()
     return LogFilter(rows, bits, filter_bits)
 
 
@@ -203,7 +201,7 @@ def score(docs: DataFrame, model: LogFilter, learnt, id_col: str = "doc_id", tex
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        for table in grouped_batches(batches, text, GROUP_BYTES):
+        for table in grouped_batches(batches, text):
             ids, starts, hashes = _tokens(texts(table.column(1).combine_chunks()))
             logs = log_probabilities(held.value, ids, starts, hashes)
             train_row = table.column(2).to_numpy()
@@ -260,10 +258,10 @@ def score(docs: DataFrame, model: LogFilter, learnt, id_col: str = "doc_id", tex
         logs = table.column("logs").combine_chunks()[at].values
         return pa.table({"id": ids, "held_out": table.column("held").combine_chunks()[at].values, "n_tokens": pa.array(n), "n_known": pa.array(known), "base_score": pa.array(base), "score": logs})
 
-    asked = docs.select(id_col, text, learnt.alias("__learnt")).mapInArrow(ask, f"kind int, group long, segment int, n long, a binary, b binary, c binary, ids array<{kind.simpleString()}>, logs array<double>, held array<boolean>")
+    asked = docs.select(id_col, text, learnt.alias("__learnt")).mapInArrow(tidy(ask), f"kind int, group long, segment int, n long, a binary, b binary, c binary, ids array<{kind.simpleString()}>, logs array<double>, held array<boolean>")
     asked = materialize(asked, "lm-groups")
     lookups = asked.filter(F.col("kind") == LOOKUP).select("segment", "group", "a", "b").repartition(partitions(spark), "segment")
-    replies = lookups.mapInArrow(answer, "kind int, group long, segment int, n long, a binary")
+    replies = lookups.mapInArrow(tidy(answer), "kind int, group long, segment int, n long, a binary")
     met = asked.filter(F.col("kind") == GROUP).unionByName(replies, allowMissingColumns=True)
     out = met.groupBy("group").applyInArrow(solve, f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

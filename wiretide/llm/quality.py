@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, texts
+from .common import read_table, small_batches, texts, tidy
 from .labelled import SAMPLE_ROWS, remainder, sample
 
 BINS, PAIR_BINS, PAIRS = 32, 8, 12
@@ -184,7 +184,7 @@ def _feature_rows(docs: DataFrame) -> DataFrame:
             rows = [features(t) for t in texts(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    return docs.select("text", "y").mapInArrow(run, "x array<double>, y int")
+    return docs.select("text", "y").mapInArrow(tidy(run), "x array<double>, y int")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learnt, rows: int = SAMPLE_ROWS) -> Additive:
@@ -206,7 +206,7 @@ def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text: str =
             x = np.array([features(t) for t in texts(batch.column(1))], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.score(x), pa.float64())], names=[id_col, "score"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+    return docs.select(id_col, text).mapInArrow(tidy(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

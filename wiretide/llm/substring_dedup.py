@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SegmentFilter, cut_segments, grouped_batches, intern_words, low_bits, materialize, ngram_hashes, partitions, read_table, small_batches, texts, word_hashes
+from .common import SegmentFilter, cut_segments, grouped_batches, intern_words, low_bits, materialize, ngram_hashes, partitions, read_table, small_batches, texts, tidy, word_hashes
 
 #: Words of a window and of an anchor.
 WINDOW, PREFIX = 35, 8
 SEGMENT_BITS, FILTER_BITS = 8, 1 << 27
 #: Suffixes of one prefix that a task takes, and suffixes that it holds at once.
-MOST_SUFFIXES, HELD = 20_000, 60_000
+MOST_SUFFIXES, HELD = 8_000, 20_000
 #: At most so many prefixes are named as having too many suffixes: the bound rises with the input.
 MOST_NAMES = 100_000
 
@@ -97,8 +97,8 @@ def _repeated_prefixes(docs: DataFrame, text: str, window: int, prefix: int, mos
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data], pa.binary()), pa.array([((np.uint64(s) << np.uint64(32)) | keys[much].astype(np.uint64)).tobytes()], pa.binary())], names=["segment", "bits", "many"])
 
     spark = docs.sparkSession
-    counted = docs.select(text).mapInArrow(count, "segment int, low binary, n binary")
-    rows = counted.repartition(partitions(spark), "segment").mapInArrow(build, "segment int, bits binary, many binary").collect()
+    counted = docs.select(text).mapInArrow(tidy(count), "segment int, low binary, n binary")
+    rows = counted.repartition(partitions(spark), "segment").mapInArrow(tidy(build), "segment int, bits binary, many binary").collect()
     many = np.concatenate([np.frombuffer(r.many, np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
     return SegmentFilter([(r.segment, r.bits) for r in rows], SEGMENT_BITS, filter_bits), np.sort(many)
 
@@ -115,7 +115,7 @@ def _suffixes(docs: DataFrame, id_col: str, text: str, window: int, prefix: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, hot = held.value
         number = TaskContext.get().partitionId() << 33
-        for table in grouped_batches(batches, text, 4 << 20):
+        for table in grouped_batches(batches, text):
             words, starts, hashes = _prepared(table, 1)
             given = table.column(0).combine_chunks()
             x, own, h = owners(hashes, starts, window, prefix)
@@ -147,7 +147,7 @@ def _suffixes(docs: DataFrame, id_col: str, text: str, window: int, prefix: int,
             yield from pa.table([ids, *(pa.array(out[c], t) for c, t in types.items())], names=["id", *types]).to_batches(max_chunksize=20_000)
             number += len(words)
 
-    return docs.select(id_col, text).mapInArrow(run, f"id {kind.simpleString()}, kind int, rid long, key long, other long, at int, first int, count int, body binary")
+    return docs.select(id_col, text).mapInArrow(tidy(run), f"id {kind.simpleString()}, kind int, rid long, key long, other long, at int, first int, count int, body binary")
 
 
 def named_nodes(rows: list[list[int]], at: np.ndarray, window: int, reach: int) -> np.ndarray:
@@ -219,7 +219,7 @@ def _repeats(suffixes: DataFrame, window: int, prefix: int) -> DataFrame:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
     sorted_ = suffixes.repartition(partitions(suffixes.sparkSession), "key").sortWithinPartitions("key")
-    return sorted_.select("key", "rid", "at", "first", "count", "body").mapInArrow(run, "rid long, start long, stop long")
+    return sorted_.select("key", "rid", "at", "first", "count", "body").mapInArrow(tidy(run), "rid long, start long, stop long")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX, most: int = MOST_SUFFIXES, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -258,7 +258,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 kept.append(left.decode() if starts else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    done = opened.mapInArrow(cut, f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    done = opened.mapInArrow(tidy(cut), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
     clean = rows.filter(F.col("kind") == CLEAN).select("id", F.col("count").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("body").cast("string").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
     return clean.unionByName(done).withColumnRenamed("id", id_col)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import read_table, small_batches
+from .common import read_table, small_batches, tidy
 from .labelled import SAMPLE_ROWS, remainder, sample
 
 #: Insults in plain use: the lexicon voters, fixed values.
@@ -80,7 +80,7 @@ def mined(rows: DataFrame, voters: int = VOTERS) -> tuple[list[str], float]:
     if not total or not bad or bad == total:
         return [], 0.1
     share = bad / total
-    counts = rows.select("text", "y").mapInArrow(run, "pattern string, bad long, good long").groupBy("pattern").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = rows.select("text", "y").mapInArrow(tidy(run), "pattern string, bad long, good long").groupBy("pattern").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     n = F.col("bad") + F.col("good")
     p = F.col("bad") / n
     # Evidence against chance: n times the divergence of the pattern's share from the overall share.
@@ -262,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, learnt, label: str = "toxic", rows
             got = [own.row(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64())), batch.column(1)], names=["k", "v", "y"])
 
-    votes = found.select("text", "y").mapInArrow(run, "k array<int>, v array<double>, y int").toArrow()
+    votes = found.select("text", "y").mapInArrow(tidy(run), "k array<int>, v array<double>, y int").toArrow()
     got = sorted(zip(votes.column("k").to_pylist(), votes.column("v").to_pylist(), votes.column("y").to_pylist()))
     x = dense([(k, v) for k, v, _ in got], len(names))
     target = posterior(x >= 1, np.array([y != 0 for _, _, y in got], float), share)
@@ -289,7 +289,7 @@ def score(docs: DataFrame, model: Linear, id_col: str = "doc_id", text: str = "t
             x = dense([own.row(t or "") for t in batch.column(at).to_pylist()], width)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in passed), pa.array(held.value.score(x), pa.float64())], names=[*(f.name for f in fields), "score"])
 
-    return docs.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*fields, StructField("score", DoubleType())]))
 
 
 def _learnt():
