@@ -47,9 +47,14 @@ def words(text: Column) -> Column:
 
 def shingles(tokens: Column, size: int = SHINGLE_WORDS) -> Column:
     """All runs of `size` words, joined by spaces; none for shorter texts."""
-    count = F.size(tokens) - size + 1
-    every = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
-    return F.when(count > 0, every).otherwise(F.array().cast("array<string>"))
+
+    def runs(all_tokens: Column) -> Column:
+        # The tokens come in as a lambda's variable, so they are computed once and not for each run.
+        count = F.size(all_tokens) - size + 1
+        every = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(all_tokens, i, size), " "))
+        return F.when(count > 0, every).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(tokens), runs), 1)
 
 
 def folded_path(path: Column) -> Column:

@@ -83,20 +83,20 @@ def conversations(spark, sf_dir):
 
 
 @query("""SELECT pn AS packet_number, session_id, direction, unit_id, fc AS function_code, kind,
-  CASE fc WHEN 3 THEN 'Read Holding Registers' ELSE 'Write Single Register' END AS function_name, CAST('0x' || substr(h, 1, 4) AS INT) AS transaction_id
+  CASE fc WHEN 3 THEN 'Read Holding Registers' ELSE 'Write Single Register' END AS function_name, TRY_CAST('0x' || substr(h, 1, 4) AS INT) AS transaction_id
   FROM high WHERE protocol = 'modbus-tcp'""")
 def mbap_events(spark, sf_dir):
     events = recognise.modbus_tcp(View.of(spark, sf_dir).segments)
     return events.select("packet_number", "session_id", "direction", "unit_id", "function_code", "kind", "function_name", "transaction_id")
 
 
-_CRC = "list_reduce(list_concat([65535], range(0, n - 2)), lambda crc, i: list_reduce(list_concat([xor(crc, CAST('0x' || substr(h, 2 * CAST(i AS BIGINT) + 1, 2) AS BIGINT))], [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 40961) ELSE c // 2 END))"
+_CRC = "list_reduce(list_concat([65535], range(0, n - 2)), lambda crc, i: list_reduce(list_concat([xor(crc, TRY_CAST('0x' || substr(h, 2 * CAST(i AS BIGINT) + 1, 2) AS BIGINT))], [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 40961) ELSE c // 2 END))"
 
 
-@query(f"""SELECT pn AS packet_number, session_id, CAST('0x' || substr(h, 1, 2) AS INT) AS unit_id, CAST('0x' || substr(h, 3, 2) AS INT) & 127 AS function_code, CAST('0x' || substr(h, 3, 2) AS INT) >= 128 AS is_exception
+@query(f"""SELECT pn AS packet_number, session_id, TRY_CAST('0x' || substr(h, 1, 2) AS INT) AS unit_id, TRY_CAST('0x' || substr(h, 3, 2) AS INT) & 127 AS function_code, TRY_CAST('0x' || substr(h, 3, 2) AS INT) >= 128 AS is_exception
   FROM (SELECT *, {_CRC} AS crc FROM shaped WHERE NOT is_mbap AND n >= 4)
-  WHERE CAST('0x' || substr(h, 1, 2) AS INT) BETWEEN 1 AND 247 AND (CAST('0x' || substr(h, 3, 2) AS INT) & 127) IN (1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 15, 16, 17, 20, 21, 22, 23, 24, 43)
-    AND crc = CAST('0x' || substr(h, 2 * n - 1, 2) || substr(h, 2 * n - 3, 2) AS BIGINT)""")
+  WHERE TRY_CAST('0x' || substr(h, 1, 2) AS INT) BETWEEN 1 AND 247 AND (TRY_CAST('0x' || substr(h, 3, 2) AS INT) & 127) IN (1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 15, 16, 17, 20, 21, 22, 23, 24, 43)
+    AND crc = TRY_CAST('0x' || substr(h, 2 * n - 1, 2) || substr(h, 2 * n - 3, 2) AS BIGINT)""")
 def rtu_crc16(spark, sf_dir):
     events = recognise.modbus_rtu(View.of(spark, sf_dir).segments)
     return events.select("packet_number", "session_id", "unit_id", "function_code", "is_exception")

@@ -50,7 +50,7 @@ def events_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter(src != dst).select(
         F.lit(CAPTURE).alias("capture_id"),
         (F.col("event_id") + 1).alias("packet_number"),
-        (F.unix_micros("ts") / F.lit(1e6)).alias("timestamp"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("timestamp"),
         host(src).alias("src_ip"),
         (lane + src).cast("int").alias("src_port"),
         host(dst).alias("dst_ip"),
@@ -89,9 +89,9 @@ sess AS (SELECT key, first_packet, row_number() OVER (ORDER BY first_packet) - 1
          FROM (SELECT key, min(pn) AS first_packet FROM tcp WHERE h <> '' GROUP BY key)),
 seg AS (SELECT tcp.*, session_id FROM tcp JOIN sess USING (key) WHERE h <> ''),
 shaped AS (SELECT *, length(h) // 2 AS n,
-             length(h) >= 16 AND substr(h, 5, 4) = '0000' AND CAST('0x' || substr(h, 9, 4) AS INT) = length(h) // 2 - 6 AS is_mbap FROM seg),
+             coalesce(length(h) >= 16 AND substr(h, 5, 4) = '0000' AND TRY_CAST('0x' || substr(h, 9, 4) AS INT) = length(h) // 2 - 6, false) AS is_mbap FROM seg),
 found AS (
-  SELECT *, 'modbus-tcp' AS protocol, CAST('0x' || substr(h, 15, 2) AS INT) AS fc, CAST('0x' || substr(h, 13, 2) AS INT) AS unit_id FROM shaped WHERE is_mbap
+  SELECT *, 'modbus-tcp' AS protocol, TRY_CAST('0x' || substr(h, 15, 2) AS INT) AS fc, TRY_CAST('0x' || substr(h, 13, 2) AS INT) AS unit_id FROM shaped WHERE is_mbap
   UNION ALL SELECT *, 'telnet', NULL, NULL FROM shaped WHERE n >= 3 AND substr(h, 1, 4) IN ('FFFA', 'FFFB', 'FFFC', 'FFFD', 'FFFE')
   UNION ALL SELECT *, 'ftp', NULL, NULL FROM shaped WHERE n >= 4 AND regexp_matches(h, '^(55534552|50415353|52455452|53544F52|4C495354|51554954|505744|435744|54595045|504F5254|50415356)(20|0D)|^(3[0-9]){{3}}(20|2D)')
   UNION ALL SELECT *, 'http', NULL, NULL FROM shaped WHERE n >= 14 AND regexp_matches(h, '^(474554|504F5354|505554|44454C455445|48454144|4F5054494F4E53)20([0-9A-F]{{2}})*485454502F312E3[01]|^485454502F312E3[01]20(3[0-9]){{3}}')),
