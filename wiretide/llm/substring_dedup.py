@@ -25,8 +25,9 @@ from .common import SegmentFilter, cut_segments, grouped_batches, intern_words,
 #: Words of a window and of an anchor.
 WINDOW, PREFIX = 35, 8
 SEGMENT_BITS, FILTER_BITS = 8, 1 << 27
-#: Suffixes of one prefix that a task takes, and suffixes that it holds at once.
-MOST_SUFFIXES, HELD = 8_000, 20_000
+#: Suffixes of one prefix that a task takes (half a kilobyte each, so 20 MB), and suffixes of several
+#: prefixes that it holds at once.
+MOST_SUFFIXES, HELD = 40_000, 20_000
 #: At most so many prefixes are named as having too many suffixes: the bound rises with the input.
 MOST_NAMES = 100_000
 
