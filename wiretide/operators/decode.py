@@ -6,11 +6,15 @@ smallest packet number. A session is a 4-tuple for the whole capture: no reassem
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.addresses import session_key
-from ..functions.octets import u8, u16
 from ..functions.ranking import number_by_position
 
 #: Columns of TCP packets.
@@ -19,48 +23,71 @@ TCP_COLUMNS = ["capture_id", "packet_number", "timestamp", "src_ip", "src_port",
 ETHERNET, RAW_IP, LINUX_COOKED = 1, 101, 113
 
 
+TCP_SCHEMA = "capture_id string, packet_number long, timestamp double, src_ip string, src_port int, dst_ip string, dst_port int, src_mac string, dst_mac string, wire_length long, syn boolean, ack boolean, payload binary"
+
+
+def _named(values: np.ndarray, name) -> pa.Array:
+    """Text for each number; each distinct number is put into words once."""
+    unique, place = np.unique(values, return_inverse=True)
+    return pa.array([name(int(v)) for v in unique], pa.string()).take(pa.array(place))
+
+
+def parse_frames(batch: pa.RecordBatch, trailer_is_payload: bool = True) -> pa.RecordBatch:
+    """The IPv4 TCP packets of a batch of frames: header fields of all frames are read at once."""
+    frames = batch.column(batch.schema.get_field_index("frame")).cast(pa.large_binary())
+    offsets = np.frombuffer(frames.buffers()[1], np.int64)[frames.offset : frames.offset + len(frames) + 1]
+    raw = frames.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(1, np.uint8)
+    start, size = offsets[:-1], np.diff(offsets)
+    link = batch.column(batch.schema.get_field_index("linktype")).to_numpy(zero_copy_only=False)
+
+    def u8(at) -> np.ndarray:
+        return np.where(at < size, data[np.minimum(start + at, len(data) - 1)], 0).astype(np.int64)
+
+    def u16(at) -> np.ndarray:
+        return u8(at) << 8 | u8(at + 1)
+
+    ethernet = link == ETHERNET
+    kind_at = np.where(ethernet, 12, 14)
+    for _ in range(2):  # up to two VLAN tags
+        kind_at = np.where(ethernet & np.isin(u16(kind_at), (0x8100, 0x88A8, 0x9100)), kind_at + 4, kind_at)
+    ip_at = np.where(link == RAW_IP, 0, kind_at + 2)
+    is_ip = ((link == RAW_IP) | (np.isin(link, (ETHERNET, LINUX_COOKED)) & (u16(kind_at) == 0x0800))) & (u8(ip_at) >> 4 == 4)
+    tcp_at = ip_at + (u8(ip_at) & 15) * 4
+    keep = is_ip & (u8(ip_at + 9) == 6) & (u16(ip_at + 6) & 0x1FFF == 0) & (tcp_at + 20 <= size)
+    at = np.flatnonzero(keep)
+    pick = lambda x: x[at]
+    word = lambda pos, n: sum(u8(pos + k) << 8 * (n - 1 - k) for k in range(n))
+    dotted = lambda v: ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
+    colons = lambda v: ":".join(f"{v >> s & 255:02x}" for s in (40, 32, 24, 16, 8, 0))
+    mac = lambda pos: pc.if_else(pa.array(pick(ethernet)), _named(pick(word(np.full(len(size), pos), 6)), colons), None)
+    flags = pick(u8(tcp_at + 13))
+    first = pick(tcp_at + (u8(tcp_at + 12) >> 4) * 4)
+    end = pick(size) if trailer_is_payload else np.minimum(pick(size), pick(ip_at + u16(ip_at + 2)))
+    view = memoryview(raw) if raw is not None else b""
+    payload = [bytes(view[s + a : s + max(a, b)]) for s, a, b in zip(pick(start).tolist(), first.tolist(), end.tolist())]
+    take = pa.array(at)
+    column = lambda n: batch.column(batch.schema.get_field_index(n)).take(take)
+    wire = pc.coalesce(column("wirelen").cast(pa.int64()), pa.array(pick(size)))
+    columns = [column("capture_id"), column("packet_number"), column("ts"), _named(pick(word(ip_at + 12, 4)), dotted), pa.array(pick(u16(tcp_at)), pa.int32()), _named(pick(word(ip_at + 16, 4)), dotted), pa.array(pick(u16(tcp_at + 2)), pa.int32()), mac(6), mac(0), wire, pa.array(flags & 2 != 0), pa.array(flags & 16 != 0), pa.array(payload, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=TCP_COLUMNS)
+
+
 def tcp_packets(packets: DataFrame, trailer_is_payload: bool = True) -> DataFrame:
-    """IPv4 TCP packets with their header fields, by native expressions over the frame.
+    """IPv4 TCP packets with their header fields.
 
-    Link types: Ethernet with any 802.1Q tags, raw IP, Linux cooked. With trailer_is_payload the
+    Link types: Ethernet with up to two VLAN tags, raw IP, Linux cooked. With trailer_is_payload the
     payload reaches to the end of the captured frame, so link-layer padding counts as payload;
-    otherwise it ends where the IP length says. Fragments other than the first are left out.
+    otherwise it ends where the IP length says. Fragments other than the first are left out. Frames
+    come in Arrow batches and their headers are parsed by array operations: as column expressions,
+    nested offsets make filters that are too large to compile.
     """
-    h = F.hex("frame")
-    head = packets.withColumn("__h", F.substring(h, 1, 2 * 160))
-    tag = lambda at: F.substring("__h", 2 * at + 1, 4)
-    tagged = lambda at: tag(at).isin("8100", "88A8", "9100")
-    kind_at = F.when(~tagged(12), 12).when(~tagged(16), 16).otherwise(20)
-    kind = F.when(F.col("linktype") == ETHERNET, F.substring(F.col("__h"), kind_at * 2 + 1, F.lit(4))).when(F.col("linktype") == LINUX_COOKED, tag(14)).when(F.col("linktype") == RAW_IP, F.lit("0800"))
-    ip_at = F.when(F.col("linktype") == ETHERNET, kind_at + 2).when(F.col("linktype") == LINUX_COOKED, 16).otherwise(0)
-    head = head.withColumns({"__kind": kind, "__ip": ip_at}).filter(F.col("__kind") == "0800")
-    ip = head.withColumn("__i", F.substring(F.col("__h"), F.col("__ip") * 2 + 1, F.lit(240)))
-    i = F.col("__i")
-    header = (u8(i, 0).bitwiseAND(F.lit(15)) * 4).cast("int")
-    ip = ip.withColumns({"__hl": header, "__version": F.shiftright(u8(i, 0), 4)}).filter((F.col("__version") == 4) & (u8(i, 9) == 6) & (u16(i, 6).bitwiseAND(F.lit(0x1FFF)) == 0))
-    t = F.substring(i, F.col("__hl") * 2 + 1, F.lit(40))
-    tcp = ip.withColumn("__t", t).filter(F.length("__t") == 40)
-    t = F.col("__t")
-    dotted = lambda at: F.concat_ws(".", *(u8(i, at + k).cast("string") for k in range(4)))
-    mac = lambda at: F.when(F.col("linktype") == ETHERNET, F.lower(F.concat_ws(":", *(F.substring("__h", 2 * (at + k) + 1, 2) for k in range(6)))))
-    data_at = F.col("__ip") + F.col("__hl") + F.shiftright(u8(t, 12), 4) * 4
-    end = F.octet_length("frame") if trailer_is_payload else F.least(F.octet_length("frame"), F.col("__ip") + u16(i, 2))
-    flags = u8(t, 13)
-    return tcp.select(
-        "capture_id",
-        "packet_number",
-        F.col("ts").alias("timestamp"),
-        dotted(12).alias("src_ip"),
-        u16(t, 0).alias("src_port"),
-        dotted(16).alias("dst_ip"),
-        u16(t, 2).alias("dst_port"),
-        mac(6).alias("src_mac"),
-        mac(0).alias("dst_mac"),
-        F.coalesce("wirelen", F.octet_length("frame")).cast("long").alias("wire_length"),
-        (flags.bitwiseAND(F.lit(2)) != 0).alias("syn"),
-        (flags.bitwiseAND(F.lit(16)) != 0).alias("ack"),
-        F.substring(F.col("frame"), data_at + 1, F.greatest(F.lit(0), end - data_at)).alias("payload"),
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield parse_frames(batch, trailer_is_payload)
+
+    return packets.select("capture_id", "packet_number", "ts", "wirelen", "linktype", "frame").mapInArrow(run, TCP_SCHEMA)
 
 
 def with_key(tcp: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +22,18 @@ def get_spark(app: str = "wiretide", master: str | None = None, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df, name: str):
+    """Write to the shared folder (spark.checkpoint.dir) and read back, so that plans stay short.
+
+    Where that setting is empty, as in tests, a folder of this machine is set.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="wiretide-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
