@@ -85,43 +85,48 @@ def with_direction(events: DataFrame) -> DataFrame:
     return events.join(first, key).withColumn("direction", F.when(client, "request").otherwise("response")).drop("client")
 
 
-def hexed(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("__h", F.hex("payload")).drop("payload")
+#: The built-in recognisers with the confidence of what they find.
+BUILTIN = {"ftp": "high", "http": "high", "modbus-rtu-over-tcp": "low", "modbus-tcp": "high", "telnet": "high"}
 
 
-def as_text(segments: DataFrame) -> DataFrame:
-    """The payload's first 300 bytes as characters: no rule looks further."""
-    return segments.withColumn("__text", F.decode(F.substring("payload", 1, 300), "ISO-8859-1")).drop("payload")
+def _found(protocol: str, **values: Column) -> Column:
+    """What a recogniser says of a payload, in one shape for all protocols."""
+    kinds = {"unit_id": "int", "transaction_id": "int", "function_code": "int", "function_name": "string", "kind": "string", "basis": "string", "is_exception": "boolean"}
+    return F.struct(F.lit(protocol).alias("protocol"), *(values.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items()))
 
 
-def modbus_tcp(segments: DataFrame) -> DataFrame:
-    h = F.col("__h")
+def recognisers(h: Column, text: Column) -> dict[str, Column]:
+    """For each protocol what it finds in a payload, or null. h: hex, text: bytes as characters."""
     code = u8(h, 7)
-    valid = hexed(segments).filter(mbap_valid(h))
-    events = valid.select("*", u8(h, 6).alias("unit_id"), u16(h, 0).alias("transaction_id"), code.alias("function_code"), _known(1, code, "Unknown").alias("function_name"), _known(0, code, "unknown").alias("kind"), F.lit("modbus-tcp").alias("protocol"))
-    return with_direction(events)
-
-
-def modbus_rtu(segments: DataFrame) -> DataFrame:
-    h = F.col("__h")
-    code = u8(h, 1).bitwiseAND(F.lit(0x7F))
-    found = hexed(segments).filter(~mbap_valid(h) & rtu_valid(h))
-    return found.select("*", u8(h, 0).alias("unit_id"), code.alias("function_code"), _known(1, code, "Unknown").alias("function_name"), _known(0, code, "unknown").alias("kind"), F.lit("crc16-modbus-match").alias("basis"), (u8(h, 1) >= 128).alias("is_exception"), F.lit("modbus-rtu-over-tcp").alias("protocol"))
-
-
-def telnet(segments: DataFrame) -> DataFrame:
-    found = hexed(segments).withColumn("basis", telnet_basis(F.col("__h"))).filter("basis IS NOT NULL")
-    return with_direction(found.withColumn("protocol", F.lit("telnet")))
-
-
-def ftp(segments: DataFrame) -> DataFrame:
-    found = as_text(segments).withColumn("basis", ftp_basis(F.col("__text"))).filter("basis IS NOT NULL")
-    return with_direction(found.withColumn("protocol", F.lit("ftp")))
-
-
-def http(segments: DataFrame) -> DataFrame:
-    found = as_text(segments).withColumn("basis", http_basis(F.col("__text"))).filter("basis IS NOT NULL")
-    return with_direction(found.withColumn("protocol", F.lit("http")))
+    serial = u8(h, 1).bitwiseAND(F.lit(0x7F))
+    named = lambda c: {"function_code": c, "function_name": _known(1, c, "Unknown"), "kind": _known(0, c, "unknown")}
+    said = lambda protocol, basis: F.when(basis.isNotNull(), _found(protocol, basis=basis))
+    return {
+        "modbus-tcp": F.when(mbap_valid(h), _found("modbus-tcp", unit_id=u8(h, 6), transaction_id=u16(h, 0), **named(code))),
+        "modbus-rtu-over-tcp": F.when(~mbap_valid(h) & rtu_valid(h), _found("modbus-rtu-over-tcp", unit_id=u8(h, 0), basis=F.lit("crc16-modbus-match"), is_exception=u8(h, 1) >= 128, **named(serial))),
+        "telnet": said("telnet", telnet_basis(h)),
+        "ftp": said("ftp", ftp_basis(text)),
+        "http": said("http", http_basis(text)),
+    }
+
+
+def events(segments: DataFrame, *protocols: str) -> DataFrame:
+    """Events of some or all built-in protocols: one pass over the payloads, whatever their number.
+
+    No rule but the checksum looks beyond the first 300 bytes. A protocol without directions has null.
+    """
+    names = list(protocols or BUILTIN)
+    rows = segments.withColumns({"__h": F.hex("payload"), "__text": F.decode(F.substring("payload", 1, 300), "ISO-8859-1")}).drop("payload")
+    all_of = recognisers(F.col("__h"), F.col("__text"))
+    seen = F.filter(F.array(*(all_of[n] for n in names)), lambda x: x.isNotNull())
+    found = rows.select(*[c for c in rows.columns if c not in ("__h", "__text")], F.explode(seen).alias("__e")).select("*", "__e.*").drop("__e")
+    directed = with_direction(found)
+    return directed.withColumn("direction", F.when(F.col("protocol") != "modbus-rtu-over-tcp", F.col("direction"))) if "modbus-rtu-over-tcp" in names else directed
+
+
+def only(protocol: str):
+    """A recogniser of one protocol, as a dissector plugin takes it."""
+    return lambda segments: events(segments, protocol)
 
 
 def first_of(events: DataFrame, *keys: str) -> DataFrame:

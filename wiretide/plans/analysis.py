@@ -194,7 +194,9 @@ def analyze_all(spark: SparkSession, paths: list[str | Path], vendor_table: str
     t.tcp = cut(t.tcp, "tcp")
     t.sessions = cut(decode.sessions(t.tcp), "sessions")
     t.segments = cut(decode.segments(t.tcp, t.sessions), "segments")
-    t.high, t.low = (cut(e, "events") for e in run_dissectors(t.segments, dissectors))
+    high, low = run_dissectors(t.segments, dissectors)
+    events = cut(high.unionByName(low), "events")
+    t.high, t.low = events.filter("confidence = 'high'"), events.filter("confidence = 'low'")
     t.segments, t.tcp = t.segments.drop("payload"), t.tcp.drop("payload")
     t.initiators = cut(decode.initiators(t.tcp, t.sessions), "initiators")
     return {name: document(t, name, capture_section(p, found, *times.get(name, (None, None))), specs) for name, (p, found) in audits.items()}

@@ -86,7 +86,7 @@ def conversations(spark, sf_dir):
   CASE fc WHEN 3 THEN 'Read Holding Registers' ELSE 'Write Single Register' END AS function_name, TRY_CAST('0x' || substr(h, 1, 4) AS INT) AS transaction_id
   FROM high WHERE protocol = 'modbus-tcp'""")
 def mbap_events(spark, sf_dir):
-    events = recognise.modbus_tcp(View.of(spark, sf_dir).segments)
+    events = recognise.events(View.of(spark, sf_dir).segments, "modbus-tcp")
     return events.select("packet_number", "session_id", "direction", "unit_id", "function_code", "kind", "function_name", "transaction_id")
 
 
@@ -98,7 +98,7 @@ _CRC = "list_reduce(list_concat([65535], range(0, n - 2)), lambda crc, i: list_r
   WHERE TRY_CAST('0x' || substr(h, 1, 2) AS INT) BETWEEN 1 AND 247 AND (TRY_CAST('0x' || substr(h, 3, 2) AS INT) & 127) IN (1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 15, 16, 17, 20, 21, 22, 23, 24, 43)
     AND crc = TRY_CAST('0x' || substr(h, 2 * n - 1, 2) || substr(h, 2 * n - 3, 2) AS BIGINT)""")
 def rtu_crc16(spark, sf_dir):
-    events = recognise.modbus_rtu(View.of(spark, sf_dir).segments)
+    events = recognise.events(View.of(spark, sf_dir).segments, "modbus-rtu-over-tcp")
     return events.select("packet_number", "session_id", "unit_id", "function_code", "is_exception")
 
 

@@ -110,13 +110,7 @@ def discover_dissectors(root: Path | str) -> list[Dissector]:
 
 
 def builtin_dissectors() -> list[Dissector]:
-    return [
-        Dissector("ftp", "high", recognise.ftp),
-        Dissector("http", "high", recognise.http),
-        Dissector("modbus-rtu-over-tcp", "low", recognise.modbus_rtu),
-        Dissector("modbus-tcp", "high", recognise.modbus_tcp),
-        Dissector("telnet", "high", recognise.telnet),
-    ]
+    return [Dissector(name, confidence, recognise.only(name)) for name, confidence in sorted(recognise.BUILTIN.items())]
 
 
 def list_dissector(id: str, confidence: str, function: Callable[[list[dict]], list[dict]]) -> Dissector:
@@ -147,14 +141,18 @@ def list_dissector(id: str, confidence: str, function: Callable[[list[dict]], li
 
 def run_dissectors(segments: DataFrame, dissectors: list[Dissector] | None = None) -> tuple[DataFrame, DataFrame]:
     """(events of high confidence, events of low confidence) of all dissectors over all segments."""
+    shaped = lambda rows: rows.select(*(F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in EVENT_TYPES.items()))
+    if dissectors is None:  # the built-in ones share one pass
+        table = F.create_map(*(F.lit(x) for pair in recognise.BUILTIN.items() for x in pair))
+        events = shaped(recognise.events(segments).withColumn("confidence", table[F.col("protocol")]))
+        return events.filter("confidence = 'high'"), events.filter("confidence = 'low'")
     parts = []
-    for d in sorted(builtin_dissectors() if dissectors is None else dissectors, key=lambda d: d.id):
+    for d in sorted(dissectors, key=lambda d: d.id):
         rows = d.find(segments)
         missing = {"packet_number", "session_id", "capture_id"} - set(rows.columns)
         if missing:
             raise PluginError(f"dissector {d.id}: events without {sorted(missing)}")
-        rows = rows.withColumns({"protocol": F.lit(d.id), "confidence": F.lit(d.confidence)})
-        parts.append(rows.select(*(F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in EVENT_TYPES.items())))
+        parts.append(shaped(rows.withColumns({"protocol": F.lit(d.id), "confidence": F.lit(d.confidence)})))
     if not parts:
         schema = ", ".join(f"{c} {t}" for c, t in EVENT_TYPES.items())
         empty = segments.sparkSession.createDataFrame([], schema)
