@@ -224,6 +224,11 @@ def low_bits(keys: np.ndarray, segment_bits: int) -> np.ndarray:
 
 
 def segment_bits(df: DataFrame, least: int = 8, most: int = 16, each: int = 64 << 20) -> int:
-    """Leading hash bits that name a segment, so that a segment stands for a bounded part of the input."""
+    """Leading hash bits that name a segment, so that a segment stands for a bounded part of the input.
+
+    The optimiser's estimate of the input's size decides; where it has none, the least.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return least
     return max(least, min(most, (size // each).bit_length()))

@@ -107,7 +107,7 @@ def _bigrams(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[n
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[at], np.diff(np.concatenate([at, [len(keys)]]))
 
 
