@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SegmentFilter, cut_segments, grouped_batches, intern_words, low_bits, materialize, mix64, ngram_hashes, partitions, read_table, small_batches, texts, tidy, word_hashes
+from .common import SegmentFilter, cut_segments, grouped_batches, intern_words, low_bits, materialize, mix64, ngram_hashes, partitions, read_table, segment_bits, small_batches, texts, tidy, word_hashes
 from .components import components
 
-#: Leading hash bits that name a segment, and the bits of the filter of repeated shingles (16 MB).
-SEGMENT_BITS, FILTER_BITS = 8, 1 << 27
+#: Bits of the filter of repeated shingles (16 MB).
+FILTER_BITS = 1 << 27
 #: Cells of the table of list lengths that orders shingles (4 MB).
 CELL_BITS = 22
 #: Bytes of sets that one task joins at most; larger candidate groups are joined block by block.
@@ -78,7 +78,8 @@ def repeated_filter(docs: DataFrame, text: str, k: int, filter_bits: int = FILTE
     filter only rules out fewer documents. Shingles are counted by segments of their hash, after
     counting within each batch, so frequent shingles are not moved more often than batches.
     """
-    each = filter_bits >> SEGMENT_BITS
+    bits = segment_bits(docs)
+    each = filter_bits >> bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_batches(batches, text):
@@ -86,7 +87,7 @@ def repeated_filter(docs: DataFrame, text: str, k: int, filter_bits: int = FILTE
             if not sets:
                 continue
             keys = np.sort(np.concatenate(sets))
-            rows = [(s, low[n == 1].tobytes(), low[n > 1].tobytes()) for s, low, n in _segments(keys, SEGMENT_BITS)]
+            rows = [(s, low[n == 1].tobytes(), low[n > 1].tobytes()) for s, low, n in _segments(keys, bits)]
             seg, once, more = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["segment", "once", "more"])
 
@@ -106,7 +107,7 @@ def repeated_filter(docs: DataFrame, text: str, k: int, filter_bits: int = FILTE
     spark = docs.sparkSession
     counted = docs.select(text).mapInArrow(tidy(count), "segment int, once binary, more binary")
     rows = counted.repartition(partitions(spark), "segment").mapInArrow(tidy(build), "segment int, bits binary").collect()
-    return SegmentFilter([(r.segment, r.bits) for r in rows], SEGMENT_BITS, filter_bits)
+    return SegmentFilter([(r.segment, r.bits) for r in rows], bits, filter_bits)
 
 
 def _sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int, shared: SegmentFilter) -> DataFrame:
@@ -132,12 +133,13 @@ def _sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int, shared:
 
 def _list_lengths(classes: DataFrame) -> tuple[np.ndarray, float]:
     """For cells of hash values the longest inverted list (8 * log2, one byte), and the mean list scanned."""
-    cells = 1 << (CELL_BITS - SEGMENT_BITS)
+    bits = segment_bits(classes)
+    cells = 1 << (CELL_BITS - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_batches(batches, "items"):
             keys = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column(0).to_pylist()]))
-            rows = [(s, low.tobytes(), n.astype(np.uint32).tobytes()) for s, low, n in _segments(keys, SEGMENT_BITS)]
+            rows = [(s, low.tobytes(), n.astype(np.uint32).tobytes()) for s, low, n in _segments(keys, bits)]
             seg, low, n = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(low, pa.binary()), pa.array(n, pa.binary())], names=["segment", "low", "n"])
 
@@ -152,7 +154,7 @@ def _list_lengths(classes: DataFrame) -> tuple[np.ndarray, float]:
             keys, inverse = np.unique(np.concatenate(low), return_inverse=True)
             total = np.bincount(inverse, np.concatenate(n)).astype(np.int64)
             table = np.zeros(cells, np.uint8)
-            np.maximum.at(table, (keys >> np.uint32(32 - (CELL_BITS - SEGMENT_BITS))).astype(np.int64), np.minimum(255, np.ceil(8 * np.log2(total))).astype(np.uint8))
+            np.maximum.at(table, (keys >> np.uint32(32 - (CELL_BITS - bits))).astype(np.int64), np.minimum(255, np.ceil(8 * np.log2(total))).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([table.tobytes()], pa.binary()), pa.array([float((total**2).sum())]), pa.array([float(total.sum())])], names=["segment", "cells", "squares", "total"])
 
     counted = classes.select("items").mapInArrow(tidy(count), "segment int, low binary, n binary")

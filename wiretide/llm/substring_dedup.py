@@ -20,11 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SegmentFilter, cut_segments, grouped_batches, intern_words, low_bits, materialize, ngram_hashes, partitions, read_table, small_batches, texts, tidy, word_hashes
+from .common import SegmentFilter, cut_segments, grouped_batches, intern_words, low_bits, materialize, ngram_hashes, partitions, read_table, segment_bits, small_batches, texts, tidy, word_hashes
 
 #: Words of a window and of an anchor.
 WINDOW, PREFIX = 35, 8
-SEGMENT_BITS, FILTER_BITS = 8, 1 << 27
+#: Bits of the filter of repeated prefixes (16 MB).
+FILTER_BITS = 1 << 27
 #: Suffixes of one prefix that a task takes (half a kilobyte each, so 20 MB), and suffixes of several
 #: prefixes that it holds at once.
 MOST_SUFFIXES, HELD = 40_000, 20_000
@@ -68,7 +69,8 @@ def _prepared(table: pa.Table, column: int):
 
 def _repeated_prefixes(docs: DataFrame, text: str, window: int, prefix: int, most: int, filter_bits: int) -> tuple[SegmentFilter, np.ndarray]:
     """A fixed-size filter of the prefixes of two suffixes or more, and the few of very many."""
-    each = filter_bits >> SEGMENT_BITS
+    bits = segment_bits(docs)
+    each = filter_bits >> bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_batches(batches, text):
@@ -77,7 +79,7 @@ def _repeated_prefixes(docs: DataFrame, text: str, window: int, prefix: int, mos
             if not len(x):
                 continue
             keys, n = np.unique(h[_anchors(x, own)[0]], return_counts=True)
-            edges, low, n = cut_segments(keys, SEGMENT_BITS), low_bits(keys, SEGMENT_BITS), n.astype(np.uint32)
+            edges, low, n = cut_segments(keys, bits), low_bits(keys, bits), n.astype(np.uint32)
             rows = [(s, low[a:b].tobytes(), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
             seg, lows, ns = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(lows, pa.binary()), pa.array(ns, pa.binary())], names=["segment", "low", "n"])
@@ -94,14 +96,14 @@ def _repeated_prefixes(docs: DataFrame, text: str, window: int, prefix: int, mos
             total = np.bincount(inverse, np.concatenate(n)).astype(np.int64)
             data = SegmentFilter.build(keys[total > 1], each)
             much = np.flatnonzero(total > most)
-            much = much[np.argsort(-total[much])][: MOST_NAMES >> SEGMENT_BITS]
+            much = much[np.argsort(-total[much])][: MOST_NAMES >> bits]
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data], pa.binary()), pa.array([((np.uint64(s) << np.uint64(32)) | keys[much].astype(np.uint64)).tobytes()], pa.binary())], names=["segment", "bits", "many"])
 
     spark = docs.sparkSession
     counted = docs.select(text).mapInArrow(tidy(count), "segment int, low binary, n binary")
     rows = counted.repartition(partitions(spark), "segment").mapInArrow(tidy(build), "segment int, bits binary, many binary").collect()
     many = np.concatenate([np.frombuffer(r.many, np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
-    return SegmentFilter([(r.segment, r.bits) for r in rows], SEGMENT_BITS, filter_bits), np.sort(many)
+    return SegmentFilter([(r.segment, r.bits) for r in rows], bits, filter_bits), np.sort(many)
 
 
 #: Kinds of rows of the second pass: a document without repeats, one that may have some, a suffix with
@@ -131,7 +133,7 @@ def _suffixes(docs: DataFrame, id_col: str, text: str, window: int, prefix: int,
             for d, w in enumerate(words):
                 add(OPEN if is_open[d] else CLEAN, number + d, 0, 0, 0, 0, len(w), b" ".join(w) if is_open[d] else hashlib.sha256(b" ".join(w)).hexdigest().encode())
             picked = list(range(len(words)))
-            short = h[anchor] >> np.uint64(32 - SEGMENT_BITS)
+            short = h[anchor] >> np.uint64(32 - found.segment_bits)
             crowded = np.isin(short, hot)
             keys = h[anchor].view(np.int64).tolist()
             for k, (d, i, f, n) in enumerate(zip(doc.tolist(), anchor.tolist(), first.tolist(), count.tolist())):
