@@ -245,7 +245,7 @@ def pattern_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def phrase_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of phrase patterns over folded page text, by page."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
-    hits = forbidden_phrases(pages, {"numeric-indicator": FORBIDDEN["numeric-indicator"], "number-unit": r"\bpage=\d+"})
+    hits = forbidden_phrases(pages, {"numeric-indicator": FORBIDDEN["numeric-indicator"], "tracker-call": r"\btrack\(\d+\)"})
     return hits.groupBy("path", "rule_id").agg(F.count(F.lit(1)).alias("hits")).select(F.col("path").cast("long").alias("page_id"), "rule_id", "hits")
 
 
@@ -290,6 +290,8 @@ def contract_sql() -> dict[str, str]:
   UNION ALL SELECT path, 'identity-mac-address', count(*) FROM t WHERE k % 5 = 1 AND k % 16 <> 1 GROUP BY path
   UNION ALL SELECT path, 'identity-device-name', 2 * count(*) FROM t WHERE k % 5 = 2 AND path <> 'log/3' GROUP BY path
   UNION ALL SELECT path, 'identity-project-name', count(*) FROM t WHERE k % 5 = 3 GROUP BY path) GROUP BY ALL""",
+        "phrase_rules": rf"""WITH t AS (SELECT page_id, 'tracker-call' AS rule_id, len(regexp_extract_all(strip_accents(lower(html)), '(?s).{{0,{CONTEXT}}}(?:\btrack\(\d+\)).{{0,{CONTEXT}}}')) AS hits FROM pages
+  UNION ALL SELECT page_id, 'numeric-indicator', len(regexp_extract_all(strip_accents(lower(html)), '(?s).{{0,{CONTEXT}}}(?:\b\d{{1,3}}\s*/\s*100\b).{{0,{CONTEXT}}}')) FROM pages) SELECT * FROM t WHERE hits > 0""",
         "page_request_lines": """SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'http-request-line' END AS basis FROM pages""",
         "substring_hits": f"""{_LOG} SELECT path, pattern, count(*) AS hits FROM (SELECT path, CASE k % 5 WHEN 0 THEN 'LOGIN' WHEN 2 THEN 'plc-' WHEN 3 THEN 'sentinel' END AS pattern FROM t) WHERE pattern IS NOT NULL GROUP BY ALL""",
     }

@@ -2,39 +2,55 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import provenance as P
 from ..operators import analytics, checks, coverage, decode, inventory, recognise, standards, textscan
-from ..session import table
+from ..session import cut, table
 from ..sources import lens
 from . import definitions
 from ..sources.vendors import build_table
 from .registry import run_dissectors
 
 
-@dataclass
 class View:
-    """What the queries derive from the lens; frames are plans, nothing runs until a query does."""
+    """What the queries derive from the lens. Frames that several parts of a query read are written to
+    the shared folder once, so that no query scans the events more than a few times."""
 
-    tcp: DataFrame
-    sessions: DataFrame
-    segments: DataFrame
-    high: DataFrame
-    low: DataFrame
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.tcp = lens.events_lens(spark, sf_dir)
 
-    @classmethod
-    def of(cls, spark: SparkSession, sf_dir: str) -> View:
-        tcp = lens.events_lens(spark, sf_dir)
-        sessions = decode.sessions(tcp)
-        segments = decode.segments(tcp, sessions)
-        return cls(tcp, sessions, segments, *run_dissectors(segments))
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return cut(decode.sessions(self.tcp), "sessions")
 
+    @cached_property
+    def segments(self) -> DataFrame:
+        return decode.segments(self.tcp, self.sessions)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        high, low = run_dissectors(self.segments)
+        return cut(high.unionByName(low), "events")
+
+    @property
+    def high(self) -> DataFrame:
+        return self.events.filter("confidence = 'high'")
+
+    @property
+    def low(self) -> DataFrame:
+        return self.events.filter("confidence = 'low'")
+
+    @cached_property
+    def initiators(self) -> DataFrame:
+        return decode.initiators(self.tcp, self.sessions)
+
+    @cached_property
     def matrix(self) -> DataFrame:
-        return analytics.matrix(self.tcp, self.sessions, self.segments, self.high, self.low, decode.initiators(self.tcp, self.sessions))
+        return analytics.matrix(self.tcp, self.sessions, self.segments.drop("payload"), self.high, self.low, self.initiators)
 
 
 QUERIES: dict = {}
@@ -78,7 +94,7 @@ def session_initiators(spark, sf_dir):
 
 @query("SELECT session_id, least(min(a), min(b)) || ',' || greatest(max(a), max(b)) AS endpoints, count(*) AS packet_count FROM seg GROUP BY session_id")
 def conversations(spark, sf_dir):
-    v = View.of(spark, sf_dir)
+    v = View(spark, sf_dir)
     return analytics.conversations(v.segments).select("session_id", F.array_join("endpoints", ",").alias("endpoints"), "packet_count")
 
 
@@ -86,7 +102,7 @@ def conversations(spark, sf_dir):
   CASE fc WHEN 3 THEN 'Read Holding Registers' ELSE 'Write Single Register' END AS function_name, TRY_CAST('0x' || substr(h, 1, 4) AS INT) AS transaction_id
   FROM high WHERE protocol = 'modbus-tcp'""")
 def mbap_events(spark, sf_dir):
-    events = recognise.events(View.of(spark, sf_dir).segments, "modbus-tcp")
+    events = recognise.events(View(spark, sf_dir).segments, "modbus-tcp")
     return events.select("packet_number", "session_id", "direction", "unit_id", "function_code", "kind", "function_name", "transaction_id")
 
 
@@ -98,43 +114,43 @@ _CRC = "list_reduce(list_concat([65535], range(0, n - 2)), lambda crc, i: list_r
   WHERE TRY_CAST('0x' || substr(h, 1, 2) AS INT) BETWEEN 1 AND 247 AND (TRY_CAST('0x' || substr(h, 3, 2) AS INT) & 127) IN (1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 15, 16, 17, 20, 21, 22, 23, 24, 43)
     AND crc = TRY_CAST('0x' || substr(h, 2 * n - 1, 2) || substr(h, 2 * n - 3, 2) AS BIGINT)""")
 def rtu_crc16(spark, sf_dir):
-    events = recognise.events(View.of(spark, sf_dir).segments, "modbus-rtu-over-tcp")
+    events = recognise.events(View(spark, sf_dir).segments, "modbus-rtu-over-tcp")
     return events.select("packet_number", "session_id", "unit_id", "function_code", "is_exception")
 
 
 @query("SELECT pn AS packet_number, session_id, protocol, direction FROM high WHERE protocol <> 'modbus-tcp'")
 def http_ftp_telnet(spark, sf_dir):
-    high = View.of(spark, sf_dir).high
+    high = View(spark, sf_dir).high
     return high.filter("protocol <> 'modbus-tcp'").select("packet_number", "session_id", "protocol", "direction")
 
 
 @query("SELECT pn AS packet_number, session_id, protocol, 'high' AS confidence FROM high UNION ALL SELECT pn, session_id, 'modbus-rtu-over-tcp', 'low' FROM low")
 def dissector_events(spark, sf_dir):
-    v = View.of(spark, sf_dir)
+    v = View(spark, sf_dir)
     return v.high.unionByName(v.low).select("packet_number", "session_id", "protocol", "confidence")
 
 
 def _findings(check: str, v: View) -> DataFrame:
     spec = definitions.CHECKS[check]
-    rows = checks.with_parties(spec["evaluate"](v.high), v.matrix())
+    rows = checks.with_parties(spec["evaluate"](v.high), v.matrix)
     return rows.select(F.lit(check).alias("check_id"), F.lit(spec["severity"]).alias("severity"), checks.risk_of(F.lit(spec["severity"])).alias("risk"), "packet_number", "session_id", "source", "target")
 
 
 @query("SELECT 'modbus-unauthenticated-write' AS check_id, 'high' AS severity, 'serious' AS risk, pn AS packet_number, session_id, source, target FROM high JOIN matrix USING (session_id) WHERE kind = 'write' AND direction = 'request'")
 def write_findings(spark, sf_dir):
-    return _findings("modbus-unauthenticated-write", View.of(spark, sf_dir))
+    return _findings("modbus-unauthenticated-write", View(spark, sf_dir))
 
 
 @query("""SELECT 'cleartext-protocol' AS check_id, 'medium' AS severity, 'moderate' AS risk, packet_number, session_id, source, target
   FROM (SELECT session_id, protocol, min(pn) AS packet_number FROM high WHERE protocol IN ('telnet', 'ftp', 'http') GROUP BY ALL) JOIN matrix USING (session_id)""")
 def cleartext_findings(spark, sf_dir):
-    return _findings("cleartext-protocol", View.of(spark, sf_dir))
+    return _findings("cleartext-protocol", View(spark, sf_dir))
 
 
 @query("""SELECT 'unauthenticated-industrial-protocol' AS check_id, 'high' AS severity, 'serious' AS risk, packet_number, session_id, source, target
   FROM (SELECT session_id, min(pn) AS packet_number FROM high WHERE protocol = 'modbus-tcp' GROUP BY session_id) JOIN matrix USING (session_id)""")
 def industrial_findings(spark, sf_dir):
-    return _findings("unauthenticated-industrial-protocol", View.of(spark, sf_dir))
+    return _findings("unauthenticated-industrial-protocol", View(spark, sf_dir))
 
 
 _MATRIX_CELLS = """session_id, source, CASE WHEN initiator IS NULL THEN 'inferred:first-observed-sender' ELSE 'observed' END AS source_provenance,
@@ -144,7 +160,7 @@ _MATRIX_CELLS = """session_id, source, CASE WHEN initiator IS NULL THEN 'inferre
 
 @query(f"SELECT {_MATRIX_CELLS} FROM matrix")
 def comm_matrix(spark, sf_dir):
-    m = View.of(spark, sf_dir).matrix()
+    m = View(spark, sf_dir).matrix
     value = lambda *names: [F.col(f"{n}.value").alias(n) for n in names]
     marker = lambda *names: [F.col(f"{n}.provenance").alias(f"{n}_provenance") for n in names]
     return m.select(*value("session_id", "source", "target", "direction", "initiator", "protocol", "volume_bytes", "packet_count"), *marker("source", "initiator", "protocol"))
@@ -165,7 +181,7 @@ def _vendors(spark, sf_dir) -> DataFrame:
 
 
 def _inventory(spark, sf_dir) -> DataFrame:
-    v = View.of(spark, sf_dir)
+    v = View(spark, sf_dir)
     return inventory.inventory(v.segments, v.high, _vendors(spark, sf_dir))
 
 
@@ -177,13 +193,13 @@ def asset_inventory(spark, sf_dir):
 
 @query("SELECT session_id, cycle_us, requests AS request_count FROM cycles")
 def polling_cycles(spark, sf_dir):
-    rows = coverage.polling_cycles(View.of(spark, sf_dir).high)
+    rows = coverage.polling_cycles(View(spark, sf_dir).high)
     return rows.select("session_id", F.round(F.col("measured_cycle_s") * 1e6).cast("long").alias("cycle_us"), "request_count")
 
 
 @query("SELECT session_id, cycle_us FROM cycles WHERE cycle_us <> 0 AND (SELECT max(ts_us) - min(ts_us) FROM tcp) < 2 * cycle_us")
 def coverage_warnings(spark, sf_dir):
-    v = View.of(spark, sf_dir)
+    v = View(spark, sf_dir)
     rows = coverage.short_windows(coverage.polling_cycles(v.high), analytics.capture_summary(v.tcp, "timestamp"))
     return rows.select("session_id", F.round(F.col("measured_cycle_s") * 1e6).cast("long").alias("cycle_us"))
 
@@ -191,7 +207,7 @@ def coverage_warnings(spark, sf_dir):
 @query("""SELECT 'z-default' AS zone, (SELECT string_agg(DISTINCT ip, ',' ORDER BY ip) FROM visits) AS members,
   (SELECT string_agg(DISTINCT protocol, ',' ORDER BY protocol) FROM high) AS protocols""")
 def zone_members(spark, sf_dir):
-    v = View.of(spark, sf_dir)
+    v = View(spark, sf_dir)
     return analytics.zone_model(v.segments, v.high).select(F.lit("z-default").alias("zone"), F.array_join("members", ",").alias("members"), F.array_join("protocols", ",").alias("protocols"))
 
 
@@ -203,8 +219,8 @@ _ROLLUP = """SELECT section, field, sum(missing) AS count, count(*) AS total FRO
 
 @query(f"WITH {lens.SQL}, {_INVENTORY} SELECT section, field, CAST(count AS BIGINT) AS count, total FROM ({_ROLLUP})")
 def not_derivable_rollup(spark, sf_dir):
-    v = View.of(spark, sf_dir)
-    return P.not_derivable_counts(_inventory(spark, sf_dir), "assets").unionByName(P.not_derivable_counts(v.matrix(), "comm_matrix"))
+    v = View(spark, sf_dir)
+    return P.not_derivable_counts(_inventory(spark, sf_dir), "assets").unionByName(P.not_derivable_counts(v.matrix, "comm_matrix"))
 
 
 def _all_findings(v: View) -> DataFrame:
@@ -222,7 +238,7 @@ def _all_findings(v: View) -> DataFrame:
   UNION ALL SELECT 'cleartext-protocol', session_id FROM (SELECT DISTINCT session_id, protocol FROM high WHERE protocol IN ('telnet', 'ftp', 'http'))
   UNION ALL SELECT 'unauthenticated-industrial-protocol', session_id FROM (SELECT DISTINCT session_id FROM high WHERE protocol = 'modbus-tcp')) GROUP BY check_id""")
 def remediation_rollup(spark, sf_dir):
-    rows = checks.remediations(_all_findings(View.of(spark, sf_dir)))
+    rows = checks.remediations(_all_findings(View(spark, sf_dir)))
     return rows.select("place.check_id", "findings", F.col("place.session_id").alias("first_session"))
 
 
@@ -251,7 +267,7 @@ def capture_summary(spark, sf_dir):
 
 @query("SELECT 'modbus-rtu-over-tcp' AS protocols, 'crc16-modbus-match' AS bases, count(*) AS count FROM low HAVING count(*) > 0")
 def low_confidence_summary(spark, sf_dir):
-    rows = analytics.low_confidence_summary(View.of(spark, sf_dir).low)
+    rows = analytics.low_confidence_summary(View(spark, sf_dir).low)
     return rows.select(F.array_join("protocols", ",").alias("protocols"), F.array_join("bases", ",").alias("bases"), "count")
 
 
@@ -279,8 +295,8 @@ def json_document(spark, sf_dir):
     from .analysis import Tables, document
     from .report import dump
 
-    v = View.of(spark, sf_dir)
-    tables = Tables(v.tcp, v.sessions, v.segments, v.high, v.low, decode.initiators(v.tcp, v.sessions), _vendors(spark, sf_dir))
+    v = View(spark, sf_dir)
+    tables = Tables(v.tcp, v.sessions, v.segments.drop("payload"), v.high, v.low, v.initiators, _vendors(spark, sf_dir))
     return spark.createDataFrame([(dump(document(tables, lens.CAPTURE, {}).analysis),)], "analysis string")
 
 
