@@ -172,6 +172,19 @@ def test_command_line(put, tmp_path, capsys):
     assert not (tmp_path / "none").exists()
 
 
+def test_guard_command(tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    run = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    (tmp_path / "standards/.local").mkdir(parents=True)
+    (tmp_path / "standards/.local/c.txt").write_text(run)
+    (tmp_path / "a.txt").write_text(f"x\n{run}\nhost 10.0.0.7\n")
+    (tmp_path / "b.bin").write_bytes(b"\xff")
+    assert cli.main(["guard", "a.txt", "b.bin", "--json"]) == 1
+    assert [(r["path"], r["line"], r["layer"]) for r in json.loads(capsys.readouterr().out)] == [("a.txt", 2, "corpus"), ("a.txt", 3, "identity")]
+    (tmp_path / ".confidentiality-allow").write_text("identity-value:10.0.0.7\n")
+    assert cli.main(["guard", "a.txt", "--no-corpus"]) == 0
+
+
 def test_folder_stream(spark, tmp_path):
     from wiretide.streaming.folder import analyse_folder
 

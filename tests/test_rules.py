@@ -10,8 +10,8 @@ from wiretide.functions.addresses import mac_prefix, normalize_mac_prefix
 from wiretide.functions.octets import crc16, crc16_of
 from wiretide.functions.ranking import number_by_position
 from wiretide.operators import checks, coverage, decode, inventory, recognise, standards, textscan
-from wiretide.plans import registry
-from wiretide.sources import capture, vendors
+from wiretide.plans import analysis, registry
+from wiretide.sources import capture, textfiles, vendors
 
 
 def ask(spark, payloads, *columns):
@@ -105,6 +105,48 @@ def test_registry_rules(spark, tmp_path):
         registry.load_function("../code:find", folder / "manifest.toml")
 
 
+CHECK = """
+id = "probe"
+title = "t"
+severity = "low"
+rationale = "r"
+evaluator = "code:find"
+remediation = "m"
+[applies_to]
+protocol = "x"
+[[standards]]
+standard = "IEC-62443-3-3"
+clause = "SR 4.1"
+"""
+
+
+def test_checks_from_files(spark, tmp_path):
+    (tmp_path / "probe.toml").write_text(CHECK)
+    (tmp_path / "code.py").write_text("from pyspark.sql import functions as F\ndef find(events):\n    return events.select('capture_id', 'packet_number', 'session_id', F.lit('high').alias('severity'))\n")
+    specs = registry.discover_checks(tmp_path)
+    specs["plain"] = {**specs["probe"], "evaluate": registry.list_check(lambda a: [{"evidence": {k: e[k] for k in ("packet_number", "session_id")}, "title": "own"} for e in a["protocol_events"][:1]])}
+    (tmp_path / "c.pcap").write_bytes(K.pcap(K.exchange()))
+    found = analysis.analyze(spark, tmp_path / "c.pcap", specs=specs).analysis["findings"]
+    assert [(f["check_id"], f["title"], f["severity"], f["risk"]) for f in found] == [("plain", "own", "low", "minor"), ("probe", "t", "high", "serious"), ("probe", "t", "high", "serious")]
+    assert found[0]["evidence"]["source"] == "192.0.2.10:50000" and found[0]["standard_refs"][0]["clause"] == "SR 4.1"
+    (tmp_path / "again.toml").write_text(CHECK)
+    with pytest.raises(registry.PluginError, match="taken"):
+        registry.discover_checks(tmp_path)
+
+
+def test_catalogue_from_files(tmp_path):
+    (tmp_path / "catalog.toml").write_text('[[entries]]\nstandard = "S"\nedition = "1"\nclause = "c"\nclause_title = "t"\nclause_title_source = "own"\nparaphrase = "p"\nverified = false\nparaphrase_note = "n"\n')
+    assert registry.load_catalogue(tmp_path)[0]["clause"] == "c" and "paraphrase_note" not in registry.load_catalogue(tmp_path)[0]
+
+
+def test_text_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.txt").write_text("Größe")
+    (tmp_path / "y.bin").write_bytes(b"\xff\xfe")
+    got = {r.path: r.content for r in textfiles.read_text_files(spark, str(tmp_path)).collect()}
+    assert got == {str(tmp_path / "a/x.txt"): "Größe", str(tmp_path / "y.bin"): None}
+
+
 def test_standards(spark):
     entry = {"standard": "S", "edition": "1", "clause": "c", "clause_title": "t", "clause_title_source": "own", "paraphrase": "p", "verified": False}
     known = standards.catalogue(spark, [entry, {**entry, "clause": "d"}])

@@ -63,7 +63,8 @@ def tables(packets: DataFrame, vendors: DataFrame | None = None, dissectors: lis
 def findings(t: Tables, matrix: DataFrame, specs: dict | None = None, known: DataFrame | None = None) -> DataFrame:
     """Findings of all checks with risk, parties and cited clauses, in columns of the document.
 
-    A check's evaluator may return columns of its metadata, which then win over the definition.
+    A check's evaluator may return columns of its metadata, which then win over the definition where
+    they aren't null.
     """
     spark = t.high.sparkSession
     specs = definitions.CHECKS if specs is None else specs
@@ -73,7 +74,9 @@ def findings(t: Tables, matrix: DataFrame, specs: dict | None = None, known: Dat
         rows = spec["evaluate"](t.high)
         refs = F.array(*(F.struct(F.lit(s).alias("standard"), F.lit(c).alias("clause")) for s, c in spec["standards"]))
         own = {"check_id": F.lit(name), "standards": refs, **{k: F.lit(spec[k]) for k in ("title", "severity", "rationale", "remediation")}}
-        rows = rows.withColumns({k: v for k, v in own.items() if k not in rows.columns})
+        said = {k: F.coalesce(F.col(k), v) if k in rows.columns else v for k, v in own.items()}
+        protocol = {} if "protocol" in rows.columns else {"protocol": F.lit(None).cast("string")}
+        rows = rows.withColumns({**said, **protocol})
         parts.append(rows.select("capture_id", "packet_number", "session_id", "protocol", *own))
     rows = parts[0]
     for part in parts[1:]:

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import recognise
+from ..operators.checks import severity_to_risk
 from ..operators.recognise import EVENT_COLUMNS
+from ..operators.standards import checked
 
 #: Confidences a manifest can state, and fields it needs.
 CONFIDENCES = ("high", "low")
@@ -163,4 +165,52 @@ def run_dissectors(segments: DataFrame, dissectors: list[Dissector] | None = Non
     return events.filter("confidence = 'high'"), events.filter("confidence = 'low'")
 
 
-__all__ = ["EVENT_COLUMNS", "Dissector", "PluginError", "builtin_dissectors", "discover_dissectors", "list_dissector", "load_function", "read_spec", "run_dissectors"]
+def list_check(function: Callable[[dict], list[dict]]) -> Callable[[DataFrame], DataFrame]:
+    """Adapt a plain Python check: it takes {"protocol_events": [...]} of a capture and returns
+    [{"evidence": {"packet_number", "session_id"}, ...}]; further text fields win over the manifest's."""
+    own = ("title", "severity", "rationale", "remediation")
+
+    def evaluate(events: DataFrame) -> DataFrame:
+        import pandas as pd
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            ordered = frame.sort_values(["packet_number", "session_id", "protocol"])
+            rows = [{k: v for k, v in r.items() if not pd.isna(v)} for r in ordered.drop(columns=["capture_id"]).to_dict("records")]
+            out = [(frame["capture_id"].iloc[0], r["evidence"]["packet_number"], r["evidence"]["session_id"], *(r.get(k) for k in own)) for r in function({"protocol_events": rows})]
+            return pd.DataFrame(out, columns=["capture_id", "packet_number", "session_id", *own]).astype(object)
+
+        return events.groupBy("capture_id").applyInPandas(run, "capture_id string, packet_number long, session_id long, " + ", ".join(f"{k} string" for k in own))
+
+    return evaluate
+
+
+def discover_checks(root: Path | str) -> dict[str, dict]:
+    """Checks of the TOML and YAML files under root, by identifier.
+
+    evaluator is `module:function`, a function of the events' DataFrame that returns capture_id,
+    packet_number and session_id of each finding, with any of the check's text fields as columns.
+    applies_to is kept as a note and filters nothing.
+    """
+    found: dict[str, dict] = {}
+    for path in _manifests(Path(root), ("*.toml", "*.yaml")):
+        spec = _checked(read_spec(path), CHECK_FIELDS, path)
+        if spec["id"] in found:
+            raise PluginError(f"{path}: the identifier {spec['id']!r} is taken")
+        severity_to_risk(spec["severity"])
+        refs = [(ref["standard"], ref["clause"]) for ref in spec["standards"]]
+        found[spec["id"]] = {**spec, "standards": refs, "evaluate": load_function(spec["evaluator"], path)}
+    return found
+
+
+def load_catalogue(root: Path | str) -> list[dict]:
+    """Entries of all `catalog` files under root, each checked."""
+    out = []
+    for path in _manifests(Path(root), ("catalog.toml", "catalog.yaml")):
+        entries = (read_spec(path) or {}).get("entries")
+        if not isinstance(entries, list):
+            raise PluginError(f"{path}: there is no list of entries")
+        out += [checked(e, str(path)) for e in entries]
+    return out
+
+
+__all__ = ["EVENT_COLUMNS", "Dissector", "PluginError", "builtin_dissectors", "discover_checks", "discover_dissectors", "list_check", "list_dissector", "load_catalogue", "load_function", "read_spec", "run_dissectors"]
