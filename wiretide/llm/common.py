@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Text that a worker takes at once where it counts before it passes on.
 GROUP_BYTES = 4 << 20
-#: Rows of one Arrow batch; long texts make larger batches a memory risk.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch; long texts make larger batches a memory risk.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that long texts fit a Python worker."""
+    """Bound an Arrow batch in rows and bytes, so that long texts fit a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) != ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
