@@ -157,6 +157,19 @@ def test_language_model_of_nothing(spark):
     assert language_model.score(empty, model, F.lit(True)).count() == 0
 
 
+def test_language_model_larger_than_a_broadcast(spark):
+    rows = [(k, " ".join(words(k, 40, 3000))) for k in range(120)] + [(None, "W1 w2"), (200, None), (201, ""), (201, "")]
+    docs, learnt = table(spark, rows), F.col("doc_id") % 10 != 0
+    learnt = F.coalesce(learnt, F.lit(False))
+    small, large = (language_model.train(docs.filter(learnt), filter_bits=1 << b) for b in (13, 26))
+    assert (small.tokens, small.types) == (large.tokens, large.types) and large.fill < 0.01
+    both = [sorted(map(tuple, language_model.score(docs, m, learnt).collect()), key=lambda r: (str(r[0]), r[2])) for m in (small, large)]
+    assert [r[:5] for r in both[0]] == [r[:5] for r in both[1]] and len(both[0]) == len(rows)
+    assert [r[5] for r in both[0]] == pytest.approx([r[5] for r in both[1]], rel=1e-9)
+    apart = [abs(a[6] - b[6]) / max(1, abs(b[6])) for a, b in zip(*both)]
+    assert sum(x < 1e-9 for x in apart) > len(rows) * 0.6 and max(apart) < 0.1
+
+
 # -- decontamination
 
 

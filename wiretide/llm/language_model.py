@@ -2,9 +2,10 @@
 
 Counts of unigrams and bigrams are quantised on a logarithmic scale; an n-gram of level q is put into
 the filter once for each level from 1 to q. A worker reads a count back by probing level after level
-until one is missing, and smooths a bigram's count with its words' counts. The filter has one size
-whatever the corpus is, so it can be broadcast. The base score needs exact counts, which are looked up
-by an exchange keyed by segments of the tokens' hashes, never gathered.
+until one is missing, and smooths a bigram's count with its words' counts. The filter grows with the
+number of its entries: up to FILTER_BITS it is broadcast, a larger one stays in segments in the shared
+folder and is probed by an exchange keyed by segments of the hashes. The base score needs exact counts,
+which are looked up by the same exchange, never gathered.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom_positions, cut_segments, grouped_batches, has_bits, intern_words, low_bits, materialize, mix64, partitions, read_table, segment_bits, set_bits, small_batches, texts, tidy, word_hashes
+from .common import bloom_positions, cut_segments, discard, grouped_batches, has_bits, intern_words, low_bits, materialize, mix64, partitions, read_table, segment_bits, set_bits, small_batches, texts, tidy, word_hashes
 from .labelled import remainder
 
-#: Bits of the filter (64 MB) and probes for each entry.
+#: Bits of the filter that is broadcast (64 MB), the largest there is, and probes for each entry.
 FILTER_BITS, PROBES = 1 << 29, 3
+#: Bits an entry has at least where the filter is broadcast, and where it is probed by segments.
+ROOM, SEGMENT_ROOM = 8, 16
 #: Counts from BASE**(q-1) on have level q.
 BASE, LEVELS = 1.5, 64
 #: Weight of the unigram estimate beside a bigram's count.
@@ -52,9 +55,33 @@ def _at_level(low: np.ndarray, level: int) -> np.ndarray:
     return low.astype(np.uint64) + (np.uint64(level) << np.uint64(32))
 
 
+def probe(array: np.ndarray, low: np.ndarray, each: int, at: np.ndarray | int = 0) -> np.ndarray:
+    """Level of each stored key in segments of `each` bits that begin at bit `at`, 0 if it is not there."""
+    at = np.broadcast_to(np.asarray(at, np.int64), len(low))
+    parts = [_probed(array, low[a : a + (1 << 17)], each, at[a : a + (1 << 17)]) for a in range(0, len(low), 1 << 17)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _probed(array: np.ndarray, low: np.ndarray, each: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(low), np.int64)
+    alive = np.arange(len(low))
+    for level in range(1, LEVELS + 1):
+        ok = np.ones(len(alive), np.bool_)
+        for p in bloom_positions(_at_level(low[alive], level), each, PROBES):
+            ok &= has_bits(array, at[alive] + p)
+        alive = alive[ok]
+        if not len(alive):
+            break
+        out[alive] = level
+    return out
+
+
 class LogFilter:
     """The filter as it is broadcast: bits in segments, the training totals."""
 
+    #: The table of segments, if the filter is too large to broadcast.
+    segments = None
+
     def __init__(self, rows: list, bits: int, filter_bits: int):
         self.bits, self.each = bits, filter_bits >> bits
         self.array = np.zeros(filter_bits // 8, np.uint8)
@@ -70,22 +97,15 @@ class LogFilter:
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of each n-gram hash, 0 if it is not in the filter."""
-        parts = [self._levels(keys[a : a + (1 << 17)]) for a in range(0, len(keys), 1 << 17)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-    def _levels(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
         at = (keys >> np.uint64(64 - self.bits)).astype(np.int64) * self.each
-        low, alive = low_bits(keys, self.bits), np.arange(len(keys))
-        for level in range(1, LEVELS + 1):
-            ok = np.ones(len(alive), np.bool_)
-            for p in bloom_positions(_at_level(low[alive], level), self.each, PROBES):
-                ok &= has_bits(self.array, at[alive] + p)
-            alive = alive[ok]
-            if not len(alive):
-                break
-            out[alive] = level
-        return out
+        return probe(self.array, low_bits(keys, self.bits), self.each, at)
+
+
+class SegmentedLogFilter:
+    """A filter too large to broadcast: its segments are a table, which score() meets by an exchange."""
+
+    def __init__(self, segments: DataFrame, tokens: int, types: int, bits: int):
+        self.segments, self.tokens, self.types, self.bits = segments, tokens, types, bits
 
 
 def _tokens(values: list[bytes]):
@@ -111,11 +131,12 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.diff(np.concatenate([at, [len(keys)]]))
 
 
-def train(docs: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) -> LogFilter:
+def train(docs: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) -> LogFilter | SegmentedLogFilter:
     """Count the n-grams of all texts and build the filter, segment by segment.
 
     A batch counts its own n-grams before anything is moved, so frequent ones are moved once a batch.
-    Bigrams travel as 32 bits beside their segment, most of them without a count, as it is 1.
+    Bigrams travel as 32 bits beside their segment, most of them without a count, as it is 1. A segment
+    with too little room for its entries gets more bits; the filter is then left in the shared folder.
     """
     small_batches(docs.sparkSession)
     bits = segment_bits(docs)
@@ -153,26 +174,38 @@ def train(docs: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) -
             c = np.bincount(inverse, np.concatenate([c, times]))
             types, inverse = np.unique(words, return_inverse=True)
             n = np.bincount(inverse, counts) if len(words) else np.zeros(0)
-            array = np.zeros(each // 8, np.uint8)
-            for low, level in ((keys, level_of(c)), (low_bits(types, bits), level_of(n))):
+            leveled = ((keys, level_of(c)), (low_bits(types, bits), level_of(n)))
+            entries = sum(int(level.sum()) for _, level in leveled)
+            room = each if entries * ROOM <= each else max(2 * each, 1 << (entries * SEGMENT_ROOM - 1).bit_length())
+            array = np.zeros(room // 8, np.uint8)
+            for low, level in leveled:
                 for q in range(1, int(level.max(initial=0)) + 1):
-                    for p in bloom_positions(_at_level(low[level >= q], q), each, PROBES):
+                    for p in bloom_positions(_at_level(low[level >= q], q), room, PROBES):
                         set_bits(array, p)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([array.tobytes()], pa.binary()), pa.array([int(n.sum())], pa.int64()), pa.array([len(types)], pa.int64())], names=["segment", "bits", "tokens", "types"])
 
     counted = docs.select(text).mapInArrow(tidy(count), "segment int, once binary, more binary, times binary, words binary, counts binary")
-    rows = counted.repartition(partitions(docs.sparkSession), "segment").mapInArrow(tidy(build), "segment int, bits binary, tokens long, types long").collect()
+    built = counted.repartition(partitions(docs.sparkSession), "segment").mapInArrow(tidy(build), "segment int, bits binary, tokens long, types long")
+    built = materialize(built, "lm-filter")
+    most, tokens, types = built.agg(F.max(F.length("bits")), F.sum("tokens"), F.sum("types")).first()
+    if (most or 0) * 8 > each:
+        return SegmentedLogFilter(built.select("segment", "bits"), tokens, types, bits)
+    rows = built.collect()
+    discard(built)
     return LogFilter(rows, bits, filter_bits)
 
 
 def log_probabilities(model: LogFilter, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """log10 probability of each text: the sum over its words and its end, each after the token before."""
-    values = level_values()
     grams, at = _bigrams(hashes, ids, starts)
     keys, inverse = np.unique(grams, return_inverse=True)
-    pair = values[model.levels(keys)][inverse]
-    word = values[model.levels(hashes)]
-    alone = (word + 0.1) / (model.tokens + 0.1 * (model.types + 1))
+    return _logs(model.levels(keys)[inverse], model.levels(hashes), model.tokens, model.types, ids, starts, at)
+
+
+def _logs(pair_level: np.ndarray, word_level: np.ndarray, tokens: int, types: int, ids: np.ndarray, starts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    values = level_values()
+    pair, word = values[pair_level], values[word_level]
+    alone = (word + 0.1) / (tokens + 0.1 * (types + 1))
     before, own = word[ids[at - 1]], alone[ids[at]]
     p = (np.minimum(pair, np.maximum(before, pair > 0)) + BACKOFF * own) / (np.maximum(before, pair > 0) + BACKOFF)
     logs = np.zeros(len(ids))
@@ -180,6 +213,29 @@ def log_probabilities(model: LogFilter, ids: np.ndarray, starts: np.ndarray, has
     return np.add.reduceat(logs, starts[:-1]) if len(ids) else np.zeros(0)
 
 
+def _bag(at: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, token, times) of the distinct tokens of each text, without the END before it."""
+    inner = np.ones(len(at), np.bool_)
+    inner[starts[:-1]] = False
+    of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    pairs, times = _counted(of[inner].astype(np.uint64) << np.uint64(32) | at[inner].astype(np.uint64))
+    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), times
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Compressed, the first bytes of all numbers before their second ones."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T if len(x) else x
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    each = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * each, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(each, n).T).reshape(-1).view(kind)
+
+
 GROUP, LOOKUP = 0, 1
 
 
@@ -190,20 +246,23 @@ def score(docs: DataFrame, model: LogFilter, learnt, id_col: str = "doc_id", tex
     the base score's exact counts come from the same rows. Ids may be null or repeat; no other column
     is read. An empty table gives an empty result.
 
+    If the filter is a table, the segments also give the levels of the group's distinct words and bigrams,
+    and the group keeps its tokens in order until then.
+
     A group of texts (some MB) asks each segment for the counts of its distinct tokens, then its texts
     are scored where the answers meet its token lists; both are bounded by the group, not by a token.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType
-    held = spark.sparkContext.broadcast(model)
-    bits, tokens, types = segment_bits(docs), model.tokens, model.types
+    apart = model.segments is not None
+    held = None if apart else spark.sparkContext.broadcast(model)
+    bits, tokens, types = model.bits if apart else segment_bits(docs), model.tokens, model.types
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for table in grouped_batches(batches, text):
             ids, starts, hashes = _tokens(texts(table.column(1).combine_chunks()))
-            logs = log_probabilities(held.value, ids, starts, hashes)
             train_row = table.column(2).to_numpy()
             order = np.argsort(hashes)
             place = np.empty(len(order), np.int64)
@@ -213,55 +272,90 @@ def score(docs: DataFrame, model: LogFilter, learnt, id_col: str = "doc_id", tex
             inner[starts[:-1]] = False
             of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             n = np.bincount(at[inner & train_row[of]], minlength=len(order)).astype(np.uint32)
-            pairs, times = _counted(of[inner].astype(np.uint64) << np.uint64(32) | at[inner].astype(np.uint64))
-            doc, token = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            sizes = np.bincount(doc, minlength=len(starts) - 1).astype(np.uint32)
-            gaps = np.diff(token, prepend=0).astype(np.int32)
-            packed = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (sizes, gaps, times.astype(np.uint32))]
-            keys = hashes[order]
-            ends = cut_segments(keys, bits)
-            rows = [(LOOKUP, number, s, len(keys[a:b]), keys[a:b].tobytes(), n[a:b].tobytes(), b"") for s, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
-            rows.append((GROUP, number, -1, len(pairs), *packed))
+            keys, grams = hashes[order], np.zeros(0, np.uint64)
+            if apart:
+                logs = np.zeros(len(starts) - 1)
+                grams = np.unique(_bigrams(hashes, ids, starts)[0])
+                often = np.argsort(-np.bincount(ids, minlength=len(hashes)), kind="stable")  # small numbers for frequent words
+                rank = np.empty(len(often), np.uint32)
+                rank[often] = np.arange(len(often))
+                total, packed = len(ids), (_pack(np.diff(starts).astype(np.uint32)), _pack(rank[ids]), hashes[often].tobytes())
+            else:
+                logs = log_probabilities(held.value, ids, starts, hashes)
+                doc, token, times = _bag(at, starts)
+                sizes = np.bincount(doc, minlength=len(starts) - 1).astype(np.uint32)
+                total, packed = len(doc), [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (sizes, np.diff(token, prepend=0).astype(np.int32), times.astype(np.uint32))]
+            ends, gram_ends, low = cut_segments(keys, bits), cut_segments(grams, bits), low_bits(grams, bits)
+            rows = []
+            for s in range(1 << bits):
+                a, b, p, q = ends[s], ends[s + 1], gram_ends[s], gram_ends[s + 1]
+                if b > a or q > p:
+                    rows.append((LOOKUP, number, s, b - a, q - p, keys[a:b].tobytes(), n[a:b].tobytes(), _pack(np.diff(low[p:q], prepend=np.uint32(0)))))
+            rows.append((GROUP, number, -1, total, 0, *packed))
             columns = list(zip(*rows))
             blobs = [pa.array([None] * (len(rows) - 1) + [x], t) for x, t in ((table.column(0).to_pylist(), pa.list_(table.column(0).type)), (logs.tolist(), pa.list_(pa.float64())), ((~train_row).tolist(), pa.list_(pa.bool_())))]
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds)), *blobs], names=["kind", "group", "segment", "n", "a", "b", "c", "ids", "logs", "held"])
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds)), *blobs], names=["kind", "group", "segment", "n", "m", "a", "b", "c", "ids", "logs", "held"])
             number += 1
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, list] = {}
+        filters: dict[int, bytes] = {}
         for batch in batches:
-            for s, group, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                asked.setdefault(s, []).append((group, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)))
+            for s, group, m, a, b, c, segment in zip(*(c.to_pylist() for c in batch.columns)):
+                if segment is not None:
+                    filters[s] = segment
+                else:
+                    asked.setdefault(s, []).append((group, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), m, c))
         for s, rows in asked.items():
-            keys, inverse = np.unique(np.concatenate([k for _, k, _ in rows]), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate([n for _, _, n in rows])).astype(np.int64)
-            cuts = np.cumsum([0, *(len(k) for _, k, _ in rows)])
+            keys, inverse = np.unique(np.concatenate([k for _, k, *_ in rows]), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([n for _, _, n, *_ in rows]), len(keys)).astype(np.int64)
+            cuts = np.cumsum([0, *(len(k) for _, k, *_ in rows)])
             got = [pa.compress(total[inverse[a:b]].tobytes(), codec="zstd", asbytes=True) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([LOOKUP] * len(rows), pa.int32()), pa.array([g for g, _, _ in rows], pa.int64()), pa.array([s] * len(rows), pa.int32()), pa.array([len(k) for _, k, _ in rows], pa.int64()), pa.array(got, pa.binary())], names=["kind", "group", "segment", "n", "a"])
+            levels = [(b"", b"")] * len(rows)
+            if apart:
+                array = np.frombuffer(filters.pop(s, bytes(8)), np.uint8)
+                known = probe(array, low_bits(keys, bits), len(array) * 8).astype(np.uint8)
+                grams = (np.cumsum(_unpack(c, m, np.uint32), dtype=np.uint32) for *_, m, c in rows)
+                levels = [(_pack(known[inverse[a:b]]), _pack(probe(array, g, len(array) * 8).astype(np.uint8))) for a, b, g in zip(cuts, cuts[1:], grams)]
+            words, pairs = zip(*levels)
+            yield pa.RecordBatch.from_arrays([pa.array([LOOKUP] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([s] * len(rows), pa.int32()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array(got, pa.binary()), pa.array(words, pa.binary()), pa.array(pairs, pa.binary())], names=["kind", "group", "segment", "n", "m", "a", "b", "c"])
 
     def solve(table: pa.Table) -> pa.Table:
-        rows = table.select(["kind", "segment", "n", "a", "b", "c"]).to_pylist()
+        rows = table.select(["kind", "segment", "n", "m", "a", "b", "c"]).to_pylist()
         at = next(k for k, r in enumerate(rows) if r["kind"] == GROUP)
         replies = sorted((r for r in rows if r["kind"] == LOOKUP), key=lambda r: r["segment"])
         counts = np.concatenate([np.frombuffer(pa.decompress(r["a"], r["n"] * 8, codec="zstd", asbytes=True), np.int64) for r in replies])
         ids = table.column("ids").combine_chunks()[at].values
-        total = rows[at]["n"]
-        unpack = lambda c, n, t: np.frombuffer(pa.decompress(rows[at][c], n * 4, codec="zstd", asbytes=True), t)
-        sizes = unpack("a", len(ids), np.uint32)
-        token, times = np.cumsum(unpack("b", total, np.int32), dtype=np.int64), unpack("c", total, np.uint32).astype(np.int64)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
+        logs, total = table.column("logs").combine_chunks()[at].values, rows[at]["n"]
+        if apart:
+            starts = np.concatenate([[0], np.cumsum(_unpack(rows[at]["a"], len(ids), np.uint32), dtype=np.int64)])
+            words, hashes = _unpack(rows[at]["b"], total, np.uint32), np.frombuffer(rows[at]["c"], np.uint64)
+            order = np.argsort(hashes)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            words = place[words]
+            levels = [np.concatenate([_unpack(r[c], r[n], np.uint8) for r in replies]) for c, n in (("b", "n"), ("c", "m"))]
+            grams, inner = _bigrams(hashes[order], words, starts)
+            logs = pa.array(_logs(levels[1][np.unique(grams, return_inverse=True)[1]], levels[0], tokens, types, words, starts, inner))
+            doc, token, times = _bag(words, starts)
+        else:
+            unpack = lambda c, n, t: np.frombuffer(pa.decompress(rows[at][c], n * 4, codec="zstd", asbytes=True), t)
+            sizes = unpack("a", len(ids), np.uint32)
+            token, times = np.cumsum(unpack("b", total, np.int32), dtype=np.int64), unpack("c", total, np.uint32).astype(np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
         c = counts[token]
-        n = np.bincount(doc, times, len(sizes)).astype(np.int64)
-        known = np.bincount(doc, times * (c > 0), len(sizes)).astype(np.int64)
-        base = np.bincount(doc, times * np.log10(c + 0.1), len(sizes)) - n * math.log10(tokens + 0.1 * (types + 1))
-        logs = table.column("logs").combine_chunks()[at].values
+        n = np.bincount(doc, times, len(ids)).astype(np.int64)
+        known = np.bincount(doc, times * (c > 0), len(ids)).astype(np.int64)
+        base = np.bincount(doc, times * np.log10(c + 0.1), len(ids)) - n * math.log10(tokens + 0.1 * (types + 1))
         return pa.table({"id": ids, "held_out": table.column("held").combine_chunks()[at].values, "n_tokens": pa.array(n), "n_known": pa.array(known), "base_score": pa.array(base), "score": logs})
 
-    asked = docs.select(id_col, text, learnt.alias("__learnt")).mapInArrow(tidy(ask), f"kind int, group long, segment int, n long, a binary, b binary, c binary, ids array<{kind.simpleString()}>, logs array<double>, held array<boolean>")
+    asked = docs.select(id_col, text, learnt.alias("__learnt")).mapInArrow(tidy(ask), f"kind int, group long, segment int, n long, m long, a binary, b binary, c binary, ids array<{kind.simpleString()}>, logs array<double>, held array<boolean>")
     asked = materialize(asked, "lm-groups")
-    lookups = asked.filter(F.col("kind") == LOOKUP).select("segment", "group", "a", "b").repartition(partitions(spark), "segment")
-    replies = lookups.mapInArrow(tidy(answer), "kind int, group long, segment int, n long, a binary")
+    lookups = asked.filter(F.col("kind") == LOOKUP).select("segment", "group", "m", "a", "b", "c", F.lit(None).cast("binary").alias("bits"))
+    if apart:
+        lookups = lookups.unionByName(model.segments, allowMissingColumns=True)
+    replies = lookups.repartition(partitions(spark), "segment").mapInArrow(tidy(answer), "kind int, group long, segment int, n long, m long, a binary, b binary, c binary")
     met = asked.filter(F.col("kind") == GROUP).unionByName(replies, allowMissingColumns=True)
     out = met.groupBy("group").applyInArrow(solve, f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
