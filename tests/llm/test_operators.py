@@ -194,6 +194,15 @@ def test_decontamination(spark, block):
         assert sum(len(brute.WORD.findall(data[s.start : s.stop].lower().decode())) for s in r.spans) == r.n_hit
 
 
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_decontamination_keeps_rows_of_one_id(spark, block):
+    items = [(k, " ".join(words(1000 + k, 12, 500))) for k in range(4)]
+    rows = [(7, f"{items[0][1]} x y"), (7, f"x y {items[1][1]}"), (7, f"x y {items[1][1]}"), (None, items[2][1]), (None, items[3][1]), (None, " ".join("abcdefghijkl"))]
+    got = decontaminate.hits(table(spark, rows), table(spark, items, "item_id long, text string"), block_bytes=block)
+    want = [(7, 14, 12, ["0"]), (7, 14, 12, ["1"]), (7, 14, 12, ["1"]), (None, 12, 12, ["2"]), (None, 12, 12, ["3"]), (None, 12, 0, [])]
+    same([(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got.collect()], want)
+
+
 def test_clean_cuts_only_hits(spark):
     item = "one two three four five six seven eight nine ten"
     docs = table(spark, [(1, f"Before, {item.title()}; after"), (2, "harmless"), (3, None)])

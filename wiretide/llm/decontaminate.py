@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, small_batches, texts, tidy
+from .common import discard, materialize, read_table, small_batches, texts, tidy
 
 #: Words of a window.
 WINDOW = 10
@@ -97,16 +97,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
 
     items: sorted ids (as strings) of the benchmark items with a window in the text. spans: byte
     ranges of the original UTF-8 text that the hit words take. Null texts have no words. Items of no
-    words or null id match nothing. Repeated documents are rows of their own; if the benchmark takes
-    more than one block, rows equal in id and text are told apart by nothing and are given once each.
+    words or null id match nothing. Repeated documents are rows of their own: if the benchmark takes
+    more than one block, rows are numbered once in the shared folder and blocks are merged by the number.
     Empty tables: an empty benchmark leaves every document clean.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>, words array<struct<start:long,stop:long>>"
+    schema = lambda more: f"`{id_col}` {kind}, {''.join(f'{c} long, ' for c in more)}n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>, words array<struct<start:long,stop:long>>"
 
-    def scanned(block: list[tuple]) -> DataFrame:
+    def scanned(block: list[tuple], rows: DataFrame, more: tuple = ()) -> DataFrame:
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,27 +122,29 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
                 pair = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
                 pairs = lambda x: pa.array([[{"start": a, "stop": b} for a, b in r] for r in x], pair)
                 columns = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.string())), pairs(columns[3]), pairs(columns[4])], names=[id_col, "n_words", "n_hit", "items", "spans", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.string())), pairs(columns[3]), pairs(columns[4])], names=[id_col, *more, "n_words", "n_hit", "items", "spans", "words"])
 
-        return docs.select(id_col, text).mapInArrow(tidy(run), schema)
+        return rows.select(id_col, text, *more).mapInArrow(tidy(run), schema(more))
 
     blocks = _blocks(benchmark, item_col, item_text, block_bytes)
     first = next(blocks)
     more = next(blocks, None)
     if more is None:
-        return scanned(first).drop("words")
-    parts = [materialize(scanned(first), "scan-block"), materialize(scanned(more), "scan-block")]
-    parts += [materialize(scanned(b), "scan-block") for b in blocks]
-    return _joined(parts, docs, id_col, text)
+        return scanned(first, docs).drop("words")
+    numbered = materialize(docs.select(id_col, text, F.monotonically_increasing_id().alias("__row")), "scan-rows")
+    parts = [materialize(scanned(b, numbered, ("__row",)), "scan-block") for b in (first, more)]
+    parts += [materialize(scanned(b, numbered, ("__row",)), "scan-block") for b in blocks]
+    discard(numbered)
+    return _joined(parts, id_col)
 
 
-def _joined(parts: list[DataFrame], docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Hits of several blocks put together by document."""
+def _joined(parts: list[DataFrame], id_col: str) -> DataFrame:
+    """Hits of several blocks put together by the number of the row."""
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     merged = lambda c: _merge_spans(F.sort_array(F.flatten(F.collect_list(c))))
-    out = every.groupBy(id_col, "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged("spans").alias("spans"), merged("words").alias("__w"))
+    out = every.groupBy("__row").agg(F.first(id_col).alias(id_col), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged("spans").alias("spans"), merged("words").alias("__w"))
     n_hit = F.aggregate("__w", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
     return out.select(id_col, "n_words", n_hit.alias("n_hit"), "items", "spans")
 
