@@ -226,3 +226,10 @@ def test_folding_keeps_letters_that_do_not_decompose(spark):
     assert [r.f for r in T.with_folded(frame, "t", "f").collect() if r.t == "ŁÓDŹ"] == ["łodz"]
     files = spark.createDataFrame([("r", "It is fully compliant, SL 3, 90 / 100")], "path string, content string")
     assert {r.rule_id for r in textscan.forbidden_phrases(files).collect()} == {"compliant-en", "security-level-acronym", "numeric-indicator"}
+
+
+def test_phrases_near_each_other_count_apart(spark):
+    dense = "compliance and compliance, compliance"
+    files = spark.createDataFrame([("a", dense), ("b", "ł" * 40 + " compliance " + "x" * 40), ("c", "none"), ("d", None)], "path string, content string")
+    got = sorted((r.path, r.rule_id, r.context) for r in textscan.forbidden_phrases(files).collect())
+    assert got == [("a", "compliance-en", dense)] * 3 + [("b", "compliance-en", "ł" * 29 + " compliance " + "x" * 29)]

@@ -180,16 +180,34 @@ def scan_files(files: DataFrame, corpus: DataFrame | None = None, allow: AllowLi
 
 
 def forbidden_phrases(files: DataFrame, patterns: dict[str, str] = FORBIDDEN) -> DataFrame:
-    """(path, rule_id, context): each match of a forbidden phrase with a few characters around it."""
+    """(path, rule_id, context): each match of a forbidden phrase with a few characters around it.
+
+    Phrases are found alone, so that the context of one never takes in the next.
+    """
     folded = with_folded(files, "content", "folded").select("path", "folded")
     out = None
     for name, pattern in patterns.items():
-        around = "(?s).{0,%d}(?:%s).{0,%d}" % (CONTEXT, pattern, CONTEXT)
-        hits = folded.select("path", F.lit(name).alias("rule_id"), F.explode(F.regexp_extract_all("folded", F.lit(around), F.lit(0))).alias("context"))
+        found = folded.select("path", "folded", F.explode(_places(F.col("folded"), pattern)).alias("at"))
+        first = F.greatest(F.col("at.start") - CONTEXT, F.lit(0))
+        context = F.substring(F.col("folded"), first + 1, F.col("at.stop") + CONTEXT - first)
+        hits = found.select("path", F.lit(name).alias("rule_id"), context.alias("context"))
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
+def _places(text: Column, pattern: str) -> Column:
+    """Where the matches of a pattern start and stop, from what lies between them and their own lengths."""
+    sizes = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+
+    def add(done, x):
+        start = done["at"] + x["gap"]
+        return F.struct((start + x["hit"]).alias("at"), F.concat(done["places"], F.array(F.struct(start.alias("start"), (start + x["hit"]).alias("stop")))).alias("places"))
+
+    last = F.aggregate(F.filter(sizes, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("places")), add)
+    return last["places"]
+
+
 def substring_scan(text_lines: DataFrame, patterns: list[str]) -> DataFrame:
     """(path, line, pattern): lines that contain a pattern, whatever the case."""
     terms = F.array(*(F.lit(p) for p in patterns))
