@@ -213,6 +213,16 @@ def test_clean_cuts_only_hits(spark):
     assert decontaminate.hits(table(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_items_without_id_are_hits(spark, block):
+    items = [(None, " ".join(words(k, 12, 500))) for k in range(3)] + [(4, " ".join(words(4, 12, 500)))]
+    docs = table(spark, [(1, f"Before, {items[0][1]}; after"), (2, f"{items[1][1]} and {items[3][1]}"), (3, "harmless")])
+    bench = table(spark, items, "item_id long, text string")
+    got = decontaminate.hits(docs, bench, block_bytes=block).collect()
+    same([(r.doc_id, r.n_hit, list(r["items"])) for r in got], [(1, 12, []), (2, 24, ["4"]), (3, 0, [])])
+    assert {r.doc_id: r.text for r in decontaminate.clean(docs, bench).collect()} == {1: "Before, ; after", 2: " and ", 3: "harmless"}
+
+
 # -- near duplicates
 
 

@@ -88,8 +88,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text: str, block_bytes: int) ->
     total = items.agg(F.sum("size")).first()[0] or 0
     count = max(1, -(-total * 2 // block_bytes)) if total > block_bytes else 1
     for k in range(count):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == k) if count > 1 else items
-        yield [(r.item, bytes(r.text)) for r in part.select("item", "text").collect() if r.item is not None]
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k) if count > 1 else items
+        yield [(r.item, bytes(r.text)) for r in part.select("item", "text").collect()]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -97,7 +97,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
 
     items: sorted ids (as strings) of the benchmark items with a window in the text. spans: byte
     ranges of the original UTF-8 text that the hit words take. Null texts have no words. Items of no
-    words or null id match nothing. Repeated documents are rows of their own: if the benchmark takes
+    words match nothing; those of null id give hits and spans, but no id in items. Repeated documents are rows of their own: if the benchmark takes
     more than one block, rows are numbered once in the shared folder and blocks are merged by the number.
     Empty tables: an empty benchmark leaves every document clean.
     """
@@ -118,7 +118,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
                     n, mask, numbers = scan(machine, value)
                     spans = original_spans(value, mask) if numbers else []
                     run_edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).reshape(-1, 2).tolist() if numbers else []
-                    out.append((n, int(mask.sum()), sorted({items[k][0] for k in numbers}), spans, run_edges))
+                    out.append((n, int(mask.sum()), sorted({items[k][0] for k in numbers} - {None}), spans, run_edges))
                 pair = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
                 pairs = lambda x: pa.array([[{"start": a, "stop": b} for a, b in r] for r in x], pair)
                 columns = list(zip(*out)) if out else [[]] * 5
