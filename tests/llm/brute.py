@@ -52,6 +52,37 @@ def lm(rows):
     return [(i, held(i), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / scale) for w in ws)) for i, ws in docs]
 
 
+def lm_scores(rows, learnt, order, base=1.5, backoff=4.0):
+    """Scores from exact counts, each replaced by the mean of the counts of its level."""
+    docs = [(i, [b" ", *(t or "").encode().lower().split(), b" "]) for i, t in rows]
+    count = collections.Counter()
+    for i, w in docs:
+        if learnt(i):
+            count.update(tuple(w[a - n + 1 : a + 1]) for a in range(1, len(w)) for n in range(1, order + 1) if a - n + 1 >= 0)
+
+    def level(c):
+        if not c:
+            return 0.0
+        q = math.floor(math.log(c) / math.log(base) + 1e-9)
+        own = [k for k in range(math.ceil(base**q - 1e-9), math.ceil(base ** (q + 1) - 1e-9))]
+        return (own[0] + own[-1]) / 2
+
+    total = sum(c for g, c in count.items() if len(g) == 1)
+    scale = total + 0.1 * (sum(len(g) == 1 for g in count) + 1)
+    out = []
+    for i, w in docs:
+        logs = 0.0
+        for a in range(1, len(w)):
+            p = (level(count[w[a],]) + 0.1) / scale
+            for n in range(2, min(order, a + 1) + 1):
+                own, before = level(count[tuple(w[a - n + 1 : a + 1])]), level(count[tuple(w[a - n + 1 : a])])
+                before = max(before, float(own > 0))
+                p = (min(own, before) + backoff * p) / (before + backoff)
+            logs += math.log10(p)
+        out.append((i, len(w) - 1, logs))
+    return out
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

@@ -140,34 +140,39 @@ def test_language_model(spark, tmp_path):
     assert held and all(r.score < 0 for r in got)
 
 
-def test_log_filter_counts_never_fall_short(spark):
-    rows = [(k, "often often rare%d" % k) for k in range(50)]
-    model = language_model.train(table(spark, rows), filter_bits=1 << 20)
+@pytest.mark.parametrize("order", [2, 4])
+def test_language_model_scores_as_exact_counts_do(spark, order):
+    rows = [(k, " ".join(words(k % 70, 40, 25))) for k in range(120)] + [(None, "W1 w2"), (200, None), (201, ""), (201, "")]
+    learnt = F.col("doc_id") % 10 != 0
+    docs = table(spark, rows).withColumns({"id": F.lit(1), "learnt": F.lit("x"), "number": F.lit(2)})
+    got = [(r.doc_id, r.n_tokens, r.score) for r in language_model.score(docs, learnt, order=order, room=1 << 12).collect()]
+    want = brute.lm_scores(rows, lambda i: i is not None and i % 10 != 0, order)
+    key = lambda r: (str(r[0]), r[1], r[2])
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-6)
+
+
+def test_texts_that_occur_twice_score_higher(spark):
+    rows = [(k, " ".join(words(k if k < 100 else k - 20, 60, 400))) for k in range(120)]
+    got = {r.doc_id: r.score / r.n_tokens for r in language_model.score(table(spark, rows), F.lit(True)).collect()}
+    assert min(got[k] for k in range(80, 120)) > max(got[k] for k in range(80))
+
+
+def test_log_filter_counts_never_fall_short():
+    low, counts = np.arange(3000, dtype=np.uint32) * 7, 1 + np.arange(3000) % 50
+    levels = language_model.probe(language_model.filled(low, counts), low)
+    want = language_model.level_of(counts)
+    assert (levels >= want).all() and (levels == want).mean() > 0.98
+    other = language_model.probe(language_model.filled(low, counts), low + np.uint32(1))
+    assert (other == 0).mean() > 0.98 and language_model.filled(low[:0], counts[:0]).sum() == 0
     values = language_model.level_values()
-    hashes = common.word_hashes([b"often", b"rare1", b"never", language_model.END])
-    levels = model.levels(hashes)
-    assert levels[0] >= language_model.level_of(np.array([100]))[0] and levels[1] >= 1 and levels[3] >= language_model.level_of(np.array([50]))[0]
-    assert values[1] == 1 and 90 < values[language_model.level_of(np.array([100]))[0]] < 140
-    assert (model.tokens, model.types) == (200, 52)
+    assert values[1:4].tolist() == [1, 2, 3] and 90 < values[language_model.level_of(np.array([100]))[0]] < 140
 
 
 def test_language_model_of_nothing(spark):
-    empty = table(spark, [])
-    model = language_model.train(empty, filter_bits=1 << 20)
-    assert language_model.score(empty, model, F.lit(True)).count() == 0
-
-
-def test_language_model_larger_than_a_broadcast(spark):
-    rows = [(k, " ".join(words(k, 40, 3000))) for k in range(120)] + [(None, "W1 w2"), (200, None), (201, ""), (201, "")]
-    docs, learnt = table(spark, rows), F.col("doc_id") % 10 != 0
-    learnt = F.coalesce(learnt, F.lit(False))
-    small, large = (language_model.train(docs.filter(learnt), filter_bits=1 << b) for b in (13, 26))
-    assert (small.tokens, small.types) == (large.tokens, large.types) and large.fill < 0.01
-    both = [sorted(map(tuple, language_model.score(docs, m, learnt).collect()), key=lambda r: (str(r[0]), r[2])) for m in (small, large)]
-    assert [r[:5] for r in both[0]] == [r[:5] for r in both[1]] and len(both[0]) == len(rows)
-    assert [r[5] for r in both[0]] == pytest.approx([r[5] for r in both[1]], rel=1e-9)
-    apart = [abs(a[6] - b[6]) / max(1, abs(b[6])) for a, b in zip(*both)]
-    assert sum(x < 1e-9 for x in apart) > len(rows) * 0.6 and max(apart) < 0.1
+    assert language_model.score(table(spark, []), F.lit(True)).count() == 0
+    alone = language_model.score(table(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
+    assert {(r.doc_id, r.train_tokens, r.n_known) for r in alone} == {(1, 0, 0), (2, 0, 0)} and all(r.held_out for r in alone)
 
 
 # -- decontamination
