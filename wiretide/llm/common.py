@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -65,7 +66,9 @@ def discard(df: DataFrame) -> None:
 def free_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps: Spark removes them when the driver's garbage is collected."""
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # plans that Python let go of are garbage after the first
+        time.sleep(0.3)
+        spark._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -233,12 +236,33 @@ def low_bits(keys: np.ndarray, segment_bits: int) -> np.ndarray:
     return ((keys >> np.uint64(32 - segment_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def per_segment(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """solve(segment, lists of the other columns' values) for each segment of rows, one segment at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for s, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != now and held:
+                    yield solve(now, list(zip(*held)))
+                    held = []
+                now = s
+                held.append(rest)
+        if held:
+            yield solve(now, list(zip(*held)))
+
+    return rows.repartition(partitions(rows.sparkSession), "segment").sortWithinPartitions("segment").mapInArrow(tidy(run), schema)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of the size of a table, 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def segment_bits(df: DataFrame, least: int = 8, most: int = 16, each: int = 64 << 20) -> int:
     """Leading hash bits that name a segment, so that a segment stands for a bounded part of the input.
 
     The optimiser's estimate of the input's size decides; where it has none, the least.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:
-        return least
-    return max(least, min(most, (size // each).bit_length()))
+    return max(least, min(most, (input_bytes(df) // each).bit_length()))

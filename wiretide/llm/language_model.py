@@ -6,21 +6,23 @@ until one is missing, and counts of longer n-grams are smoothed with those of sh
 grows with the corpus, so it is never one object: leading hash bits name its segments, each sized by
 its own entries, and the n-grams of a group of texts visit the segments by one exchange, in which the
 segment is first filled and then probed. Words are looked up exactly on the way, for the base score.
+The answers meet the texts again by the number of their group.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom_positions, cut_segments, free_shuffles, grouped_batches, has_bits, intern_words, materialize, mix64, partitions, read_table, segment_bits, set_bits, small_batches, texts, tidy, word_hashes
+from .common import bloom_positions, cut_segments, free_shuffles, grouped_batches, has_bits, intern_words, materialize, mix64, per_segment, read_table, segment_bits, small_batches, texts, tidy, word_hashes
 from .labelled import remainder
 
 #: Words of the longest n-gram.
@@ -28,7 +30,7 @@ ORDER = 4
 #: Bits that a segment of the filter has for each of its entries at least, and probes for an entry.
 ROOM, PROBES = 16, 3
 #: Input that a segment stands for, and bits by which its n-grams are told apart.
-SEGMENT_BYTES, LOW_BITS = 4 << 20, 30
+SEGMENT_BYTES, LOW_BITS = 4 << 20, 28
 #: Counts from BASE**(q-1) on have level q.
 BASE, LEVELS = 1.5, 64
 #: Weight of the estimate of the next shorter n-gram beside the counts of a context.
@@ -37,9 +39,11 @@ BACKOFF = 4.0
 FOLDS = 10
 #: Stands for the end of a text, and before its first word for the start; no word has a space.
 END = b" "
-#: Kinds of rows that travel: a group of texts, its question to a segment or the answer, a segment's totals.
-GROUP, LOOKUP, TOTAL = range(3)
-PACKED = "kind int, route long, number long, n long, m long, a binary, b binary, c binary, tokens long, types long"
+#: What a group asks of a segment, what it is answered, and what the texts of the group are.
+ASK = "segment long, number long, mark long, n long, m long, a binary, b binary"
+ANSWER = ASK + ", c binary, tokens long, types long"
+#: Parts of a plan that give the same rows in the same order each time they run.
+REPEATABLE = re.compile(r"(\*\(\d+\) )?(Project|Filter|ColumnarToRow|FileScan|Scan|LocalTableScan|InputAdapter|WholeStageCodegen)\b")
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -65,11 +69,11 @@ def filled(low: np.ndarray, counts: np.ndarray, room: int = ROOM) -> np.ndarray:
     """A segment of the filter: the bits of the stored keys that have a count."""
     low, level = low[counts > 0], level_of(counts[counts > 0])
     bits = 1 << max(10, (int(level.sum()) * room - 1).bit_length())
-    array = np.zeros(bits // 8, np.uint8)
+    flags = np.zeros(bits, np.bool_)
     for q in range(1, int(level.max(initial=0)) + 1):
         for at in bloom_positions(_at_level(low[level >= q], q), bits, PROBES):
-            set_bits(array, at)
-    return array
+            flags[at] = True
+    return np.packbits(flags, bitorder="little")
 
 
 def probe(array: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -150,86 +154,72 @@ def _low(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys >> np.uint64(64 - bits - LOW_BITS)) & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32)
 
 
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    names = [c.split()[0] for c in PACKED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], names=names)
 
 
-def _asked(batches: Iterator[pa.RecordBatch], bits: int, order: int) -> Iterator[pa.RecordBatch]:
-    """For each group of texts: its tokens, and for each segment its distinct words and n-grams.
-
-    A question has each key once, with its count in the rows that are learnt from, so a frequent
-    n-gram travels once a group. Words go as whole hashes, n-grams as differences of short ones.
-    """
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(number, table, tokens, mark) of each group of texts; the mark tells whether a group is the same again."""
     number = TaskContext.get().partitionId() << 33
     for table in grouped_batches(batches, "text"):
         tokens = Tokens.read(texts(table.column("text").combine_chunks()))
+        yield number, table, tokens, zlib.crc32(tokens.hashes.tobytes(), zlib.crc32(tokens.ids.tobytes(), zlib.crc32(tokens.starts.tobytes())))
+        number += 1
+
+
+def _asked(batches: Iterator[pa.RecordBatch], bits: int, order: int) -> Iterator[pa.RecordBatch]:
+    """For each group of texts and each segment the distinct words and n-grams, with their counts in learnt rows.
+
+    A frequent n-gram travels once a group. Words go as whole hashes, n-grams as differences of short ones.
+    """
+    for number, table, tokens, mark in _groups(batches):
         learnt = table.column("learnt").to_numpy()[tokens.of]
-        often = np.argsort(-np.bincount(tokens.ids, minlength=len(tokens.hashes)), kind="stable")  # small numbers for frequent words
-        rank = np.empty(len(often), np.uint32)
-        rank[often] = np.arange(len(often))
         by = np.argsort(tokens.hashes)
         words, times = tokens.hashes[by], np.bincount(tokens.ids[learnt & (tokens.nth > 0)], minlength=len(by))[by].astype(np.uint32)
         grams, inside = tokens.grams(order)
         keys, which = np.unique(grams[inside], return_inverse=True)
         counts = np.bincount(which[np.broadcast_to(learnt, inside.shape)[inside]], minlength=len(keys)).astype(np.uint32)
         ends, word_ends, low = cut_segments(keys, bits), cut_segments(words, bits), _low(keys, bits)
-        packed = _pack(np.concatenate([np.diff(tokens.starts).astype(np.uint32), rank[tokens.ids]]))
-        rows = [(GROUP, -1 - number, number, len(tokens.ids), table.num_rows, packed, tokens.hashes[often].tobytes(), b"", None, None)]
+        rows = []
         for s in range(1 << bits):
             a, b, p, q = ends[s], ends[s + 1], word_ends[s], word_ends[s + 1]
             if b > a or q > p:
                 question = np.concatenate([np.diff(low[a:b], prepend=np.uint32(0)), counts[a:b], times[p:q]])
-                rows.append((LOOKUP, s, number, b - a, q - p, _pack(question), words[p:q].tobytes(), b"", None, None))
-        yield _table(rows)
-        number += 1
+                rows.append((s, number, mark, b - a, q - p, _pack(question), _pack(np.diff(words[p:q], prepend=np.uint64(0)))))
+        yield _batch(rows, ASK)
 
 
-def _answered(batches: Iterator[pa.RecordBatch], bits: int, room: int) -> Iterator[pa.RecordBatch]:
-    """Fill each segment with all that was asked of it, then probe it for every group. Rows come by segment."""
-    held, segment = [], None
-    for batch in batches:
-        groups = batch.filter(pc.equal(batch.column("kind"), GROUP))
-        if groups.num_rows:
-            yield groups
-        for s, group, n, m, a, b in zip(*(c.to_pylist() for c in batch.filter(pc.equal(batch.column("kind"), LOOKUP)).select(["route", "number", "n", "m", "a", "b"]).columns)):
-            if s != segment and held:
-                yield _segment(segment, held, bits, room)
-                held = []
-            segment = s
-            held.append((group, n, m, a, b))
-    if held:
-        yield _segment(segment, held, bits, room)
-
-
-def _segment(s: int, asked: list[tuple], bits: int, room: int) -> pa.RecordBatch:
-    questions = [_unpack(a, 2 * n + m, np.uint32) for _, n, m, a, _ in asked]
-    low = np.concatenate([np.cumsum(q[:n], dtype=np.uint32) for q, (_, n, *_) in zip(questions, asked)])
+def _segment(s: int, columns: list, bits: int, room: int) -> pa.RecordBatch:
+    """Fill a segment with all that was asked of it, then probe it for every group."""
+    numbers, marks, ns, ms, a, b = columns
+    questions = [_unpack(x, 2 * n + m, np.uint32) for x, n, m in zip(a, ns, ms)]
+    low = np.concatenate([np.cumsum(q[:n], dtype=np.uint32) for q, n in zip(questions, ns)])
     keys, which = np.unique(low, return_inverse=True)
-    counts = np.bincount(which, np.concatenate([q[n : 2 * n] for q, (_, n, *_) in zip(questions, asked)]), len(keys))
-    words, word_which = np.unique(np.concatenate([np.frombuffer(b, np.uint64) for *_, b in asked]), return_inverse=True)
-    times = np.bincount(word_which, np.concatenate([q[2 * n :] for q, (_, n, *_) in zip(questions, asked)]), len(words)).astype(np.int64)
+    counts = np.bincount(which, np.concatenate([q[n : 2 * n] for q, n in zip(questions, ns)]), len(keys))
+    words, word_which = np.unique(np.concatenate([np.cumsum(_unpack(x, m, np.uint64), dtype=np.uint64) for x, m in zip(b, ms)]), return_inverse=True)
+    times = np.bincount(word_which, np.concatenate([q[2 * n :] for q, n in zip(questions, ns)]), len(words)).astype(np.int64)
     # Words and n-grams share the segment; a word's key is moved out of the range of the n-grams.
     of_words = _low(words, bits) | np.uint32(1 << LOW_BITS)
     array = filled(np.concatenate([keys, of_words]), np.concatenate([counts, times]), room)
     level, word_level = probe(array, keys)[which], probe(array, of_words)[word_which]
     found, rows, at, p = times[word_which], [], 0, 0
-    for group, n, m, *_ in asked:
-        rows.append((LOOKUP, s, group, n, m, _pack(level[at : at + n]), _pack(word_level[p : p + m]), _pack(found[p : p + m]), None, None))
+    for number, mark, n, m in zip(numbers, marks, ns, ms):
+        rows.append((s, number, mark, n, m, _pack(level[at : at + n]), _pack(word_level[p : p + m]), _pack(found[p : p + m]), 0, 0))
         at, p = at + n, p + m
-    rows.append((TOTAL, s, -1, 0, 0, b"", b"", b"", int(times.sum()), int((times > 0).sum())))
-    return _table(rows)
+    rows[0] = (*rows[0][:-2], int(times.sum()), int((times > 0).sum()))
+    return _batch(rows, ANSWER)
 
 
-def _solved(table: pa.Table, trained: int, types: int, order: int) -> pa.Table:
+def _solved(own: pa.Table, answers: pa.Table, trained: int, types: int, order: int) -> pa.Table:
     """The rows of one group: its tokens meet the answers of all segments."""
-    rows = table.select(["kind", "route", "n", "m", "a", "b", "c"]).to_pylist()
-    group = next(r for r in rows if r["kind"] == GROUP)
-    answers = sorted((r for r in rows if r["kind"] == LOOKUP), key=lambda r: r["route"])
+    group, answers = own.drop_columns(["ids", "held"]).to_pylist()[0], answers.sort_by("segment").to_pylist()
+    if {r["mark"] for r in answers} != {group["mark"]}:
+        raise ValueError("the rows of the table come in another order each time it is read; write it before it is scored")
     every = lambda c, n, kind: np.concatenate([_unpack(r[c], r[n], kind) for r in answers])
-    own = _unpack(group["a"], group["m"] + group["n"], np.uint32)
-    tokens = Tokens(own[group["m"] :], np.concatenate([[0], np.cumsum(own[: group["m"]], dtype=np.int64)]), np.frombuffer(group["b"], np.uint64))
+    packed = _unpack(group["a"], group["m"] + group["n"], np.uint32)
+    tokens = Tokens(packed[group["m"] :], np.concatenate([[0], np.cumsum(packed[: group["m"]], dtype=np.int64)]), np.frombuffer(group["b"], np.uint64))
     grams, inside = tokens.grams(order)
     levels = np.zeros(grams.shape, np.uint8)
     levels[inside] = every("a", "n", np.uint8)[np.unique(grams[inside], return_inverse=True)[1]]
@@ -240,11 +230,16 @@ def _solved(table: pa.Table, trained: int, types: int, order: int) -> pa.Table:
     total = lambda x: np.bincount(tokens.of, np.where(real, x, 0), group["m"])
     n = total(1).astype(np.int64)
     base = total(np.log10(count + 0.1)) - n * math.log10(trained + 0.1 * (types + 1))
-    at = table.column("kind").to_pylist().index(GROUP)
-    ids, held = (table.column(c).combine_chunks()[at].values for c in ("ids", "held"))
+    ids, held = (own.column(c).combine_chunks()[0].values for c in ("ids", "held"))
     return pa.table({"id": ids, "held_out": held, "n_tokens": n, "n_known": total(count > 0).astype(np.int64), "base_score": base, "score": log_probabilities(tokens, words, levels, trained, types)})
 
 
+def repeatable(df: DataFrame) -> bool:
+    """Whether the plan only reads, picks and filters rows, so that each run gives the same order."""
+    lines = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    return all(REPEATABLE.match(line.lstrip(" :+-")) for line in lines if line.strip())
+
+
 def score(docs: DataFrame, learnt: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, room: int = ROOM) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of docs.
 
@@ -255,49 +250,33 @@ def score(docs: DataFrame, learnt: Column, id_col: str = "doc_id", text: str = "
     table without learnt rows gives every token the same probability.
 
     A group holds some MB of texts, a segment what SEGMENT_BYTES of input put there, whatever the size
-    of the whole; no word or n-gram is moved more than once a group, however frequent it is.
+    of the whole; no word or n-gram is moved more than once a group, however frequent it is. The texts
+    are read twice, so a table that is more than read and filtered is written first.
     """
     spark = docs.sparkSession
     small_batches(spark)
     bits = segment_bits(docs, most=20, each=SEGMENT_BYTES)
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(learnt, F.lit(False)).alias("learnt"))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-
-        def seen():
-            for batch in batches:
-                kept.append(batch)
-                yield batch
-
-        for out in _asked(seen(), bits, order):
-            table = pa.Table.from_batches(kept)
-            kept.clear()
-            first = lambda x, t: pa.array([x, *[None] * (out.num_rows - 1)], pa.list_(t))
-            ids, held = table.column("id").to_pylist(), [not x for x in table.column("learnt").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*out.columns, first(ids, table.schema.field("id").type), first(held, pa.bool_())], names=[*out.schema.names, "ids", "held"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blank: dict = {}
-
-        def plain():
-            for batch in batches:
-                blank["schema"] = batch.schema
-                yield batch
-
-        for out in _answered(plain(), bits, room):
-            if out.num_columns < len(blank["schema"]):
-                more = [pa.nulls(out.num_rows, f.type) for f in list(blank["schema"])[out.num_columns :]]
-                out = pa.RecordBatch.from_arrays([*out.columns, *more], names=blank["schema"].names)
-            yield out
-
-    schema = f"{PACKED}, ids array<{kind}>, held array<boolean>"
-    asked = given.mapInArrow(tidy(ask), schema).repartition(partitions(spark), "route").sortWithinPartitions("route")
-    met = materialize(asked.mapInArrow(tidy(answer), schema), "lm-answers")
+    given = given if repeatable(given) else materialize(given, "lm-texts")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, table, tokens, mark in _groups(batches):
+            often = np.argsort(-np.bincount(tokens.ids, minlength=len(tokens.hashes)), kind="stable")  # small numbers for frequent words
+            rank = np.empty(len(often), np.uint32)
+            rank[often] = np.arange(len(often))
+            packed = _pack(np.concatenate([np.diff(tokens.starts).astype(np.uint32), rank[tokens.ids]]))
+            whole = _batch([(number, mark, len(tokens.ids), table.num_rows, packed, tokens.hashes[often].tobytes())], "number long, mark long, n long, m long, a binary, b binary")
+            ids, held = pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)), pa.array([[not x for x in table.column("learnt").to_pylist()]])
+            yield pa.RecordBatch.from_arrays([*whole.columns, ids, held], names=[*whole.schema.names, "ids", "held"])
+
+    asked = given.mapInArrow(tidy(lambda batches: _asked(batches, bits, order)), ASK)
+    answers = materialize(per_segment(asked, lambda s, columns: _segment(s, columns, bits, room), ANSWER), "lm-answers")
     free_shuffles(spark)
-    trained, types = met.filter(F.col("kind") == TOTAL).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    out = met.filter(F.col("kind") != TOTAL).groupBy("number").applyInArrow(lambda t: _solved(t, trained, types, order), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    trained, types = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    groups = given.mapInArrow(tidy(own), f"number long, mark long, n long, m long, a binary, b binary, ids array<{kind}>, held array<boolean>")
+    met = groups.groupBy("number").cogroup(answers.drop("tokens", "types").groupBy("number"))
+    out = met.applyInArrow(lambda a, b: _solved(a, b, trained, types, order), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"), "base_score", "score")
 
 
