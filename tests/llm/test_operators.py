@@ -300,7 +300,7 @@ def test_sharding_is_repeatable(spark):
 # -- substring dedup
 
 
-@pytest.mark.parametrize("most", [40_000, 3])
+@pytest.mark.parametrize("most", [2_000, 3, 0])
 def test_substring_dedup(spark, most):
     r = random.Random(8)
     passages = [words(2000 + k, r.randrange(30, 60), 400) for k in range(12)]
@@ -320,11 +320,38 @@ def test_substring_dedup(spark, most):
 
 def test_substring_dedup_of_nothing_and_with_a_full_filter(spark):
     assert substring_dedup.substring_dedup(table(spark, [])).count() == 0
-    rows = [(k, " ".join(words(k % 7, 50, 900))) for k in range(20)]
+    rows = [(k, " ".join(words(k % 7, 50, 900))) for k in range(20)] + [(30, "long " + " ".join(words(30, 60_000, 900))), (31, "w " * 20_000)]
     got = substring_dedup.substring_dedup(table(spark, rows), filter_bits=1 << 14)
     same(plain(got, "doc_id", "n_words", "n_removed", "kept_sha256"), brute.substrings(rows))
 
 
+def test_a_hot_line_leaves_no_large_group(spark, tmp_path):
+    line = words(1, 20, 10_000)
+    rows = [(k, " ".join(words(10 + k, 40, 10_000) + line + words(5000 + k, 40, 10_000))) for k in range(400)]
+    docs = table(spark, rows)
+    _, hot = substring_dedup.filters(docs, "text", 35, 8, 50, 1 << 22)
+    assert 0 < len(hot) < len(substring_dedup.lengths(35, 8))
+    got = substring_dedup.substring_dedup(docs, most=50)
+    assert got.filter("n_removed > 0").count() == 0
+
+
+def test_hashes_of_ranges_tell_words_apart():
+    docs = [[b"a", b"b", b"c", b"a", b"b", b"d"], [f"x{k}".encode() for k in range(500)]]
+    s = substring_dedup.Suffixes(docs, 35, 8)
+    got = s.range_hash(np.array([0, 3, 1, 0, 3]), np.array([2, 5, 3, 3, 6]))
+    assert got[0] == got[1] and len(set(got.tolist())) == 4
+    a = np.arange(6, 490)
+    assert len(set(s.range_hash(a, a + 3).tolist())) == len(a)
+
+
+def test_deepest_nodes_of_subtrees():
+    bodies = [b"a b c d e x", b"a b c d e y", b"b c d q", b"z"]
+    ids, starts, _ = common.intern_words([x.split() for x in bodies])
+    assert substring_dedup.node_depths(ids, starts, np.array([0, 6, 1, 12, 16])).tolist() == [5, 5, 3, 3, 0]
+    assert substring_dedup.repeats(bodies, np.array([2, 2, 1, 1]), np.array([1, 1, 1, 2]), 4) == [[(0, 5)], [(0, 5)], [], []]
+    assert substring_dedup.lengths(35, 8) == [8, 12, 18, 27, 35]
+
+
 # -- classifiers
 
 
