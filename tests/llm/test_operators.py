@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wiretide.llm import bpe, common, components, decontaminate, exact_dedup, jaccard, language_model, line_dedup, quality, sharding, substring_dedup, toxicity
+from wiretide.llm import bpe, common, components, decontaminate, exact_dedup, groups, jaccard, language_model, line_dedup, quality, sharding, substring_dedup, toxicity
 from wiretide.llm.labelled import remainder
 
 import brute
@@ -246,25 +246,62 @@ def near_rows():
     return rows + [(len(rows) + k, t) for k, t in enumerate(["", None, " \n", "A b", "a B", "x\x85y z"])]
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(4, 85, 24 << 20), (4, 85, 3000), (5, 80, 24 << 20)])
-def test_jaccard_join(spark, k, percent, block):
+@pytest.mark.parametrize(("k", "percent", "light"), [(4, 85, None), (4, 85, 1), (4, 85, 16), (5, 80, None)])
+def test_jaccard_join(spark, k, percent, light):
     rows = near_rows()
-    got = jaccard.jaccard_join(table(spark, rows), k=k, percent=percent, block_bytes=block)
+    got = jaccard.jaccard_join(table(spark, rows).withColumns({"n": F.lit("x"), "id": F.lit(1), "class": F.lit(2)}), k=k, percent=percent, light=light)
     same(plain(got, "doc_id", "n_shingles", "component_id"), brute.jaccard(rows, k, percent))
 
 
-def test_jaccard_join_with_a_full_filter_and_none(spark):
-    rows = near_rows()[:80]
-    got = jaccard.jaccard_join(table(spark, rows), filter_bits=1 << 14)
-    same(plain(got, "doc_id", "n_shingles", "component_id"), brute.jaccard(rows, 4, 85))
+def test_jaccard_join_of_many_near_copies_by_few_hubs(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 8)
+    r, base, rows = random.Random(11), words(1, 60, 5000), []
+    for _ in range(200):
+        w = list(base)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(60)] = f"x{r.randrange(3)}"
+        rows.append((len(rows), " ".join(w)))
+    rows += [(200, "only one word" * 5), (201, " ".join(words(2, 30_000, 900))), (202, " ".join(words(2, 30_000, 900)) + " end")]
+    for percent in (80, 85, 90):
+        got = jaccard.jaccard_join(table(spark, rows), percent=percent)
+        same(plain(got, "doc_id", "n_shingles", "component_id"), brute.jaccard(rows, 4, percent))
+
+
+def test_jaccard_join_of_nothing_and_ties(spark):
     assert jaccard.jaccard_join(table(spark, [])).count() == 0
+    assert jaccard.jaccard_join(table(spark, [(1, None), (2, "")])).filter("component_id = doc_id AND n_shingles = 0").count() == 2
     ties = jaccard.jaccard_join(table(spark, [(None, "a b c d e"), (None, "a b c d e"), (2, "a b c d e"), (2, "other words are here now")]))
     same(plain(ties, "doc_id", "component_id"), [(None, 2), (None, 2), (2, 2), (2, 2)])
 
 
+def test_jaccard_stage_keeps_one_row_of_a_group(spark):
+    copy, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(3, copy), (1, copy), (1, copy), (None, copy), (None, other), (None, other), (1, other + " x y z a b c"), (5, None), (6, ""), (5, None)]
+    got = jaccard.stage(spark, table(spark, rows).withColumn("r", F.lit(1)).withColumn("row", F.lit(2)), "")
+    assert got.columns == ["doc_id", "text", "r", "row"]
+    same(plain(got, "doc_id", "text"), [(1, copy), (None, other), (1, other + " x y z a b c"), (5, None), (5, None), (6, "")])
+
+
+def test_balls_lose_no_link_between_components():
+    r = random.Random(12)
+    for percent in (60, 85):
+        sets = []
+        for _ in range(150):
+            base = set(range(r.choice([0, 8, 100]), r.choice([110, 112, 120])))
+            sets.append(np.array(sorted(base - set(r.sample(range(120), r.randrange(25)))), np.uint64))
+        found = jaccard.linked(list(range(150)), sets, list(range(150)), percent)
+        want = brute.jaccard([(k, " ".join(map(str, s))) for k, s in enumerate(sets)], 1, percent)
+        root = list(range(150))
+        for a, b in found:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if x == old else x for x in root]
+            assert 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))
+        assert [(k, root[k]) for k in range(150)] == [(i, c) for i, _, c in want] and len(found) < 150
+
+
 def test_boundary_follows_cost():
     assert jaccard.boundary(1, 85) <= jaccard.boundary(20, 85) <= jaccard.boundary(500, 85)
-    assert jaccard.subsets(7, 85) == 8 and jaccard.need(20, 85) == 17
+    assert jaccard.subsets(7, 85) == 8 and jaccard.need(20, 85) == 17 and jaccard.boundary(1e6, 85) > 40
 
 
 def test_components_of_long_paths(spark):
@@ -272,6 +309,7 @@ def test_components_of_long_paths(spark):
     random.Random(6).shuffle(edges)
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # -- sharding

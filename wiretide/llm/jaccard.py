@@ -2,9 +2,13 @@
 
 Light (small) sets enumerate their subsets of the sizes that an intersection can have: two linked sets
 have their intersection in common. Heavy sets scan the inverted lists of their rarest shingles. The
-boundary between the two is where enumerating costs as much as scanning. Before that, shingles that
-occur in one document only, found with a filter of fixed size, rule out most documents, and documents
-of equal sets become one class. Every candidate is verified by exact intersection and union sizes.
+boundary between the two is where enumerating costs as much as scanning. Before that, documents learn
+by an exchange in how many documents each of their shingles occurs: most have too many shingles of
+their own to link at all, the others become classes of equal sets.
+
+Only the components of links are wanted, so lists are not multiplied out: classes that a list's hub
+gathers are compared by covering them with balls around leaders, and a list whose members hang together
+needs no more. Pairs of a list that are still apart then are verified one by one.
 """
 
 from __future__ import annotations
@@ -19,17 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SegmentFilter, cut_segments, grouped_batches, intern_words, low_bits, materialize, mix64, ngram_hashes, partitions, read_table, segment_bits, small_batches, texts, tidy, word_hashes
+from .common import cut_segments, discard, free_shuffles, materialize, mix64, per_segment, read_table, segment_bits, small_batches, tidy
 from .components import components
+from .groups import LOW_BITS, OWN, SEGMENT_BYTES, Tokens, low_of, met, pack, read_groups, record_batch, repeatable, unpack
 
-#: Bits of the filter of repeated shingles (16 MB).
-FILTER_BITS = 1 << 27
-#: Cells of the table of list lengths that orders shingles (4 MB).
-CELL_BITS = 22
-#: Bytes of sets that one task joins at most; larger candidate groups are joined block by block.
-BLOCK_BYTES = 24 << 20
-#: No set enumerates more subsets than this, whatever scanning costs.
-MOST_SUBSETS = 400
+#: Members that one task covers with balls at once; a hub with more is dealt to several.
+PART = 128
+#: Rounds of hubs go on while the pairs that are left number more than this times the members, and halve.
+FEW = 4
+ASK = "segment long, number long, mark long, n long, a binary"
+ANSWER = ASK + ", lists long, total long"
 
 
 def need(n: int, percent: int) -> int:
@@ -37,132 +40,80 @@ def need(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def shingle_sets(values: list[bytes], k: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text (UTF-8)."""
-    docs = [v.lower().split() for v in values]
-    ids, starts, words = intern_words(docs)
-    hashed = word_hashes(words)[ids] if len(words) else np.zeros(0, np.uint64)
-    grams, at = ngram_hashes(hashed, starts, k)
-    bounds = np.searchsorted(at, starts)
-    out = []
-    for d in range(len(docs)):
-        n = len(docs[d])
-        if n >= k:
-            out.append(np.unique(grams[bounds[d] : bounds[d + 1]]))
-        elif n:
-            whole, _ = ngram_hashes(hashed[starts[d] : starts[d + 1]], np.array([0, n]), n)
-            out.append(whole)
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def _segments(batch_keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(segment, keys met once, keys met more often) of sorted keys with repeats."""
-    first = np.concatenate([[True], batch_keys[1:] != batch_keys[:-1]])
-    at = np.flatnonzero(first)
-    count = np.diff(np.concatenate([at, [len(batch_keys)]]))
-    keys = batch_keys[at]
-    edges = cut_segments(keys, bits)
-    low = low_bits(keys, bits)
-    for s in range(1 << bits):
-        a, b = edges[s], edges[s + 1]
-        if b > a:
-            yield s, low[a:b], count[a:b]
-
-
-def repeated_filter(docs: DataFrame, text: str, k: int, filter_bits: int = FILTER_BITS) -> SegmentFilter:
-    """A filter of the shingles that two documents or more have.
-
-    Its size is fixed, so what the driver gathers and broadcasts doesn't grow with the data; a fuller
-    filter only rules out fewer documents. Shingles are counted by segments of their hash, after
-    counting within each batch, so frequent shingles are not moved more often than batches.
-    """
-    bits = segment_bits(docs)
-    each = filter_bits >> bits
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped_batches(batches, text):
-            sets = [s for s in shingle_sets(texts(table.column(0).combine_chunks()), k) if len(s)]
-            if not sets:
-                continue
-            keys = np.sort(np.concatenate(sets))
-            rows = [(s, low[n == 1].tobytes(), low[n > 1].tobytes()) for s, low, n in _segments(keys, bits)]
-            seg, once, more = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["segment", "once", "more"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-        for batch in batches:
-            for s, once, more in zip(*(c.to_pylist() for c in batch.columns)):
-                lists = held.setdefault(s, ([], []))
-                lists[0].append(np.frombuffer(once, np.uint32))
-                lists[1].append(np.frombuffer(more, np.uint32))
-        for s, (once, more) in held.items():
-            keys = np.sort(np.concatenate(once))
-            again = keys[1:][keys[1:] == keys[:-1]]
-            data = SegmentFilter.build(np.concatenate([again, *more]), each)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data], pa.binary())], names=["segment", "bits"])
-
+def shingles(tokens: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the distinct shingles, sorted; a document of fewer words than k has one."""
+    grams, inside = tokens.grams(k)
+    lengths = np.diff(tokens.starts)
+    short = np.flatnonzero((lengths > 0) & (lengths < k))
+    last = tokens.starts[short + 1] - 1
+    whole = np.where(lengths[short] == 1, tokens.hashes[tokens.ids[last]], grams[lengths[short] - 2, last])
+    of = np.concatenate([tokens.of[inside[k - 2]], short])
+    keys = np.concatenate([grams[k - 2][inside[k - 2]], whole])
+    order = np.lexsort((keys, of))
+    of, keys = of[order], keys[order]
+    new = np.concatenate([[True], (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])]) if len(of) else np.zeros(0, np.bool_)
+    return of[new], keys[new]
+
+
+def _asked(batches: Iterator[pa.RecordBatch], bits: int, k: int) -> Iterator[pa.RecordBatch]:
+    """For each group of texts and each segment the distinct shingles, and in how many documents of the group."""
+    for number, _, tokens in read_groups(batches, False):
+        keys, counts = np.unique(shingles(tokens, k)[1], return_counts=True)
+        ends, low, counts = cut_segments(keys, bits), low_of(keys, bits), counts.astype(np.uint32)
+        rows = [(s, number, tokens.mark, b - a, pack(np.concatenate([np.diff(low[a:b], prepend=np.uint32(0)), counts[a:b]]))) for s, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+        if rows:
+            yield record_batch(rows, ASK)
+
+
+def _segment(s: int, columns: list) -> pa.RecordBatch:
+    """To each group how long the lists of its shingles are: 8 * log2, so 0 for a list of one document."""
+    numbers, marks, ns, a = columns
+    questions = [unpack(x, 2 * n, np.uint32) for x, n in zip(a, ns)]
+    keys, which = np.unique(np.concatenate([np.cumsum(q[:n], dtype=np.uint32) for q, n in zip(questions, ns)]), return_inverse=True)
+    length = np.bincount(which, np.concatenate([q[n:] for q, n in zip(questions, ns)]), len(keys))
+    level = np.minimum(255, np.ceil(8 * np.log2(length))).astype(np.uint8)[which]
+    cuts = np.cumsum([0, *ns])
+    rows = [(s, number, mark, n, pack(level[c : c + n]), 0, 0) for number, mark, n, c in zip(numbers, marks, ns, cuts)]
+    rows[0] = (*rows[0][:-2], int((length > 1).sum()), int(length[length > 1].sum()))
+    return record_batch(rows, ANSWER)
+
+
+def _solved(own: pa.Table, answers: pa.Table, k: int, percent: int) -> pa.Table:
+    """(id, n, z, digest, items) of the documents of a group: items, rarest first, z of them in no other document."""
+    tokens, answers = met(own, answers, ["ids"])
+    of, keys = shingles(tokens, k)
+    levels = np.concatenate([np.zeros(0, np.uint8), *(unpack(r["a"], r["n"], np.uint8) for r in answers)])[np.unique(keys, return_inverse=True)[1]]
+    n = np.bincount(of, minlength=len(tokens.starts) - 1)
+    z = np.bincount(of, levels == 0, len(n)).astype(np.int64)
+    live = (n > 0) & (n - z >= -(-n * percent // 100))
+    order = np.lexsort((keys, levels, of))
+    ordered, ends = keys[order], np.cumsum(n)
+    items = [ordered[b - c : b].tobytes() if ok else None for b, c, ok in zip(ends.tolist(), n.tolist(), live.tolist())]
+    digests = [None if x is None else hashlib.md5(x).digest() for x in items]
+    return pa.table({"id": own.column("ids").combine_chunks()[0].values, "n": n, "z": z, "digest": pa.array(digests, pa.binary()), "items": pa.array(items, pa.binary())})
+
+
+def _sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> tuple[DataFrame, float]:
+    """(id, n, z, digest, items) of every document, items only where it can link at all; the mean length of a list."""
     spark = docs.sparkSession
-    counted = docs.select(text).mapInArrow(tidy(count), "segment int, once binary, more binary")
-    rows = counted.repartition(partitions(spark), "segment").mapInArrow(tidy(build), "segment int, bits binary").collect()
-    return SegmentFilter([(r.segment, r.bits) for r in rows], bits, filter_bits)
-
-
-def _sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int, shared: SegmentFilter) -> DataFrame:
-    """(id, n, class, items): items only where enough shingles occur elsewhere to link at all."""
-    held = docs.sparkSession.sparkContext.broadcast(shared)
+    bits = segment_bits(docs, most=20, each=SEGMENT_BYTES)
+    given = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    given = given if repeatable(given) else materialize(given, "jaccard-texts")
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = held.value
-        for batch in batches:
-            sets = shingle_sets(texts(batch.column(1)), k)
-            sizes = [len(s) for s in sets]
-            flags = found.has(np.concatenate(sets)) if sum(sizes) else np.zeros(0, np.bool_)
-            ends = np.cumsum([0, *sizes])
-            known = [int(flags[a:b].sum()) for a, b in zip(ends, ends[1:])]
-            live = [n > 0 and c >= need(n, percent) for n, c in zip(sizes, known)]
-            items = [s.tobytes() if ok else None for s, ok in zip(sets, live)]
-            classes = [None if x is None else int.from_bytes(hashlib.md5(x).digest()[:8], "little", signed=True) for x in items]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(items, pa.binary())], names=["id", "n", "class", "items"])
-
-    return docs.select(id_col, text).mapInArrow(tidy(run), f"id {kind}, n long, class long, items binary")
-
-
-def _list_lengths(classes: DataFrame) -> tuple[np.ndarray, float]:
-    """For cells of hash values the longest inverted list (8 * log2, one byte), and the mean list scanned."""
-    bits = segment_bits(classes)
-    cells = 1 << (CELL_BITS - bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped_batches(batches, "items"):
-            keys = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column(0).to_pylist()]))
-            rows = [(s, low.tobytes(), n.astype(np.uint32).tobytes()) for s, low, n in _segments(keys, bits)]
-            seg, low, n = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(low, pa.binary()), pa.array(n, pa.binary())], names=["segment", "low", "n"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
-        for batch in batches:
-            for s, low, n in zip(*(c.to_pylist() for c in batch.columns)):
-                lists = held.setdefault(s, ([], []))
-                lists[0].append(np.frombuffer(low, np.uint32))
-                lists[1].append(np.frombuffer(n, np.uint32))
-        for s, (low, n) in held.items():
-            keys, inverse = np.unique(np.concatenate(low), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate(n)).astype(np.int64)
-            table = np.zeros(cells, np.uint8)
-            np.maximum.at(table, (keys >> np.uint32(32 - (CELL_BITS - bits))).astype(np.int64), np.minimum(255, np.ceil(8 * np.log2(total))).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([table.tobytes()], pa.binary()), pa.array([float((total**2).sum())]), pa.array([float(total.sum())])], names=["segment", "cells", "squares", "total"])
-
-    counted = classes.select("items").mapInArrow(tidy(count), "segment int, low binary, n binary")
-    rows = counted.repartition(partitions(classes.sparkSession), "segment").mapInArrow(tidy(build), "segment int, cells binary, squares double, total double").collect()
-    table = np.zeros(1 << CELL_BITS, np.uint8)
-    for r in rows:
-        table[r.segment * cells : (r.segment + 1) * cells] = np.frombuffer(r.cells, np.uint8)
-    return table, sum(r.squares for r in rows) / max(1.0, sum(r.total for r in rows))
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, table, tokens in read_groups(batches, False):
+            whole = record_batch([tokens.packed(number)], OWN)
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type))], names=[*whole.schema.names, "ids"])
+
+    asked = given.mapInArrow(tidy(lambda batches: _asked(batches, bits, k)), ASK)
+    answers = materialize(per_segment(asked, _segment, ANSWER), "jaccard-lists")
+    free_shuffles(spark)
+    lists, total = answers.agg(F.coalesce(F.sum("lists"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    both = given.mapInArrow(tidy(own), f"{OWN}, ids array<{kind}>").groupBy("number").cogroup(answers.drop("lists", "total").groupBy("number"))
+    rows = materialize(both.applyInArrow(lambda a, b: _solved(a, b, k, percent), f"id {kind}, n long, z long, digest binary, items binary"), "jaccard-sets")
+    discard(answers)
+    return rows, total / max(1, lists)
 
 
 def subsets(n: int, percent: int) -> int:
@@ -171,132 +122,217 @@ def subsets(n: int, percent: int) -> int:
 
 
 def boundary(scan: float, percent: int) -> int:
-    """The largest size at which enumerating subsets costs no more than scanning lists."""
-    best = 1
-    for n in range(1, 41):
-        if subsets(n, percent) <= min(MOST_SUBSETS, max(1.0, (n - need(n, percent) + 1) * scan)):
-            best = n
-    return best
+    """The largest size up to which enumerating subsets costs no more than scanning the lists of a set's rarest shingles."""
+    for n in itertools.count(2):
+        if subsets(n, percent) > max(1.0, (n - need(n, percent) + 1) * scan):
+            return n - 1
+
 
+def keys_of(items: np.ndarray, z: int, light: int, percent: int) -> np.ndarray:
+    """Hashes under which a set is listed: subsets if it is light, rarest shingles if it may meet a heavy one.
 
-def keys_of(items: np.ndarray, lengths: np.ndarray, light: int, percent: int) -> np.ndarray:
-    """Hashes under which a set is listed: subsets if it is light, rarest shingles if it may meet a heavy one."""
+    items: rarest first, the first z of them in no other set, so that they lead nowhere.
+    """
     n = len(items)
     out = []
     if n <= light:
         for d in range(n - need(n, percent) + 1):
             for left in itertools.combinations(range(n), d):
-                kept = np.delete(items, left)
+                kept = np.sort(np.delete(items, left))
                 with np.errstate(over="ignore"):
                     out.append(mix64(np.array([kept.sum() + np.uint64(len(kept))], np.uint64) ^ np.bitwise_xor.reduce(mix64(kept)))[0])
     if n >= need(light + 1, percent):
-        rank = lengths[items >> np.uint64(64 - CELL_BITS)]
-        order = np.lexsort((items, rank))[: n - need(n, percent) + 1]
-        out.extend(items[order[rank[order] > 0]].tolist())  # a shingle of no other class leads nowhere
+        out.extend(items[z : n - need(n, percent) + 1].tolist())
     return np.array(out, np.uint64)
 
 
-def _candidates(classes: DataFrame, lengths: np.ndarray, light: int, percent: int) -> DataFrame:
-    held = classes.sparkSession.sparkContext.broadcast(lengths)
+def _listed(classes: DataFrame, light: int, percent: int) -> DataFrame:
+    """(key, class, n): the lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [keys_of(np.frombuffer(x, np.uint64), held.value, light, percent) for x in batch.column(1).to_pylist()]
+            keys = [keys_of(np.frombuffer(x, np.uint64), z, light, percent) for x, z in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())]
             counts = [len(x) for x in keys]
             key = np.concatenate(keys).view(np.int64) if sum(counts) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts), pa.int64())], names=["key", "class"])
-
-    keys = materialize(classes.select("class", "items").mapInArrow(tidy(run), "key long, class long"), "jaccard-keys")
-    lists = keys.groupBy("key").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return keys.join(lists.select(F.col("key").alias("k"), "first"), F.col("key") == F.col("k")).select(F.col("class").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
-
-
-def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """(id, smallest id reachable) of sets that link. side: with two values only pairs across are looked at."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[k]) for k in order])
-    _, inverse = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
-    owner = np.repeat(np.arange(len(order)), sizes)
-    by = np.argsort(inverse, kind="stable")
-    start = np.searchsorted(inverse[by], np.arange(inverse.max() + 2))
-    lists = owner[by]
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    root = np.arange(len(order))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+            repeated = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts), pa.int64()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *repeated], names=["key", "class", "n"])
+
+    keys = classes.select("class", "n", "z", "items").mapInArrow(tidy(run), "key long, class long, n long")
+    return materialize(keys, "jaccard-keys")
+
+
+class Balls:
+    """Sets that were compared: leaders, and round each leader the sets that link to it.
+
+    A set that links to no leader becomes one. The distance (1 - similarity) is a metric, so a set that
+    links to a member of a ball is within twice the allowed distance of the leader: other balls are left
+    out, and so are balls that the set hangs together with already. No link between components is lost.
+    """
+
+    def __init__(self, percent: int, n: int):
+        if percent <= 50:
+            raise ValueError("a similarity of more than a half is needed")
+        self.percent, self.root = percent, list(range(n))
+        self.lists: dict[int, list[int]] = {}
+        self.leaders: list[int] = []
+        self.sizes: list[int] = []
+        self.members: list[list[tuple[int, np.ndarray]]] = []
+
+    def find(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
         return x
 
-    sides = side[order]
-    across = len(np.unique(sides)) > 1
-    for s in range(1, len(order)):
-        n = int(sizes[s])
-        lowest = int(np.searchsorted(sizes, need(n, percent)))
-        if lowest >= s:
-            continue
-        mine = inverse[at[s] : at[s + 1]]
-        met = np.concatenate([lists[start[e] : start[e + 1]] for e in mine.tolist()])
-        common = np.bincount(met[met < s], minlength=s)[lowest:s]
-        ok = 100 * common >= percent * (n + sizes[lowest:s] - common)
-        if across:
-            ok &= sides[lowest:s] != sides[s]
-        for other in (np.flatnonzero(ok) + lowest).tolist():
-            a, b = find(s), find(other)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    tops = [find(k) for k in range(len(order))]
-    least: dict[int, int] = {}
-    for k, top in enumerate(tops):
-        least[top] = min(least.get(top, 1 << 63), int(ids[order[k]]))
-    return [(int(ids[order[k]]), least[top]) for k, top in enumerate(tops) if int(ids[order[k]]) != least[top]]
-
-
-def _verified(classes: DataFrame, groups: DataFrame, percent: int, block_bytes: int) -> DataFrame:
-    """(a, b): links between classes, as many as keep linked ones together.
-
-    A group of candidates goes to one task if its sets take block_bytes at most; a larger one is cut
-    into blocks, and a task gets two blocks, so that all its pairs are looked at somewhere.
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+    def add(self, k: int, items: np.ndarray) -> list[int]:
+        """Earlier sets that set k links to, one at most for each component that it didn't hang together with."""
+        found: list[int] = []
+        hits = [x for e in items.tolist() for x in self.lists.get(e, ())]
+        near, common = np.unique(np.array(hits, np.int64), return_counts=True)
+        union = len(items) + np.array(self.sizes, np.int64)[near] - common
+        direct = 100 * common >= self.percent * union
+        for at in near[direct].tolist():
+            if self.join(k, self.leaders[at]):
+                found.append(self.leaders[at])
+        for at in near[~direct & (100 * common >= (2 * self.percent - 100) * union)].tolist():
+            if self.members[at] and self.find(self.leaders[at]) != self.find(k):
+                other = self._linked(items, self.members[at])
+                if other is not None:
+                    self.join(k, other)
+                    found.append(other)
+        if direct.any():
+            best = near[direct][np.argmax((common / union)[direct])]
+            self.members[best].append((k, items))
+        else:
+            for e in items.tolist():
+                self.lists.setdefault(e, []).append(len(self.leaders))
+            self.leaders.append(k)
+            self.sizes.append(len(items))
+            self.members.append([])
+        return found
+
+    def _linked(self, items: np.ndarray, members: list) -> int | None:
+        every = np.concatenate([x for _, x in members])
+        sizes = np.array([len(x) for _, x in members])
+        common = np.add.reduceat(np.isin(every, items), np.cumsum(sizes) - sizes, dtype=np.int64)
+        ok = np.flatnonzero(100 * common >= self.percent * (sizes + len(items) - common))
+        return members[ok[0]][0] if len(ok) else None
+
+
+def linked(classes: list[int], sets: list[np.ndarray], roots: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links that keep linked sets together; sets of equal root hang together already."""
+    balls, first = Balls(percent, len(sets)), {}
+    for k, root in enumerate(roots):
+        balls.join(k, first.setdefault(root, k))
+    return [(classes[k], classes[other]) for k in sorted(range(len(sets)), key=lambda k: (len(sets[k]), classes[k])) for other in balls.add(k, sets[k])]
+
+
+def _live(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(key, class, n, root): what is listed in lists whose members are in several components."""
+    named = keys.withColumn("root", F.col("class")) if roots is None else keys.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"))
+    lists = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(F.col("key").alias("k"))
+    return materialize(named.join(lists, F.col("key") == F.col("k")).drop("k"), "jaccard-live")
+
+
+def _left(live: DataFrame) -> tuple[int, int]:
+    """(members, pairs in different components) of the lists, counted and not made."""
+    parts = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("s"), F.sum((F.col("m") * F.col("m")).cast("double")).alias("q"))
+    s, pairs = parts.agg(F.sum("s"), F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()
+    return s or 0, pairs or 0
+
+
+def _gathered(classes: DataFrame, live: DataFrame, percent: int, seed: int) -> DataFrame:
+    """(a, b): links found by gathering classes under the hubs of their lists, PART at a time with the hub itself.
+
+    The hub of a list is its member of least seeded hash, and a class goes to the least of its hubs,
+    so near copies, which share most lists, come together, each set once. What is missed here is found
+    in another round or by the pairs that are left.
     """
-    members = classes.select("class", "items").join(groups.select(F.col("node").alias("class"), "root"), "class")
-    sizes = groups.join(classes.select(F.col("class").alias("node"), F.octet_length("items").alias("bytes")), "node").groupBy("root").agg(F.sum("bytes").alias("bytes"))
-    sizes = sizes.select(F.col("root").alias("r"), F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
-    cut = members.join(sizes, F.col("root") == F.col("r")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "class", "items")
+    order = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("hub"))
+    hubs = live.groupBy("key").agg(F.min(order("class")).alias("o")).select(F.col("key").alias("k"), "o")
+    under = live.join(hubs, F.col("key") == F.col("k")).groupBy("class", "root").agg(F.min("o").alias("o")).select("class", "root", F.col("o.hub").alias("hub"))
+    sizes = under.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).select(F.col("hub").alias("h"), "parts")
+    dealt = under.join(sizes, F.col("hub") == F.col("h")).withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "class"), "parts").cast("int"))
+    # The hub goes to every part, so that parts of the same near copies hang together.
+    copies = dealt.filter((F.col("class") == F.col("hub")) & (F.col("parts") > 1)).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter(F.col("to") != F.col("part")).withColumn("part", F.col("to"))
+    every = dealt.select("hub", "part", "class", "root").unionByName(copies.select("hub", "part", "class", "root"))
+    members = every.join(classes.select(F.col("class").alias("c"), "items"), F.col("class") == F.col("c")).select("hub", "part", "class", "root", "items")
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("class").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
-        pairs = linked(ids, sets, table.column("side").to_numpy(), percent)
+        pairs = linked(table.column("class").to_pylist(), sets, table.column("root").to_pylist(), percent)
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
-    return cut.groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
+    return members.groupBy("hub", "part").applyInArrow(run, "a long, b long")
+
 
+def _verified(classes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links among all pairs of a list that are in different components and of sizes that can link."""
+    other = live.select(F.col("key").alias("k"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
+    fits = (F.col("key") == F.col("k")) & (F.col("root") < F.col("r")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    pairs = live.join(other, fits).select(F.col("class").alias("a"), "b").distinct()
+    sets = lambda c: classes.select(F.col("class").alias(f"{c}{c}"), F.col("items").alias(f"{c}s"))
+    met = pairs.join(sets("a"), F.col("a") == F.col("aa")).join(sets("b"), F.col("b") == F.col("bb")).select("a", "b", F.col("as").alias("x"), F.col("bs").alias("y"))
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block_bytes: int = BLOCK_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                ok.append(100 * common >= percent * ((len(x) + len(y)) // 8 - common))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return met.mapInArrow(tidy(run), "a long, b long")
+
+
+def links(classes: DataFrame, light: int, percent: int) -> DataFrame:
+    """(node, root) of the classes that link to others, by (class, n, z, items)."""
+    keys = _listed(classes, light, percent)
+    found, roots, before = None, None, math.inf
+    for seed in itertools.count(0, 2):
+        live = _live(keys, roots)
+        members, pairs = _left(live)
+        if pairs <= FEW * members or (seed and pairs > before / 2):
+            break
+        before = pairs
+        more = materialize(_gathered(classes, live, percent, seed), "jaccard-links")
+        discard(live)
+        found = more if found is None else found.unionByName(more)
+        roots = components(found)
+    if pairs:
+        more = materialize(_verified(classes, live, percent), "jaccard-links")
+        found = more if found is None else found.unionByName(more)
+        roots = components(found)
+    return roots if roots is not None else keys.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, light: int | None = None) -> DataFrame:
     """(id, n_shingles, component_id): one row per row of docs.
 
     Words are split at ASCII white space after lower-casing A-Z. Documents link if 100 * intersection
     >= percent * union of their sets of k-word shingles; a text of fewer words is one shingle; null and
     empty texts have no shingle and link to nothing. component_id is the smallest id that links lead
-    to; null ids never win unless there are only such. Repeated ids are rows of their own. Shingles are
-    compared by 64-bit hashes, sets of equal shingles by 64 bits of a digest of them.
+    to; null ids never win unless there are only such. Repeated ids are rows of their own. Further
+    columns of any name don't matter. An empty table gives an empty result. Shingles are compared by
+    64-bit hashes, sets of equal shingles by 128 bits of a digest of them. light: the largest light
+    set, by default where the costs meet.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = materialize(_sets(docs, id_col, text, k, percent, repeated_filter(docs, text, k, filter_bits)), "jaccard-sets")
-    classes = rows.filter("items IS NOT NULL").groupBy("class").agg(F.min("id").alias("least"), F.first("items").alias("items"))
-    classes = materialize(classes, "jaccard-classes")
-    lengths, scan = _list_lengths(classes)
-    edges = _candidates(classes, lengths, boundary(scan, percent), percent)
-    links = materialize(_verified(classes, components(edges), percent, block_bytes), "jaccard-links")
-    roots = components(links)
-    named = classes.select("class", "least").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    small_batches(docs.sparkSession)
+    rows, scan = _sets(docs, id_col, text, k, percent)
+    free_shuffles(docs.sparkSession)
+    classes = rows.filter("items IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("z").alias("z"), F.first("items").alias("items"))
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "jaccard-classes")
+    free_shuffles(docs.sparkSession)
+    roots = links(classes, light or boundary(scan, percent), percent)
+    named = classes.select("digest", "class", "least").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id")).select(F.col("root").alias("r"), "component_id")
-    of = named.join(least, F.col("root") == F.col("r")).select(F.col("class").alias("c"), "component_id")
-    out = rows.select("id", "n", "class").join(of, F.col("class") == F.col("c"), "left")
+    of = named.join(least, F.col("root") == F.col("r")).select(F.col("digest").alias("d"), "component_id")
+    out = rows.select("id", "n", "digest").join(of, F.col("digest") == F.col("d"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -306,7 +342,32 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one with the smallest id stays."""
-    found = jaccard_join(docs, k=5, percent=80).filter(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    alone = docs.filter(F.col("doc_id").isNull())
-    return docs.join(found, F.col("doc_id") == F.col("__kept"), "left_semi").unionByName(alone)
+    """Pipeline stage: of each group of linked documents the one with the smallest id stays.
+
+    Exactly one row of a group stays: of several rows with that id the first, and a row without id
+    only if the group has no other. Texts without words link to nothing, so all of them stay.
+    """
+    row, given = "row number of the stage", docs if repeatable(docs) else materialize(docs, "jaccard-docs")
+    numbered = given.withColumn(row, F.monotonically_increasing_id())
+    found = jaccard_join(numbered, id_col=row, k=5, percent=80).select(F.col(row).alias("r"), F.col("component_id").alias("c"))
+    ids = numbered.select(F.col(row).alias("n"), F.col("doc_id").alias("i"))
+    best = found.join(ids, F.col("r") == F.col("n")).groupBy("c").agg(F.min(F.struct(F.col("i").isNull().alias("u"), "i", "r")).alias("s")).select(F.col("s.r").alias("kept row of the stage"))
+    return numbered.join(best, F.col(row) == F.col("kept row of the stage"), "left_semi").drop(row)
+
+
+#: Sets as lists of words joined by a space; links by joining on common shingles.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5_number(array_to_string(w[p:p + 3], ' ')) AS h
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+r AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+t AS (SELECT s.doc_id, s.h, n.n FROM s JOIN r ON s.h = r.h JOIN n ON s.doc_id = n.doc_id),
+c AS (SELECT doc_id FROM t GROUP BY doc_id, n HAVING 100 * count(*) >= 85 * n),
+u AS (SELECT t.* FROM t JOIN c ON t.doc_id = c.doc_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON d.doc_id = m.a
+"""

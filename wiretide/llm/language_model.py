@@ -12,38 +12,30 @@ The answers meet the texts again by the number of their group.
 from __future__ import annotations
 
 import math
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom_positions, cut_segments, free_shuffles, grouped_batches, has_bits, intern_words, materialize, mix64, per_segment, read_table, segment_bits, small_batches, texts, tidy, word_hashes
+from .common import bloom_positions, cut_segments, free_shuffles, has_bits, materialize, per_segment, read_table, segment_bits, small_batches, tidy
+from .groups import LOW_BITS, OWN, SEGMENT_BYTES, Tokens, low_of, met, pack, read_groups, record_batch, repeatable, unpack
 from .labelled import remainder
 
 #: Words of the longest n-gram.
 ORDER = 4
 #: Bits that a segment of the filter has for each of its entries at least, and probes for an entry.
 ROOM, PROBES = 16, 3
-#: Input that a segment stands for, and bits by which its n-grams are told apart.
-SEGMENT_BYTES, LOW_BITS = 4 << 20, 28
 #: Counts from BASE**(q-1) on have level q.
 BASE, LEVELS = 1.5, 64
 #: Weight of the estimate of the next shorter n-gram beside the counts of a context.
 BACKOFF = 4.0
 #: One document in so many is held out.
 FOLDS = 10
-#: Stands for the end of a text, and before its first word for the start; no word has a space.
-END = b" "
 #: What a group asks of a segment, what it is answered, and what the texts of the group are.
 ASK = "segment long, number long, mark long, n long, m long, a binary, b binary"
 ANSWER = ASK + ", c binary, tokens long, types long"
-#: Parts of a plan that give the same rows in the same order each time they run.
-REPEATABLE = re.compile(r"(\*\(\d+\) )?(Project|Filter|ColumnarToRow|FileScan|Scan|LocalTableScan|InputAdapter|WholeStageCodegen)\b")
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -92,32 +84,6 @@ def probe(array: np.ndarray, low: np.ndarray) -> np.ndarray:
     return out
 
 
-class Tokens:
-    """The tokens of a group of texts, each text between two ENDs, and their n-grams."""
-
-    def __init__(self, ids: np.ndarray, starts: np.ndarray, hashes: np.ndarray):
-        self.ids, self.starts, self.hashes = ids.astype(np.int64), starts, hashes
-        lengths = np.diff(starts)
-        self.nth = np.arange(len(ids)) - np.repeat(starts[:-1], lengths)
-        self.of = np.repeat(np.arange(len(lengths)), lengths)
-
-    @classmethod
-    def read(cls, values: list[bytes]) -> Tokens:
-        ids, starts, words = intern_words([[END, *v.lower().split(), END] for v in values])
-        return cls(ids, starts, word_hashes(words))
-
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of the n-grams of 2 to order words, one row each; which of them lie in one text)."""
-        last = self.hashes[self.ids]
-        out, inside = np.zeros((order - 1, len(last)), np.uint64), np.zeros((order - 1, len(last)), np.bool_)
-        for n in range(2, order + 1):
-            with np.errstate(over="ignore"):
-                before = last if n == 2 else out[n - 3]
-                out[n - 2, 1:] = mix64(before[:-1] * np.uint64(0x9E3779B97F4A7C15) + last[1:] + np.uint64(n))
-            inside[n - 2] = self.nth >= n - 1
-        return out, inside
-
-
 def log_probabilities(tokens: Tokens, words: np.ndarray, grams: np.ndarray, trained: int, types: int) -> np.ndarray:
     """log10 probability of each text: the sum over its words and its end, each after the words before.
 
@@ -136,90 +102,53 @@ def log_probabilities(tokens: Tokens, words: np.ndarray, grams: np.ndarray, trai
     return np.add.reduceat(logs, tokens.starts[:-1]) if len(logs) else np.zeros(0)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Compressed, the first bytes of all numbers before their second ones."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T if len(x) else x
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
-
-
-def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
-    if not n:
-        return np.zeros(0, kind)
-    each = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, n * each, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(each, n).T).reshape(-1).view(kind)
-
-
-def _low(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys >> np.uint64(64 - bits - LOW_BITS)) & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32)
-
-
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "binary": pa.binary()}
-    names, types = zip(*(c.split() for c in schema.split(", ")))
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], names=names)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(number, table, tokens, mark) of each group of texts; the mark tells whether a group is the same again."""
-    number = TaskContext.get().partitionId() << 33
-    for table in grouped_batches(batches, "text"):
-        tokens = Tokens.read(texts(table.column("text").combine_chunks()))
-        yield number, table, tokens, zlib.crc32(tokens.hashes.tobytes(), zlib.crc32(tokens.ids.tobytes(), zlib.crc32(tokens.starts.tobytes())))
-        number += 1
-
-
 def _asked(batches: Iterator[pa.RecordBatch], bits: int, order: int) -> Iterator[pa.RecordBatch]:
     """For each group of texts and each segment the distinct words and n-grams, with their counts in learnt rows.
 
     A frequent n-gram travels once a group. Words go as whole hashes, n-grams as differences of short ones.
     """
-    for number, table, tokens, mark in _groups(batches):
+    for number, table, tokens in read_groups(batches, True):
         learnt = table.column("learnt").to_numpy()[tokens.of]
         by = np.argsort(tokens.hashes)
         words, times = tokens.hashes[by], np.bincount(tokens.ids[learnt & (tokens.nth > 0)], minlength=len(by))[by].astype(np.uint32)
         grams, inside = tokens.grams(order)
         keys, which = np.unique(grams[inside], return_inverse=True)
         counts = np.bincount(which[np.broadcast_to(learnt, inside.shape)[inside]], minlength=len(keys)).astype(np.uint32)
-        ends, word_ends, low = cut_segments(keys, bits), cut_segments(words, bits), _low(keys, bits)
+        ends, word_ends, low = cut_segments(keys, bits), cut_segments(words, bits), low_of(keys, bits)
         rows = []
         for s in range(1 << bits):
             a, b, p, q = ends[s], ends[s + 1], word_ends[s], word_ends[s + 1]
             if b > a or q > p:
                 question = np.concatenate([np.diff(low[a:b], prepend=np.uint32(0)), counts[a:b], times[p:q]])
-                rows.append((s, number, mark, b - a, q - p, _pack(question), _pack(np.diff(words[p:q], prepend=np.uint64(0)))))
-        yield _batch(rows, ASK)
+                rows.append((s, number, tokens.mark, b - a, q - p, pack(question), pack(np.diff(words[p:q], prepend=np.uint64(0)))))
+        yield record_batch(rows, ASK)
 
 
 def _segment(s: int, columns: list, bits: int, room: int) -> pa.RecordBatch:
     """Fill a segment with all that was asked of it, then probe it for every group."""
     numbers, marks, ns, ms, a, b = columns
-    questions = [_unpack(x, 2 * n + m, np.uint32) for x, n, m in zip(a, ns, ms)]
+    questions = [unpack(x, 2 * n + m, np.uint32) for x, n, m in zip(a, ns, ms)]
     low = np.concatenate([np.cumsum(q[:n], dtype=np.uint32) for q, n in zip(questions, ns)])
     keys, which = np.unique(low, return_inverse=True)
     counts = np.bincount(which, np.concatenate([q[n : 2 * n] for q, n in zip(questions, ns)]), len(keys))
-    words, word_which = np.unique(np.concatenate([np.cumsum(_unpack(x, m, np.uint64), dtype=np.uint64) for x, m in zip(b, ms)]), return_inverse=True)
+    words, word_which = np.unique(np.concatenate([np.cumsum(unpack(x, m, np.uint64), dtype=np.uint64) for x, m in zip(b, ms)]), return_inverse=True)
     times = np.bincount(word_which, np.concatenate([q[2 * n :] for q, n in zip(questions, ns)]), len(words)).astype(np.int64)
     # Words and n-grams share the segment; a word's key is moved out of the range of the n-grams.
-    of_words = _low(words, bits) | np.uint32(1 << LOW_BITS)
+    of_words = low_of(words, bits) | np.uint32(1 << LOW_BITS)
     array = filled(np.concatenate([keys, of_words]), np.concatenate([counts, times]), room)
     level, word_level = probe(array, keys)[which], probe(array, of_words)[word_which]
     found, rows, at, p = times[word_which], [], 0, 0
     for number, mark, n, m in zip(numbers, marks, ns, ms):
-        rows.append((s, number, mark, n, m, _pack(level[at : at + n]), _pack(word_level[p : p + m]), _pack(found[p : p + m]), 0, 0))
+        rows.append((s, number, mark, n, m, pack(level[at : at + n]), pack(word_level[p : p + m]), pack(found[p : p + m]), 0, 0))
         at, p = at + n, p + m
     rows[0] = (*rows[0][:-2], int(times.sum()), int((times > 0).sum()))
-    return _batch(rows, ANSWER)
+    return record_batch(rows, ANSWER)
 
 
 def _solved(own: pa.Table, answers: pa.Table, trained: int, types: int, order: int) -> pa.Table:
     """The rows of one group: its tokens meet the answers of all segments."""
-    group, answers = own.drop_columns(["ids", "held"]).to_pylist()[0], answers.sort_by("segment").to_pylist()
-    if {r["mark"] for r in answers} != {group["mark"]}:
-        raise ValueError("the rows of the table come in another order each time it is read; write it before it is scored")
-    every = lambda c, n, kind: np.concatenate([_unpack(r[c], r[n], kind) for r in answers])
-    packed = _unpack(group["a"], group["m"] + group["n"], np.uint32)
-    tokens = Tokens(packed[group["m"] :], np.concatenate([[0], np.cumsum(packed[: group["m"]], dtype=np.int64)]), np.frombuffer(group["b"], np.uint64))
+    tokens, answers = met(own, answers, ["ids", "held"])
+    every = lambda c, n, kind: np.concatenate([unpack(r[c], r[n], kind) for r in answers])
     grams, inside = tokens.grams(order)
     levels = np.zeros(grams.shape, np.uint8)
     levels[inside] = every("a", "n", np.uint8)[np.unique(grams[inside], return_inverse=True)[1]]
@@ -227,19 +156,13 @@ def _solved(own: pa.Table, answers: pa.Table, trained: int, types: int, order: i
     words, counts = np.empty(len(by), np.uint8), np.empty(len(by), np.int64)
     words[by], counts[by] = every("b", "m", np.uint8), every("c", "m", np.int64)
     count, real = counts[tokens.ids], tokens.nth > 0
-    total = lambda x: np.bincount(tokens.of, np.where(real, x, 0), group["m"])
+    total = lambda x: np.bincount(tokens.of, np.where(real, x, 0), len(tokens.starts) - 1)
     n = total(1).astype(np.int64)
     base = total(np.log10(count + 0.1)) - n * math.log10(trained + 0.1 * (types + 1))
     ids, held = (own.column(c).combine_chunks()[0].values for c in ("ids", "held"))
     return pa.table({"id": ids, "held_out": held, "n_tokens": n, "n_known": total(count > 0).astype(np.int64), "base_score": base, "score": log_probabilities(tokens, words, levels, trained, types)})
 
 
-def repeatable(df: DataFrame) -> bool:
-    """Whether the plan only reads, picks and filters rows, so that each run gives the same order."""
-    lines = df._jdf.queryExecution().sparkPlan().toString().splitlines()
-    return all(REPEATABLE.match(line.lstrip(" :+-")) for line in lines if line.strip())
-
-
 def score(docs: DataFrame, learnt: Column, id_col: str = "doc_id", text: str = "text", order: int = ORDER, room: int = ROOM) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row per row of docs.
 
@@ -261,12 +184,8 @@ def score(docs: DataFrame, learnt: Column, id_col: str = "doc_id", text: str = "
     given = given if repeatable(given) else materialize(given, "lm-texts")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table, tokens, mark in _groups(batches):
-            often = np.argsort(-np.bincount(tokens.ids, minlength=len(tokens.hashes)), kind="stable")  # small numbers for frequent words
-            rank = np.empty(len(often), np.uint32)
-            rank[often] = np.arange(len(often))
-            packed = _pack(np.concatenate([np.diff(tokens.starts).astype(np.uint32), rank[tokens.ids]]))
-            whole = _batch([(number, mark, len(tokens.ids), table.num_rows, packed, tokens.hashes[often].tobytes())], "number long, mark long, n long, m long, a binary, b binary")
+        for number, table, tokens in read_groups(batches, True):
+            whole = record_batch([tokens.packed(number)], OWN)
             ids, held = pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)), pa.array([[not x for x in table.column("learnt").to_pylist()]])
             yield pa.RecordBatch.from_arrays([*whole.columns, ids, held], names=[*whole.schema.names, "ids", "held"])
 
@@ -274,9 +193,9 @@ def score(docs: DataFrame, learnt: Column, id_col: str = "doc_id", text: str = "
     answers = materialize(per_segment(asked, lambda s, columns: _segment(s, columns, bits, room), ANSWER), "lm-answers")
     free_shuffles(spark)
     trained, types = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    groups = given.mapInArrow(tidy(own), f"number long, mark long, n long, m long, a binary, b binary, ids array<{kind}>, held array<boolean>")
-    met = groups.groupBy("number").cogroup(answers.drop("tokens", "types").groupBy("number"))
-    out = met.applyInArrow(lambda a, b: _solved(a, b, trained, types, order), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    groups = given.mapInArrow(tidy(own), f"{OWN}, ids array<{kind}>, held array<boolean>")
+    both = groups.groupBy("number").cogroup(answers.drop("tokens", "types").groupBy("number"))
+    out = both.applyInArrow(lambda a, b: _solved(a, b, trained, types, order), f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -15,10 +15,10 @@ def queries() -> dict:
         "op6_jaccard_join": jaccard.query,
         "op7_sharding": sharding.query,
         "op8_quality": quality.query,
-        "op9_substring_dedup": substring_dedup.query,
+        "op6_jaccard_join": jaccard.SQL, "op9_substring_dedup": substring_dedup.query,
         "op10_toxicity": toxicity.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op3_exact_dedup": exact_dedup.SQL, "op9_substring_dedup": substring_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_jaccard_join": jaccard.SQL, "op9_substring_dedup": substring_dedup.SQL}
