@@ -48,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SegmentFilter, cut_segments, free_shuffles, grouped_batches, input_bytes, intern_words, low_bits, materialize, mix64, ngram_hashes, partitions, per_segment, read_table, segment_bits, small_batches, texts, tidy, word_hashes
+from .common import SegmentFilter, cut_segments, free_shuffles, grouped_batches, input_bytes, intern_words, low_bits, materialize, mix64, partitions, per_segment, read_table, segment_bits, small_batches, texts, tidy, word_hashes
 
 #: Words of a window and of the shortest prefix.
 WINDOW, PREFIX = 35, 8
@@ -32,7 +32,7 @@ WINDOW, PREFIX = 35, 8
 BITS_PER_BYTE, LEAST_BITS, MOST_BITS, HOT_BITS = 0.05, 1 << 24, 1 << 30, 1 << 23
 #: Different suffixes that one prefix may have before it grows, and that a subtree task holds at once
 #: (about half a kilobyte each, and some ten times that while it sorts).
-MOST_SUFFIXES, HELD = 2_000, 8_000
+MOST_SUFFIXES, HELD = 1_500, 8_000
 #: The base of the hashes of word ranges, and its inverse modulo 2**64.
 RADIX = 0xD1342543DE82EF95
 INVERSE = pow(RADIX, -1, 1 << 64)
@@ -46,22 +46,23 @@ def lengths(window: int, prefix: int) -> list[int]:
     return out
 
 
-def owners(hashes: np.ndarray, starts: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of all windows, anchor of each)."""
-    grams, at = ngram_hashes(hashes, starts, prefix)
-    h = np.full(len(hashes) + window, np.iinfo(np.uint64).max, np.uint64)
-    h[at] = grams
-    left = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(hashes))
+def owners(grams: np.ndarray, starts: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of all windows, anchor of each): grams has a hash for every position that has one.
+
+    The place stands in the last bits of a hash, so that the least of a window names its anchor, the
+    first of equals. Minima of longer stretches come from those of half the length.
+    """
+    left = np.repeat(starts[1:], np.diff(starts)) - np.arange(starts[-1])
     x = np.flatnonzero(left >= window)
     if not len(x):
         return x, x
-    view = np.lib.stride_tricks.sliding_window_view(h, window - prefix + 1)
-    own = np.empty(len(x), np.int64)
-    for a in range(0, len(x), 1 << 16):
-        part = x[a : a + (1 << 16)]
-        lo, hi = part[0], part[-1] + 1
-        own[a : a + len(part)] = (view[lo:hi].argmin(axis=1) + np.arange(lo, hi))[part - lo] if hi - lo <= 4 * len(part) else view[part].argmin(axis=1) + part
-    return x, own
+    places = np.uint64((1 << len(grams).bit_length()) - 1)
+    least, reach, span = grams & ~places | np.arange(len(grams), dtype=np.uint64), window - prefix + 1, 1
+    while span < reach:
+        step = min(span, reach - span)
+        least = np.minimum(least[:-step], least[step:])
+        span += step
+    return x, (least[x] & places).astype(np.int64)
 
 
 class Suffixes:
@@ -71,13 +72,14 @@ class Suffixes:
         ids, self.starts, words = intern_words(docs)
         hashes = word_hashes(words)[ids] if len(words) else np.zeros(0, np.uint64)
         self.window = window
-        x, own = owners(hashes, self.starts, window, prefix)
-        new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(x) else x
-        self.first_level = (own[new], x[new], np.diff(np.concatenate([new, [len(x)]])))
         with np.errstate(over="ignore"):
             powers = lambda base: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(hashes), base, np.uint64)]))
             power, self.back = powers(RADIX), powers(INVERSE)
             self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)])
+        at = np.arange(max(0, len(hashes) - prefix + 1))
+        x, own = owners(self.range_hash(at, at + prefix), self.starts, window, prefix)
+        new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(x) else x
+        self.first_level = (own[new], x[new], np.diff(np.concatenate([new, [len(x)]])))
 
     def range_hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A hash of the words from a to b."""
@@ -105,60 +107,72 @@ class Suffixes:
         return np.concatenate([anchor[some], anchor[own]]), np.concatenate([right[some], single]), np.concatenate([near[some], np.ones(len(own), np.int64)]), np.concatenate([shared, mix64(apart)])
 
     def levels(self, hot: list[SegmentFilter], sizes: list[int]) -> Iterator[tuple]:
-        """Level by level the suffixes whose shorter prefixes all had to grow, and which of them stay there."""
+        """Level by level the suffixes whose shorter prefixes all had to grow, and which of them stay there.
+
+        hot tells which prefixes of a level must grow; where it ends, all of them do.
+        """
         level = self.first_level
-        for k, size in enumerate(sizes[: len(hot) + 1]):
+        for k, size in enumerate(sizes):
             anchor, first, count, key = self.keyed(level, size)
-            grows = hot[k].has(key) if k < len(hot) and len(key) else np.zeros(len(key), np.bool_)
+            grows = np.full(len(key), k < len(sizes) - 1) if k >= len(hot) else hot[k].has(key) if len(key) else np.zeros(0, np.bool_)
             yield anchor, first, count, key, ~grows
             level = (anchor[grows], first[grows], count[grows])
 
 
-def _counted(docs: DataFrame, text: str, window: int, prefix: int, hot: list[SegmentFilter], most: int, bits: int, each: int) -> list:
-    """For each segment of prefix hashes at the level after those in hot: bits of the repeated prefixes and of those with too many suffixes."""
+def _counted(docs: DataFrame, text: str, window: int, prefix: int, hot: list[SegmentFilter], levels: list[int], most: int, bits: int, each: int) -> list:
+    """For each segment of prefix hashes of these levels: bits of the repeated ones, and for each level of those with too many suffixes."""
     sizes = lengths(window, prefix)
     held = docs.sparkSession.sparkContext.broadcast(hot)
-    last = len(hot) == len(sizes) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_batches(batches, text):
             suffixes = Suffixes([v.split() for v in texts(table.column(0).combine_chunks())], window, prefix)
-            *_, (_, first, n, key, _) = suffixes.levels(held.value, sizes)
-            if not len(key):
-                continue
-            # Equal suffixes of a prefix are one row with a count.
-            order = np.lexsort((body := suffixes.body_hash(first, n), key))
-            key, body = key[order], body[order]
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (body[1:] != body[:-1])]))
-            times, key, body = np.diff(np.concatenate([new, [len(key)]])).astype(np.uint32), key[new], (body[new] >> np.uint64(32)).astype(np.uint32)
-            edges, low = cut_segments(key, bits), low_bits(key, bits)
-            rows = [(s, low[a:b].tobytes(), body[a:b].tobytes(), times[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["segment", "low", "body", "times"])
+            rows = []
+            for level, (_, first, n, key, _) in enumerate(suffixes.levels(held.value, sizes[: levels[-1] + 1])):
+                if level not in levels or not len(key):
+                    continue
+                # Equal suffixes of a prefix are one row with a count.
+                order = np.lexsort((body := suffixes.body_hash(first, n), key))
+                key, body = key[order], body[order]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (body[1:] != body[:-1])]))
+                times, key, body = np.diff(np.concatenate([new, [len(key)]])).astype(np.uint32), key[new], (body[new] >> np.uint64(32)).astype(np.uint32)
+                edges, low = cut_segments(key, bits), low_bits(key, bits)
+                rows += [(s, level, low[a:b].tobytes(), body[a:b].tobytes(), times[a:b].tobytes()) for s, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["segment", "level", "low", "body", "times"])
 
     def build(s: int, lists: list) -> pa.RecordBatch:
-        low, body, times = (np.concatenate([np.frombuffer(x, np.uint32) for x in column]) for column in lists)
-        keys, which = np.unique(low, return_inverse=True)
-        again = keys[np.bincount(which, times) > 1]
-        different = np.unique(which.astype(np.uint64) << np.uint64(32) | body) >> np.uint64(32)
-        many = keys[np.bincount(different.astype(np.int64)) > most] if not last else keys[:0]
-        data = [SegmentFilter.build(again, each), SegmentFilter.build(many, HOT_BITS >> bits) if len(many) else b""]
-        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=["segment", "again", "many"])
+        again, many = [], []
+        for level in sorted(set(lists[0])):
+            low, body, times = (np.concatenate([np.frombuffer(x, np.uint32) for x, at in zip(column, lists[0]) if at == level]) for column in lists[1:])
+            keys, which = np.unique(low, return_inverse=True)
+            again.append(keys[np.bincount(which, times) > 1])
+            different = np.unique(which.astype(np.uint64) << np.uint64(32) | body) >> np.uint64(32)
+            grows = keys[np.bincount(different.astype(np.int64)) > most]
+            if len(grows) and sizes[level] < window:
+                many.append({"level": level, "bits": SegmentFilter.build(grows, HOT_BITS >> bits)})
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([SegmentFilter.build(np.concatenate(again), each)], pa.binary()), pa.array([many], pa.list_(pa.struct([("level", pa.int32()), ("bits", pa.binary())])))], names=["segment", "again", "many"])
 
-    counted = docs.select(text).mapInArrow(tidy(count), "segment int, low binary, body binary, times binary")
-    return per_segment(counted, build, "segment int, again binary, many binary").collect()
+    counted = docs.select(text).mapInArrow(tidy(count), "segment int, level int, low binary, body binary, times binary")
+    return per_segment(counted, build, "segment int, again binary, many array<struct<level:int,bits:binary>>").collect()
 
 
 def filters(docs: DataFrame, text: str, window: int, prefix: int, most: int, filter_bits: int) -> tuple[SegmentFilter, list[SegmentFilter]]:
-    """(the prefixes of two suffixes or more, for each length those with too many different suffixes)."""
-    bits = segment_bits(docs, most=14)
+    """(the prefixes of two suffixes or more, for each length those with too many different suffixes).
+
+    The first pass counts the shortest prefixes. Where some must grow, a second pass counts the longer
+    prefixes of their suffixes, all lengths at once.
+    """
+    bits, sizes = segment_bits(docs, most=14), lengths(window, prefix)
     again, hot = SegmentFilter([], bits, filter_bits), []
-    while len(hot) < len(lengths(window, prefix)):
-        rows = _counted(docs, text, window, prefix, hot, most, bits, again.each)
+    for levels in ([0], list(range(1, len(sizes)))):
+        rows = _counted(docs, text, window, prefix, hot, levels, most, bits, again.each)
         again.array |= SegmentFilter([(r.segment, r.again) for r in rows], bits, filter_bits).array
-        if not any(r.many for r in rows):
+        many = [(x.level, r.segment, x.bits) for r in rows for x in r.many]
+        if not many:
             break
-        hot.append(SegmentFilter([(r.segment, r.many) for r in rows if r.many], bits, HOT_BITS))
-    return again, hot
+        hot += [SegmentFilter([(s, x) for at, s, x in many if at == level], bits, HOT_BITS) for level in levels]
+    return again, hot + [SegmentFilter([], bits, HOT_BITS)] * (len(sizes) - len(hot))
 
 
 #: Kinds of rows of the last pass over the texts: a document without repeats, one that may have some,
