@@ -128,13 +128,15 @@ def boundary(scan: float, percent: int) -> int:
             return n - 1
 
 
-def keys_of(items: np.ndarray, z: int, light: int, percent: int) -> np.ndarray:
-    """Hashes under which a set is listed: subsets if it is light, rarest shingles if it may meet a heavy one.
+def keys_of(items: np.ndarray, z: int, light: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes under which a set is listed, their places): subsets if it is light, rarest shingles if it may meet a heavy one.
 
-    items: rarest first, the first z of them in no other set, so that they lead nowhere.
+    items: rarest first, the first z of them in no other set, so that they lead nowhere. The place of a
+    shingle is the number of rarer ones: sets whose first common shingle has a late place have too few
+    others to share. Subsets have place 0.
     """
     n = len(items)
-    out = []
+    out, places = [], []
     if n <= light:
         for d in range(n - need(n, percent) + 1):
             for left in itertools.combinations(range(n), d):
@@ -142,22 +144,22 @@ def keys_of(items: np.ndarray, z: int, light: int, percent: int) -> np.ndarray:
                 with np.errstate(over="ignore"):
                     out.append(mix64(np.array([kept.sum() + np.uint64(len(kept))], np.uint64) ^ np.bitwise_xor.reduce(mix64(kept)))[0])
     if n >= need(light + 1, percent):
-        out.extend(items[z : n - need(n, percent) + 1].tolist())
-    return np.array(out, np.uint64)
+        places = range(z, n - need(n, percent) + 1)
+    return np.concatenate([np.array(out, np.uint64), items[list(places)]]), np.array([0] * len(out) + list(places), np.int64)
 
 
 def _listed(classes: DataFrame, light: int, percent: int) -> DataFrame:
-    """(key, class, n): the lists."""
+    """(key, class, n, place): the lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [keys_of(np.frombuffer(x, np.uint64), z, light, percent) for x, z in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())]
-            counts = [len(x) for x in keys]
-            key = np.concatenate(keys).view(np.int64) if sum(counts) else np.zeros(0, np.int64)
+            counts = [len(x) for x, _ in keys]
+            key, place = (np.concatenate([np.zeros(0, t), *(pair[c] for pair in keys)]) for c, t in ((0, np.uint64), (1, np.int64)))
             repeated = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts), pa.int64()) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(key), *repeated], names=["key", "class", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *repeated, pa.array(place)], names=["key", "class", "n", "place"])
 
-    keys = classes.select("class", "n", "z", "items").mapInArrow(tidy(run), "key long, class long, n long")
+    keys = classes.select("class", "n", "z", "items").mapInArrow(tidy(run), "key long, class long, n long, place long")
     return materialize(keys, "jaccard-keys")
 
 
@@ -192,8 +194,9 @@ class Balls:
     def add(self, k: int, items: np.ndarray) -> list[int]:
         """Earlier sets that set k links to, one at most for each component that it didn't hang together with."""
         found: list[int] = []
-        hits = [x for e in items.tolist() for x in self.lists.get(e, ())]
-        near, common = np.unique(np.array(hits, np.int64), return_counts=True)
+        shared = np.bincount([x for e in items.tolist() for x in self.lists.get(e, ())], minlength=len(self.leaders))
+        near = np.flatnonzero(shared)
+        common = shared[near]
         union = len(items) + np.array(self.sizes, np.int64)[near] - common
         direct = 100 * common >= self.percent * union
         for at in near[direct].tolist():
@@ -233,8 +236,8 @@ def linked(classes: list[int], sets: list[np.ndarray], roots: list[int], percent
 
 
 def _live(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, class, n, root): what is listed in lists whose members are in several components."""
-    named = keys.withColumn("root", F.col("class")) if roots is None else keys.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", "n", F.coalesce("root", "class").alias("root"))
+    """(key, class, n, place, root): what is listed in lists whose members are in several components."""
+    named = keys.withColumn("root", F.col("class")) if roots is None else keys.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", "n", "place", F.coalesce("root", "class").alias("root"))
     lists = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(F.col("key").alias("k"))
     return materialize(named.join(lists, F.col("key") == F.col("k")).drop("k"), "jaccard-live")
 
@@ -272,9 +275,13 @@ def _gathered(classes: DataFrame, live: DataFrame, percent: int, seed: int) -> D
 
 
 def _verified(classes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the links among all pairs of a list that are in different components and of sizes that can link."""
-    other = live.select(F.col("key").alias("k"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
-    fits = (F.col("key") == F.col("k")) & (F.col("root") < F.col("r")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    """(a, b): the links among all pairs of a list that are in different components.
+
+    A pair is left out where the key can't be the first that linked sets have in common: then its place
+    in both leaves enough shingles for the intersection that sets of these sizes need.
+    """
+    other = live.select(F.col("key").alias("k"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"), F.col("place").alias("q"))
+    fits = (F.col("key") == F.col("k")) & (F.col("root") < F.col("r")) & ((100 + percent) * F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q")) >= percent * (F.col("n") + F.col("m")))
     pairs = live.join(other, fits).select(F.col("class").alias("a"), "b").distinct()
     sets = lambda c: classes.select(F.col("class").alias(f"{c}{c}"), F.col("items").alias(f"{c}s"))
     met = pairs.join(sets("a"), F.col("a") == F.col("aa")).join(sets("b"), F.col("b") == F.col("bb")).select("a", "b", F.col("as").alias("x"), F.col("bs").alias("y"))
