@@ -27,6 +27,8 @@ from .common import cut_segments, discard, free_shuffles, materialize, mix64, pe
 from .components import components
 from .groups import LOW_BITS, OWN, SEGMENT_BYTES, Tokens, low_of, met, pack, read_groups, record_batch, repeatable, unpack
 
+#: Sizes in one cell of a list differ by less than this factor.
+STEP = 1.05
 #: Members that one task covers with balls at once; a hub with more is dealt to several.
 PART = 128
 #: Rounds of hubs go on while the pairs that are left number more than this times the members, and halve.
@@ -163,6 +165,24 @@ def _listed(classes: DataFrame, light: int, percent: int) -> DataFrame:
     return materialize(keys, "jaccard-keys")
 
 
+def _cells(keys: DataFrame, percent: int) -> DataFrame:
+    """(key, cell, class, n, most, probe): lists of two members or more, cut by the sizes of sets.
+
+    A set looks for sets of its size and smaller ones (probe), and lies at its own size for larger
+    ones to find. most is the largest set that it can link to if the key is the first that both have in
+    common, as a late place leaves few shingles to share; what can link to nothing is left out.
+    """
+    lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("k"))
+    met = keys.join(lists, F.col("key") == F.col("k")).select("key", "class", "n", F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent - F.col("n")).alias("most"))
+    cell = lambda x: F.floor(F.log(x.cast("double")) / math.log(STEP)).cast("int")
+    least, up = F.ceil(F.col("n") * percent / 100), F.least("n", "most")
+    own = F.when(F.col("most") >= F.col("n"), F.array(F.struct(cell(F.col("n")).alias("cell"), F.lit(False).alias("probe"))))
+    looks = F.when(up >= least, F.transform(F.sequence(cell(least), cell(up)), lambda x: F.struct(x.alias("cell"), F.lit(True).alias("probe"))))
+    none = F.slice(F.array(F.struct(F.lit(0).alias("cell"), F.lit(True).alias("probe"))), 1, 0)
+    out = met.select("key", "class", "n", "most", F.explode(F.concat(F.coalesce(own, none), F.coalesce(looks, none))).alias("c"))
+    return materialize(out.select("key", "c.cell", "class", "n", "most", "c.probe"), "jaccard-cells")
+
+
 class Balls:
     """Sets that were compared: leaders, and round each leader the sets that link to it.
 
@@ -235,30 +255,32 @@ def linked(classes: list[int], sets: list[np.ndarray], roots: list[int], percent
     return [(classes[k], classes[other]) for k in sorted(range(len(sets)), key=lambda k: (len(sets[k]), classes[k])) for other in balls.add(k, sets[k])]
 
 
-def _live(keys: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, class, n, place, root): what is listed in lists whose members are in several components."""
-    named = keys.withColumn("root", F.col("class")) if roots is None else keys.join(roots, F.col("class") == F.col("node"), "left").select("key", "class", "n", "place", F.coalesce("root", "class").alias("root"))
-    lists = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select(F.col("key").alias("k"))
-    return materialize(named.join(lists, F.col("key") == F.col("k")).drop("k"), "jaccard-live")
+def _live(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The cells, with the root of every class, in which sets of different components may find each other."""
+    named = cells.withColumn("root", F.col("class")) if roots is None else cells.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
+    found = named.groupBy("key", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.bool_or("probe").alias("p"), F.bool_and("probe").alias("q")).filter("a <> b AND p AND NOT q")
+    found = found.select(F.col("key").alias("k"), F.col("cell").alias("c"))
+    return materialize(named.join(found, (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c"))).drop("k", "c"), "jaccard-live")
 
 
-def _left(live: DataFrame) -> tuple[int, int]:
-    """(members, pairs in different components) of the lists, counted and not made."""
-    parts = live.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("s"), F.sum((F.col("m") * F.col("m")).cast("double")).alias("q"))
-    s, pairs = parts.agg(F.sum("s"), F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()
-    return s or 0, pairs or 0
+def _left(live: DataFrame) -> tuple[int, float]:
+    """(members, pairs of different components) of the cells, counted and not made."""
+    p, q = F.sum(F.col("probe").cast("double")), F.sum((~F.col("probe")).cast("double"))
+    parts = live.groupBy("key", "cell", "root").agg(p.alias("p"), q.alias("q")).groupBy("key", "cell").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * F.col("q")).alias("same"))
+    members, pairs = parts.agg(F.sum(F.col("p") + F.col("q")), F.sum(F.col("p") * F.col("q") - F.col("same"))).first()
+    return members or 0, pairs or 0
 
 
 def _gathered(classes: DataFrame, live: DataFrame, percent: int, seed: int) -> DataFrame:
-    """(a, b): links found by gathering classes under the hubs of their lists, PART at a time with the hub itself.
+    """(a, b): links found by gathering classes under the hubs of their cells, PART at a time with the hub itself.
 
-    The hub of a list is its member of least seeded hash, and a class goes to the least of its hubs,
-    so near copies, which share most lists, come together, each set once. What is missed here is found
+    The hub of a cell is its member of least seeded hash, and a class goes to the least of its hubs,
+    so near copies, which share most cells, come together, each set once. What is missed here is found
     in another round or by the pairs that are left.
     """
     order = lambda c: F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("hub"))
-    hubs = live.groupBy("key").agg(F.min(order("class")).alias("o")).select(F.col("key").alias("k"), "o")
-    under = live.join(hubs, F.col("key") == F.col("k")).groupBy("class", "root").agg(F.min("o").alias("o")).select("class", "root", F.col("o.hub").alias("hub"))
+    hubs = live.groupBy("key", "cell").agg(F.min(order("class")).alias("o")).select(F.col("key").alias("k"), F.col("cell").alias("c"), "o")
+    under = live.join(hubs, (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c"))).groupBy("class", "root").agg(F.min("o").alias("o")).select("class", "root", F.col("o.hub").alias("hub"))
     sizes = under.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).select(F.col("hub").alias("h"), "parts")
     dealt = under.join(sizes, F.col("hub") == F.col("h")).withColumn("part", F.pmod(F.xxhash64(F.lit(seed + 1), "class"), "parts").cast("int"))
     # The hub goes to every part, so that parts of the same near copies hang together.
@@ -275,14 +297,10 @@ def _gathered(classes: DataFrame, live: DataFrame, percent: int, seed: int) -> D
 
 
 def _verified(classes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the links among all pairs of a list that are in different components.
-
-    A pair is left out where the key can't be the first that linked sets have in common: then its place
-    in both leaves enough shingles for the intersection that sets of these sizes need.
-    """
-    other = live.select(F.col("key").alias("k"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"), F.col("place").alias("q"))
-    fits = (F.col("key") == F.col("k")) & (F.col("root") < F.col("r")) & ((100 + percent) * F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q")) >= percent * (F.col("n") + F.col("m")))
-    pairs = live.join(other, fits).select(F.col("class").alias("a"), "b").distinct()
+    """(a, b): the links among all pairs of a cell that are in different components and of sizes that can link."""
+    lies = live.filter("NOT probe").select(F.col("key").alias("k"), F.col("cell").alias("c"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("most").alias("o"), F.col("root").alias("r"))
+    fits = (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c")) & (F.col("root") != F.col("r")) & (F.col("m") <= F.least("n", "most")) & (F.col("n") <= F.col("o")) & (100 * F.col("m") >= percent * F.col("n"))
+    pairs = live.filter("probe").join(lies, fits).select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
     sets = lambda c: classes.select(F.col("class").alias(f"{c}{c}"), F.col("items").alias(f"{c}s"))
     met = pairs.join(sets("a"), F.col("a") == F.col("aa")).join(sets("b"), F.col("b") == F.col("bb")).select("a", "b", F.col("as").alias("x"), F.col("bs").alias("y"))
 
@@ -300,9 +318,10 @@ def _verified(classes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
 def links(classes: DataFrame, light: int, percent: int) -> DataFrame:
     """(node, root) of the classes that link to others, by (class, n, z, items)."""
     keys = _listed(classes, light, percent)
+    cells = _cells(keys, percent)
     found, roots, before = None, None, math.inf
     for seed in itertools.count(0, 2):
-        live = _live(keys, roots)
+        live = _live(cells, roots)
         members, pairs = _left(live)
         if pairs <= FEW * members or (seed and pairs > before / 2):
             break
