@@ -1,6 +1,8 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark windows.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark texts.
 
-A text is normalised and scanned once; every hit is mapped back to bytes of the original text.
+A text is normalised and scanned once; a hit of half a window is followed to both sides as far as the
+words of text and item agree, and what is a window long or longer is mapped back to bytes of the
+original text.
 """
 
 from __future__ import annotations
@@ -16,58 +18,69 @@ from .common import discard, materialize, read_table, small_batches, texts, tidy
 
 #: Words of a window.
 WINDOW = 10
-#: Benchmark text that one automaton holds; a larger benchmark is taken in blocks of that size.
+#: Benchmark text that one automaton holds (about 30 bytes of memory each); a larger benchmark is taken
+#: in blocks of that size.
 BLOCK_BYTES = 4 << 20
+#: Numbers the rows where there are several blocks.
+ROW = "row number of the scan"
 
 #: Byte to byte: A-Z in lower case, digits, a-z and all bytes of non-ASCII characters as they are,
 #: everything else a space. Lengths don't change, so offsets are those of the original.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(FOLD).split(b" ")
-
-
-def windows(text: bytes, window: int = WINDOW) -> list[bytes]:
-    """The windows of an item, words joined by one space; a shorter item is one window."""
-    words = [w for w in words_of(text) if w]
-    if len(words) <= window:
-        return [b" ".join(words)] if words else []
-    return list(dict.fromkeys(b" ".join(words[k : k + window]) for k in range(len(words) - window + 1)))
-
-
 def automaton(items: list[tuple], window: int = WINDOW):
-    """An automaton whose values are (words of the window, numbers of the items that have it)."""
+    """An automaton of anchors: every window of an item holds one of the item's anchors whole.
+
+    An anchor is half a window, from every place where one is needed; an item of fewer words than a
+    window is an anchor itself. Values are (words of the anchor, [(number of the item, place in it)]).
+    The automaton has some 5 nodes for each word of the items; whole windows would take 75.
+    """
     import ahocorasick
 
-    found: dict[bytes, list[int]] = {}
+    size, found, held = window - window // 2, {}, []
     for k, (_, text) in enumerate(items):
-        for w in windows(text, window):
-            found.setdefault(w, []).append(k)
+        words = text.translate(FOLD).split()
+        held.append(words)
+        whole = len(words) < window
+        for p in range(0, 1 if whole else len(words) - size + 1, window - size + 1):
+            if words:
+                found.setdefault(b" ".join(words if whole else words[p : p + size]), []).append((k, p))
     machine = ahocorasick.Automaton()
-    for w, numbers in found.items():
-        machine.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, numbers))
+    for anchor, places in found.items():
+        machine.add_word(f" {anchor.decode('latin-1')} ", (anchor.count(b" ") + 1, places))
     if found:
         machine.make_automaton()
-    return machine if found else None
+    return (machine, held) if found else None
 
 
-def scan(machine, text: bytes) -> tuple[int, np.ndarray, set[int]]:
+def scan(machine, text: bytes, window: int = WINDOW) -> tuple[int, np.ndarray, set[int]]:
     """(words, covered words as a mask or empty, numbers of the items with windows in the text)."""
     words = text.translate(FOLD).split()
     if not words or machine is None:
         return len(words), np.zeros(0, np.bool_), set()
     line = b" " + b" ".join(words) + b" "
-    hits = list(machine.iter(line.decode("latin-1")))
+    hits = list(machine[0].iter(line.decode("latin-1")))
     if not hits:
         return len(words), np.zeros(0, np.bool_), set()
     ends = np.cumsum([len(w) + 1 for w in words])  # the space after each word
-    mask, items = np.zeros(len(words), np.bool_), set()
+    mask, items, done = np.zeros(len(words), np.bool_), set(), {}
     last = np.searchsorted(ends, [end for end, _ in hits])
-    for at, (_, (n, numbers)) in zip(last.tolist(), hits):
-        mask[at - n + 1 : at + 1] = True
-        items.update(numbers)
-    return len(words), mask, items
+    for at, (_, (n, places)) in zip(last.tolist(), hits):
+        for k, p in places:
+            start, item = at - n + 1, machine[1][k]
+            if done.get((k, start - p), 0) > at:
+                continue  # this run of equal words was seen from an earlier anchor
+            a, b = start, at + 1
+            while a and a > start - p and words[a - 1] == item[p - start + a - 1]:
+                a -= 1
+            while b < len(words) and p + b - start < len(item) and words[b] == item[p + b - start]:
+                b += 1
+            done[k, start - p] = b
+            if b - a >= min(window, len(item)):
+                mask[a:b] = True
+                items.add(k)
+    return len(words), mask, items if mask.any() else set()
 
 
 def original_spans(text: bytes, mask: np.ndarray) -> list[tuple[int, int]]:
@@ -97,14 +110,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
 
     items: sorted ids (as strings) of the benchmark items with a window in the text. spans: byte
     ranges of the original UTF-8 text that the hit words take. Null texts have no words. Items of no
-    words match nothing; those of null id give hits and spans, but no id in items. Repeated documents are rows of their own: if the benchmark takes
-    more than one block, rows are numbered once in the shared folder and blocks are merged by the number.
-    Empty tables: an empty benchmark leaves every document clean.
+    words match nothing; those of null id give hits and spans, but no id in items. Rows with null or
+    repeated ids are rows of their own: if the benchmark takes more than one block, rows are numbered
+    once in the shared folder and blocks are merged by the number. Further columns of any name don't
+    matter. An empty benchmark leaves every document clean, no documents give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = lambda more: f"`{id_col}` {kind}, {''.join(f'{c} long, ' for c in more)}n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>, words array<struct<start:long,stop:long>>"
+    schema = lambda more: f"`{id_col}` {kind}, {''.join(f'`{c}` long, ' for c in more)}n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>, words array<struct<start:long,stop:long>>"
 
     def scanned(block: list[tuple], rows: DataFrame, more: tuple = ()) -> DataFrame:
         held = spark.sparkContext.broadcast(block)
@@ -115,7 +129,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
             for batch in batches:
                 out = []
                 for value in texts(batch.column(1)):
-                    n, mask, numbers = scan(machine, value)
+                    n, mask, numbers = scan(machine, value, window)
                     spans = original_spans(value, mask) if numbers else []
                     run_edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).reshape(-1, 2).tolist() if numbers else []
                     out.append((n, int(mask.sum()), sorted({items[k][0] for k in numbers} - {None}), spans, run_edges))
@@ -131,9 +145,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
     more = next(blocks, None)
     if more is None:
         return scanned(first, docs).drop("words")
-    numbered = materialize(docs.select(id_col, text, F.monotonically_increasing_id().alias("__row")), "scan-rows")
-    parts = [materialize(scanned(b, numbered, ("__row",)), "scan-block") for b in (first, more)]
-    parts += [materialize(scanned(b, numbered, ("__row",)), "scan-block") for b in blocks]
+    numbered = materialize(docs.select(id_col, text, F.monotonically_increasing_id().alias(ROW)), "scan-rows")
+    parts = [materialize(scanned(b, numbered, (ROW,)), "scan-block") for b in (first, more)]
+    parts += [materialize(scanned(b, numbered, (ROW,)), "scan-block") for b in blocks]
     discard(numbered)
     return _joined(parts, id_col)
 
@@ -144,7 +158,7 @@ def _joined(parts: list[DataFrame], id_col: str) -> DataFrame:
     for part in parts[1:]:
         every = every.unionByName(part)
     merged = lambda c: _merge_spans(F.sort_array(F.flatten(F.collect_list(c))))
-    out = every.groupBy("__row").agg(F.first(id_col).alias(id_col), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged("spans").alias("spans"), merged("words").alias("__w"))
+    out = every.groupBy(ROW).agg(F.first(id_col).alias(id_col), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged("spans").alias("spans"), merged("words").alias("__w"))
     n_hit = F.aggregate("__w", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
     return out.select(id_col, "n_words", n_hit.alias("n_hit"), "items", "spans")
 
@@ -167,29 +181,41 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with the hit words cut out of their texts; all other columns as they were."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents with the hit words cut out of their texts; all rows and other columns as they were.
+
+    Hits are judged on the given texts, so nothing that a cut brings together counts. Null texts stay
+    null; rows are told apart by their own numbers, whatever their ids are.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    blocks = list(_blocks(benchmark, "item_id", "text", BLOCK_BYTES))
+    blocks = _blocks(benchmark, "item_id", "text", block_bytes)
+    first = next(blocks)
+    if next(blocks, None) is None:
+        return _cut(docs, text, spark.sparkContext.broadcast(first))
+    row, number, spans = "row number of the cut", "number of the cut", "spans of the cut"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "scan-docs")
+    found = hits(numbered, benchmark, row, text, block_bytes=block_bytes).filter(F.size("spans") > 0)
+    found = found.select(F.col(row).alias(number), F.col("spans").alias(spans))
+    joined = numbered.join(found, F.col(row) == F.col(number), "left")
+    return _cut(joined.select(*docs.columns, spans), text, None).drop(spans)
+
+
+def _cut(docs: DataFrame, text: str, held) -> DataFrame:
+    """Texts without the hits of a block, or without the spans in the last column."""
     at = docs.columns.index(text)
-    for block in blocks:
-        docs = _cleaned(docs, spark.sparkContext.broadcast(block), at)
-    return docs
-
 
-def _cleaned(docs: DataFrame, held, at: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(held.value)
+        machine = automaton(held.value) if held else None
         for batch in batches:
-            out = []
-            for value, given in zip(texts(batch.column(at)), batch.column(at).is_valid().to_pylist()):
-                _, mask, numbers = scan(machine, value)
+            out, given = [], batch.column(at).is_valid().to_pylist()
+            spans = None if held else [[(x["start"], x["stop"]) for x in r or ()] for r in batch.columns[-1].to_pylist()]
+            for k, value in enumerate(texts(batch.column(at))):
                 left, last = [], 0
-                for a, b in original_spans(value, mask) if numbers else []:
+                for a, b in spans[k] if spans is not None else original_spans(value, scan(machine, value)[1]):
                     left.append(value[last:a])
                     last = b
-                out.append(b"".join([*left, value[last:]]).decode() if given else None)
+                out.append(b"".join([*left, value[last:]]).decode() if given[k] else None)
             columns = list(batch.columns)
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
@@ -200,3 +226,20 @@ def _cleaned(docs: DataFrame, held, at: int) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: benchmark passages leave the texts, the documents stay."""
     return clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+#: Windows are compared as strings.
+SQL = rf"""
+WITH w AS (SELECT translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, item_id FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM w),
+v AS (SELECT DISTINCT item, least({WINDOW}, len(ws)) AS n, array_to_string(ws[p:p + least({WINDOW}, len(ws)) - 1], ' ') AS win
+      FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - {WINDOW - 2}, 2))) AS p FROM i WHERE len(ws) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d),
+h AS (SELECT p.doc_id, p.p, v.n, v.item FROM p CROSS JOIN (SELECT DISTINCT n FROM v) s JOIN v ON v.n = s.n AND v.win = array_to_string(p.ws[p.p:p.p + s.n - 1], ' ') WHERE p.p + s.n - 1 <= len(p.ws)),
+c AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS at FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""

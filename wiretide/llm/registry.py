@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_jaccard_join": jaccard.SQL, "op9_substring_dedup": substring_dedup.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op3_exact_dedup": exact_dedup.SQL, "op5_decontamination": decontaminate.SQL, "op6_jaccard_join": jaccard.SQL, "op9_substring_dedup": substring_dedup.SQL}
