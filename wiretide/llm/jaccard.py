@@ -32,7 +32,7 @@ STEP = 1.05
 #: Members that one task covers with balls at once; a hub with more is dealt to several.
 PART = 128
 #: Rounds of hubs go on while the pairs that are left number more than this times the members, and halve.
-FEW = 4
+FEW = 32
 ASK = "segment long, number long, mark long, n long, a binary"
 ANSWER = ASK + ", lists long, total long"
 
@@ -43,22 +43,17 @@ def need(n: int, percent: int) -> int:
 
 
 def shingles(tokens: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of the distinct shingles, sorted; a document of fewer words than k has one."""
+    """(document, hash) of the shingles, repeated ones too; a document of fewer words than k has one."""
     grams, inside = tokens.grams(k)
     lengths = np.diff(tokens.starts)
     short = np.flatnonzero((lengths > 0) & (lengths < k))
     last = tokens.starts[short + 1] - 1
     whole = np.where(lengths[short] == 1, tokens.hashes[tokens.ids[last]], grams[lengths[short] - 2, last])
-    of = np.concatenate([tokens.of[inside[k - 2]], short])
-    keys = np.concatenate([grams[k - 2][inside[k - 2]], whole])
-    order = np.lexsort((keys, of))
-    of, keys = of[order], keys[order]
-    new = np.concatenate([[True], (of[1:] != of[:-1]) | (keys[1:] != keys[:-1])]) if len(of) else np.zeros(0, np.bool_)
-    return of[new], keys[new]
+    return np.concatenate([tokens.of[inside[k - 2]], short]), np.concatenate([grams[k - 2][inside[k - 2]], whole])
 
 
 def _asked(batches: Iterator[pa.RecordBatch], bits: int, k: int) -> Iterator[pa.RecordBatch]:
-    """For each group of texts and each segment the distinct shingles, and in how many documents of the group."""
+    """For each group of texts and each segment the distinct shingles, and how often they occur."""
     for number, _, tokens in read_groups(batches, False):
         keys, counts = np.unique(shingles(tokens, k)[1], return_counts=True)
         ends, low, counts = cut_segments(keys, bits), low_of(keys, bits), counts.astype(np.uint32)
@@ -68,7 +63,7 @@ def _asked(batches: Iterator[pa.RecordBatch], bits: int, k: int) -> Iterator[pa.
 
 
 def _segment(s: int, columns: list) -> pa.RecordBatch:
-    """To each group how long the lists of its shingles are: 8 * log2, so 0 for a list of one document."""
+    """To each group how often its shingles occur, which bounds their lists: 8 * log2, so 0 for a single time."""
     numbers, marks, ns, a = columns
     questions = [unpack(x, 2 * n, np.uint32) for x, n in zip(a, ns)]
     keys, which = np.unique(np.concatenate([np.cumsum(q[:n], dtype=np.uint32) for q, n in zip(questions, ns)]), return_inverse=True)
@@ -84,12 +79,19 @@ def _solved(own: pa.Table, answers: pa.Table, k: int, percent: int) -> pa.Table:
     """(id, n, z, digest, items) of the documents of a group: items, rarest first, z of them in no other document."""
     tokens, answers = met(own, answers, ["ids"])
     of, keys = shingles(tokens, k)
-    levels = np.concatenate([np.zeros(0, np.uint8), *(unpack(r["a"], r["n"], np.uint8) for r in answers)])[np.unique(keys, return_inverse=True)[1]]
+    keys, which = np.unique(keys, return_inverse=True)
+    levels = np.concatenate([np.zeros(0, np.uint8), *(unpack(r["a"], r["n"], np.uint8) for r in answers)]).astype(np.int64)
+    # A document's shingle as one number, so that plain sorts do; the numbers of shingles follow their hashes.
+    width = max(1, len(keys))
+    pairs = np.sort(of * width + which)
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+    of, which = pairs // width, pairs % width
     n = np.bincount(of, minlength=len(tokens.starts) - 1)
-    z = np.bincount(of, levels == 0, len(n)).astype(np.int64)
+    z = np.bincount(of, levels[which] == 0, len(n)).astype(np.int64)
     live = (n > 0) & (n - z >= -(-n * percent // 100))
-    order = np.lexsort((keys, levels, of))
-    ordered, ends = keys[order], np.cumsum(n)
+    of, which = of[live[of]], which[live[of]]
+    ordered = keys[np.sort((of * 256 + levels[which]) * width + which) % width]
+    ends = np.cumsum(np.where(live, n, 0))
     items = [ordered[b - c : b].tobytes() if ok else None for b, c, ok in zip(ends.tolist(), n.tolist(), live.tolist())]
     digests = [None if x is None else hashlib.md5(x).digest() for x in items]
     return pa.table({"id": own.column("ids").combine_chunks()[0].values, "n": n, "z": z, "digest": pa.array(digests, pa.binary()), "items": pa.array(items, pa.binary())})
@@ -206,28 +208,24 @@ class Balls:
             x = self.root[x]
         return x
 
-    def join(self, x: int, y: int) -> bool:
+    def join(self, x: int, y: int) -> None:
         x, y = self.find(x), self.find(y)
         self.root[max(x, y)] = min(x, y)
-        return x != y
 
-    def add(self, k: int, items: np.ndarray) -> list[int]:
-        """Earlier sets that set k links to, one at most for each component that it didn't hang together with."""
-        found: list[int] = []
+    def add(self, k: int, items: np.ndarray) -> None:
+        """Compare set k with the earlier ones."""
         shared = np.bincount([x for e in items.tolist() for x in self.lists.get(e, ())], minlength=len(self.leaders))
         near = np.flatnonzero(shared)
         common = shared[near]
         union = len(items) + np.array(self.sizes, np.int64)[near] - common
         direct = 100 * common >= self.percent * union
         for at in near[direct].tolist():
-            if self.join(k, self.leaders[at]):
-                found.append(self.leaders[at])
+            self.join(k, self.leaders[at])
         for at in near[~direct & (100 * common >= (2 * self.percent - 100) * union)].tolist():
             if self.members[at] and self.find(self.leaders[at]) != self.find(k):
                 other = self._linked(items, self.members[at])
                 if other is not None:
                     self.join(k, other)
-                    found.append(other)
         if direct.any():
             best = near[direct][np.argmax((common / union)[direct])]
             self.members[best].append((k, items))
@@ -237,7 +235,6 @@ class Balls:
             self.leaders.append(k)
             self.sizes.append(len(items))
             self.members.append([])
-        return found
 
     def _linked(self, items: np.ndarray, members: list) -> int | None:
         every = np.concatenate([x for _, x in members])
@@ -248,11 +245,16 @@ class Balls:
 
 
 def linked(classes: list[int], sets: list[np.ndarray], roots: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that keep linked sets together; sets of equal root hang together already."""
+    """(class, least class that it hangs together with) by the links between sets; sets of equal root do already."""
     balls, first = Balls(percent, len(sets)), {}
     for k, root in enumerate(roots):
         balls.join(k, first.setdefault(root, k))
-    return [(classes[k], classes[other]) for k in sorted(range(len(sets)), key=lambda k: (len(sets[k]), classes[k])) for other in balls.add(k, sets[k])]
+    for k in sorted(range(len(sets)), key=lambda k: (len(sets[k]), classes[k])):
+        balls.add(k, sets[k])
+    least: dict[int, int] = {}
+    for k, name in enumerate(classes):
+        least[balls.find(k)] = min(name, least.get(balls.find(k), name))
+    return [(name, least[balls.find(k)]) for k, name in enumerate(classes) if name != least[balls.find(k)]]
 
 
 def _live(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -272,7 +274,7 @@ def _left(live: DataFrame) -> tuple[int, float]:
 
 
 def _gathered(classes: DataFrame, live: DataFrame, percent: int, seed: int) -> DataFrame:
-    """(a, b): links found by gathering classes under the hubs of their cells, PART at a time with the hub itself.
+    """(a, b): classes that hang together, found by gathering classes under the hubs of their cells, PART at a time with the hub itself.
 
     The hub of a cell is its member of least seeded hash, and a class goes to the least of its hubs,
     so near copies, which share most cells, come together, each set once. What is missed here is found
