@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wiretide.llm import bpe, common, components, decontaminate, exact_dedup, groups, jaccard, language_model, line_dedup, quality, sharding, substring_dedup, toxicity
+from wiretide.llm import bpe, common, components, decontaminate, exact_dedup, groups, jaccard, labelled, language_model, line_dedup, quality, sharding, substring_dedup, toxicity
 from wiretide.llm.labelled import remainder
 
 import brute
@@ -71,6 +71,15 @@ def test_line_dedup_keeps_small_hosts_and_nothing(spark):
     assert line_dedup.line_dedup(table(spark, [], schema)).count() == 0
 
 
+def test_line_dedup_stage_keeps_clashing_columns(spark):
+    rows = [(k % 9, "s", f"menu\nown {k}") for k in range(20)] + [(None, None, "menu\nx"), (1, "s", None), (1, "s", "line " * 50_000)]
+    docs = table(spark, rows, "doc_id long, source string, text string").withColumns({c: F.lit(c) for c in ("n_lines", "n_dropped", "host", "bad", "__host", "__bad", "pages")})
+    got = line_dedup.stage(spark, docs, "")
+    assert got.columns == docs.columns and {r.n_lines for r in got.collect()} == {"n_lines"}
+    same(plain(got, "doc_id", "text"), [(i, t) for i, _, _, t in brute.line_dedup(rows, line_dedup.MAX_RATIO, line_dedup.MIN_PAGES)])
+    assert line_dedup.line_dedup(docs).filter("n_dropped = 1").count() == 20
+
+
 def test_line_dedup_runs_no_python(spark):
     docs = table(spark, [(1, "s", "a")], "doc_id long, source string, text string")
     plan = line_dedup.line_dedup(docs)._jdf.queryExecution().executedPlan().toString()
@@ -438,6 +447,25 @@ def test_quality_learns_and_reads_as_tables(spark):
     assert len(odd) == 3 and all(0 <= r.score <= 1 for r in odd)
 
 
+def test_samples_are_bounded_and_columns_may_clash(spark):
+    rows = [(1 if k % 2 else k, f"text {k}") for k in range(300)] + [(None, "x"), (2, None)]
+    docs = table(spark, rows).withColumns({c: F.lit(7) for c in ("y", "id", "__id", "label", "quality", "score", "x")})
+    marks = table(spark, [(k, k % 3 % 2, int(k % 5 == 0)) for k in range(300)] + [(None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
+    assert labelled.sample(docs, marks.filter("doc_id = 1"), "quality", F.lit(True), rows=10).count() == 10
+    assert labelled.sample(docs, marks, "quality", F.lit(True), rows=20).count() <= 20
+    for got in (quality.score(docs, quality.train(docs, marks, "quality", F.lit(True))), toxicity.score(docs, toxicity.train(docs, marks, F.lit(True)))):
+        assert got.columns == ["doc_id", "score"] and got.count() == len(rows)
+
+
+def test_toxicity_stage_keeps_clashing_columns(spark, tmp_path):
+    rows = [(k, "plain words here") for k in range(40)] + [(None, None), (3, ""), (3, "idiot scum moron idiot")]
+    docs = table(spark, rows).withColumns({"score": F.lit("mine"), "y": F.lit(1)})
+    table(spark, [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and {r.score for r in got.collect()} == {"mine"}
+    same(plain(got, "doc_id", "text"), rows[:-1])
+
+
 def test_quality_without_labels(spark):
     docs = table(spark, [(1, "a"), (2, None)])
     for marks in ([], [(1, 1, 0)], [(1, None, None)]):

@@ -15,11 +15,16 @@ def remainder(id_col: Column, folds: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learnt: Column, id_col: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, text, y) of at most `rows` labels for which `learnt` (of the labels' id) holds.
+    """(id, text, y): at most `rows` rows of documents with a label for which `learnt` (of the labels' id) holds.
 
-    Null labels and null ids are left out; null text is empty. The broadcast side has at most `rows`
-    rows of two numbers, so its size is bounded whatever the tables are.
+    Null labels and null ids are left out; null text is empty. Where labels or ids repeat, every
+    different triple counts against the bound, and once. The broadcast sides have at most `rows` rows
+    of numbers, so their size is bounded whatever the tables are. Further columns of any name don't matter.
     """
-    chosen = labels.filter(learnt & F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "y").limit(rows)
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), "y")
+    chosen = labels.filter(learnt & F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("chosen"), F.col(label).cast("int").alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("chosen"), "chosen", "y").limit(rows)
+    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    pairs = given.join(F.broadcast(chosen), F.col("id") == F.col("chosen")).select("id", "digest", "y").distinct()
+    picked = pairs.orderBy(F.xxhash64("id"), "id", "digest", "y").limit(rows).select(F.col("id").alias("i"), F.col("digest").alias("d"), "y")
+    found = given.join(F.broadcast(picked), (F.col("id") == F.col("i")) & (F.col("digest") == F.col("d")))
+    return found.groupBy("id", "digest", "y").agg(F.first("text").alias("text")).select("id", "text", "y")

@@ -47,25 +47,30 @@ def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", max_ra
     host of its own; repeated rows count as pages each. Further columns pass unchanged; columns of
     the names n_lines and n_dropped are replaced.
     """
-    spark = docs.sparkSession
+    kept, n, dropped = _deduped(docs, host, text, max_ratio, min_pages, broadcast_bytes)
     docs = docs.drop("n_lines", "n_dropped")
+    return kept.select(*docs.columns, F.col(n).alias("n_lines"), F.col(dropped).alias("n_dropped"))
+
+
+def _deduped(docs: DataFrame, host: str, text: str, max_ratio: float, min_pages: int, broadcast_bytes: int) -> tuple[DataFrame, str, str]:
+    """All columns with the shorter text, and the names of two more: lines, and dropped ones."""
+    host_key, bad_keys, salt, at, rest, n_lines, n_dropped = (f"{x} of line dedup" for x in ("host", "bad", "salt", "at", "rest", "lines", "dropped"))
     bad = materialize(boilerplate(docs, host, text, max_ratio, min_pages), "line-dedup")
     size = bad.agg(F.sum(32 + 16 * F.size("bad"))).first()[0] or 0
-    other = bad.select(F.col("host").alias("__host"), F.col("bad").alias("__bad"))
+    other = bad.select(F.col("host").alias(host_key), F.col("bad").alias(bad_keys))
+    same = F.col(host).eqNullSafe(F.col(host_key))
     if size <= broadcast_bytes:
-        joined = docs.join(F.broadcast(other), F.col(host).eqNullSafe(F.col("__host")), "left")
+        joined = docs.join(F.broadcast(other), same, "left")
     else:
-        salted = docs.withColumn("__salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
-        copies = other.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, F.col(host).eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__at")), "left").drop("__salt", "__at")
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
+        copies = other.withColumn(at, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(copies, same & (F.col(salt) == F.col(at)), "left")
     none = F.array().cast(T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.IntegerType())])))
-    lines = _lines(F.col(text))
-    kept = F.when(F.col("__bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.coalesce(F.col("__bad"), none), _key(x)) | (F.trim(x) == "")))
-    joined = joined.withColumn("__kept", kept)
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    out = joined.withColumns({"n_lines": n, "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("long")})
-    out = out.withColumn(text, F.when(F.col(text).isNull(), F.lit(None)).when(F.col("n_dropped") == 0, F.col(text)).otherwise(F.array_join("__kept", "\n")))
-    return out.select(*docs.columns, "n_lines", "n_dropped")
+    lines, absent = _lines(F.col(text)), F.col(text).isNull()
+    left = F.filter(lines, lambda x: ~F.array_contains(F.coalesce(F.col(bad_keys), none), _key(x)) | (F.trim(x) == ""))
+    joined = joined.withColumn(rest, F.when(F.col(bad_keys).isNull(), lines).otherwise(left))
+    joined = joined.withColumns({n_lines: F.when(absent, 0).otherwise(F.size(lines)).cast("long"), n_dropped: F.when(absent, 0).otherwise(F.size(lines) - F.size(rest)).cast("long")})
+    return joined.withColumn(text, F.when(absent | (F.col(n_dropped) == 0), F.col(text)).otherwise(F.array_join(rest, "\n"))), n_lines, n_dropped
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +80,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the same documents with shorter texts."""
-    return line_dedup(docs).select(*docs.columns)
+    """Pipeline stage: the same documents with shorter texts, their other columns as they were.
+
+    Null texts stay null, a null source is a source of its own, repeated rows count as pages each.
+    """
+    return _deduped(docs, "source", "text", MAX_RATIO, MIN_PAGES, BROADCAST_BYTES)[0].select(*docs.columns)
 
 
 SQL = f"""

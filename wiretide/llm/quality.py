@@ -188,7 +188,10 @@ def _feature_rows(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learnt, rows: int = SAMPLE_ROWS) -> Additive:
-    """Fit on a bounded sample; features are made on the workers, the driver gets `rows` short rows."""
+    """Fit on a bounded sample; features are made on the workers, the driver gets at most `rows` short rows.
+
+    Null labels and ids are left out, null texts are empty, repeated rows count once; without rows of both labels the score is one number for all. Further columns don't matter.
+    """
     small_batches(docs.sparkSession)
     found = _feature_rows(sample(docs, labels, label, learnt, rows=rows)).toArrow()
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
@@ -197,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learnt, rows: int = SA
 
 
 def score(docs: DataFrame, model: Additive, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, score). Null text scores as empty text; rows with null or repeated ids are scored too."""
+    """(id, score). Null text scores as empty text, a text of any length is one row of features; rows
+    with null or repeated ids are scored too; further columns of any name don't matter."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -248,7 +248,9 @@ def train(docs: DataFrame, labels: DataFrame, learnt, label: str = "toxic", rows
     """Voters from a bounded labelled sample, then the label model and the classifier.
 
     The labels choose the voters and give the share of toxic rows; the classifier's targets are the
-    label model's posteriors. Without usable labels only the lexicon votes.
+    label model's posteriors. Without usable labels only the lexicon votes. Null labels and ids are
+    left out, null texts are empty, equal texts with equal labels count once; further columns don't
+    matter.
     """
     small_batches(docs.sparkSession)
     # Copies would make every word of a toxic text stand out.
@@ -269,14 +271,14 @@ def train(docs: DataFrame, labels: DataFrame, learnt, label: str = "toxic", rows
     return Linear(names, regress(x, target, share))
 
 
-def score(docs: DataFrame, model: Linear, id_col: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """(id, score), or with keep all columns and `score`.
+def score(docs: DataFrame, model: Linear, id_col: str = "doc_id", text: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
+    """(id, score), or with keep all columns and the score, in a last column of the given name.
 
-    Null text scores as empty text; rows with null or repeated ids are scored too. A column named
-    score is replaced.
+    Null text scores as empty text; rows with null or repeated ids are scored too. With keep, a column
+    of the name of the score is replaced.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     docs = docs if keep else docs.select(id_col, text)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
@@ -287,9 +289,9 @@ def score(docs: DataFrame, model: Linear, id_col: str = "doc_id", text: str = "t
         own, width = Voters(held.value.voters), len(held.value.voters)
         for batch in batches:
             x = dense([own.row(t or "") for t in batch.column(at).to_pylist()], width)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in passed), pa.array(held.value.score(x), pa.float64())], names=[*(f.name for f in fields), "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in passed), pa.array(held.value.score(x), pa.float64())], names=[*(f.name for f in fields), name])
 
-    return docs.mapInArrow(tidy(run), StructType([*fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*fields, StructField(name, DoubleType())]))
 
 
 def _learnt():
@@ -304,6 +306,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score as toxic go, the others stay as they are."""
-    model = train(docs, read_table(spark, sf_dir, "labels"), _learnt())
-    return score(docs, model, keep=True).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    """Pipeline stage: documents that score as toxic go, the others stay as they are, with all their columns.
+
+    Null and empty texts score as empty text; rows with null or repeated ids are judged by their texts.
+    """
+    model, name = train(docs, read_table(spark, sf_dir, "labels"), _learnt()), "score of the stage"
+    return score(docs, model, keep=True, name=name).filter(F.col(name) < THRESHOLD).select(*docs.columns)
