@@ -71,6 +71,54 @@ def test_reading_in_chunks_keeps_numbers(spark, put):
         C.read_capture(spark, path.parent / "absent.pcap")
 
 
+def test_damaged_files_are_read_to_the_damage(spark, put, capsys):
+    whole, ng = K.pcap(K.exchange()), K.pcapng(K.exchange())
+    frames = lambda path: [bytes(r.frame) for r in C.read_capture(spark, path).orderBy("packet_number").collect()]
+    one, two = (f for _, f in K.exchange())
+    assert frames(put(whole[:-10])) == [one, two[:-10]] and frames(put(whole + b"1234")) == [one, two]
+    assert frames(put(ng[:-10], "a.pcapng")) == [one] and frames(put(K.pcap([]), "none.pcap")) == []
+    assert cli.main(["inspect", str(put(whole[:-10], "short.pcap"))]) == 0
+    assert "Packet count: 2" in capsys.readouterr().out
+    assert cli.main(["inspect", str(put(b"nothing here", "no.pcap"))]) == 2
+
+
+def test_audit_of_many_files_and_other_stores(spark, put, tmp_path):
+    put(K.pcap(K.exchange(), 54, 54), "a.pcap"), put(K.corrupted(), "b.pcap"), put(K.pcapng(K.exchange(), (1, 2)), "c.pcapng"), put(b"", "d.pcap"), put(b"x", "e.txt")
+    files = C.list_files(spark, str(tmp_path))
+    rows = {r.capture_id: r for r in C.audit_files(spark, files).collect()}
+    assert [rows[k].error for k in sorted(rows)] == [None, "CaptureCorrupt", None, "CaptureTruncated"]
+    assert (rows["a.pcap"].snaplen_truncated_packet_count, rows["a.pcap"].snaplen_truncated_first_packet_number) == (2, 1)
+    assert rows["c.pcapng"].snaplen is None and rows["c.pcapng"].snaplen_note
+    # A path that open() doesn't know comes through Spark's binary source.
+    far = {r.capture_id: r for r in C.audit_files(spark, [(f"file://{p}", n) for p, n in files]).collect()}
+    assert {k: r.sha256 for k, r in far.items()} == {k: r.sha256 for k, r in rows.items()}
+    with pytest.raises(C.CaptureCorrupt):
+        analysis.analyze_all(spark, [tmp_path])
+
+
+def test_packets_of_another_store(spark, put, monkeypatch):
+    path = put(K.pcap(K.poll(50201, range(6))))
+    near = C.read_capture(spark, path).orderBy("packet_number").collect()
+    monkeypatch.setattr(C, "list_files", lambda spark, p: [(f"file://{p}", 2000)])
+    far = C.read_captures(spark, [path], 300)
+    assert far.rdd.getNumPartitions() == 7 and far.orderBy("packet_number").collect() == near
+
+
+def test_data_source_reads_folders(spark, put, tmp_path):
+    put(K.pcap(K.exchange()), "a.pcap"), put(K.pcapng(K.exchange()), "b.pcapng")
+    spark.dataSource.register(C.CaptureSource)
+    rows = spark.read.format("capture").load(str(tmp_path)).collect()
+    assert sorted((r.capture_id, r.packet_number) for r in rows) == [("a.pcap", 1), ("a.pcap", 2), ("b.pcapng", 1), ("b.pcapng", 2)]
+
+
+def test_checksums_of_a_data_set(spark, put, tmp_path):
+    import hashlib
+
+    put(b"one", "a.bin"), put(b"two", "b.bin"), put(b"three", "c.bin")
+    sums = spark.createDataFrame([("a.bin", hashlib.sha256(b"one").hexdigest().upper()), ("b.bin", "00"), ("z.bin", "11")], "name string, sha256 string")
+    assert {r.name: r.state for r in C.verify_checksums(spark, str(tmp_path), sums).collect()} == {"a.bin": "ok", "b.bin": "differs", "c.bin": "unexpected", "z.bin": "missing"}
+
+
 def test_slice_round_trip(spark, put, tmp_path):
     packets = C.read_capture(spark, put(K.pcap(K.exchange() + K.rtu())))
     out = tmp_path / "slice.pcap"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -158,32 +157,32 @@ def _warnings(a: dict, window: float | None, quiet: int, has_vendors: bool) -> l
     return out
 
 
-def capture_section(path: Path, found: C.Structure, first_seen: float | None, last_seen: float | None) -> dict:
-    short = found.snaplen_truncated_packet_numbers
-    with path.open("rb") as file:
-        digest = hashlib.file_digest(file, "sha256").hexdigest()
-    return {
-        "filename": path.name,
-        "sha256": digest,
-        "packet_count": found.record_count,
-        "first_seen": first_seen,
-        "last_seen": last_seen,
-        "snaplen": found.snaplen,
-        "snaplen_note": found.snaplen_note,
-        "snaplen_truncated_packet_count": len(short),
-        "snaplen_truncated_first_packet_number": short[0] if short else None,
-    }
+def capture_section(row: dict, first_seen: float | None, last_seen: float | None) -> dict:
+    """The capture's part of the document, from its row of the audit."""
+    told = ("sha256", "packet_count", "snaplen", "snaplen_note", "snaplen_truncated_packet_count", "snaplen_truncated_first_packet_number")
+    return {"filename": row["capture_id"], "first_seen": first_seen, "last_seen": last_seen, **{k: row[k] for k in told}}
+
+
+def audited(spark: SparkSession, files: list[tuple[str, int]]) -> dict[str, dict]:
+    """Rows of the audit by file name; the first damaged file raises its error."""
+    rows = {r.capture_id: r.asDict() for r in C.audit_files(spark, files).collect()}
+    for path, _ in files:
+        row = rows[path.rsplit("/", 1)[-1]]
+        if row["error"]:
+            raise C.ERRORS[row["error"]](row["message"])
+    return rows
 
 
 def analyze_all(spark: SparkSession, paths: list[str | Path], vendor_table: str | None = None, dissectors: list[Dissector] | None = None, specs: dict | None = None, trailer_is_payload: bool = True) -> dict[str, Result]:
-    """Audit capture files, then analyse them together; results by file name, so names must differ.
+    """Audit capture files (or those of folders), then analyse them together; results by file name, so names must differ.
 
-    Damaged files raise before anything else happens. One job decodes all captures.
+    Files are audited a task each, and damaged ones raise before anything else happens. One job decodes
+    all captures.
     """
-    paths = [Path(p) for p in paths]
-    if len({p.name for p in paths}) < len(paths):
+    files = [x for given in paths for x in C.list_files(spark, str(given))]
+    if len({p.rsplit("/", 1)[-1] for p, _ in files}) < len(files):
         raise ValueError("capture files of the same name can't be analysed together")
-    audits = {p.name: (p, C.audit(p)) for p in paths}
+    audits = audited(spark, files)
     try:
         vendors = V.load_table(spark, vendor_table)
     except V.VendorTableError:
@@ -202,7 +201,7 @@ def analyze_all(spark: SparkSession, paths: list[str | Path], vendor_table: str
     t.high, t.low = events.filter("confidence = 'high'"), events.filter("confidence = 'low'")
     t.segments, t.tcp = t.segments.drop("payload"), t.tcp.drop("payload")
     t.initiators = cut(decode.initiators(t.tcp, t.sessions), "initiators")
-    return {name: document(t, name, capture_section(p, found, *times.get(name, (None, None))), specs) for name, (p, found) in audits.items()}
+    return {name: document(t, name, capture_section(row, *times.get(name, (None, None))), specs) for name, row in audits.items()}
 
 
 def analyze(spark: SparkSession, path: str | Path, **options) -> Result:

@@ -1,17 +1,21 @@
-"""Capture files (classic pcap and pcapng): structural audit, record index, data source, writer.
+"""Capture files (classic pcap and pcapng): structural audit, packets, data source, writer.
 
-A file's records can't be found without walking their headers. The audit walks them once, raises on a
-damaged file before anything is written, and leaves an index of byte ranges, so that packets of a
-large file are read by many tasks.
+A task turns a file into a table of its record headers, one array for each field. The audit is a list of
+rules over that table, and the packets are read from ranges of it, so that a large file is read by many
+tasks. The driver only lists names. Files of this machine or of a mounted store are opened by the
+workers; files of any other store that Spark reads arrive as rows of its binary source.
 """
 
 from __future__ import annotations
 
+import hashlib
+import mmap
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +25,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 CLASSIC_MAGICS = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
 NG_MAGIC = b"\x0a\x0d\x0d\x0a"
 NG_ORDERS = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
-SECTION, INTERFACE, PACKET = 0x0A0D0D0A, 1, 6
+INTERFACE, PACKET = 1, 6
 TIME_RESOLUTION = 9
 
 #: Bytes of a file that one task reads.
 CHUNK_BYTES = 16 << 20
+SUFFIXES = (".pcap", ".pcapng", ".cap")
 PACKET_SCHEMA = "capture_id string, packet_number long, ts double, caplen int, wirelen int, linktype int, frame binary"
+AUDIT_SCHEMA = "capture_id string, path string, sha256 string, capture_format string, endianness string, packet_count long, snaplen long, snaplen_note string, snaplen_truncated_packet_count long, snaplen_truncated_first_packet_number long, error string, message string"
 
 
 class CaptureTruncated(Exception):
@@ -41,9 +47,39 @@ class CaptureFormat(Exception):
     """The file is of no known capture format."""
 
 
+ERRORS = {kind.__name__: kind for kind in (CaptureTruncated, CaptureCorrupt, CaptureFormat)}
+
+
+@dataclass
+class Headers:
+    """The record headers of a file in its order, as far as each leads to the next.
+
+    size is the whole length that a record claims, again the copy of it at the end of a block; rest are
+    the bytes behind the last header, too few for another one.
+    """
+
+    capture_format: str
+    order: str
+    unit: int
+    total: int
+    rest: int
+    at: np.ndarray
+    kind: np.ndarray
+    size: np.ndarray
+    again: np.ndarray
+    kept: np.ndarray
+    sent: np.ndarray
+    snaplens: list[int]
+    interfaces: list[tuple[int, float]]
+
+    @property
+    def packet(self) -> np.ndarray:
+        return self.kind == PACKET
+
+
 @dataclass
 class Structure:
-    """What the audit finds out. index: (byte offset, packets before it) of the chunks."""
+    """What the audit finds out."""
 
     capture_format: str
     endianness: str
@@ -52,191 +88,301 @@ class Structure:
     snaplen: int | None
     snaplen_note: str | None
     snaplen_truncated_packet_numbers: tuple[int, ...]
-    index: list[tuple[int, int]] = field(default_factory=list, repr=False)
-    interfaces: list[tuple[int, float]] = field(default_factory=list, repr=False)
+    headers: Headers | None = field(default=None, repr=False)
 
 
-def audit(path: str | Path, chunk_bytes: int = CHUNK_BYTES) -> Structure:
-    """Walk the structure of a file; content is not looked at and never part of a message."""
-    path = Path(path)
-    if not path.exists():
-        raise FileNotFoundError(f"The capture file does not exist: {path}")
-    total = path.stat().st_size
-    with path.open("rb") as file:
-        magic = file.read(4)
-        file.seek(0)
-        if len(magic) < 4:
-            raise CaptureTruncated(f"{path}: {len(magic)} bytes are too few for a format magic")
-        if magic == NG_MAGIC:
-            return _audit_ng(file, path, total, chunk_bytes)
-        if magic in CLASSIC_MAGICS:
-            return _audit_classic(file, path, total, chunk_bytes)
-    raise CaptureFormat(f"{path}: neither classic pcap nor pcapng")
-
-
-def _audit_classic(file, path: Path, total: int, chunk_bytes: int) -> Structure:
-    head = file.read(24)
-    if len(head) < 24:
-        raise CaptureTruncated(f"{path}: the global header ends after {len(head)} bytes")
-    order, _ = CLASSIC_MAGICS[head[:4]]
-    snaplen, link = struct.unpack(order + "II", head[16:24])
-    at, count, short, index = 24, 0, [], []
-    while at < total:
-        if total - at < 16:
-            raise CaptureTruncated(f"{path}: record header at byte {at} has {total - at} of 16 bytes")
-        if not index or at - index[-1][0] >= chunk_bytes:
-            index.append((at, count))
-        file.seek(at + 8)
-        kept, sent = struct.unpack(order + "II", file.read(8))
-        # A length beyond the snap length is a contradiction even where the file also ends early.
-        if kept > snaplen:
-            raise CaptureCorrupt(f"{path}: record at byte {at} has {kept} bytes, more than the snap length {snaplen}")
-        if kept > total - at - 16:
-            raise CaptureTruncated(f"{path}: record at byte {at} needs {kept} bytes and has {total - at - 16}")
-        count += 1
-        if kept < sent:
-            short.append(count)
-        at += 16 + kept
-    return Structure("pcap", "little" if order == "<" else "big", count, count == 0, snaplen, None, tuple(short), index, [(link & 0x0FFFFFFF, 0.0)])
-
-
-def _audit_ng(file, path: Path, total: int, chunk_bytes: int) -> Structure:
-    head = file.read(12)
-    if len(head) < 12:
-        raise CaptureTruncated(f"{path}: the section header ends after {len(head)} bytes")
-    order = NG_ORDERS.get(head[8:12])
-    if order is None:
-        raise CaptureFormat(f"{path}: unknown byte order in the section header")
-    at, count, short, index, snaps, interfaces = 0, 0, [], [], [], []
-    while at < total:
-        left = total - at
-        if left < 8:
-            raise CaptureTruncated(f"{path}: block header at byte {at} has {left} of 8 bytes")
-        file.seek(at)
-        kind, size = struct.unpack(order + "II", file.read(8))
-        if size < 12 or size % 4:
-            raise CaptureCorrupt(f"{path}: block at byte {at} has the impossible length {size}")
-        if size > left:
-            raise CaptureTruncated(f"{path}: block at byte {at} needs {size} bytes and has {left}")
-        file.seek(at + size - 4)
-        (again,) = struct.unpack(order + "I", file.read(4))
-        if again != size:
-            raise CaptureCorrupt(f"{path}: block at byte {at} says {size} first and {again} last")
-        if kind == PACKET:
-            if size < 32:
-                raise CaptureCorrupt(f"{path}: packet block at byte {at} is too short for its lengths")
-            if not index or at - index[-1][0] >= chunk_bytes:
-                index.append((at, count))
-            file.seek(at + 20)
-            kept, sent = struct.unpack(order + "II", file.read(8))
-            count += 1
-            if kept < sent:
-                short.append(count)
-        elif kind == INTERFACE:
-            if size < 20:
-                raise CaptureTruncated(f"{path}: interface block at byte {at} is too short for a snap length")
-            file.seek(at + 8)
-            body = file.read(size - 12)
-            link, _, snap = struct.unpack(order + "HHI", body[:8])
-            snaps.append(snap)
-            interfaces.append((link, _tick(body[8:], order)))
-        at += size
-    unique = set(snaps)
-    note = None
-    if not unique:
-        note = f"{path}: there is no interface block, so the snap length is unknown"
-    elif len(unique) > 1:
-        note = f"{path}: {len(unique)} interface blocks disagree on the snap length"
-    return Structure("pcapng", "little" if order == "<" else "big", count, count == 0, snaps[0] if len(unique) == 1 else None, note, tuple(short), index, interfaces)
-
-
-def _tick(options: bytes, order: str) -> float:
-    """Seconds of a time unit from an interface's options; a microsecond if they don't say."""
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack(order + "HH", options[at : at + 4])
-        if code == TIME_RESOLUTION and size:
-            raw = options[at + 4]
-            return 2.0 ** -(raw & 0x7F) if raw & 0x80 else 10.0**-raw
-        if code == 0:
+@dataclass
+class Rule:
+    """Records that break it, and how that is called."""
+
+    error: type[Exception]
+    broken: Callable[[Headers], np.ndarray]
+    text: str
+
+
+#: Of several rules that the same record breaks, the first one names the damage.
+RULES = {
+    "pcap": [
+        Rule(CaptureCorrupt, lambda h: h.kept > h.snaplens[0], "a record is longer than the snap length"),
+        Rule(CaptureTruncated, lambda h: h.at + h.size > h.total, "a record runs past the end of the file"),
+    ],
+    "pcapng": [
+        Rule(CaptureCorrupt, lambda h: (h.size < 12) | (h.size % 4 > 0), "a block has a length that no block can have"),
+        Rule(CaptureTruncated, lambda h: h.at + h.size > h.total, "a block runs past the end of the file"),
+        Rule(CaptureCorrupt, lambda h: h.again != h.size, "the two lengths of a block differ"),
+        Rule(CaptureCorrupt, lambda h: h.packet & (h.size < 32), "a packet block has no room for its lengths"),
+        Rule(CaptureTruncated, lambda h: (h.kind == INTERFACE) & (h.size < 20), "an interface block has no room for a snap length"),
+    ],
+}
+
+
+def read_headers(view) -> Headers:
+    """The table of record headers of a file's bytes; raises where the file itself has no usable header."""
+    magic, total = bytes(view[:4]), len(view)
+    if total < 4:
+        raise CaptureTruncated(f"{total} bytes are too few for a format magic")
+    if magic in CLASSIC_MAGICS:
+        if total < 24:
+            raise CaptureTruncated(f"the file header has {total} of 24 bytes")
+        order, unit = CLASSIC_MAGICS[magic]
+        snaplen, link = struct.unpack_from(order + "II", view, 16)
+        rows, rest = _steps(view, 24, 16, lambda at: (at, PACKET, 16 + (lengths := struct.unpack_from(order + "II", view, at + 8))[0], 0, *lengths))
+        snaplens, interfaces = [snaplen], [(link & 0x0FFFFFFF, 1 / unit)]
+    elif magic == NG_MAGIC:
+        if total < 12:
+            raise CaptureTruncated(f"the section header has {total} of 12 bytes")
+        order, unit = NG_ORDERS.get(bytes(view[8:12])), 0
+        if order is None:
+            raise CaptureFormat("the section header names no known byte order")
+        rows, rest = _steps(view, 0, 8, lambda at: _block(view, order, at))
+        found = [_interface(view, order, at, size) for at, kind, size, *_ in rows if kind == INTERFACE and size >= 20 and at + size <= total]
+        snaplens, interfaces = [x[2] for x in found], [x[:2] for x in found]
+    else:
+        raise CaptureFormat("neither classic pcap nor pcapng")
+    columns = np.array(rows, np.int64).reshape(-1, 6).T
+    return Headers("pcapng" if magic == NG_MAGIC else "pcap", order, unit, total, rest, *columns, snaplens, interfaces)
+
+
+def _steps(view, at: int, least: int, header: Callable[[int], tuple]) -> tuple[list[tuple], int]:
+    """Headers from `at` on while one leads to another, and the bytes left where a header doesn't fit."""
+    rows = []
+    while len(view) - at >= least:
+        rows.append(header(at))
+        if rows[-1][2] < least:
+            return rows, 0
+        at += rows[-1][2]
+    return rows, max(0, len(view) - at)
+
+
+def _block(view, order: str, at: int) -> tuple:
+    kind, size = struct.unpack_from(order + "II", view, at)
+    whole = at + size <= len(view)
+    again = struct.unpack_from(order + "I", view, at + size - 4)[0] if whole and size >= 12 else size
+    kept, sent = struct.unpack_from(order + "II", view, at + 20) if whole and kind == PACKET and size >= 32 else (0, 0)
+    return at, kind, size, again, kept, sent
+
+
+def _interface(view, order: str, at: int, size: int) -> tuple[int, float, int]:
+    """(link type, seconds of a time unit, snap length)."""
+    link, _, snaplen = struct.unpack_from(order + "HHI", view, at + 8)
+    options, end = at + 16, at + size - 4
+    while options + 4 <= end:
+        code, length = struct.unpack_from(order + "HH", view, options)
+        if code == TIME_RESOLUTION and length:
+            raw = view[options + 4]
+            return link, 2.0 ** -(raw & 0x7F) if raw & 0x80 else 10.0**-raw, snaplen
+        if not code:
             break
-        at += 4 + size + (-size) % 4
-    return 1e-6
+        options += 4 + length + -length % 4
+    return link, 1e-6, snaplen
+
+
+def damage(h: Headers) -> tuple[int, Exception] | None:
+    """(number of the first record that breaks a rule, what it breaks); a last header without room is one more record."""
+    rules = RULES[h.capture_format]
+    broken = np.stack([rule.broken(h) for rule in rules])
+    if broken.any():
+        k = int(broken.any(axis=0).argmax())
+        rule = rules[int(broken[:, k].argmax())]
+        return k, rule.error(f"{rule.text} (byte {h.at[k]}, length {h.size[k]}, file of {h.total} bytes)")
+    if h.rest:
+        return len(h.at), CaptureTruncated(f"the last {h.rest} bytes are too few for a header")
+    return None
+
+
+def structure(view) -> Structure:
+    """The audit of a file's bytes: content is not looked at and never part of a message."""
+    h = read_headers(view)
+    if found := damage(h):
+        raise found[1]
+    kept, sent = h.kept[h.packet], h.sent[h.packet]
+    agreed = len(set(h.snaplens)) == 1
+    note = None if agreed else f"{len(h.snaplens)} interface blocks name {len(set(h.snaplens))} snap lengths, so there is no single one"
+    return Structure(h.capture_format, "little" if h.order == "<" else "big", len(kept), not len(kept), h.snaplens[0] if agreed else None, note, tuple((np.flatnonzero(kept < sent) + 1).tolist()), h)
+
+
+def _view(path: str, content: bytes | None):
+    """A file's bytes: given ones, or those of a file that this machine can open."""
+    if content is not None:
+        return content
+    with open(path, "rb") as file:
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) if Path(path).stat().st_size else b""
 
 
-@dataclass
-class _Range(InputPartition):
-    path: str
-    capture_id: str
-    format: str
-    order: str
-    start: int
-    stop: int
-    before: int
-    unit: int
-    interfaces: list
+def audit(path: str | Path) -> Structure:
+    """The audit of one file of this machine."""
+    if not Path(path).exists():
+        raise FileNotFoundError(f"The capture file does not exist: {path}")
+    try:
+        return structure(_view(str(path), None))
+    except (CaptureTruncated, CaptureFormat) as error:
+        raise type(error)(f"{path}: {error}") from None
 
 
-def _plan(path: str, chunk_bytes: int) -> list[_Range]:
-    found = audit(path, chunk_bytes)
-    with open(path, "rb") as file:
-        magic = file.read(4)
-    order = "<" if found.endianness == "little" else ">"
-    unit = CLASSIC_MAGICS[magic][1] if magic in CLASSIC_MAGICS else 0
-    stops = [at for at, _ in found.index[1:]] + [Path(path).stat().st_size]
-    return [_Range(path, Path(path).name, found.capture_format, order, at, stop, before, unit, found.interfaces) for (at, before), stop in zip(found.index, stops)]
-
-
-def _packets(part: _Range) -> Iterator[tuple]:
-    with open(part.path, "rb") as file:
-        file.seek(part.start)
-        data = file.read(part.stop - part.start)
-    at, number = 0, part.before
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, or of the capture files in a folder, in any store that Spark knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(target):
+        raise FileNotFoundError(f"The capture file does not exist: {path}")
+    alone = store.getFileStatus(target).isFile()
+    found = [(x.getPath().toString(), x.getLen()) for x in store.listStatus(target) if alone or x.isFile() and x.getPath().getName().endswith(SUFFIXES)]
+    return sorted((p.removeprefix("file:"), n) for p, n in found)
+
+
+def _files(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
+    """(path, content): content is null for files that the workers open. The binary source has no rows for empty files."""
+    far = [p for p, n in files if "://" in p and n]
+    near = [(p, None if "://" not in p else b"") for p, n in files if "://" not in p or not n]
+    out = spark.createDataFrame(near, "path string, content binary").repartition(max(1, len(near)))
+    return out.unionByName(spark.read.format("binaryFile").load(far).select("path", "content")) if far else out
+
+
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
+def audit_files(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
+    """One row for each listed file, damaged ones with the name of the error instead of counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([(n, {"string": pa.string(), "long": pa.int64()}[t]) for n, t in (c.split() for c in AUDIT_SCHEMA.split(", "))])
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                view = _view(path, content)
+                row = {"capture_id": _name(path), "path": path, "sha256": hashlib.sha256(view).hexdigest()}
+                try:
+                    s = structure(view)
+                except (CaptureTruncated, CaptureFormat) as error:
+                    row |= {"error": type(error).__name__, "message": f"{path}: {error}"}
+                else:
+                    short = s.snaplen_truncated_packet_numbers
+                    row |= {"capture_format": s.capture_format, "endianness": s.endianness, "packet_count": s.record_count, "snaplen": s.snaplen, "snaplen_note": s.snaplen_note, "snaplen_truncated_packet_count": len(short), "snaplen_truncated_first_packet_number": short[0] if short else None}
+                yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    return _files(spark, files).mapInArrow(run, AUDIT_SCHEMA)
+
+
+def verify_checksums(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
+    """(name, sha256, found, state) of the files of a data set against expected (name, sha256).
+
+    state: ok, differs, missing, or unexpected for a file that nothing is expected of.
+    """
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+    state = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").when(F.lower("sha256") == F.col("found"), "ok").otherwise("differs")
+    return expected.select("name", "sha256").join(files, "name", "full").select("name", "sha256", "found", state.alias("state"))
+
+
+CHUNK_SCHEMA = "capture_id string, path string, capture_format string, byte_order string, unit long, links array<int>, ticks array<double>, start long, stop long, before long, data binary"
+
+
+def _chunks(path: str, content: bytes | None, chunk_bytes: int) -> list[dict]:
+    """Ranges of a file that begin with a packet, as far as its records can be followed."""
+    view = _view(path, content)
+    h = read_headers(view)
+    found = damage(h)
+    # What a damaged file holds before the damage is read; so is a classic record whose end is missing.
+    last = len(h.at) if found is None or h.capture_format == "pcap" else found[0]
+    at = h.at[:last][h.packet[:last]]
+    if not len(at):
+        return []
+    cells = (at - at[0]) // chunk_bytes
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    end = min(h.total, int(h.at[last - 1] + h.size[last - 1]))
+    shared = {"capture_id": _name(path), "path": path, "capture_format": h.capture_format, "byte_order": h.order, "unit": h.unit, "links": [x for x, _ in h.interfaces], "ticks": [x for _, x in h.interfaces]}
+    return [shared | {"start": int(a), "stop": int(b), "before": int(k), "data": None if content is None else bytes(view[a:b])} for a, b, k in zip(at[first], [*at[first][1:], end], first)]
+
+
+def _packets(chunk: dict) -> Iterator[tuple]:
+    data, order = chunk["data"], chunk["byte_order"]
+    if data is None:
+        with open(chunk["path"], "rb") as file:
+            file.seek(chunk["start"])
+            data = file.read(chunk["stop"] - chunk["start"])
+    at, number = 0, chunk["before"]
     while at < len(data):
-        if part.format == "pcap":
-            seconds, fraction, kept, sent = struct.unpack_from(part.order + "IIII", data, at)
-            body, at = at + 16, at + 16 + kept
-            when, link = seconds + fraction / part.unit, part.interfaces[0][0]
+        if chunk["capture_format"] == "pcap":
+            if len(data) - at < 16:
+                return
+            seconds, fraction, kept, sent = struct.unpack_from(order + "IIII", data, at)
+            body, following = at + 16, at + 16 + kept
+            when, link = seconds + fraction / chunk["unit"], chunk["links"][0]
         else:
-            kind, size = struct.unpack_from(part.order + "II", data, at)
+            kind, size = struct.unpack_from(order + "II", data, at)
             if kind != PACKET:
                 at += size
                 continue
-            interface, high, low, kept, sent = struct.unpack_from(part.order + "IIIII", data, at + 8)
-            link, tick = part.interfaces[interface] if interface < len(part.interfaces) else (1, 1e-6)
+            interface, high, low, kept, sent = struct.unpack_from(order + "IIIII", data, at + 8)
+            known = interface < len(chunk["links"])
+            link, tick = (chunk["links"][interface], chunk["ticks"][interface]) if known else (1, 1e-6)
+            body, following = at + 28, at + size
             when = (high << 32 | low) / round(1 / tick)
-            body, at = at + 28, at + size
         number += 1
-        yield part.capture_id, number, when, kept, sent, link, data[body : body + kept]
+        yield chunk["capture_id"], number, when, kept, sent, link, data[body : body + kept]
+        at = following
+
+
+def _batches(chunks: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in PACKET_SCHEMA.split(", ")))
+    rows: list[tuple] = []
+    pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], names=names)
+    for chunk in chunks:
+        for row in _packets(chunk):
+            rows.append(row)
+            if len(rows) == 8192:
+                yield pack()
+                rows.clear()
+    if rows:
+        yield pack()
+
+
+def read_captures(spark: SparkSession, paths: list[str | Path], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Packets of files and folders. Files are not audited: damaged ones are read as far as their records go."""
+    files = [x for p in paths for x in list_files(spark, str(p))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+        schema = pa.schema([(n, kinds[t]) for n, t in (c.split() for c in CHUNK_SCHEMA.split(", "))])
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                for chunk in _chunks(path, content, chunk_bytes):
+                    yield pa.RecordBatch.from_pylist([chunk], schema=schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(chunk for batch in batches for chunk in batch.to_pylist())
+
+    pieces = sum(n // chunk_bytes + 1 for _, n in files)
+    chunks = _files(spark, files).mapInArrow(cut, CHUNK_SCHEMA)
+    return chunks.repartition(max(1, pieces), "path", "start").mapInArrow(read, PACKET_SCHEMA)
+
+
+def read_capture(spark: SparkSession, path: str | Path, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Packets of a capture file or a folder of them."""
+    return read_captures(spark, [path], chunk_bytes)
+
+
+@dataclass
+class _File(InputPartition):
+    path: str
 
 
 class CaptureReader(DataSourceReader):
-    def __init__(self, paths: list[str], chunk_bytes: int):
-        self.paths, self.chunk_bytes = paths, chunk_bytes
+    def __init__(self, path: str):
+        self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [part for path in self.paths for part in _plan(path, self.chunk_bytes)] or [InputPartition(None)]
+        path = Path(self.path)
+        files = sorted(p for p in path.iterdir() if p.name.endswith(SUFFIXES)) if path.is_dir() else [path]
+        return [_File(str(p)) for p in files] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if not isinstance(partition, _Range):
-            return
-        kinds = [pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        names = ["capture_id", "packet_number", "ts", "caplen", "wirelen", "linktype", "frame"]
-        rows: list[tuple] = []
-        for row in _packets(partition):
-            rows.append(row)
-            if len(rows) == 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        if isinstance(partition, _File):
+            yield from _batches(_chunks(partition.path, None, CHUNK_BYTES))
 
 
 class CaptureSource(DataSource):
-    """spark.read.format("capture").load(path): a file, or a folder whose capture files are all read.
-
-    Options: chunkBytes, bytes of a file that one task reads; paths, several files, one a line. The files must be readable by all workers.
-    """
+    """spark.read.format("capture").load(path): a file that all workers can open, or a folder; a task for each file."""
 
     @classmethod
     def name(cls) -> str:
@@ -246,25 +392,7 @@ class CaptureSource(DataSource):
         return PACKET_SCHEMA
 
     def reader(self, schema) -> CaptureReader:
-        if "paths" in self.options:
-            return CaptureReader(self.options["paths"].split("\n"), int(self.options.get("chunkBytes", CHUNK_BYTES)))
-        path = Path(self.options["path"])
-        files = sorted(str(p) for p in path.iterdir() if p.suffix in (".pcap", ".pcapng", ".cap")) if path.is_dir() else [str(path)]
-        return CaptureReader(files, int(self.options.get("chunkBytes", CHUNK_BYTES)))
-
-
-def read_capture(spark: SparkSession, path: str | Path, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Packets of a capture file or a folder of them."""
-    if not Path(path).exists():
-        raise FileNotFoundError(f"The capture file does not exist: {path}")
-    spark.dataSource.register(CaptureSource)
-    return spark.read.format("capture").option("chunkBytes", str(chunk_bytes)).load(str(path))
-
-
-def read_captures(spark: SparkSession, paths: list[Path], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Packets of several capture files."""
-    spark.dataSource.register(CaptureSource)
-    return spark.read.format("capture").option("chunkBytes", str(chunk_bytes)).option("paths", "\n".join(map(str, paths))).load()
+        return CaptureReader(self.options["path"])
 
 
 def slice_packets(packets: DataFrame, skip: int, take: int) -> DataFrame:
