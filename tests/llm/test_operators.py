@@ -321,20 +321,23 @@ def test_jaccard_stage_keeps_one_row_of_a_group(spark):
     same(plain(got, "doc_id", "text"), [(1, copy), (None, other), (1, other + " x y z a b c"), (5, None), (5, None), (6, "")])
 
 
-def test_balls_lose_no_link_between_components():
+def test_parts_find_the_components_of_their_links(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 50)
     r = random.Random(12)
     for percent in (60, 85):
         sets = []
         for _ in range(150):
             base = set(range(r.choice([0, 8, 100]), r.choice([110, 112, 120])))
             sets.append(np.array(sorted(base - set(r.sample(range(120), r.randrange(25)))), np.uint64))
-        found = jaccard.linked(list(range(150)), sets, list(range(150)), percent)
+        found = jaccard.linked(np.arange(150), sets, np.arange(150), percent)
         want = brute.jaccard([(k, " ".join(map(str, s))) for k, s in enumerate(sets)], 1, percent)
         root = list(range(150))
         for a, b in found:
             old, new = max(root[a], root[b]), min(root[a], root[b])
             root = [new if x == old else x for x in root]
         assert [(k, root[k]) for k in range(150)] == [(i, c) for i, _, c in want] and len({a for a, _ in found}) == len(found)
+    same_root = jaccard.linked(np.arange(3), [np.array([k], np.uint64) for k in range(3)], np.array([5, 6, 5]), 85)
+    assert same_root == [(2, 0)]
 
 
 def test_boundary_follows_cost():

@@ -7,7 +7,7 @@ by an exchange in how many documents each of their shingles occurs: most have to
 their own to link at all, the others become classes of equal sets.
 
 Only the components of links are wanted, so lists are not multiplied out: classes that a list's hub
-gathers are compared by covering them with balls around leaders, and a list whose members hang together
+gathers are compared with each other in parts of bounded size, and a list whose members hang together
 needs no more. Pairs of a list that are still apart then are verified one by one.
 """
 
@@ -29,8 +29,9 @@ from .groups import LOW_BITS, OWN, SEGMENT_BYTES, Tokens, low_of, met, pack, rea
 
 #: Sizes in one cell of a list differ by less than this factor.
 STEP = 1.05
-#: Members that one task covers with balls at once; a hub with more is dealt to several.
-PART = 128
+#: Members that a task compares with each other at once; a hub with more is dealt to several. Columns of
+#: the matrices in which it does so.
+PART, COLUMNS = 128, 8192
 #: Rounds of hubs go on while the pairs that are left number more than this times the members, and halve.
 FEW = 32
 ASK = "segment long, number long, mark long, n long, a binary"
@@ -167,109 +168,66 @@ def _listed(classes: DataFrame, light: int, percent: int) -> DataFrame:
     return materialize(keys, "jaccard-keys")
 
 
-def _cells(keys: DataFrame, percent: int) -> DataFrame:
-    """(key, cell, class, n, most, probe): lists of two members or more, cut by the sizes of sets.
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of a few sets: a product of 0-1 matrices, some columns at a time."""
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = count[which] > 1
+    _, which = np.unique(which[shared], return_inverse=True)
+    owner, out = owner[shared], np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(which.max(initial=-1)) + 1, COLUMNS):
+        part = (which >= a) & (which < a + COLUMNS)
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[owner[part], which[part] - a] = 1
+        out += block @ block.T
+    out = out.astype(np.int64)
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
+
+
+def linked(classes: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(class, least class that it hangs together with) by the links between sets; sets of equal root do already."""
+    common, sizes = overlaps(sets), np.array([len(x) for x in sets])
+    near = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) | (roots[:, None] == roots[None, :])
+    least, before = classes, None
+    while before is None or (least != before).any():
+        before = least
+        least = np.where(near, least[None, :], np.iinfo(np.int64).max).min(axis=1)
+    return [(a, b) for a, b in zip(classes.tolist(), least.tolist()) if a != b]
+
+
+def _cells(live: DataFrame, percent: int) -> DataFrame:
+    """(key, cell, class, n, most, probe): lists, cut by the sizes of sets.
 
     A set looks for sets of its size and smaller ones (probe), and lies at its own size for larger
     ones to find. most is the largest set that it can link to if the key is the first that both have in
     common, as a late place leaves few shingles to share; what can link to nothing is left out.
     """
-    lists = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("key").alias("k"))
-    met = keys.join(lists, F.col("key") == F.col("k")).select("key", "class", "n", F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent - F.col("n")).alias("most"))
+    given = live.select("key", "class", "n", F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent - F.col("n")).alias("most"))
     cell = lambda x: F.floor(F.log(x.cast("double")) / math.log(STEP)).cast("int")
     least, up = F.ceil(F.col("n") * percent / 100), F.least("n", "most")
     own = F.when(F.col("most") >= F.col("n"), F.array(F.struct(cell(F.col("n")).alias("cell"), F.lit(False).alias("probe"))))
     looks = F.when(up >= least, F.transform(F.sequence(cell(least), cell(up)), lambda x: F.struct(x.alias("cell"), F.lit(True).alias("probe"))))
     none = F.slice(F.array(F.struct(F.lit(0).alias("cell"), F.lit(True).alias("probe"))), 1, 0)
-    out = met.select("key", "class", "n", "most", F.explode(F.concat(F.coalesce(own, none), F.coalesce(looks, none))).alias("c"))
-    return materialize(out.select("key", "c.cell", "class", "n", "most", "c.probe"), "jaccard-cells")
-
-
-class Balls:
-    """Sets that were compared: leaders, and round each leader the sets that link to it.
-
-    A set that links to no leader becomes one. The distance (1 - similarity) is a metric, so a set that
-    links to a member of a ball is within twice the allowed distance of the leader: other balls are left
-    out, and so are balls that the set hangs together with already. No link between components is lost.
-    """
-
-    def __init__(self, percent: int, n: int):
-        if percent <= 50:
-            raise ValueError("a similarity of more than a half is needed")
-        self.percent, self.root = percent, list(range(n))
-        self.lists: dict[int, list[int]] = {}
-        self.leaders: list[int] = []
-        self.sizes: list[int] = []
-        self.members: list[list[tuple[int, np.ndarray]]] = []
-
-    def find(self, x: int) -> int:
-        while self.root[x] != x:
-            self.root[x] = self.root[self.root[x]]
-            x = self.root[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        self.root[max(x, y)] = min(x, y)
-
-    def add(self, k: int, items: np.ndarray) -> None:
-        """Compare set k with the earlier ones."""
-        shared = np.bincount([x for e in items.tolist() for x in self.lists.get(e, ())], minlength=len(self.leaders))
-        near = np.flatnonzero(shared)
-        common = shared[near]
-        union = len(items) + np.array(self.sizes, np.int64)[near] - common
-        direct = 100 * common >= self.percent * union
-        for at in near[direct].tolist():
-            self.join(k, self.leaders[at])
-        for at in near[~direct & (100 * common >= (2 * self.percent - 100) * union)].tolist():
-            if self.members[at] and self.find(self.leaders[at]) != self.find(k):
-                other = self._linked(items, self.members[at])
-                if other is not None:
-                    self.join(k, other)
-        if direct.any():
-            best = near[direct][np.argmax((common / union)[direct])]
-            self.members[best].append((k, items))
-        else:
-            for e in items.tolist():
-                self.lists.setdefault(e, []).append(len(self.leaders))
-            self.leaders.append(k)
-            self.sizes.append(len(items))
-            self.members.append([])
-
-    def _linked(self, items: np.ndarray, members: list) -> int | None:
-        every = np.concatenate([x for _, x in members])
-        sizes = np.array([len(x) for _, x in members])
-        common = np.add.reduceat(np.isin(every, items), np.cumsum(sizes) - sizes, dtype=np.int64)
-        ok = np.flatnonzero(100 * common >= self.percent * (sizes + len(items) - common))
-        return members[ok[0]][0] if len(ok) else None
+    return given.select("key", "class", "n", "most", F.explode(F.concat(F.coalesce(own, none), F.coalesce(looks, none))).alias("c")).select("key", "c.cell", "class", "n", "most", "c.probe")
 
 
-def linked(classes: list[int], sets: list[np.ndarray], roots: list[int], percent: int) -> list[tuple[int, int]]:
-    """(class, least class that it hangs together with) by the links between sets; sets of equal root do already."""
-    balls, first = Balls(percent, len(sets)), {}
-    for k, root in enumerate(roots):
-        balls.join(k, first.setdefault(root, k))
-    for k in sorted(range(len(sets)), key=lambda k: (len(sets[k]), classes[k])):
-        balls.add(k, sets[k])
-    least: dict[int, int] = {}
-    for k, name in enumerate(classes):
-        least[balls.find(k)] = min(name, least.get(balls.find(k), name))
-    return [(name, least[balls.find(k)]) for k, name in enumerate(classes) if name != least[balls.find(k)]]
-
-
-def _live(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The cells, with the root of every class, in which sets of different components may find each other."""
-    named = cells.withColumn("root", F.col("class")) if roots is None else cells.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-    found = named.groupBy("key", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.bool_or("probe").alias("p"), F.bool_and("probe").alias("q")).filter("a <> b AND p AND NOT q")
-    found = found.select(F.col("key").alias("k"), F.col("cell").alias("c"))
+def _live(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows, with the root of every class, of lists (or their cells) in which different components may find each other."""
+    named = rows.withColumn("root", F.col("class")) if roots is None else rows.drop("root").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
+    by, cut = ("key", "cell"), "probe" in rows.columns
+    named = named if cut else named.withColumn("cell", F.lit(0))
+    both = (F.bool_or("probe") & ~F.bool_and("probe")) if cut else F.lit(True)
+    found = named.groupBy(*by).agg(F.min("root").alias("a"), F.max("root").alias("b"), both.alias("both")).filter("a <> b AND both").select(F.col("key").alias("k"), F.col("cell").alias("c"))
     return materialize(named.join(found, (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c"))).drop("k", "c"), "jaccard-live")
 
 
 def _left(live: DataFrame) -> tuple[int, float]:
-    """(members, pairs of different components) of the cells, counted and not made."""
-    p, q = F.sum(F.col("probe").cast("double")), F.sum((~F.col("probe")).cast("double"))
+    """(members, pairs of different components) of lists or cells, counted and not made."""
+    cut = "probe" in live.columns
+    p, q = (F.sum(F.col("probe").cast("double")), F.sum((~F.col("probe")).cast("double"))) if cut else (F.count(F.lit(1)).cast("double"),) * 2
     parts = live.groupBy("key", "cell", "root").agg(p.alias("p"), q.alias("q")).groupBy("key", "cell").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * F.col("q")).alias("same"))
-    members, pairs = parts.agg(F.sum(F.col("p") + F.col("q")), F.sum(F.col("p") * F.col("q") - F.col("same"))).first()
+    members, pairs = parts.agg(F.sum(F.greatest("p", "q")), F.sum(F.col("p") * F.col("q") - F.col("same")) / (1 if cut else 2)).first()
     return members or 0, pairs or 0
 
 
@@ -292,7 +250,7 @@ def _gathered(classes: DataFrame, live: DataFrame, percent: int, seed: int) -> D
 
     def run(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
-        pairs = linked(table.column("class").to_pylist(), sets, table.column("root").to_pylist(), percent)
+        pairs = linked(table.column("class").to_numpy(), sets, table.column("root").to_numpy(), percent)
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
     return members.groupBy("hub", "part").applyInArrow(run, "a long, b long")
@@ -318,25 +276,29 @@ def _verified(classes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
 
 
 def links(classes: DataFrame, light: int, percent: int) -> DataFrame:
-    """(node, root) of the classes that link to others, by (class, n, z, items)."""
-    keys = _listed(classes, light, percent)
-    cells = _cells(keys, percent)
+    """(node, root) of the classes that link to others, by (class, n, z, items).
+
+    Lists are gathered under their hubs once, which joins most near copies. What is left is cut into
+    cells, gathered as long as that helps, and verified pair by pair in the end.
+    """
     found, roots, before = None, None, math.inf
+    live = _live(_listed(classes, light, percent), None)
     for seed in itertools.count(0, 2):
-        live = _live(cells, roots)
         members, pairs = _left(live)
-        if pairs <= FEW * members or (seed and pairs > before / 2):
+        if pairs > FEW * members and pairs <= before / 2:
+            more = materialize(_gathered(classes, live, percent, seed), "jaccard-links")
+            found = more if found is None else found.unionByName(more)
+            roots, before = components(found), pairs
+            live = _live(live, roots)
+        elif "probe" not in live.columns:
+            live, before = _live(_cells(live, percent), roots), math.inf
+        else:
             break
-        before = pairs
-        more = materialize(_gathered(classes, live, percent, seed), "jaccard-links")
-        discard(live)
-        found = more if found is None else found.unionByName(more)
-        roots = components(found)
     if pairs:
         more = materialize(_verified(classes, live, percent), "jaccard-links")
         found = more if found is None else found.unionByName(more)
         roots = components(found)
-    return roots if roots is not None else keys.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
+    return roots if roots is not None else classes.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, light: int | None = None) -> DataFrame:
