@@ -100,21 +100,22 @@ def tokenizer():
 
 def test_encoding_is_that_of_the_library(tokenizer):
     own, r = bpe.load(bpe.vocabulary()), random.Random(3)
-    texts = ["".join(r.choice(ODD) for _ in range(r.randrange(30))) for _ in range(5000)] + ["", " ", "a" * 3000 + "zq" * 2000, "\n" * 500 + "x"]
-    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
-        ids = own.encode_bytes(text.encode())
-        assert np.frombuffer(ids, "<u4").tolist() == want.ids
-        assert own.decode_bytes(ids).decode() == tokenizer.decode(want.ids, skip_special_tokens=False)
-    assert b"".join(own.fragments("a b  c  d à e".encode())) == "a b  c  d à e".encode()
+    texts = ["".join(r.choice(ODD) for _ in range(r.randrange(30))) for _ in range(20_000)] + ["", " ", "a" * 3000 + "zq" * 2000, "\n" * 500 + "x"]
+    texts += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(32, 1200), r.randrange(0x2000, 0x3100)])) for _ in range(12)) for _ in range(20_000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        for text, ids, want in zip(part, own.encode_batch([x.encode() for x in part]), tokenizer.encode_batch(part, add_special_tokens=False)):
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
+            assert own.decode_bytes(ids).decode() == tokenizer.decode(want.ids, skip_special_tokens=False)
 
 
-def test_own_merges_and_certain_cuts(tokenizer):
-    own = bpe.ByteBPE(bpe.vocabulary())
-    own.merge = own._merge
-    for text in ("unbelievable tokenization", "zqzqxjkq" * 9, "antidisestablishmentarianism" * 4):
-        assert np.frombuffer(own.encode_bytes(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-    parts = own.certain_cuts("zqxj漢字".encode())
-    assert len(parts) > 1 and all(not own.joined[a[-1], b[0]] for a, b in zip(parts, parts[1:]))
+def test_cuts_are_where_no_token_has_the_pair():
+    own = bpe.load(bpe.vocabulary())
+    pairs = {(a, b) for token in own.table for a, b in zip(token, token[1:])}
+    for text in ("a b c  d à e", "zqxj漢字zq", "don't! !'s #x=1,2;ok", "一 二\u3000三"):
+        parts = own.fragments(text.encode())
+        assert b"".join(parts) == text.encode() and all((a[-1], b[0]) not in pairs for a, b in zip(parts, parts[1:]))
+    assert own.fragments("zqxj".encode()) != [b"zqxj"] and own.fragments("unit zq2 text".encode())[0] == b"unit"
 
 
 def test_encode_and_decode_tables(spark, tokenizer):
@@ -128,10 +129,10 @@ def test_encode_and_decode_tables(spark, tokenizer):
 
 
 def test_memory_of_fragments_is_bounded():
-    memo = bpe._Memo(lambda k: k, 10)
+    own = bpe.ByteBPE(bpe.vocabulary(), memo=10)
     for k in range(100):
-        memo[str(k).encode()]
-    assert len(memo) <= 10
+        own.encode_batch([f"word{k} and x{k}".encode(), b"y" * 200])
+        assert len(own.memo) <= 10
 
 
 # -- language model

@@ -1,18 +1,17 @@
 """Byte-pair encoding and decoding with forced-boundary splitting.
 
 A byte pair that occurs inside no token of the vocabulary can never be merged across, so it marks a
-certain cut. Texts are cut there, the fragments are encoded each on its own, and the results are
-concatenated. Fragments repeat, so a worker remembers the ones it has met.
+certain cut. Texts are cut there, the fragments are encoded each on its own by the tokenizers library,
+and the results are concatenated. Fragments repeat, so a batch encodes those that it hasn't met.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import itertools
 import json
+import os
 import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table, small_batches, texts, tidy
 
-#: Fragments that a worker remembers; beyond that it forgets all and starts again. Between tasks it
-#: keeps the first of them only, as other work may follow in the same process.
-MEMO, KEPT = 600_000, 150_000
+#: Fragments that a worker remembers, and their length in bytes; beyond that number it forgets all and
+#: starts again. Between tasks it keeps the first of them only, as other work may follow in the process.
+MEMO, MEMO_BYTES, KEPT = 600_000, 64, 150_000
 #: White space beyond ASCII (Unicode White_Space), fixed values.
 WIDE_SPACE = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WIDE = re.compile(b"|".join(c.encode() for c in WIDE_SPACE))
 
 
 def byte_letters() -> dict[int, str]:
@@ -35,126 +35,84 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def certain(tokens: list[bytes]) -> np.ndarray:
+    """For each pair of bytes whether a text may be cut between them: no token has the pair inside.
+
+    The pattern that splits texts before merging must see the same on both sides of a cut, so none is
+    made inside a character, after white space or control characters (what follows may belong to
+    them), after an apostrophe, or before one that may be in a run of marks (it may begin a suffix).
+    """
+    joined = np.zeros((256, 256), np.bool_)
+    for token in tokens:
+        row = np.frombuffer(token, np.uint8)
+        joined[row[:-1], row[1:]] = True
+    out, b = ~joined, np.arange(256)
+    out[:, (b >= 0x80) & (b < 0xC0)] = False
+    out[(b <= 0x20) | (b == 0x7F) | (b == ord("'"))] = False
+    out[[not (x < 128 and chr(x).isalnum()) for x in b], ord("'")] = False
+    return out
+
+
 class ByteBPE:
     """A byte-level BPE vocabulary in the JSON form of the tokenizers library."""
 
     def __init__(self, path: str, memo: int = MEMO):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         byte_of = {c: b for b, c in byte_letters().items()}
         raw = {bytes(byte_of[c] for c in token): k for token, k in spec["model"]["vocab"].items()}
-        self.ids = raw
-        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.rank = {(a, b): k for k, (a, b) in enumerate(tuple(bytes(byte_of[c] for c in x) for x in m) for m in merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.table = [b""] * (max([*raw.values(), *self.special.values()]) + 1)
         for token, k in raw.items():
             self.table[k] = token
         for token, k in self.special.items():
             self.table[k] = token.encode()
-        self.joined = np.zeros((256, 256), np.bool_)
-        for token in raw:
-            for a, b in zip(token, token[1:]):
-                self.joined[a, b] = True
-        #: The pattern that splits a fragment into pre-tokens, with the library's own Unicode tables.
-        self.pieces = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.byte_of = byte_of
+        self.certain = certain([x for x in raw if len(x) > 1])
         self.stop = re.compile(b"|".join(re.escape(x.encode()) for x in self.special)) if self.special else None
-        self.merge = self._fast_merge() or self._merge
-        self.memo: dict[bytes, bytes] = _Memo(self.encode_fragment, memo)
-        # A space after anything but white space starts a pre-token, whatever follows, and where the
-        # vocabulary has the pair inside no token the merges agree: there a cut is certain. Before
-        # these bytes there is no certain cut:
-        unsure = [bytes([b]) for b in range(256) if self.joined[b, 0x20] or 9 <= b <= 13 or b == 0x20] + [c.encode() for c in WIDE_SPACE]
-        self.unsure = [x + b" " for x in unsure]
-        self.cut = re.compile(b"".join(b"(?<!" + re.escape(x) + b")" for x in unsure) + b"(?<!^)(?= )")
+        self.library = Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.library.no_truncation()
+        self.memo: dict[bytes, bytes] = {}
+        self.most = memo
 
     def fragments(self, data: bytes) -> list[bytes]:
         """The text (UTF-8) between certain cuts; joined they are the text."""
-        if any(x in data for x in self.unsure):
-            return self.cut.split(data)
-        first, *rest = data.split(b" ")
-        return [first, *[b" " + x for x in rest]]
+        if not data:
+            return []
+        row = np.frombuffer(data, np.uint8)
+        cuts = np.flatnonzero(self.certain[row[:-1], row[1:]]) + 1
+        if WIDE.search(data):
+            cuts = np.setdiff1d(cuts, [x.end() for x in WIDE.finditer(data)])
+        cuts = cuts.tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
 
-    def encode_bytes(self, data: bytes) -> bytes:
-        """Token ids, as little-endian unsigned 32-bit integers, of a text in UTF-8."""
+    def pieces(self, data: bytes) -> list[bytes | str]:
+        """Fragments of a text, and the special tokens in it as strings."""
         out, at = [], 0
         for found in self.stop.finditer(data) if self.stop else ():
-            out.append(self._plain(data[at : found.start()]))
-            out.append(self.special[found[0].decode()].to_bytes(4, "little"))
+            out += [*self.fragments(data[at : found.start()]), found[0].decode()]
             at = found.end()
-        return b"".join([*out, self._plain(data[at:])]) if out else self._plain(data)
-
-    def _plain(self, data: bytes) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.fragments(data))) if data else b""
-
-    def encode_fragment(self, fragment: bytes) -> bytes:
-        if not fragment:
-            return b""
-        out = []
-        for letters, _ in self.pieces(fragment.decode()):
-            data = bytes(map(self.byte_of.__getitem__, letters))
-            out += map(self.merge, self.certain_cuts(data) if len(data) > 24 else (data,))
-        return b"".join(out)
-
-    def certain_cuts(self, data: bytes) -> list[bytes]:
-        """A pre-token cut at the byte pairs that no token has inside."""
-        row = np.frombuffer(data, np.uint8)
-        cuts = (np.flatnonzero(~self.joined[row[:-1], row[1:]]) + 1).tolist()
-        return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
-
-    def _fast_merge(self):
-        """Compiled merging, if ids are in the order of the merges (a byte-level rank vocabulary)."""
-        import tiktoken
-
-        made = [self.ids[a + b] for a, b in self.rank]
-        if made != sorted(made):
-            return None
-        core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=self.ids, special_tokens={})._core_bpe
-        ids, piece = self.ids, core.encode_single_piece
-
-        def merge(data: bytes) -> bytes:
-            k = ids.get(data)
-            return struct.pack(f"<{len(x)}I", *x) if k is None and (x := piece(data)) else k.to_bytes(4, "little")
-
-        return merge
-
-    def _merge(self, data: bytes) -> bytes:
-        """Merge the pair of lowest rank, leftmost first, until none is left."""
-        parts = [data[k : k + 1] for k in range(len(data))]
-        if len(parts) > 40:
-            parts = self._merge_long(parts)
-        rank = self.rank.get
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda k: rank((parts[k], parts[k + 1]), 1 << 30))
-            pair = (parts[best], parts[best + 1])
-            if pair not in self.rank:
-                break
-            parts[best : best + 2] = [pair[0] + pair[1]]
-        return b"".join(self.ids[p].to_bytes(4, "little") for p in parts)
-
-    def _merge_long(self, parts: list[bytes]) -> list[bytes]:
-        """The same for long runs, with a heap over a linked list: n log n instead of n squared."""
-        n = len(parts)
-        after, before, rank = [*range(1, n), -1], [-1, *range(n - 1)], self.rank.get
-        live: list[bytes | None] = list(parts)
-        heap = [(r, k, parts[k], parts[k + 1]) for k in range(n - 1) if (r := rank((parts[k], parts[k + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, k, a, b = heapq.heappop(heap)
-            j = after[k]
-            if live[k] != a or j < 0 or live[j] != b:
-                continue
-            live[k], live[j] = a + b, None
-            after[k] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = k
-            for i in (before[k], k):
-                if i >= 0 and (m := after[i]) >= 0 and (r := rank((live[i], live[m]))) is not None:
-                    heapq.heappush(heap, (r, i, live[i], live[m]))
-        return [p for p in live if p is not None]
+        return out + self.fragments(data[at:])
+
+    def encode_batch(self, values: list[bytes]) -> list[bytes]:
+        """Token ids, as little-endian unsigned 32-bit integers, of texts in UTF-8."""
+        split = [self.pieces(x) for x in values]
+        known = self.memo
+        fresh = list({x for pieces in split for x in pieces if x not in known})
+        if len(known) + len(fresh) > self.most:
+            known.clear()
+            fresh = list({x for pieces in split for x in pieces})
+        found = {x: self.special[x].to_bytes(4, "little") for x in fresh if isinstance(x, str)}
+        plain = [x for x in fresh if x not in found]
+        for x, ids in zip(plain, self.library.encode_batch_fast([x.decode() for x in plain], add_special_tokens=False)):
+            found[x] = np.array(ids.ids, "<u4").tobytes()
+        known.update((x, ids) for x, ids in found.items() if len(x) <= MEMO_BYTES)
+        long = {x: ids for x, ids in found.items() if len(x) > MEMO_BYTES}
+        get = (lambda x: known[x] if x in known else long[x]) if long else known.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in split]
 
     def decode_bytes(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text; bytes that are no UTF-8 become replacement characters."""
@@ -165,26 +123,11 @@ class ByteBPE:
             return data.decode(errors="replace").encode()
         return data
 
-
-class _Memo(dict):
-    """Remembers a function's results, a bounded number of them."""
-
-    def __init__(self, function, most: int):
-        super().__init__()
-        self.function, self.most = function, most
-
     def shorten(self) -> None:
-        first = dict(itertools.islice(self.items(), KEPT))
-        self.clear()
-        self.update(first)
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self.function(key)
-        if len(key) <= 64:
-            self[key] = value
-        return value
+        """Keep the first of the remembered fragments only."""
+        first = dict(itertools.islice(self.memo.items(), KEPT))
+        self.memo.clear()
+        self.memo.update(first)
 
 
 _LOADED: dict[str, ByteBPE] = {}
@@ -217,8 +160,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
         bpe = load(path or vocabulary())
         for batch in batches:
             n, ids_hash, text_hash, kept = [], [], [], []
-            for value in texts(batch.column(1)):
-                ids = bpe.encode_bytes(value)
+            for ids in bpe.encode_batch(texts(batch.column(1))):
                 n.append(len(ids) // 4)
                 ids_hash.append(hashlib.sha256(ids).hexdigest())
                 text_hash.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
@@ -228,7 +170,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
             if keep_ids:
                 columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        bpe.memo.shorten()
+        bpe.shorten()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
