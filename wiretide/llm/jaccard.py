@@ -32,6 +32,8 @@ STEP = 1.05
 #: Members that a task compares with each other at once; a hub with more is dealt to several. Columns of
 #: the matrices in which it does so.
 PART, COLUMNS = 128, 8192
+#: Keys of a class in the first gathering.
+SOME = 4
 #: Rounds of hubs go on while the pairs that are left number more than this times the members, and halve.
 FEW = 32
 ASK = "segment long, number long, mark long, n long, a binary"
@@ -153,18 +155,21 @@ def keys_of(items: np.ndarray, z: int, light: int, percent: int) -> tuple[np.nda
     return np.concatenate([np.array(out, np.uint64), items[list(places)]]), np.array([0] * len(out) + list(places), np.int64)
 
 
-def _listed(classes: DataFrame, light: int, percent: int) -> DataFrame:
-    """(key, class, n, place): the lists."""
+def _listed(classes: DataFrame, light: int, percent: int, most: int | None = None) -> DataFrame:
+    """(key, class, n, place, root): the lists; with most so many keys of a class only, those of least hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [keys_of(np.frombuffer(x, np.uint64), z, light, percent) for x, z in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())]
+            keys = [keys_of(np.frombuffer(x, np.uint64), z, light, percent) for x, z in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist())]
+            if most:
+                picked = [np.argsort(mix64(k + np.uint64(1)), kind="stable")[:most] for k, _ in keys]
+                keys = [(k[at], place[at]) for (k, place), at in zip(keys, picked)]
             counts = [len(x) for x, _ in keys]
             key, place = (np.concatenate([np.zeros(0, t), *(pair[c] for pair in keys)]) for c, t in ((0, np.uint64), (1, np.int64)))
-            repeated = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts), pa.int64()) for c in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *repeated, pa.array(place)], names=["key", "class", "n", "place"])
+            repeated = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts), pa.int64()) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *repeated, pa.array(place)], names=["key", "class", "n", "root", "place"])
 
-    keys = classes.select("class", "n", "z", "items").mapInArrow(tidy(run), "key long, class long, n long, place long")
+    keys = classes.select("class", "n", "root", "z", "items").mapInArrow(tidy(run), "key long, class long, n long, root long, place long")
     return materialize(keys, "jaccard-keys")
 
 
@@ -197,29 +202,33 @@ def linked(classes: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, perce
 
 
 def _cells(live: DataFrame, percent: int) -> DataFrame:
-    """(key, cell, class, n, most, probe): lists, cut by the sizes of sets.
+    """(key, cell, class, n, root, most, probe): lists, cut by the sizes of sets.
 
     A set looks for sets of its size and smaller ones (probe), and lies at its own size for larger
     ones to find. most is the largest set that it can link to if the key is the first that both have in
     common, as a late place leaves few shingles to share; what can link to nothing is left out.
     """
-    given = live.select("key", "class", "n", F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent - F.col("n")).alias("most"))
+    given = live.select("key", "class", "n", "root", F.floor((100 + percent) * (F.col("n") - F.col("place")) / percent - F.col("n")).alias("most"))
     cell = lambda x: F.floor(F.log(x.cast("double")) / math.log(STEP)).cast("int")
     least, up = F.ceil(F.col("n") * percent / 100), F.least("n", "most")
     own = F.when(F.col("most") >= F.col("n"), F.array(F.struct(cell(F.col("n")).alias("cell"), F.lit(False).alias("probe"))))
     looks = F.when(up >= least, F.transform(F.sequence(cell(least), cell(up)), lambda x: F.struct(x.alias("cell"), F.lit(True).alias("probe"))))
     none = F.slice(F.array(F.struct(F.lit(0).alias("cell"), F.lit(True).alias("probe"))), 1, 0)
-    return given.select("key", "class", "n", "most", F.explode(F.concat(F.coalesce(own, none), F.coalesce(looks, none))).alias("c")).select("key", "c.cell", "class", "n", "most", "c.probe")
+    return given.select("key", "class", "n", "root", "most", F.explode(F.concat(F.coalesce(own, none), F.coalesce(looks, none))).alias("c")).select("key", "c.cell", "class", "n", "root", "most", "c.probe")
 
 
-def _live(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The rows, with the root of every class, of lists (or their cells) in which different components may find each other."""
-    named = rows.withColumn("root", F.col("class")) if roots is None else rows.drop("root").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-    by, cut = ("key", "cell"), "probe" in rows.columns
-    named = named if cut else named.withColumn("cell", F.lit(0))
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of classes with the root that their class has by now."""
+    return rows.drop("root").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
+
+
+def _live(rows: DataFrame) -> DataFrame:
+    """The rows of lists (or of their cells) in which different components may find each other."""
+    cut = "probe" in rows.columns
+    rows = rows if cut else rows.withColumn("cell", F.lit(0))
     both = (F.bool_or("probe") & ~F.bool_and("probe")) if cut else F.lit(True)
-    found = named.groupBy(*by).agg(F.min("root").alias("a"), F.max("root").alias("b"), both.alias("both")).filter("a <> b AND both").select(F.col("key").alias("k"), F.col("cell").alias("c"))
-    return materialize(named.join(found, (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c"))).drop("k", "c"), "jaccard-live")
+    found = rows.groupBy("key", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b"), both.alias("both")).filter("a <> b AND both").select(F.col("key").alias("k"), F.col("cell").alias("c"))
+    return materialize(rows.join(found, (F.col("key") == F.col("k")) & (F.col("cell") == F.col("c"))).drop("k", "c"), "jaccard-live")
 
 
 def _left(live: DataFrame) -> tuple[int, float]:
@@ -278,27 +287,26 @@ def _verified(classes: DataFrame, live: DataFrame, percent: int) -> DataFrame:
 def links(classes: DataFrame, light: int, percent: int) -> DataFrame:
     """(node, root) of the classes that link to others, by (class, n, z, items).
 
-    Lists are gathered under their hubs once, which joins most near copies. What is left is cut into
-    cells, gathered as long as that helps, and verified pair by pair in the end.
+    First a few keys of each class are gathered under hubs, which joins most near copies; their keys
+    are then listed with one root and lead nowhere. What is left is gathered again, cut into cells,
+    gathered as long as that helps, and verified pair by pair in the end.
     """
-    found, roots, before = None, None, math.inf
-    live = _live(_listed(classes, light, percent), None)
-    for seed in itertools.count(0, 2):
+    found = materialize(_gathered(classes, _live(_listed(classes.withColumn("root", F.col("class")), light, percent, SOME)), percent, 1), "jaccard-links")
+    roots, before = components(found), math.inf
+    live = _live(_listed(_rooted(classes, roots), light, percent))
+    for seed in itertools.count(2, 2):
         members, pairs = _left(live)
         if pairs > FEW * members and pairs <= before / 2:
-            more = materialize(_gathered(classes, live, percent, seed), "jaccard-links")
-            found = more if found is None else found.unionByName(more)
+            found = found.unionByName(materialize(_gathered(classes, live, percent, seed), "jaccard-links"))
             roots, before = components(found), pairs
-            live = _live(live, roots)
+            live = _live(_rooted(live, roots))
         elif "probe" not in live.columns:
-            live, before = _live(_cells(live, percent), roots), math.inf
+            live, before = _live(_cells(live, percent)), math.inf
         else:
             break
     if pairs:
-        more = materialize(_verified(classes, live, percent), "jaccard-links")
-        found = more if found is None else found.unionByName(more)
-        roots = components(found)
-    return roots if roots is not None else classes.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
+        roots = components(found.unionByName(materialize(_verified(classes, live, percent), "jaccard-links")))
+    return roots
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, light: int | None = None) -> DataFrame:
