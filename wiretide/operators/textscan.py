@@ -109,7 +109,7 @@ def scan_paths(files: DataFrame) -> DataFrame:
 def fragments(text: Column) -> Column:
     """Pieces of a line that end at . ! or ? unless a digit stands on either side."""
     pieces = F.split(text, r"(?<=(?<!\d)[.!?])(?!\d)", -1)
-    return F.filter(F.transform(pieces, F.trim), lambda x: x != "")
+    return F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def scan_structure(text_lines: DataFrame, modals: tuple[str, ...] = MODALS) -> DataFrame:
@@ -222,10 +222,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
 
 
+#: Log lines that the events make: networks of the addresses (the last one is public), by the rest of a division.
+NETWORKS = ("10.1.2.", "172.16.9.", "172.31.0.", "192.168.77.", "172.32.5.")
+
+
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as lines of a log that names addresses and devices."""
     k = F.regexp_extract("props", r"\d+", 0).cast("int")
-    host = F.concat(F.lit("10.1.2."), k.cast("string"))
+    host = F.concat(F.element_at(F.array(*map(F.lit, NETWORKS)), (F.col("event_id") % len(NETWORKS) + 1).cast("int")), k.cast("string"))
     card = F.concat(F.lit("02-00-00-00-00-"), F.lpad(F.hex(k % 16), 2, "0"))
     text = F.when(k % 5 == 0, F.concat(F.lit("Login from "), host)).when(k % 5 == 1, F.concat(F.lit("card "), card)).when(k % 5 == 2, F.concat(F.lit("reset of PLC-"), k.cast("string"), F.lit(" and hmi_7"))).when(k % 5 == 3, "RailGuard - Sentinel started").otherwise("nothing")
     return table(spark, sf_dir, "events").select(F.concat(F.lit("log/"), (F.col("user_id") % 7).cast("string")).alias("path"), F.col("event_id").cast("int").alias("line"), text.alias("text"))
@@ -276,6 +280,26 @@ def page_request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", http_basis(line).alias("basis"))
 
 
+#: What the next two queries put into texts: phrases that a report must not have, and one that it may.
+PHRASES = ("Nie zgodny", "a non-compliant", "compliance, COMPLIANCE and compliance", "certyfikaty", "certified", "SL-3 or sl 2", "Security Level 4", "poziomu bezpiecze\u0144stwa 1", "7/100 and 10 / 100 and 100/100", "uncertain")
+
+
+def report_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forbidden phrases in the first words of documents with two phrases put between them, by document and rule."""
+    pick = lambda n: F.element_at(F.array(*map(F.lit, PHRASES)), ((F.col("doc_id") * n) % len(PHRASES) + 1).cast("int"))
+    text = F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit(" says "), pick(1), F.lit("; then "), pick(3), F.lit("."))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), text.alias("content"))
+    return forbidden_phrases(files).groupBy("path", "rule_id").agg(F.count(F.lit(1)).alias("hits")).select(F.col("path").cast("long").alias("doc_id"), "rule_id", "hits")
+
+
+def modal_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause-like sentences made of orders, one for each modal verb and one without, by status."""
+    verb = F.element_at(F.array(*map(F.lit, (*MODALS, "may"))), (F.col("o_orderkey") % (len(MODALS) + 1) + 1).cast("int"))
+    text = F.concat(F.lit("As part "), (F.col("o_orderkey") % 9).cast("string"), F.lit("."), (F.col("o_custkey") % 7).cast("string"), F.lit(" of the order has it, the carrier "), verb, F.lit(" hand the goods over to the customer. Thanks!"))
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("path"), F.col("o_orderkey").cast("int").alias("line"), text.alias("text"))
+    return scan_structure(files).groupBy("path").agg(F.count(F.lit(1)).alias("fragments"), F.sum(F.col("line").cast("long")).alias("lines")).withColumnRenamed("path", "status")
+
+
 def substring_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines with one of three substrings, whatever their case."""
     rows = substring_scan(_log_lines(spark, sf_dir), ["LOGIN", "sentinel", "plc-"])
@@ -283,10 +307,12 @@ def substring_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contract_queries() -> dict:
-    return {f.__name__: f for f in (shingle_overlap, ipv4_mentions, clause_lines, pattern_rules, phrase_rules, page_request_lines, substring_hits)}
+    return {f.__name__: f for f in (shingle_overlap, ipv4_mentions, clause_lines, pattern_rules, phrase_rules, page_request_lines, report_phrases, modal_clauses, substring_hits)}
 
 
-_LOG = """WITH t AS (SELECT 'log/' || (user_id % 7) AS path, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events)"""
+_LOG = f"""WITH k AS (SELECT event_id, 'log/' || (user_id % 7) AS path, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events),
+  t AS (SELECT path, lower(CASE k % 5 WHEN 0 THEN 'Login from ' || list_extract([{", ".join(f"'{n}'" for n in NETWORKS)}], CAST(event_id % {len(NETWORKS)} + 1 AS INT)) || k WHEN 1 THEN 'card 02-00-00-00-00-' || printf('%02X', k % 16)
+    WHEN 2 THEN 'reset of PLC-' || k || ' and hmi_7' WHEN 3 THEN 'RailGuard - Sentinel started' ELSE 'nothing' END) AS text FROM k)"""
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
@@ -303,13 +329,22 @@ def contract_sql() -> dict[str, str]:
   f AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(regexp_replace(line, '([^0-9])([.!?])([^0-9]|$)', '\1\2' || chr(1) || '\3', 'g'), '([^0-9' || chr(1) || '])([.!?])([^0-9' || chr(1) || ']|$)', '\1\2' || chr(1) || '\3', 'g'), chr(1)))) AS piece FROM l)
   SELECT doc_id, count(*) AS fragments FROM f WHERE length(piece) >= 60 AND regexp_matches(piece, '(^|[^vV])[0-9]+\.[0-9]+')
     AND (contains(strip_accents(lower(piece)), 'the') OR contains(strip_accents(lower(piece)), 'la') OR contains(strip_accents(lower(piece)), 'der')) GROUP BY doc_id""",
-        "pattern_rules": f"""{_LOG} SELECT path, rule_id, CAST(sum(n) AS BIGINT) AS violations FROM (
-  SELECT path, 'identity-private-ipv4' AS rule_id, count(*) AS n FROM t WHERE k % 5 = 0 AND k <> 5 GROUP BY path
-  UNION ALL SELECT path, 'identity-mac-address', count(*) FROM t WHERE k % 5 = 1 AND k % 16 <> 1 GROUP BY path
-  UNION ALL SELECT path, 'identity-device-name', 2 * count(*) FROM t WHERE k % 5 = 2 AND path <> 'log/3' GROUP BY path
-  UNION ALL SELECT path, 'identity-project-name', count(*) FROM t WHERE k % 5 = 3 GROUP BY path) GROUP BY ALL""",
-        "phrase_rules": rf"""WITH t AS (SELECT page_id, 'tracker-call' AS rule_id, len(regexp_extract_all(strip_accents(lower(html)), '(?s).{{0,{CONTEXT}}}(?:\btrack\(\d+\)).{{0,{CONTEXT}}}')) AS hits FROM pages
-  UNION ALL SELECT page_id, 'numeric-indicator', len(regexp_extract_all(strip_accents(lower(html)), '(?s).{{0,{CONTEXT}}}(?:\b\d{{1,3}}\s*/\s*100\b).{{0,{CONTEXT}}}')) FROM pages) SELECT * FROM t WHERE hits > 0""",
-        "page_request_lines": """SELECT page_id, CASE WHEN page_id % 3 < 2 THEN 'http-request-line' END AS basis FROM pages""",
-        "substring_hits": f"""{_LOG} SELECT path, pattern, count(*) AS hits FROM (SELECT path, CASE k % 5 WHEN 0 THEN 'LOGIN' WHEN 2 THEN 'plc-' WHEN 3 THEN 'sentinel' END AS pattern FROM t) WHERE pattern IS NOT NULL GROUP BY ALL""",
+        "pattern_rules": rf"""{_LOG}, m AS (
+  SELECT path, '{IPV4_RULE}' AS rule_id, unnest(regexp_extract_all(text, '(?:^|[^\d.])((?:10\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}|172\.(?:1[6-9]|2\d|3[01])\.\d{{1,3}}\.\d{{1,3}}|192\.168\.\d{{1,3}}\.\d{{1,3}}))(?:[^\d]|$)', 1)) AS v FROM t
+  UNION ALL SELECT path, '{MAC_RULE}', unnest(regexp_extract_all(text, '\b[0-9a-f]{{2}}(?:-[0-9a-f]{{2}}){{5}}\b')) FROM t
+  UNION ALL SELECT path, '{DEVICE_RULE}', unnest(regexp_extract_all(text, '\b(?:{"|".join(p.lower() for p in ROLE_PREFIXES)})[-_]\d{{1,4}}\b')) FROM t
+  UNION ALL SELECT path, '{PROJECT_RULE}', text FROM t WHERE regexp_matches(text, 'railguard[\s\-_]*sentinel'))
+  SELECT path, rule_id, count(*) AS violations FROM m WHERE v NOT IN ('10.1.2.5', '02-00-00-00-00-01') AND NOT (rule_id = '{DEVICE_RULE}' AND path = 'log/3') GROUP BY path, rule_id""",
+        "phrase_rules": r"""WITH t AS (SELECT page_id, 'tracker-call' AS rule_id, len(regexp_extract_all(strip_accents(lower(html)), '\btrack\(\d+\)')) AS hits FROM pages
+  UNION ALL SELECT page_id, 'numeric-indicator', len(regexp_extract_all(strip_accents(lower(html)), '\b\d{1,3}\s*/\s*100\b')) FROM pages) SELECT * FROM t WHERE hits > 0""",
+        "page_request_lines": r"""WITH t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'GET ' WHEN 1 THEN 'HEAD ' ELSE 'FETCH ' END || regexp_extract(url, '^https?://[^/]+(/[^#]*)', 1) || ' HTTP/1.1' || chr(13) || chr(10) AS line FROM pages)
+  SELECT page_id, CASE WHEN length(line) >= 14 AND regexp_matches(substr(split_part(substr(line, 1, 256), chr(10), 1), 1, 256), '^(GET|POST|PUT|DELETE|HEAD|OPTIONS) .*HTTP/1\.[01]') THEN 'http-request-line' END AS basis FROM t""",
+        "report_phrases": f"""WITH p AS (SELECT doc_id, [{", ".join(f"'{x}'" for x in PHRASES)}] AS ps, coalesce(text, '') AS text FROM documents),
+  t AS (SELECT doc_id, strip_accents(lower(text || ' says ' || list_extract(ps, CAST(doc_id % {len(PHRASES)} + 1 AS INT)) || '; then ' || list_extract(ps, CAST(doc_id * 3 % {len(PHRASES)} + 1 AS INT)) || '.')) AS t FROM p),
+  r(rule_id, hits, doc_id) AS ({" UNION ALL ".join(f"SELECT '{name}', len(regexp_extract_all(t, '{pattern}')), doc_id FROM t" for name, pattern in FORBIDDEN.items())})
+  SELECT doc_id, rule_id, hits FROM r WHERE hits > 0""",
+        "modal_clauses": f"""WITH v AS (SELECT o_orderkey, o_orderstatus, 'As part ' || (o_orderkey % 9) || '.' || (o_custkey % 7) || ' of the order has it, the carrier ' || list_extract([{", ".join(f"'{m}'" for m in (*MODALS, "may"))}], CAST(o_orderkey % {len(MODALS) + 1} + 1 AS INT)) || ' hand the goods over to the customer.' AS s FROM orders)
+  SELECT o_orderstatus AS status, count(*) AS fragments, CAST(sum(o_orderkey) AS BIGINT) AS lines FROM v
+  WHERE length(s) >= {LEAST_FRAGMENT} AND regexp_matches(s, '[0-9]+\\.[0-9]+') AND ({" OR ".join(f"contains(lower(s), '{m}')" for m in MODALS)}) GROUP BY o_orderstatus""",
+        "substring_hits": f"""{_LOG} SELECT path, pattern, count(*) AS hits FROM t, (VALUES ('LOGIN'), ('sentinel'), ('plc-')) x(pattern) WHERE contains(text, lower(pattern)) GROUP BY path, pattern""",
     }

@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import provenance as P
 from ..operators import analytics, checks, coverage, decode, inventory, standards
@@ -24,9 +25,8 @@ ZONE_NOTE = "Filled from the capture alone; the network's real division into zon
 CONDUIT_NOTE = "Seen in this capture's traffic, not taken from a network design."
 METHOD_NOTE = "Severities follow the written criteria of the rubric."
 LIMITS = (
-    "Only traffic that passed the capture point is described; a device that is missing here may well exist.",
-    "Devices behind a gateway show as the gateway's address, so an address can stand for several devices.",
-    "Hosts behind address translation can't be told apart, so a row can stand for several devices.",
+    "Absence proves nothing: hosts that talked elsewhere, or kept silent, are in none of these tables.",
+    "A row is an address. Behind one address there can be several machines (gateways, address translation), and one machine can have several.",
 )
 
 
@@ -132,31 +132,68 @@ def _finding(row: dict) -> dict:
 
 
 def _warnings(a: dict, window: float | None, quiet: int, has_vendors: bool) -> list[str]:
-    """What a reader must know about this run, in a fixed order."""
-    out = []
-    capture = a["capture"]
-    if capture.get("packet_count") == 0:
-        out.append("The capture is well formed and has no packets: that nothing was found says nothing.")
-    elif not a["protocol_events"]:
-        out.append("No recogniser knew any payload of this capture, so there is no application traffic to judge.")
-    if capture.get("snaplen_truncated_packet_count"):
-        out.append(f"A snap length of {capture['snaplen']} bytes cut {capture['snaplen_truncated_packet_count']} of {capture['packet_count']} frames, the first being number {capture['snaplen_truncated_first_packet_number']}. Cut frames lack payload, so a protocol that was not recognised may still be there.")
-    if weak := a["low_confidence_events"]:
-        names, bases = (", ".join(sorted({e[k] for e in weak})) for k in ("protocol", "basis"))
-        out.append(f"{len(weak)} event(s) were recognised with low confidence as {names} by {bases}. They stay outside the events and all findings, as a checksum can match by chance.")
-    for c in a["coverage"]["polling_cycles"]:
-        if window is not None and c["measured_cycle_s"] and window < coverage.MULTIPLIER * c["measured_cycle_s"]:
-            out.append(f"The capture lasts {window} seconds; session {c['session_id']} has a gap of {c['measured_cycle_s']} seconds between requests, and {coverage.MULTIPLIER} such gaps don't fit. One gap is no confirmed polling cycle.")
-    if not has_vendors:
-        out.append("There is no vendor table, so no host has a vendor, whether or not its hardware address was seen.")
-    length = "of unknown length" if window is None else f"of {window} s"
-    out.append(f"Scope of this run: {len(a['assets'])} addresses, {len(a['comm_matrix'])} sessions with payload, {quiet} sessions without, in a window {length}.")
-    out += LIMITS
-    if quiet:
-        out.append(f"{quiet} TCP session(s) never carried payload. They have no row in the matrix and are only counted here.")
+    """What a reader must know about this run: of the notes below, in their order, those that hold."""
+    capture, weak, cycles = a["capture"], a["low_confidence_events"], a["coverage"]["polling_cycles"]
+    empty, short = capture.get("packet_count") == 0, capture.get("snaplen_truncated_packet_count") or 0
+    brief = [c for c in cycles if window is not None and c["measured_cycle_s"] and window < coverage.MULTIPLIER * c["measured_cycle_s"]]
+    names, bases = (", ".join(sorted({e[k] or "-" for e in weak})) for k in ("protocol", "basis"))
+    notes = [
+        (empty, "The capture is well formed and has no packets: that nothing was found says nothing."),
+        (not empty and not a["protocol_events"], "Packets, but no known application: no payload had the shape of a protocol that this package recognises."),
+        (short, f"Frames cut by the snap length ({capture.get('snaplen')} bytes): cut {short} of {capture.get('packet_count')} frames, from number {capture.get('snaplen_truncated_first_packet_number')} on. Protocols in the missing bytes go unseen."),
+        (weak, f"Weakly recognised, and so in no finding: {len(weak)} event(s), {names} by {bases}. Random bytes pass such a test now and then."),
+        *((True, f"Session {c['session_id']} may poll every {c['measured_cycle_s']} seconds, but {window} seconds of capture hold fewer than {coverage.MULTIPLIER:g} such intervals.") for c in brief),
+        (not has_vendors, "No vendor table was given, so the vendor of every host is open."),
+        (True, f"Numbers of this run: {len(a['assets'])} addresses; {len(a['comm_matrix'])} sessions with payload and {quiet} without; seconds from first to last packet: {'unknown' if window is None else window}."),
+        *((True, limit) for limit in LIMITS),
+        (quiet, f"Sessions without any payload, counted here and listed nowhere: {quiet}."),
+    ]
+    return [text for holds, text in notes if holds]
+
+
+def _sorted_keys(value, kind: T.DataType):
+    """A column whose structures, however deep, have their fields in the order of their names."""
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_sorted_keys(value[n], kind[n].dataType).alias(n) for n in sorted(kind.names))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted_keys(x, kind.elementType))
+    return value
+
+
+def section_rows(t: Tables, specs: dict | None = None) -> DataFrame:
+    """(capture_id, section, place, row): the entries of the documents of all captures as JSON, made by the workers.
+
+    place orders a section's rows; keys are sorted, and only events leave out what is null.
+    """
+    matrix = analytics.matrix(t.tcp, t.sessions, t.segments, t.high, t.low, t.initiators)
+    found = findings(t, matrix, specs)
+    evidence = F.struct("packet_number", "session_id", "source", "target").alias("evidence")
+    keep = ["check_id", "title", "severity", "risk", "rationale", "standard_refs", "remediation"]
+    parts = {
+        "conversations": (analytics.conversations(t.segments).select("capture_id", "session_id", "endpoints", "packet_count"), ["session_id"]),
+        "protocol_events": (t.high.select(*EVENT_COLUMNS), ["packet_number", "session_id", "protocol"]),
+        "low_confidence_events": (t.low.select(*EVENT_COLUMNS), ["packet_number", "session_id", "protocol"]),
+        "polling_cycles": (coverage.polling_cycles(t.high), ["session_id"]),
+        "comm_matrix": (matrix, ["first_packet"]),
+        "assets": (inventory.inventory(t.segments, t.high, t.vendors), ["place"]),
+        "findings": (found.select("capture_id", "session_id", "packet_number", "protocol", evidence, *keep), ["check_id", "session_id", "packet_number", "protocol"]),
+    }
+    out = None
+    for name, (rows, order) in parts.items():
+        hidden = {"capture_id", *(c for c in order if name in ("comm_matrix", "assets")), *(("session_id", "packet_number", "protocol") if name == "findings" else ())}
+        shown = F.struct(*(_sorted_keys(F.col(c), rows.schema[c].dataType).alias(c) for c in sorted(rows.columns) if c not in hidden))
+        numbers = {c for c in order if not isinstance(rows.schema[c].dataType, T.StringType)}
+        place = F.concat_ws("/", *(F.lpad(F.col(c).cast("string"), 20, "0") if c in numbers else F.coalesce(F.col(c), F.lit("")) for c in order))
+        part = rows.select("capture_id", F.lit(name).alias("section"), place.alias("place"), F.to_json(shown, {"ignoreNullFields": str("events" in name).lower()}).alias("row"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def write_sections(t: Tables, folder: str, specs: dict | None = None) -> None:
+    """Write the entries of all captures' documents, a folder for each capture and section; the driver sees none of them."""
+    section_rows(t, specs).write.partitionBy("capture_id", "section").json(folder)
+
+
 def capture_section(row: dict, first_seen: float | None, last_seen: float | None) -> dict:
     """The capture's part of the document, from its row of the audit."""
     told = ("sha256", "packet_count", "snaplen", "snaplen_note", "snaplen_truncated_packet_count", "snaplen_truncated_first_packet_number")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import provenance as P
-from ..operators import analytics, checks, coverage, decode, inventory, recognise, standards, textscan
+from ..operators import analytics, checks, coverage, decode, inventory, recognise, records, standards, textscan
 from ..session import cut, table
 from ..sources import lens
 from . import definitions
@@ -99,20 +99,14 @@ def conversations(spark, sf_dir):
 
 
 @query("""SELECT pn AS packet_number, session_id, direction, unit_id, fc AS function_code, kind,
-  CASE fc WHEN 3 THEN 'Read Holding Registers' ELSE 'Write Single Register' END AS function_name, TRY_CAST('0x' || substr(h, 1, 4) AS INT) AS transaction_id
+  function_name, TRY_CAST('0x' || substr(h, 1, 4) AS INT) AS transaction_id
   FROM high WHERE protocol = 'modbus-tcp'""")
 def mbap_events(spark, sf_dir):
     events = recognise.events(View(spark, sf_dir).segments, "modbus-tcp")
     return events.select("packet_number", "session_id", "direction", "unit_id", "function_code", "kind", "function_name", "transaction_id")
 
 
-_CRC = "list_reduce(list_concat([65535], range(0, n - 2)), lambda crc, i: list_reduce(list_concat([xor(crc, TRY_CAST('0x' || substr(h, 2 * CAST(i AS BIGINT) + 1, 2) AS BIGINT))], [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 40961) ELSE c // 2 END))"
-
-
-@query(f"""SELECT pn AS packet_number, session_id, TRY_CAST('0x' || substr(h, 1, 2) AS INT) AS unit_id, TRY_CAST('0x' || substr(h, 3, 2) AS INT) & 127 AS function_code, TRY_CAST('0x' || substr(h, 3, 2) AS INT) >= 128 AS is_exception
-  FROM (SELECT *, {_CRC} AS crc FROM shaped WHERE NOT is_mbap AND n >= 4)
-  WHERE TRY_CAST('0x' || substr(h, 1, 2) AS INT) BETWEEN 1 AND 247 AND (TRY_CAST('0x' || substr(h, 3, 2) AS INT) & 127) IN (1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 15, 16, 17, 20, 21, 22, 23, 24, 43)
-    AND crc = TRY_CAST('0x' || substr(h, 2 * n - 1, 2) || substr(h, 2 * n - 3, 2) AS BIGINT)""")
+@query("SELECT pn AS packet_number, session_id, TRY_CAST('0x' || substr(h, 1, 2) AS INT) AS unit_id, TRY_CAST('0x' || substr(h, 3, 2) AS INT) & 127 AS function_code, TRY_CAST('0x' || substr(h, 3, 2) AS INT) >= 128 AS is_exception FROM low")
 def rtu_crc16(spark, sf_dir):
     events = recognise.events(View(spark, sf_dir).segments, "modbus-rtu-over-tcp")
     return events.select("packet_number", "session_id", "unit_id", "function_code", "is_exception")
@@ -233,10 +227,12 @@ def _all_findings(v: View) -> DataFrame:
     return rows.withColumn("place", place)
 
 
-@query("""SELECT check_id, count(*) AS findings, min(session_id) AS first_session FROM (
-  SELECT 'modbus-unauthenticated-write' AS check_id, session_id FROM high WHERE kind = 'write' AND direction = 'request'
+_FOUND = """f AS (SELECT 'modbus-unauthenticated-write' AS check_id, session_id FROM high WHERE kind = 'write' AND direction = 'request'
   UNION ALL SELECT 'cleartext-protocol', session_id FROM (SELECT DISTINCT session_id, protocol FROM high WHERE protocol IN ('telnet', 'ftp', 'http'))
-  UNION ALL SELECT 'unauthenticated-industrial-protocol', session_id FROM (SELECT DISTINCT session_id FROM high WHERE protocol = 'modbus-tcp')) GROUP BY check_id""")
+  UNION ALL SELECT 'unauthenticated-industrial-protocol', session_id FROM (SELECT DISTINCT session_id FROM high WHERE protocol = 'modbus-tcp'))"""
+
+
+@query(f"WITH {lens.SQL}, {_FOUND} SELECT check_id, count(*) AS findings, min(session_id) AS first_session FROM f GROUP BY check_id")
 def remediation_rollup(spark, sf_dir):
     rows = checks.remediations(_all_findings(View(spark, sf_dir)))
     return rows.select("place.check_id", "findings", F.col("place.session_id").alias("first_session"))
@@ -246,16 +242,20 @@ def _catalogue_sql() -> str:
     quote = lambda x: "'" + str(x).replace("'", "''") + "'"
     known = ", ".join(f"({quote(e['standard'])}, {quote(e['clause'])}, {quote(e['edition'])}, {quote(e['clause_title'])})" for e in definitions.CATALOGUE)
     cited = ", ".join(f"({quote(name)}, {k}, {quote(s)}, {quote(c)})" for name, spec in definitions.CHECKS.items() for k, (s, c) in enumerate(spec["standards"]))
-    return f"WITH k(standard, clause, edition, title) AS (VALUES {known}), c(check_id, pos, standard, clause) AS (VALUES {cited}) SELECT check_id, string_agg(standard || ' ' || clause || ' ' || edition || ' ' || title, ' | ' ORDER BY pos) AS citations FROM c JOIN k USING (standard, clause) GROUP BY check_id"
+    return f"""WITH {lens.SQL}, k(standard, clause, edition, title) AS (VALUES {known}), c(check_id, pos, standard, clause) AS (VALUES {cited}), {_FOUND},
+  t AS (SELECT check_id, string_agg(standard || ' ' || clause || ' ' || edition || ' ' || title, ' | ' ORDER BY pos) AS citations FROM c JOIN k USING (standard, clause) GROUP BY check_id)
+  SELECT check_id, findings, citations FROM t JOIN (SELECT check_id, count(*) AS findings FROM f GROUP BY check_id) USING (check_id)"""
 
 
 @query(_catalogue_sql())
 def standards_citations(spark, sf_dir):
-    rows = [(name, [{"standard": s, "clause": c} for s, c in spec["standards"]]) for name, spec in definitions.CHECKS.items()]
-    findings = spark.createDataFrame(rows, "check_id string, standards array<struct<standard:string,clause:string>>")
-    cited = standards.cite(findings, standards.catalogue(spark, definitions.CATALOGUE), key=("check_id",))
+    """What the findings cite, once for each standard and clause, by check."""
+    rows = checks.remediations(_all_findings(View(spark, sf_dir))).select("place.check_id", "findings")
+    cites = {name: [{"standard": s, "clause": c} for s, c in spec["standards"] * 2] for name, spec in definitions.CHECKS.items()}
+    wanted = spark.createDataFrame(list(cites.items()), "check_id string, standards array<struct<standard:string,clause:string>>")
+    cited = standards.cite(rows.join(F.broadcast(wanted), "check_id"), standards.catalogue(spark, definitions.CATALOGUE), key=("check_id",))
     line = F.transform("standard_refs", lambda x: F.concat_ws(" ", x["standard"], x["clause"], x["edition"], x["clause_title"]))
-    return cited.select("check_id", F.array_join(line, " | ").alias("citations"))
+    return cited.select("check_id", "findings", F.array_join(line, " | ").alias("citations"))
 
 
 @query("SELECT count(*) AS packet_count, min(ts_us) AS first_us, max(ts_us) AS last_us, max(ts_us) - min(ts_us) AS window_us FROM tcp")
@@ -282,11 +282,44 @@ def vendor_table(spark, sf_dir):
     return build_table(rows)[0]
 
 
-TEXT_SQL = textscan.contract_sql()
-for _name, _function in textscan.contract_queries().items():
-    QUERIES[_name] = _function
-    if _name in TEXT_SQL:
-        SQL[_name] = TEXT_SQL[_name]
+for _module in (textscan, records):
+    QUERIES.update(_module.contract_queries())
+    SQL.update(_module.contract_sql())
+
+
+_CELL = """'{{"provenance":"' || {p} || '","value":' || {v} || '}}'"""
+_TEXT = lambda c: f"coalesce('\"' || {c} || '\"', 'null')"
+_MATRIX_JSON = " || ',' || ".join(
+    f"""'"{name}":' || """ + _CELL.format(p=marker, v=value)
+    for name, marker, value in (
+        ("direction", "CASE WHEN initiator IS NULL THEN 'inferred:first-observed-sender' ELSE 'observed' END", _TEXT("source || ' -> ' || target")),
+        ("initiator", "CASE WHEN initiator IS NULL THEN 'not-derivable-passively' ELSE 'observed' END", _TEXT("initiator")),
+        ("packet_count", "'observed'", "packets"),
+        ("protocol", "CASE WHEN label IS NULL THEN 'observed' ELSE 'inferred:payload-shape' END", _TEXT("coalesce(label, 'tcp')")),
+        ("session_id", "'observed'", "session_id"),
+        ("source", "CASE WHEN initiator IS NULL THEN 'inferred:first-observed-sender' ELSE 'observed' END", _TEXT("source")),
+        ("target", "CASE WHEN initiator IS NULL THEN 'inferred:first-observed-sender' ELSE 'observed' END", _TEXT("target")),
+        ("volume_bytes", "'observed'", "volume_bytes"),
+    )
+)
+
+
+@query(f"""SELECT 'conversations' AS section, lpad(CAST(session_id AS VARCHAR), 20, '0') AS place,
+    '{{"endpoints":["' || least(min(a), min(b)) || '","' || greatest(max(a), max(b)) || '"],"packet_count":' || count(*) || ',"session_id":' || session_id || '}}' AS row FROM seg GROUP BY session_id
+  UNION ALL SELECT 'comm_matrix', lpad(CAST(first_packet AS VARCHAR), 20, '0'), '{{' || {_MATRIX_JSON} || '}}' FROM matrix JOIN sess USING (session_id)
+  UNION ALL SELECT 'findings', place, '' FROM (
+    SELECT 'modbus-unauthenticated-write' AS c, session_id, pn, protocol FROM high WHERE kind = 'write' AND direction = 'request'
+    UNION ALL SELECT 'cleartext-protocol', session_id, min(pn), protocol FROM high WHERE protocol IN ('telnet', 'ftp', 'http') GROUP BY session_id, protocol
+    UNION ALL SELECT 'unauthenticated-industrial-protocol', session_id, min(pn), 'modbus-tcp' FROM high WHERE protocol = 'modbus-tcp' GROUP BY session_id) f,
+    LATERAL (SELECT c || '/' || lpad(CAST(session_id AS VARCHAR), 20, '0') || '/' || lpad(CAST(pn AS VARCHAR), 20, '0') || '/' || coalesce(f.protocol, '') AS place)""")
+def json_sections(spark, sf_dir):
+    """Rows of the document's JSON: conversations and the matrix whole, findings by their place."""
+    from .analysis import Tables, section_rows
+
+    v = View(spark, sf_dir)
+    rows = section_rows(Tables(v.tcp, v.sessions, v.segments.drop("payload"), v.high, v.low, v.initiators, _vendors(spark, sf_dir)))
+    rows = rows.filter(F.col("section").isin("conversations", "comm_matrix", "findings"))
+    return rows.select("section", "place", F.when(F.col("section") == "findings", "").otherwise(F.col("row")).alias("row"))
 
 
 @query()

@@ -6,10 +6,11 @@ event's columns, so both sides of a comparison can compute the same packets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.octets import crc16_of
+from ..operators.recognise import FUNCTION_CODES
 from ..session import table
 
 CAPTURE = "events"
@@ -20,7 +21,9 @@ HTTP_GET = b"GET /status HTTP/1.1\r\n\r\n".hex().upper()
 HTTP_OK = b"HTTP/1.1 200 OK\r\n\r\n".hex().upper()
 TELNET = "FFFB01"
 FTP = b"USER reader\r\n".hex().upper()
-READ, WRITE = "0300000001", "060001002A"
+READ, WRITE = "00000001", "060001002A"
+#: Function codes of the requests of clicks: all known ones and one that is not.
+CODES = [*FUNCTION_CODES, 99]
 
 
 def rtu_frame(unit: int) -> str:
@@ -34,12 +37,13 @@ def events_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
     src, dst = F.col("user_id") % 20, F.col("k") % 20
     lane = (F.col("event_id") % 16 + 1) * 1000
     unit = F.col("k") % UNITS + 1
-    adu = lambda pdu: F.concat(F.lpad(F.hex(F.col("event_id") % 65536), 4, "0"), F.lit("00000006"), F.lpad(F.hex(unit), 2, "0"), F.lit(pdu))
+    adu = lambda pdu: F.concat(F.lpad(F.hex(F.col("event_id") % 65536), 4, "0"), F.lit("00000006"), F.lpad(F.hex(unit), 2, "0"), pdu if isinstance(pdu, Column) else F.lit(pdu))
     broken = F.concat(F.lit("00010001000601"), F.lit(WRITE))
     frames = F.create_map(*(x for u in range(1, UNITS + 1) for x in (F.lit(u), F.lit(rtu_frame(u)))))
     which = F.col("k") % 6
     error = F.when(which == 0, HTTP_GET).when(which == 1, F.element_at(frames, unit.cast("int"))).when(which == 2, broken).when(which == 3, TELNET).when(which == 4, FTP).otherwise(HTTP_OK)
-    payload = F.when(F.col("event_type") == "click", adu(READ)).when(F.col("event_type") == "purchase", adu(WRITE)).when(F.col("event_type") == "error", error).otherwise("")
+    code = F.element_at(F.array(*(F.lit(f"{c:02X}") for c in CODES)), (F.floor(F.col("event_id") / 16) % len(CODES) + 1).cast("int"))
+    payload = F.when(F.col("event_type") == "click", adu(F.concat(code, F.lit(READ)))).when(F.col("event_type") == "purchase", adu(WRITE)).when(F.col("event_type") == "error", error).otherwise("")
 
     def mac(host, moved):
         card = F.concat(F.lit("02:00:"), F.lpad(F.lower(F.hex(host % 4)), 2, "0"), F.when(moved, ":01:00:").otherwise(":00:00:"), F.lpad(F.lower(F.hex(host)), 2, "0"))
@@ -66,6 +70,10 @@ def events_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FRAMES = " ".join(f"WHEN {u} THEN '{rtu_frame(u)}'" for u in range(1, UNITS + 1))
 
+_CODES = ", ".join(f"'{c:02X}'" for c in CODES)
+_KNOWN = ", ".join(f"({c}, '{kind}', '{name}')" for c, (kind, name) in FUNCTION_CODES.items())
+_CRC = "list_reduce(list_concat([65535], range(0, n - 2)), lambda crc, i: list_reduce(list_concat([xor(crc, TRY_CAST('0x' || substr(h, 2 * CAST(i AS BIGINT) + 1, 2) AS BIGINT))], [1, 2, 3, 4, 5, 6, 7, 8]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 40961) ELSE c // 2 END))"
+
 #: The same packets, sessions, segments and events as DuckDB common table expressions.
 SQL = f"""
 e AS (SELECT event_id, epoch_us(ts) AS ts_us, user_id % 20 AS s, event_type, value,
@@ -74,7 +82,7 @@ raw AS (SELECT event_id + 1 AS pn, ts_us, event_id, '10.0.0.' || s AS src_ip, '1
                CAST(1000 * (event_id % 16 + 1) + s AS INT) AS src_port, CAST(1000 * (event_id % 16 + 1) + k % 20 AS INT) AS dst_port,
                CAST(round(value * 100) AS BIGINT) AS wire, event_type = 'signup' AS syn, k % {UNITS} + 1 AS unit,
                CASE event_type
-                 WHEN 'click' THEN printf('%04X', event_id % 65536) || '00000006' || printf('%02X', k % {UNITS} + 1) || '{READ}'
+                 WHEN 'click' THEN printf('%04X', event_id % 65536) || '00000006' || printf('%02X', k % {UNITS} + 1) || list_extract([{_CODES}], CAST(event_id // 16 % {len(CODES)} + 1 AS INT)) || '{READ}'
                  WHEN 'purchase' THEN printf('%04X', event_id % 65536) || '00000006' || printf('%02X', k % {UNITS} + 1) || '{WRITE}'
                  WHEN 'error' THEN CASE k % 6 WHEN 0 THEN '{HTTP_GET}' WHEN 1 THEN CASE k % {UNITS} + 1 {_FRAMES} END
                    WHEN 2 THEN '00010001000601{WRITE}' WHEN 3 THEN '{TELNET}' WHEN 4 THEN '{FTP}' ELSE '{HTTP_OK}' END
@@ -96,9 +104,11 @@ found AS (
   UNION ALL SELECT *, 'ftp', NULL, NULL FROM shaped WHERE n >= 4 AND regexp_matches(h, '^(55534552|50415353|52455452|53544F52|4C495354|51554954|505744|435744|54595045|504F5254|50415356)(20|0D)|^(3[0-9]){{3}}(20|2D)')
   UNION ALL SELECT *, 'http', NULL, NULL FROM shaped WHERE n >= 14 AND regexp_matches(h, '^(474554|504F5354|505554|44454C455445|48454144|4F5054494F4E53)20([0-9A-F]{{2}})*485454502F312E3[01]|^485454502F312E3[01]20(3[0-9]){{3}}')),
 high AS (SELECT found.*, CASE WHEN src_ip = c.cip AND src_port = c.cport THEN 'request' ELSE 'response' END AS direction,
-                CASE WHEN fc = 3 THEN 'read' WHEN fc = 6 THEN 'write' END AS kind
-         FROM found JOIN (SELECT session_id, protocol, arg_min(src_ip, pn) AS cip, arg_min(src_port, pn) AS cport FROM found GROUP BY ALL) c USING (session_id, protocol)),
-low AS (SELECT * FROM shaped WHERE NOT is_mbap AND h IN ({", ".join("'" + rtu_frame(u) + "'" for u in range(1, UNITS + 1))})),
+                CASE WHEN fc IS NOT NULL THEN coalesce(known.kind, 'unknown') END AS kind, CASE WHEN fc IS NOT NULL THEN coalesce(known.name, 'Unknown') END AS function_name
+         FROM found LEFT JOIN (VALUES {_KNOWN}) known(code, kind, name) ON fc = known.code JOIN (SELECT session_id, protocol, arg_min(src_ip, pn) AS cip, arg_min(src_port, pn) AS cport FROM found GROUP BY ALL) c USING (session_id, protocol)),
+low AS (SELECT * FROM (SELECT *, {_CRC} AS crc FROM shaped WHERE NOT is_mbap AND n >= 4)
+        WHERE TRY_CAST('0x' || substr(h, 1, 2) AS INT) BETWEEN 1 AND 247 AND (TRY_CAST('0x' || substr(h, 3, 2) AS INT) & 127) IN ({", ".join(map(str, FUNCTION_CODES))})
+          AND crc = TRY_CAST('0x' || substr(h, 2 * n - 1, 2) || substr(h, 2 * n - 3, 2) AS BIGINT)),
 vol AS (SELECT session_id, CAST(sum(wire) AS BIGINT) AS volume_bytes, count(*) AS packets FROM tcp JOIN sess USING (key) GROUP BY session_id),
 init AS (SELECT session_id, arg_min(a, pn) AS initiator FROM tcp JOIN sess USING (key) WHERE syn GROUP BY session_id),
 firsts AS (SELECT session_id, arg_min(a, pn) AS fa, arg_min(b, pn) AS fb FROM seg GROUP BY session_id),
