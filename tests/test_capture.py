@@ -220,6 +220,32 @@ def test_command_line(put, tmp_path, capsys):
     assert not (tmp_path / "none").exists()
 
 
+def test_examples_are_the_same_each_time(results, tmp_path):
+    from datetime import datetime, timezone
+
+    when, made = datetime(2024, 1, 2, tzinfo=timezone.utc), []
+    for k in range(2):
+        (tmp_path / str(k)).mkdir()
+        made.append([p.read_bytes() for p in report.example(results["gateway"].analysis, tmp_path / str(k), when, results["gateway"].warnings)])
+    assert made[0] == made[1] and b"2024-01-02" in made[0][1]
+    kinds = [kind for kind, _ in report.blocks(made[0][1].decode())]
+    assert kinds.count("table") == 1 and kinds.count("head") > 8
+    rows = next(lines for kind, lines in report.blocks(made[0][1].decode()) if kind == "table")
+    assert len(rows) == 1 + len(results["gateway"].analysis["comm_matrix"]) and {len(r) for r in rows} == {8}
+
+
+def test_sections_are_written_by_the_workers(spark, results, tmp_path):
+    analysis.write_sections(results["gateway"].tables, str(tmp_path / "out"))
+    kept = spark.read.schema("capture_id string, section string, place string, row string").json(str(tmp_path / "out")).filter("capture_id = 'gateway.pcap'")
+    rows = {}
+    for r in kept.orderBy("section", "place").collect():
+        rows.setdefault(r.section, []).append(json.loads(r.row))
+    a = results["gateway"].analysis
+    assert rows["assets"] == a["assets"] and rows["comm_matrix"] == a["comm_matrix"] and rows["conversations"] == a["conversations"]
+    assert rows["protocol_events"] == a["protocol_events"] and rows["findings"] == a["findings"]
+    assert rows["polling_cycles"] == a["coverage"]["polling_cycles"]
+
+
 def test_guard_command(tmp_path, capsys, monkeypatch):
     monkeypatch.chdir(tmp_path)
     run = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"

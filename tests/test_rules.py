@@ -9,8 +9,8 @@ from wiretide.functions import text as T
 from wiretide.functions.addresses import mac_prefix, normalize_mac_prefix
 from wiretide.functions.octets import crc16, crc16_of
 from wiretide.functions.ranking import number_by_position
-from wiretide.operators import checks, coverage, decode, inventory, recognise, standards, textscan
-from wiretide.plans import analysis, registry
+from wiretide.operators import checks, coverage, decode, inventory, recognise, records, standards, textscan
+from wiretide.plans import analysis, registry, report
 from wiretide.sources import capture, textfiles, vendors
 
 
@@ -233,3 +233,36 @@ def test_phrases_near_each_other_count_apart(spark):
     files = spark.createDataFrame([("a", dense), ("b", "ł" * 40 + " compliance " + "x" * 40), ("c", "none"), ("d", None)], "path string, content string")
     got = sorted((r.path, r.rule_id, r.context) for r in textscan.forbidden_phrases(files).collect())
     assert got == [("a", "compliance-en", dense)] * 3 + [("b", "compliance-en", "ł" * 29 + " compliance " + "x" * 29)]
+
+
+def test_cells_of_nested_documents():
+    cell = lambda v, p="observed": {"value": v, "provenance": p}
+    document = {"a": [{"x": cell(1), "deep": {"y": [cell({"value": 2, "provenance": "no"}, P.NOT_DERIVABLE)]}}], "b": cell(None)}
+    assert [(p, c["value"]) for p, c in P.walk(document)] == [("a[0].x", 1), ("a[0].deep.y[0]", {"value": 2, "provenance": "no"}), ("b", None)]
+    assert report.not_derivable({"assets": [{"x": cell(None, P.NOT_DERIVABLE), "in": {"x": cell(None, P.NOT_DERIVABLE)}}, {"x": cell(1)}]}) == [{"section": "assets", "field": "x", "count": 2, "total": 2}]
+
+
+def test_markers_of_nested_columns(spark):
+    one = P.observed(F.lit(1))
+    rows = spark.range(2).select(F.struct(one.alias("x"), F.array(one, P.not_derivable("int"), P.cell(F.lit(1), "guessed")).alias("list")).alias("top"), F.array(F.struct(one.alias("in"))).alias("b"))
+    assert list(P.fields(rows.schema)) == [("top.x", True), ("top.list[]", True), ("b[].in", True)]
+    assert {tuple(r) for r in P.markers(rows).collect()} == {("top.x", "observed", 2), ("top.list[]", "observed", 2), ("top.list[]", P.NOT_DERIVABLE, 2), ("top.list[]", "guessed", 2), ("b[].in", "observed", 2)}
+    with pytest.raises(P.ProvenanceError, match=r"x.top.list\[\]"):
+        P.assert_complete(rows, "x")
+    with pytest.raises(P.ProvenanceError, match="bare"):
+        P.assert_complete(rows.withColumn("bare", F.struct(F.lit(1).alias("n"))), "x")
+
+
+def test_differences_go_both_ways(spark):
+    names = lambda *x: spark.createDataFrame([(v,) for v in x], "name string")
+    got = {tuple(r) for r in records.differences(names("a", "a", "b", None), names("b", "c")).collect()}
+    assert got == {("a", "left"), (None, "left"), ("c", "right")}
+    assert records.differences(names(), names()).count() == 0
+    assert [tuple(r) for r in records.stopped(names("Some-Bot", "robot", None, ""), ["bot", "tbd"]).collect()] == [("Some-Bot", ["bot"])]
+
+
+def test_gaps_over_the_bounds_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(coverage, "CELL", 3)
+    rows = [("c", 1, n, "p", float(t), "request") for n, t in ((1, 0), (2, 1), (4, 9), (7, 10), (8, 5), (11, 6))] + [("c", 2, 3, "p", 1.0, "request")]
+    events = spark.createDataFrame(rows, "capture_id string, session_id long, packet_number long, protocol string, timestamp double, direction string")
+    assert [tuple(r) for r in coverage.polling_cycles(events).collect()] == [("c", 1, 8.0, 6)]

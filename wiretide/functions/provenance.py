@@ -66,6 +66,10 @@ def fields(kind: T.DataType, path: str = "") -> Iterator[tuple[str, bool]]:
         yield path, False
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def markers(df: DataFrame) -> DataFrame:
     """(path, provenance, count): how often each marker stands at each cell of a schema, however deep it lies."""
     found = []
@@ -75,7 +79,7 @@ def markers(df: DataFrame) -> DataFrame:
             steps = [x for x in path.replace("[]", ".[]").split(".") if x]
             column = F.array(F.col(f"`{steps[0]}`"))
             for step in steps[1:]:
-                column = F.flatten(F.filter(column, lambda x: x.isNotNull())) if step == "[]" else F.transform(column, lambda x, n=step: x[n])
+                column = F.flatten(F.filter(column, lambda x: x.isNotNull())) if step == "[]" else F.transform(column, _field(step))
             found.append(F.struct(F.lit(path).alias("path"), F.transform(column, lambda x: x["provenance"]).alias("markers")))
     rows = df.select(F.explode(F.array(*found)).alias("f")).select("f.path", F.explode("f.markers").alias("provenance"))
     return rows.groupBy("path", "provenance").agg(F.count(F.lit(1)).alias("count"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.octets import crc16, size, u8, u16
@@ -130,6 +130,8 @@ def only(protocol: str):
 
 
 def first_of(events: DataFrame, *keys: str) -> DataFrame:
-    """The first event of each group, by file order."""
-    ranked = events.withColumn("__rank", F.row_number().over(Window.partitionBy("capture_id", *keys).orderBy("packet_number")))
-    return ranked.filter("__rank = 1").drop("__rank")
+    """The first event of each group, by file order; a group with most events is aggregated in parts."""
+    by = ["capture_id", *keys]
+    rest = [c for c in events.columns if c not in by]
+    first = events.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct("packet_number", *(c for c in ("session_id", "protocol") if c in rest))).alias("first"))
+    return first.select(*by, "first.*").select(*events.columns)

@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SHINGLE_WORDS, fold, folded_path, lines, matches_any, shingles, with_folded, words
+from ..functions.text import SHINGLE_WORDS, fold, folded_path, lines, matches_any, shingle_keys, with_folded, words
 from ..session import table
 
 #: The corpus folder, rule names, layers, word lists and address shapes.
@@ -124,7 +124,7 @@ def scan_structure(text_lines: DataFrame, modals: tuple[str, ...] = MODALS) -> D
 
 def corpus_hashes(corpus: DataFrame) -> DataFrame:
     """(digest) of all shingles of a corpus of files."""
-    return corpus.select(F.explode(shingles(words(F.col("content")))).alias("shingle")).select(F.sha2("shingle", 256).alias("digest")).distinct()
+    return corpus.select(F.explode(shingle_keys(words(F.col("content")))).alias("digest")).distinct()
 
 
 def scan_corpus(files: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -136,8 +136,8 @@ def scan_corpus(files: DataFrame, corpus: DataFrame) -> DataFrame:
     per_file = spoken.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "w"))).alias("all"))
     tokens = F.flatten(F.transform("all", lambda x: x["w"]))
     places = F.flatten(F.transform("all", lambda x: F.array_repeat(x["line"], F.size(x["w"]))))
-    runs = per_file.select("path", places.alias("places"), F.posexplode(shingles(tokens)).alias("at", "shingle"))
-    starts = runs.select("path", F.element_at("places", F.col("at") + 1).alias("line"), F.sha2("shingle", 256).alias("digest"))
+    runs = per_file.select("path", places.alias("places"), F.posexplode(shingle_keys(tokens)).alias("at", "digest"))
+    starts = runs.select("path", F.element_at("places", F.col("at") + 1).alias("line"), "digest")
     return _rows(starts.join(corpus_hashes(corpus), "digest", "left_semi").select("path", "line").distinct(), "corpus", CORPUS_RULE)
 
 
@@ -237,9 +237,9 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many twelve-word runs of each document a benchmark item has too."""
-    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(shingles(words(F.col("text")))).alias("shingle"))
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(shingle_keys(words(F.col("text")))).alias("digest"))
     corpus = corpus_hashes(table(spark, sf_dir, "benchmark").select(F.col("text").alias("content")))
-    hits = runs.select("doc_id", F.sha2("shingle", 256).alias("digest")).join(corpus, "digest", "left_semi")
+    hits = runs.join(corpus, "digest", "left_semi")
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
