@@ -44,16 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out
 
 
+def discard_all(spark: SparkSession) -> None:
+    """Remove all tables that materialize() wrote in this process: once the results that read them are written elsewhere."""
+    while _WRITTEN:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that materialize() wrote and that nothing reads any more."""
     path = getattr(df, "shared_path", None)
