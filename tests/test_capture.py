@@ -246,6 +246,17 @@ def test_sections_are_written_by_the_workers(spark, results, tmp_path):
     assert rows["polling_cycles"] == a["coverage"]["polling_cycles"]
 
 
+def test_vendor_table_from_a_registry_file(spark, tmp_path, capsys):
+    from wiretide.sources import vendors
+
+    (tmp_path / "oui.csv").write_text('Registry,Assignment,Organization Name,Organization Address\nMA-L,0A0001,"One,  ""Inc""",x\nMA-L,zz,None,x\nMA-L,0a-00-02,Two,"a\nb"\nMA-L,0A0001,Last,x\nMA-L,0A0003,,x\n')
+    assert cli.main(["vendors", str(tmp_path / "oui.csv"), str(tmp_path / "out.tsv")]) == 0
+    said = capsys.readouterr()
+    assert "Entries: 2" in said.out and said.err.strip().endswith("name: 2")
+    assert {tuple(r) for r in vendors.load_table(spark, str(tmp_path / "out.tsv")).collect()} == {("0A0001", "Last"), ("0A0002", "Two")}
+    assert cli.main(["vendors", str(tmp_path / "absent.csv"), str(tmp_path / "no.tsv")]) == 2 and not (tmp_path / "no.tsv").exists()
+
+
 def test_guard_command(tmp_path, capsys, monkeypatch):
     monkeypatch.chdir(tmp_path)
     run = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"

@@ -27,11 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 def cut(df, name: str):
     """Write to the shared folder (spark.checkpoint.dir) and read back, so that plans stay short.
 
-    Where that setting is empty, as in tests, a folder of this machine is set.
+    Where that setting is empty in a single process, as in tests, a folder of this machine is set; on a
+    cluster executors would not see each other's files, so there the setting is needed.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext._jsc.isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="wiretide-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

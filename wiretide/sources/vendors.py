@@ -66,6 +66,15 @@ def read_registry(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "row_no long, prefix string, vendor string")
 
 
+def read_registry_file(spark: SparkSession, path: str) -> DataFrame:
+    """The same of the registry's CSV file, in any store that Spark reads; one task reads it, so rows keep their order."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    if not {PREFIX_COLUMN, NAME_COLUMN} <= set(rows.columns):
+        raise ValueError(f"the CSV needs the columns {PREFIX_COLUMN!r} and {NAME_COLUMN!r}")
+    none = F.lit("")
+    return rows.select(F.monotonically_increasing_id().alias("row_no"), F.coalesce(F.col(f"`{PREFIX_COLUMN}`"), none).alias("prefix"), F.coalesce(F.col(f"`{NAME_COLUMN}`"), none).alias("vendor"))
+
+
 def table_text(rows: list[tuple[str, str]], source: str, date: str) -> str:
     """The table as a file: three comment lines, then prefixes in order."""
     head = [f"# Source: {source}", f"# Date: {date}", f"# Entries: {len(rows)}"]
