@@ -486,6 +486,14 @@ def test_pairs_add_what_single_features_cannot():
     assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.9 and (0, 1) in model.pairs
 
 
+def test_trees_on_pairs_cut_where_the_gain_is():
+    g, h = np.ones((4, 5)), np.ones((4, 5))
+    g[:1, 3:] = g[1:, :2] = -1
+    step = quality._pair_tree(g, h)
+    assert len(np.unique(step)) == 4 and (np.sign(step[0]) == [1, 1, 1, -1, -1]).all() and (np.sign(step[3]) == [-1, -1, 1, 1, 1]).all()
+    assert (quality._pair_tree(g.T, h.T) == step.T).all() and not quality._pair_tree(g * 0, h).any()
+
+
 @pytest.fixture(scope="module")
 def toxic_tables(spark):
     rows, labels = [], []

@@ -129,6 +129,30 @@ def _tree(gradient: np.ndarray, hessian: np.ndarray, leaves: int) -> np.ndarray:
     return out
 
 
+def _pair_tree(gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
+    """Step for each cell of a tree on a grid: one cut of one feature, then one of the other on either side."""
+    ridge, best, out = 4 * RIDGE, 1e-9, np.zeros_like(gradient)
+    worth = lambda g, h: g**2 / (h + ridge)
+    base = worth(gradient.sum(), hessian.sum())
+    for turned in (False, True):
+        g, h = (gradient.T, hessian.T) if turned else (gradient, hessian)
+        down = [np.cumsum(np.cumsum(x, axis=0), axis=1) for x in (g, h)]  # sums of all cells up to a cell
+        sides = [(x[:-1], x[-1] - x[:-1]) for x in down]  # rows before each cut, and rows from it on
+        found = []
+        for (cg, ch) in zip(*sides):
+            gains = worth(cg[:, :-1], ch[:, :-1]) + worth(cg[:, -1:] - cg[:, :-1], ch[:, -1:] - ch[:, :-1])
+            found.append((gains.max(axis=1), gains.argmax(axis=1) + 1))
+        total = found[0][0] + found[1][0] - base
+        at = int(total.argmax())
+        if total[at] > best:
+            best, out = total[at], np.zeros_like(gradient)
+            shape = out.T if turned else out
+            for rows, (_, cuts) in zip((slice(0, at + 1), slice(at + 1, None)), found):
+                for columns in (slice(0, cuts[at]), slice(cuts[at], None)):
+                    shape[rows, columns] = g[rows, columns].sum() / (h[rows, columns].sum() + ridge)
+    return out
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     """Fit on features and labels; without both labels the score is the share of label 1, or a half."""
     share = float(y.mean()) if len(y) else 0.5
@@ -154,7 +178,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def _fit_pairs(model: Additive, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> None:
-    """Choose the pairs whose grid of bins explains most of the residual; boost their tables in turn."""
+    """Choose the pairs whose grid of bins explains most of the residual; boost their tables by trees in turn."""
     model.pair_edges = [_edges(x[:, k], PAIR_BINS) for k in range(x.shape[1])]
     coarse = [np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(model.pair_edges)]
     side = PAIR_BINS + 1
@@ -172,10 +196,10 @@ def _fit_pairs(model: Additive, x: np.ndarray, y: np.ndarray, z: np.ndarray) ->
         for k, (a, b) in enumerate(model.pairs):
             p = 1 / (1 + np.exp(-z))
             cell = coarse[a] * side + coarse[b]
-            g, h = np.bincount(cell, y - p, side * side), np.bincount(cell, p * (1 - p), side * side)
-            step = RATE * g / (h + 4 * RIDGE)
-            model.pair_tables[k] += step.reshape(side, side)
-            z += step[cell]
+            g, h = (np.bincount(cell, w, side * side).reshape(side, side) for w in (y - p, p * (1 - p)))
+            step = RATE * _pair_tree(g, h)
+            model.pair_tables[k] += step
+            z += step.reshape(-1)[cell]
 
 
 def _feature_rows(docs: DataFrame) -> DataFrame:
