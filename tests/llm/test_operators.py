@@ -377,6 +377,15 @@ def test_sharding_is_repeatable(spark):
     assert place(2) == place(7)
 
 
+def test_sharding_spreads_rows_of_one_id(spark):
+    rows = [(None if k % 2 else 5, f"text {k}", "s") for k in range(400)] + [(5, "long " * 40_000, None)]
+    docs = table(spark, rows, "doc_id long, text string, source string").withColumns({"shard": F.lit("x"), "size": F.lit("y"), "__key": F.lit(1)})
+    out = sharding.interleave(docs, 8).collect()
+    assert sorted(r.size for r in out) == sorted(len(t) + 1 for _, t, _ in rows)
+    by = [sorted(r.slot for r in out if r.shard == s) for s in range(8)]
+    assert all(slots == list(range(len(slots))) for slots in by) and {len(x) for x in by} == {50, 51}
+
+
 # -- substring dedup
 
 

@@ -23,7 +23,8 @@ def interleave(docs: DataFrame, shards: int, id_col: str = "doc_id", stratum: st
     repeated ids are ordinary rows (rows alike in id, text and source are interchangeable). An empty
     table gives an empty result.
 
-    No task gets a whole source: ranks are an offset of a bucket of hash values, from a small table of
+    Rows are shuffled by a hash of id and text, so many rows without id, or of one id, don't meet in one
+    bucket. Columns of any name don't matter. No task gets a whole source: ranks are an offset of a bucket of hash values, from a small table of
     counts, plus the rank within the bucket. There are about sqrt(rows) buckets of sqrt(rows) rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -32,7 +33,7 @@ def interleave(docs: DataFrame, shards: int, id_col: str = "doc_id", stratum: st
         F.col(stratum).cast("string").alias("__of"),
         (F.octet_length(body) + 1).cast("long").alias("__size"),
         F.crc32(F.encode(body, "UTF-8")).cast("long").alias("__crc"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("__key"),
+        F.xxhash64(F.lit(seed), F.col(id_col), body).alias("__key"),
     )
     rows = materialize(rows, "shard-rows")
     total = rows.count()
