@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wiretide.llm import bpe, common, components, decontaminate, exact_dedup, groups, jaccard, labelled, language_model, line_dedup, quality, sharding, substring_dedup, toxicity
+from wiretide.llm import bpe, common, components, decontaminate, exact_dedup, jaccard, labelled, language_model, line_dedup, quality, sharding, substring_dedup, toxicity
 from wiretide.llm.labelled import remainder
 
 import brute

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_segments, discard, free_shuffles, materialize, mix64, per_segment, read_table, segment_bits, small_batches, tidy
 from .components import components
-from .groups import LOW_BITS, OWN, SEGMENT_BYTES, Tokens, low_of, met, pack, read_groups, record_batch, repeatable, unpack
+from .groups import OWN, SEGMENT_BYTES, Tokens, low_of, met, pack, read_groups, record_batch, repeatable, unpack
 
 #: Sizes in one cell of a list differ by less than this factor.
 STEP = 1.05
