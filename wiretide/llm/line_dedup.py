@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from .common import materialize, read_table
 
-#: A line goes when more than this share of its host's pages carry it ...
+#: A line goes when more than this share of its host's pages carry it: far above what recurs by chance and
+#: far below a template's share. A line close to it may go on one host and stay on another ...
 MAX_RATIO = 0.1
 #: ... and at least so many pages do, so that a host of one page keeps its text.
 MIN_PAGES = 5
