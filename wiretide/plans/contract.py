@@ -166,12 +166,11 @@ _INVENTORY = """inv AS (SELECT hosts.ip, place, CASE WHEN first_mac <> '' AND lo
     CASE WHEN coalesce(sent, 0) + coalesce(received, 0) = 0 THEN 'Zero Modbus events associated with this address in this capture (requests sent: 0, requests received: 0).'
       ELSE 'Modbus requests sent by this address: ' || CAST(sent AS BIGINT) || '; Modbus requests received by this address: ' || CAST(received AS BIGINT) || '.' END AS role_evidence,
     CASE WHEN sent + received >= 3 AND (sent = 0 OR received = 0) THEN 'medium' ELSE 'low' END AS role_confidence, units
-  FROM hosts LEFT JOIN asked USING (ip) LEFT JOIN supplier ON first_mac <> '' AND upper(replace(substr(first_mac, 1, 8), ':', '')) = '0200' || printf('%02X', s_suppkey) AND s_suppkey < 256)"""
+  FROM hosts LEFT JOIN asked USING (ip) LEFT JOIN supplier ON first_mac <> '' AND upper(replace(substr(first_mac, 1, 8), ':', '')) = '02' || printf('%04X', s_suppkey))"""
 
 
 def _vendors(spark, sf_dir) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").filter("s_suppkey < 256")
-    return s.select(F.concat(F.lit("0200"), F.lpad(F.hex("s_suppkey"), 2, "0")).alias("prefix"), F.col("s_name").alias("vendor"))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("02"), F.format_string("%04X", "s_suppkey")).alias("prefix"), F.col("s_name").alias("vendor"))
 
 
 def _inventory(spark, sf_dir) -> DataFrame:

@@ -34,7 +34,8 @@ def rtu_frame(unit: int) -> str:
 def events_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TCP packets of the capture that the events make (see operators.decode.TCP_COLUMNS)."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.regexp_extract("props", r"\d+", 0).cast("int").alias("k"))
-    src, dst = F.col("user_id") % 20, F.col("k") % 20
+    src, other = F.col("user_id") % 20, F.col("k") % 20
+    dst = F.when(src == other, (other + 1) % 20).otherwise(other)
     lane = (F.col("event_id") % 16 + 1) * 1000
     unit = F.col("k") % UNITS + 1
     adu = lambda pdu: F.concat(F.lpad(F.hex(F.col("event_id") % 65536), 4, "0"), F.lit("00000006"), F.lpad(F.hex(unit), 2, "0"), pdu if isinstance(pdu, Column) else F.lit(pdu))
@@ -51,7 +52,7 @@ def events_lens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     host = lambda h: F.concat(F.lit("10.0.0."), h.cast("string"))
     moved = (F.col("event_id") % 997 == 5) & (src == 7)
-    return e.filter(src != dst).select(
+    return e.select(
         F.lit(CAPTURE).alias("capture_id"),
         (F.col("event_id") + 1).alias("packet_number"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("timestamp"),
@@ -77,9 +78,9 @@ _CRC = "list_reduce(list_concat([65535], range(0, n - 2)), lambda crc, i: list_r
 #: The same packets, sessions, segments and events as DuckDB common table expressions.
 SQL = f"""
 e AS (SELECT event_id, epoch_us(ts) AS ts_us, user_id % 20 AS s, event_type, value,
-             CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events),
-raw AS (SELECT event_id + 1 AS pn, ts_us, event_id, '10.0.0.' || s AS src_ip, '10.0.0.' || (k % 20) AS dst_ip, s, k % 20 AS d,
-               CAST(1000 * (event_id % 16 + 1) + s AS INT) AS src_port, CAST(1000 * (event_id % 16 + 1) + k % 20 AS INT) AS dst_port,
+             CAST(regexp_extract(props, '[0-9]+') AS INT) AS k, CASE WHEN user_id % 20 = k % 20 THEN (k + 1) % 20 ELSE k % 20 END AS d FROM events),
+raw AS (SELECT event_id + 1 AS pn, ts_us, event_id, '10.0.0.' || s AS src_ip, '10.0.0.' || d AS dst_ip, s, d,
+               CAST(1000 * (event_id % 16 + 1) + s AS INT) AS src_port, CAST(1000 * (event_id % 16 + 1) + d AS INT) AS dst_port,
                CAST(round(value * 100) AS BIGINT) AS wire, event_type = 'signup' AS syn, k % {UNITS} + 1 AS unit,
                CASE event_type
                  WHEN 'click' THEN printf('%04X', event_id % 65536) || '00000006' || printf('%02X', k % {UNITS} + 1) || list_extract([{_CODES}], CAST(event_id // 16 % {len(CODES)} + 1 AS INT)) || '{READ}'
@@ -87,7 +88,7 @@ raw AS (SELECT event_id + 1 AS pn, ts_us, event_id, '10.0.0.' || s AS src_ip, '1
                  WHEN 'error' THEN CASE k % 6 WHEN 0 THEN '{HTTP_GET}' WHEN 1 THEN CASE k % {UNITS} + 1 {_FRAMES} END
                    WHEN 2 THEN '00010001000601{WRITE}' WHEN 3 THEN '{TELNET}' WHEN 4 THEN '{FTP}' ELSE '{HTTP_OK}' END
                  ELSE '' END AS h
-        FROM e WHERE s <> k % 20),
+        FROM e),
 tcp AS (SELECT *, CASE WHEN s = 19 THEN NULL ELSE '02:00:' || printf('%02x', s % 4) || CASE WHEN event_id % 997 = 5 AND s = 7 THEN ':01:00:' ELSE ':00:00:' END || printf('%02x', s) END AS src_mac,
                CASE WHEN d = 19 THEN NULL ELSE '02:00:' || printf('%02x', d % 4) || ':00:00:' || printf('%02x', d) END AS dst_mac,
                CASE WHEN (src_ip, src_port) < (dst_ip, dst_port) THEN src_ip || ':' || src_port || '<->' || dst_ip || ':' || dst_port
