@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ class Tokens:
         ids, starts, words = intern_words([[END, *v.lower().split(), END] if ends else v.lower().split() for v in values])
         return cls(ids, starts, word_hashes(words))
 
-    @property
+    @cached_property
     def mark(self) -> int:
         """Tells whether a group is the same when it is read again."""
         return zlib.crc32(self.hashes.tobytes(), zlib.crc32(self.ids.tobytes(), zlib.crc32(self.starts.tobytes())))
