@@ -4,11 +4,13 @@ import json
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 import captures as K
 from wiretide import cli
 from wiretide.plans import analysis, report
 from wiretide.sources import capture as C
+from wiretide.sources import datasource as D
 
 
 @pytest.fixture
@@ -106,7 +108,7 @@ def test_packets_of_another_store(spark, put, monkeypatch):
 
 def test_data_source_reads_folders(spark, put, tmp_path):
     put(K.pcap(K.exchange()), "a.pcap"), put(K.pcapng(K.exchange()), "b.pcapng")
-    spark.dataSource.register(C.CaptureSource)
+    D.register(spark)
     rows = spark.read.format("capture").load(str(tmp_path)).collect()
     assert sorted((r.capture_id, r.packet_number) for r in rows) == [("a.pcap", 1), ("a.pcap", 2), ("b.pcapng", 1), ("b.pcapng", 2)]
 
@@ -119,14 +121,123 @@ def test_checksums_of_a_data_set(spark, put, tmp_path):
     assert {r.name: r.state for r in C.verify_checksums(spark, str(tmp_path), sums).collect()} == {"a.bin": "ok", "b.bin": "differs", "c.bin": "unexpected", "z.bin": "missing"}
 
 
+def busy(order="<", count=400, interfaces=None, seed=1):
+    """Classic or pcapng bytes (where interfaces are given) with payloads that look like records themselves."""
+    import random
+
+    r = random.Random(seed)
+    inner = K.pcap([(k, bytes(r.randrange(1, 60))) for k in range(6)])
+    frames = [inner[r.randrange(24) :] if r.random() < 0.4 else bytes(r.randrange(256) for _ in range(r.randrange(0, 90))) for _ in range(count)]
+    if interfaces is None:
+        out = struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 600, 1)
+        return out + b"".join(struct.pack(order + "IIII", 1000 + k, k, len(f), len(f) + (k % 7 == 0)) + f for k, f in enumerate(frames)), frames
+    block = lambda kind, body: struct.pack(order + "II", kind, len(body) + 12) + body + struct.pack(order + "I", len(body) + 12)
+    out = block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1)) + b"".join(block(1, struct.pack(order + "HHI", link, 0, 500)) for link in interfaces)
+    for k, f in enumerate(frames):
+        if k == count // 2:
+            out += block(1, struct.pack(order + "HHI", 147, 0, 500)) + block(4, b"name")
+        interface = k % (len(interfaces) + (k >= count // 2))
+        out += block(6, struct.pack(order + "IIIII", interface, 0, 10**6 + k, len(f), len(f)) + f + b"\0" * (-len(f) % 4))
+    return out, frames
+
+
+def columns(rows):
+    return [(r.packet_number, round(r.ts, 6), r.caplen, r.wirelen, r.linktype, bytes(r.frame)) for r in sorted(rows, key=lambda r: r.packet_number)]
+
+
+@pytest.mark.parametrize("kind", ["little", "big", "blocks", "two orders"])
+@pytest.mark.parametrize("chunk", [50, 333, 4096])
+def test_ranges_of_a_file_give_what_one_walk_gives(spark, put, kind, chunk):
+    if kind in ("little", "big"):
+        data, frames = busy("<" if kind == "little" else ">", 120)
+    elif kind == "blocks":
+        data, frames = busy("<", 120, (1, 101))
+    else:
+        (a, f), (b, g) = busy(">", 60, (1,)), busy("<", 60, (101, 1), 2)
+        data, frames = a + b, f + g
+    path = put(data, "x.pcap")
+    whole = columns(C.read_capture(spark, path, 1 << 20).collect())
+    assert [r[-1] for r in whole] == frames and len({r[4] for r in whole}) == (1 if kind in ("little", "big") else 3)
+    assert columns(C.read_capture(spark, path, chunk).collect()) == whole
+    one, many = (C.audit_files(spark, [(str(path), len(data))], n).first().asDict() for n in (1 << 20, chunk))
+    assert one == many and (one["error"] is not None) == (kind == "two orders")
+    if kind == "little":
+        assert (many["packet_count"], many["snaplen_truncated_packet_count"], many["snaplen_truncated_first_packet_number"]) == (120, 18, 1)
+        assert C.audit(path).snaplen_truncated_packet_numbers == tuple(range(1, 121, 7))
+
+
+@pytest.mark.parametrize("interfaces", [None, (1,)])
+def test_damage_is_the_same_however_a_file_is_cut(spark, put, interfaces):
+    data, _ = busy("<", 60, interfaces)
+    for name, broken in (("cut", data[:-7]), ("long", data[:900] + b"\xff" * 300 + data[1200:]), ("tail", data + b"\1\2\3")):
+        path = put(broken, f"{name}.pcap")
+        want = C.audit_files(spark, [(str(path), len(broken))]).first()
+        assert want.error and C.audit_files(spark, [(str(path), len(broken))], 100).first() == want
+        assert columns(C.read_capture(spark, path, 100).collect()) == columns(C.read_capture(spark, path).collect())
+
+
+def test_guesses_hold_the_true_entry():
+    data, _ = busy("<", 300)
+    head = C.read_head(C.reader("", data), len(data))
+    starts = [24]
+    while starts[-1] < len(data):
+        starts.append(starts[-1] + 16 + struct.unpack_from("<I", data, starts[-1] + 8)[0])
+    hits = [min(s for s in starts if s >= base) in [at for at, _ in C.guesses(head, data[base : base + 5000], base)] for base in range(1000, len(data) - 6000, 997)]
+    assert sum(hits) > 0.7 * len(hits)
+
+
+def test_index_prunes_ranges(spark, put, tmp_path):
+    data, frames = busy("<", 500)
+    path = put(data)
+    put(busy(">", 40)[0], "y.pcap")
+    D.register(spark)
+    D.index_captures(spark, [tmp_path], f"{tmp_path}/index", 1000)
+    source = spark.read.format("capture").option("index", f"{tmp_path}/index").load()
+    assert columns(source.filter("capture_id = 'x.pcap'").collect()) == columns(C.read_capture(spark, path).collect())
+    assert source.rdd.getNumPartitions() > 20
+    few = source.filter("capture_id = 'x.pcap' and packet_number between 101 and 110")
+    assert 1 <= few.rdd.getNumPartitions() <= 4 and [bytes(r.frame) for r in few.orderBy("packet_number").collect()] == frames[100:110]
+    late = source.filter("ts >= 1490")
+    assert late.rdd.getNumPartitions() <= 3 and late.count() == 10
+    reader = D.CaptureReader({"index": f"{tmp_path}/index"}, ["packet_number"])
+    everything = sum(p.chunk["stop"] - p.chunk["start"] for p in reader.partitions())
+    assert list(reader.pushFilters([D.EqualTo(("packet_number",), 3)])) and sum(p.chunk["stop"] - p.chunk["start"] for p in reader.partitions()) < everything / 5
+    narrow = spark.read.format("capture").schema("packet_number long, ts double").option("path", str(path)).load()
+    assert narrow.columns == ["packet_number", "ts"] and narrow.filter("packet_number > 490").count() == 10
+    assert source.filter("packet_number > 100000").count() == 0
+
+
 def test_slice_round_trip(spark, put, tmp_path):
     packets = C.read_capture(spark, put(K.pcap(K.exchange() + K.rtu())))
     out = tmp_path / "slice.pcap"
-    assert C.write_pcap(C.slice_packets(packets, 1, 2), out) == 2
+    assert D.write_pcap(C.slice_packets(packets, 1, 2), out) == 2
     again = C.read_capture(spark, out).orderBy("packet_number").collect()
     assert [bytes(r.frame) for r in again] == [K.exchange()[1][1], K.rtu()[0][1]]
 
 
+def test_written_parts_are_named_by_the_commit(spark, put, tmp_path):
+    data, frames = busy("<", 200)
+    packets = C.read_capture(spark, put(data), 2000)
+    out = tmp_path / "out"
+    D.register(spark)
+    packets.repartitionByRange(5, "packet_number").sortWithinPartitions("packet_number").write.format("capture").mode("append").save(str(out))
+    parts = sorted(p.name for p in out.iterdir())
+    assert len(parts) == 5 and parts[0] == "part-00000.pcap"
+    assert [bytes(r.frame) for p in parts for r in sorted(C.read_capture(spark, out / p).collect(), key=lambda r: r.packet_number)] == frames
+    one = tmp_path / "one.pcap"
+    assert D.write_pcap(packets, one, 600) == 200
+    assert [bytes(r.frame) for r in C.read_capture(spark, one, 3000).orderBy("packet_number").collect()] == frames
+    bad = packets.withColumn("linktype", F.when(F.col("packet_number") == 150, 7).otherwise(F.col("linktype")))
+    for target in (tmp_path / "failed", one):
+        with pytest.raises(Exception, match="one link type"):
+            bad.repartition(3).write.format("capture").option("single", "true").mode("overwrite").save(str(target))
+    assert not (tmp_path / "failed").exists() and len(C.audit(one).snaplen_truncated_packet_numbers) == 29
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".")]
+    with pytest.raises(Exception):
+        packets.write.format("capture").mode("append").save(str(out))
+    assert sorted(p.name for p in out.iterdir()) == parts
+
+
 @pytest.fixture(scope="module")
 def results(spark, tmp_path_factory):
     """An analysis of each fixture."""
