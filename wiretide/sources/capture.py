@@ -117,13 +117,11 @@ class Walk:
     broken: list[int] | None = None
     halted: bool = False
 
-    def saw(self, kept: int, sent: int, numbers: list[int] | None) -> None:
-        self.packets += 1
-        if kept < sent:
-            self.short += 1
-            self.first_short = self.first_short or self.packets
-            if numbers is not None:
-                numbers.append(self.packets)
+    def cut_short(self, number: int, numbers: list[int] | None) -> None:
+        self.short += 1
+        self.first_short = self.first_short or number
+        if numbers is not None:
+            numbers.append(number)
 
     def breaks(self, at: int, rule: int, size: int) -> None:
         self.broken = self.broken or [at, rule, size]
@@ -189,19 +187,23 @@ def walk(head: Head, read: Read, data: bytes, base: int, stop: int, total: int,
 
 
 def _classic(head: Head, read: Read, data: bytes, base: int, stop: int, total: int, seen: Walk, numbers: list[int] | None) -> None:
-    lengths, at = struct.Struct(head.order + "II").unpack_from, seen.entry
-    while at < stop:
-        if total - at < 16:
-            seen.breaks(at, NO_HEADER, total - at)
-            at = total
-            break
+    lengths, at, packets, snaplen = struct.Struct(head.order + "II").unpack_from, seen.entry, 0, head.snaplen
+    # Where a whole header fits, this loop runs for each packet, so it is kept short.
+    while at < stop and total - at >= 16:
         kept, sent = lengths(data, at - base + 8)
-        if kept > head.snaplen:
-            seen.breaks(at, TOO_LONG, 16 + kept)
-        elif at + 16 + kept > total:
-            seen.breaks(at, PAST_END, 16 + kept)
-        seen.saw(kept, sent, numbers)
+        packets += 1
+        if kept < sent or kept > snaplen or at + 16 + kept > total:
+            if kept > snaplen:
+                seen.breaks(at, TOO_LONG, 16 + kept)
+            elif at + 16 + kept > total:
+                seen.breaks(at, PAST_END, 16 + kept)
+            if kept < sent:
+                seen.cut_short(packets, numbers)
         at += 16 + kept
+    seen.packets = packets
+    if at < stop:
+        seen.breaks(at, NO_HEADER, total - at)
+        at = total
     seen.exit, seen.exit_order = at, head.order
 
 
@@ -228,7 +230,10 @@ def _blocks(head: Head, read: Read, data: bytes, base: int, stop: int, total: in
             seen.halted = True
             break
         if kind == PACKET:
-            seen.saw(*struct.unpack_from(order + "II", data, here + 20), numbers)
+            seen.packets += 1
+            kept, sent = struct.unpack_from(order + "II", data, here + 20)
+            if kept < sent:
+                seen.cut_short(seen.packets, numbers)
         elif kind == INTERFACE:
             link, tick, snaplen = _interface(data[here : here + size] if here + size <= len(data) else read(at, size), order)
             seen.named += 1
@@ -294,30 +299,34 @@ def guesses(head: Head, data: bytes, base: int) -> list[tuple[int, str]]:
             else:
                 sound = np.isin(v[:-1], LIKELY) & (v[1:] % 4 == 0) & (v[1:] >= 12) & (v[1:] <= REACH)
             places += (np.flatnonzero(sound) * 4 + phase).tolist()
+        passed: set[int] = set()
+        count = 0
         for place in sorted(places):
-            if _sound(head, data, place, order):
+            # What an earlier guess leads to is no entry, if that guess is right; if not, the chain is followed again.
+            if place not in passed and _sound(head, window, place, order, passed):
                 found.append((base + place, order))
-                if len(found) % GUESSES == 0:
+                count += 1
+                if count == GUESSES:
                     break
     return found
 
 
-def _sound(head: Head, data: bytes, at: int, order: str) -> bool:
-    """Whether some headers in a row look as headers do, as far as data goes."""
-    for _ in range(SOUND):
-        if at + 16 > len(data):
-            return True
-        a, b, c, d = struct.unpack_from(order + "IIII", data, at)
-        if head.capture_format == "pcap":
-            if b >= head.unit or c > head.snaplen or c > d:
-                return False
-            at += 16 + c
+def _sound(head: Head, data: bytes, at: int, order: str, passed: set[int]) -> bool:
+    """Whether some headers in a row look as headers do, as far as data goes; if so, all that follow have been passed."""
+    header, classic, places = struct.Struct(order + "IIII").unpack_from, head.capture_format == "pcap", []
+    while at + 16 <= len(data):
+        a, b, c, d = header(data, at)
+        if classic:
+            fits, size = b < head.unit and c <= head.snaplen and c <= d, 16 + c
         else:
-            if b < 12 or b % 4:
-                return False
-            if at + b <= len(data) and struct.unpack_from(order + "I", data, at + b - 4)[0] != b:
+            fits, size = b >= 12 and not b % 4 and (at + b > len(data) or struct.unpack_from(order + "I", data, at + b - 4)[0] == b), b
+        if not fits:
+            if len(places) < SOUND:
                 return False
-            at += b
+            break
+        places.append(at)
+        at += size
+    passed.update(places)
     return True
 
 
