@@ -10,7 +10,7 @@ from wiretide.functions.addresses import mac_prefix, normalize_mac_prefix
 from wiretide.functions.octets import crc16, crc16_of
 from wiretide.functions.ranking import number_by_position
 from wiretide.operators import checks, coverage, decode, inventory, recognise, records, standards, textscan
-from wiretide.plans import analysis, registry, report
+from wiretide.plans import analysis, plugins, registry, report
 from wiretide.sources import capture, textfiles, vendors
 
 
@@ -96,8 +96,9 @@ def test_registry_rules(spark, tmp_path):
     segments = spark.createDataFrame([("c", 1, 0)], "capture_id string, packet_number long, session_id long")
     high, low = registry.run_dissectors(segments, found)
     assert [(r.protocol, r.confidence) for r in high.collect()] == [("probe", "high")] and low.count() == 0
-    plain = registry.list_dissector("plain", "low", lambda rows: [{"packet_number": r["packet_number"], "session_id": 0} for r in rows[:1]])
-    assert registry.run_dissectors(segments, [plain])[1].count() == 1
+    (folder / "code.py").write_text("class First:\n    def segment(self, row):\n        return [row] if row['packet_number'] == 1 else None\n")
+    (folder / "manifest.toml").write_text('id = "probe"\nconfidence = "low"\ndissector = "code:First"\n')
+    assert [tuple(r)[:5] for r in registry.run_dissectors(segments, registry.discover_dissectors(tmp_path))[1].collect()] == [("c", 1, 0, "probe", "low")]
     (folder / "manifest.toml").write_text('id = "probe"\nconfidence = "sure"\ndissector = "code:find"\n')
     with pytest.raises(registry.PluginError):
         registry.discover_dissectors(tmp_path)
@@ -105,6 +106,52 @@ def test_registry_rules(spark, tmp_path):
         registry.load_function("../code:find", folder / "manifest.toml")
 
 
+def row_plugins():
+    """Local classes travel to the workers with their code."""
+
+    class Pace:
+        """Counts segments and says how many there were at the end of a session."""
+
+        def __init__(self):
+            self.count, self.last = 0, None
+
+        def segment(self, row):
+            assert self.last is None or self.last["packet_number"] < row["packet_number"] and self.last["session_id"] == row["session_id"]
+            self.count, self.last = self.count + 1, row
+
+        def end(self):
+            yield {"packet_number": self.last["packet_number"], "session_id": self.last["session_id"], "transaction_id": self.count}
+
+    class Nameless:
+        def segment(self, row):
+            yield {"packet_number": row["packet_number"]}
+
+    class FirstEvent:
+        done = False
+
+        def event(self, event):
+            if not self.done:
+                self.done = True
+                yield {"evidence": event, "title": "own"}
+
+    return Pace, Nameless, FirstEvent
+
+
+Pace, Nameless, FirstEvent = row_plugins()
+
+
+def test_plugins_are_table_functions(spark):
+    rows = spark.range(60_000).select(F.lit("c").alias("capture_id"), (60_000 - F.col("id")).alias("packet_number"), F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(3).cast("long").alias("session_id"))
+    name = plugins.register(spark, "pace-1", plugins.dissector_function("pace-1", "high", Pace))
+    got = {r.session_id: (r.packet_number, r.transaction_id, r.protocol) for r in spark.sql(f"SELECT * FROM {name}(TABLE({{rows}}))", rows=rows).collect()}
+    want = {r.session_id: (r.last, r.n, "pace-1") for r in rows.groupBy("session_id").agg(F.max("packet_number").alias("last"), F.count("*").alias("n")).collect()}
+    assert name == "pace_1" and got == want
+    with pytest.raises(Exception, match="without packet_number or session_id"):
+        registry.run_dissectors(rows, [registry.row_dissector("x", "low", Nameless)])[1].collect()
+    with pytest.raises(Exception, match="needs the columns"):
+        registry.run_dissectors(rows.drop("session_id"), [registry.row_dissector("x", "low", Pace)])[1].collect()
+
+
 CHECK = """
 id = "probe"
 title = "t"
@@ -124,7 +171,7 @@ def test_checks_from_files(spark, tmp_path):
     (tmp_path / "probe.toml").write_text(CHECK)
     (tmp_path / "code.py").write_text("from pyspark.sql import functions as F\ndef find(events):\n    return events.select('capture_id', 'packet_number', 'session_id', F.lit('high').alias('severity'))\n")
     specs = registry.discover_checks(tmp_path)
-    specs["plain"] = {**specs["probe"], "evaluate": registry.list_check(lambda a: [{"evidence": {k: e[k] for k in ("packet_number", "session_id")}, "title": "own"} for e in a["protocol_events"][:1]])}
+    specs["plain"] = {**specs["probe"], "evaluate": registry.row_check("plain", FirstEvent)}
     (tmp_path / "c.pcap").write_bytes(K.pcap(K.exchange()))
     found = analysis.analyze(spark, tmp_path / "c.pcap", specs=specs).analysis["findings"]
     assert [(f["check_id"], f["title"], f["severity"], f["risk"]) for f in found] == [("plain", "own", "low", "minor"), ("probe", "t", "high", "serious"), ("probe", "t", "high", "serious")]

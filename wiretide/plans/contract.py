@@ -11,7 +11,7 @@ from ..functions import provenance as P
 from ..operators import analytics, checks, coverage, decode, inventory, recognise, records, standards, textscan
 from ..session import cut, table
 from ..sources import lens
-from . import definitions
+from . import definitions, plugins
 from ..sources.vendors import build_table
 from .registry import run_dissectors
 
@@ -124,6 +124,18 @@ def dissector_events(spark, sf_dir):
     return v.high.unionByName(v.low).select("packet_number", "session_id", "protocol", "confidence")
 
 
+@query(
+    """SELECT session_id, max(pn) AS packet_number, src_ip, count(*) AS segments FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pn) - row_number() OVER (PARTITION BY session_id, src_ip, src_port ORDER BY pn) AS turn FROM seg)
+  GROUP BY session_id, src_ip, src_port, turn"""
+)
+def session_turns(spark, sf_dir):
+    """A plugin called from SQL: its state is one session's current turn."""
+    name = plugins.register(spark, "session-turns", plugins.dissector_function("session-turns", "low", plugins.Turns))
+    segments = View(spark, sf_dir).segments.drop("payload")
+    return spark.sql(f"SELECT session_id, packet_number, src_ip, CAST(transaction_id AS BIGINT) AS segments FROM {name}(TABLE({{rows}}))", rows=segments)
+
+
 def _findings(check: str, v: View) -> DataFrame:
     spec = definitions.CHECKS[check]
     rows = checks.with_parties(spec["evaluate"](v.high), v.matrix)

@@ -19,36 +19,14 @@ from ..operators import recognise
 from ..operators.checks import severity_to_risk
 from ..operators.recognise import EVENT_COLUMNS
 from ..operators.standards import checked
+from . import plugins
+from .plugins import EVENT_TYPES, PluginError
 
 #: Confidences a manifest can state, and fields it needs.
 CONFIDENCES = ("high", "low")
 DISSECTOR_FIELDS = ("id", "confidence", "dissector")
 CHECK_FIELDS = ("id", "title", "applies_to", "severity", "rationale", "standards", "evaluator", "remediation")
 
-EVENT_TYPES = {
-    "capture_id": "string",
-    "packet_number": "long",
-    "session_id": "long",
-    "protocol": "string",
-    "confidence": "string",
-    "direction": "string",
-    "src_ip": "string",
-    "dst_ip": "string",
-    "timestamp": "double",
-    "unit_id": "int",
-    "transaction_id": "int",
-    "function_code": "int",
-    "function_name": "string",
-    "kind": "string",
-    "basis": "string",
-    "is_exception": "boolean",
-}
-
-
-class PluginError(ValueError):
-    """A plugin's manifest, file or output is malformed."""
-
-
 @dataclass(frozen=True)
 class Dissector:
     """find takes segments and returns rows with some columns of an event."""
@@ -107,7 +85,8 @@ def discover_dissectors(root: Path | str) -> list[Dissector]:
             raise PluginError(f"{path}: confidence {spec['confidence']!r} is none of {CONFIDENCES}")
         if spec["id"] in found:
             raise PluginError(f"{path}: the identifier {spec['id']!r} is taken")
-        found[spec["id"]] = Dissector(spec["id"], spec["confidence"], load_function(spec["dissector"], path))
+        code = load_function(spec["dissector"], path)
+        found[spec["id"]] = row_dissector(spec["id"], spec["confidence"], code) if plugins.is_row_plugin(code) else Dissector(spec["id"], spec["confidence"], code)
     return list(found.values())
 
 
@@ -115,30 +94,9 @@ def builtin_dissectors() -> list[Dissector]:
     return [Dissector(name, confidence, recognise.only(name)) for name, confidence in sorted(recognise.BUILTIN.items())]
 
 
-def list_dissector(id: str, confidence: str, function: Callable[[list[dict]], list[dict]]) -> Dissector:
-    """Adapt a plain Python plugin that takes a capture's whole ordered list of segments.
-
-    Such a plugin sees a capture at once, so a capture must fit one worker; native plugins don't.
-    """
-
-    def find(segments: DataFrame) -> DataFrame:
-        import pandas as pd
-
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            rows = function(frame.sort_values("packet_number").drop(columns=["capture_id"]).to_dict("records"))
-            for row in rows:
-                if "packet_number" not in row or "session_id" not in row:
-                    raise PluginError(f"dissector {id}: an event without packet_number or session_id")
-                if row.get("protocol") not in (None, id):
-                    raise PluginError(f"dissector {id}: an event of protocol {row['protocol']!r}")
-            out = pd.DataFrame(rows, columns=[c for c in EVENT_TYPES if c != "capture_id"]).astype(object)
-            out.insert(0, "capture_id", frame["capture_id"].iloc[0])
-            return out
-
-        schema = ", ".join(f"{c} {t}" for c, t in EVENT_TYPES.items())
-        return segments.groupBy("capture_id").applyInPandas(run, schema)
-
-    return Dissector(id, confidence, find)
+def row_dissector(id: str, confidence: str, plugin: type) -> Dissector:
+    """A plugin that takes segments one by one (see plugins) as a dissector."""
+    return Dissector(id, confidence, plugins.as_find(plugins.dissector_function(id, confidence, plugin)))
 
 
 def run_dissectors(segments: DataFrame, dissectors: list[Dissector] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -165,30 +123,16 @@ def run_dissectors(segments: DataFrame, dissectors: list[Dissector] | None = Non
     return events.filter("confidence = 'high'"), events.filter("confidence = 'low'")
 
 
-def list_check(function: Callable[[dict], list[dict]]) -> Callable[[DataFrame], DataFrame]:
-    """Adapt a plain Python check: it takes {"protocol_events": [...]} of a capture and returns
-    [{"evidence": {"packet_number", "session_id"}, ...}]; further text fields win over the manifest's."""
-    own = ("title", "severity", "rationale", "remediation")
-
-    def evaluate(events: DataFrame) -> DataFrame:
-        import pandas as pd
-
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            ordered = frame.sort_values(["packet_number", "session_id", "protocol"])
-            rows = [{k: v for k, v in r.items() if not pd.isna(v)} for r in ordered.drop(columns=["capture_id"]).to_dict("records")]
-            out = [(frame["capture_id"].iloc[0], r["evidence"]["packet_number"], r["evidence"]["session_id"], *(r.get(k) for k in own)) for r in function({"protocol_events": rows})]
-            return pd.DataFrame(out, columns=["capture_id", "packet_number", "session_id", *own]).astype(object)
-
-        return events.groupBy("capture_id").applyInPandas(run, "capture_id string, packet_number long, session_id long, " + ", ".join(f"{k} string" for k in own))
-
-    return evaluate
+def row_check(id: str, plugin: type) -> Callable[[DataFrame], DataFrame]:
+    """A check that takes events one by one (see plugins) as an evaluator."""
+    return plugins.as_find(plugins.check_function(id, plugin))
 
 
 def discover_checks(root: Path | str) -> dict[str, dict]:
     """Checks of the TOML and YAML files under root, by identifier.
 
-    evaluator is `module:function`, a function of the events' DataFrame that returns capture_id,
-    packet_number and session_id of each finding, with any of the check's text fields as columns.
+    evaluator is `module:name`: a function of the events' DataFrame that returns capture_id, packet_number and
+    session_id of each finding, with any of the check's text fields as columns, or a class that takes events one by one.
     applies_to is kept as a note and filters nothing.
     """
     found: dict[str, dict] = {}
@@ -198,7 +142,8 @@ def discover_checks(root: Path | str) -> dict[str, dict]:
             raise PluginError(f"{path}: the identifier {spec['id']!r} is taken")
         severity_to_risk(spec["severity"])
         refs = [(ref["standard"], ref["clause"]) for ref in spec["standards"]]
-        found[spec["id"]] = {**spec, "standards": refs, "evaluate": load_function(spec["evaluator"], path)}
+        code = load_function(spec["evaluator"], path)
+        found[spec["id"]] = {**spec, "standards": refs, "evaluate": row_check(spec["id"], code) if plugins.is_row_plugin(code) else code}
     return found
 
 
@@ -213,4 +158,4 @@ def load_catalogue(root: Path | str) -> list[dict]:
     return out
 
 
-__all__ = ["EVENT_COLUMNS", "Dissector", "PluginError", "builtin_dissectors", "discover_checks", "discover_dissectors", "list_check", "list_dissector", "load_catalogue", "load_function", "read_spec", "run_dissectors"]
+__all__ = ["EVENT_COLUMNS", "Dissector", "PluginError", "builtin_dissectors", "discover_checks", "discover_dissectors", "load_catalogue", "load_function", "read_spec", "row_check", "row_dissector", "run_dissectors"]
