@@ -268,6 +268,66 @@ def test_corpus_runs_over_line_ends(spark):
     assert scan(spark, text, corpus=corpus) == [(2, textscan.CORPUS_RULE)]
 
 
+def plain_runs(files, corpus, size=12):
+    """(path, line) where a run of words begins that the corpus has too, word by word."""
+    import re
+
+    spoken = lambda text: [(w, k) for k, line in enumerate(text.splitlines(), 1) for w in re.findall(r"[^\W]+", line.lower())]
+    known = {tuple(w for w, _ in x[k : k + size]) for text in corpus for x in [spoken(text)] for k in range(len(x) - size + 1)}
+    return sorted({(path, x[k][1]) for path, text in files for x in [spoken(text)] for k in range(len(x) - size + 1) if tuple(w for w, _ in x[k : k + size]) in known})
+
+
+@pytest.mark.parametrize(("limit", "block"), [(2_000_000, "300"), (0, "300"), (0, "100m")])
+def test_files_of_many_blocks_are_scanned_as_whole_ones(spark, tmp_path, monkeypatch, limit, block):
+    import random
+
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(30)}"
+    corpus = [" ".join(word() for _ in range(40)) for _ in range(4)]
+    files = []
+    for n in range(5):
+        text = ""
+        for _ in range(40):
+            passage = r.choice(corpus).split()
+            some = passage[r.randrange(20) :][: r.randrange(8, 30)] if r.random() < 0.5 else [word() for _ in range(r.randrange(0, 30))]
+            text += "".join(w + r.choice([" ", " ", " ", "\n", "\r\n", "\r", " ", "\n\n", " é\u0085"]) for w in some)
+        files.append((f"{tmp_path}/text/{n}.txt", text))
+    (tmp_path / "text").mkdir()
+    for path, text in files:
+        with open(path, "wb") as file:
+            file.write(text.encode())
+    (tmp_path / "text/bad.txt").write_bytes(b"\xff\xfe " + corpus[0].encode())
+    table = spark.createDataFrame([("c", x) for x in corpus], "path string, content string")
+    monkeypatch.setattr(textscan.shingles.known, "__defaults__", (limit,))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        pieces, blocks = textfiles.numbered_pieces(spark, f"file://{tmp_path}/text")
+        got = sorted((r.path, r.line) for r in textscan.scan_corpus_pieces(pieces, blocks, table).collect())
+        read = sorted((r.path, r.line, r.text) for r in textfiles.read_lines(spark, f"file://{tmp_path}/text").filter("readable").collect())
+        assert (pieces.select("path", "block").distinct().count() > 12) == (block != "100m")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == plain_runs(files, corpus) and len(got) > 50
+    # An empty line may follow a file's last line end, if that is no line feed.
+    want = [(path, k, line) for path, text in files for k, line in enumerate(text.splitlines(), 1) if line]
+    assert [x for x in read if x[2]] == sorted(want)
+    whole = spark.createDataFrame(files, "path string, content string")
+    assert sorted((r.path, r.line) for r in textscan.scan_corpus(whole, table).collect()) == got
+
+
+def test_literals_are_looked_up_by_pieces(spark):
+    import random
+
+    r = random.Random(8)
+    text = ["".join(r.choice("abcde ") for _ in range(r.randrange(60))) for _ in range(200)]
+    literals = {"".join(r.choice("abcde") for _ in range(r.randrange(1, 9))) for _ in range(300)}
+    rows = spark.createDataFrame([("f", k, t) for k, t in enumerate(text)], "path string, line int, folded string")
+    found = textscan.literal_lines(rows, literals)
+    assert sorted((x.line, x.term) for x in found.collect()) == sorted((k, x) for k, t in enumerate(text) for x in literals if x in t)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_folding_keeps_letters_that_do_not_decompose(spark):
     frame = spark.createDataFrame([("ŁÓDŹ",), ("plain A",), (None,)], "t string")
     assert [r.f for r in T.with_folded(frame, "t", "f").collect() if r.t == "ŁÓDŹ"] == ["łodz"]

@@ -45,18 +45,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-def shingle_keys(tokens: Column, size: int = SHINGLE_WORDS) -> Column:
-    """96 bits for each run of `size` words, without making the runs; none for shorter texts."""
-
-    def runs(all_tokens: Column) -> Column:
-        count = F.size(all_tokens) - size + 1
-        run = lambda i: F.slice(all_tokens, i, size)
-        every = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.struct(F.xxhash64(run(i)).alias("a"), F.hash(run(i)).alias("b")))
-        return F.when(count > 0, every)
-
-    return F.coalesce(F.element_at(F.transform(F.array(tokens), runs), 1), F.array().cast("array<struct<a:bigint,b:int>>"))
-
-
 def folded_path(path: Column) -> Column:
     return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
 

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import sys
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SHINGLE_WORDS, fold, folded_path, lines, matches_any, shingle_keys, with_folded, words
-from ..session import table
+from ..functions import shingles
+from ..functions.text import SHINGLE_WORDS, fold, folded_path, lines, matches_any, with_folded
+from ..session import cut, table
 
 #: The corpus folder, rule names, layers, word lists and address shapes.
 CORPUS_PATH = "standards/.local"
@@ -122,23 +124,43 @@ def scan_structure(text_lines: DataFrame, modals: tuple[str, ...] = MODALS) -> D
     return _rows(with_folded(numbered, "piece", "folded").filter(modal), "structural", CLAUSE_RULE)
 
 
+def _pieces(text_lines: DataFrame) -> DataFrame:
+    """Lines of whole files as pieces of one block each."""
+    return text_lines.select(F.col("path").alias("key"), F.lit(0).alias("block"), F.col("line").alias("at"), shingles.word_hashes(F.col("text")).alias("hashes"))
+
+
 def corpus_hashes(corpus: DataFrame) -> DataFrame:
-    """(digest) of all shingles of a corpus of files."""
-    return corpus.select(F.explode(shingle_keys(words(F.col("content")))).alias("digest")).distinct()
+    """(a, b) of all shingles of a corpus of files (path, content)."""
+    return shingles.runs(_pieces(corpus.select(F.lit("").alias("path"), F.monotonically_increasing_id().alias("line"), F.col("content").alias("text"))).withColumn("block", F.col("at"))).select("a", "b")
 
 
 def scan_corpus(files: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Lines where a run of words that the corpus also has begins, each once.
+    """Lines of (path, content) where a run of words that the corpus also has begins, each once.
+
+    A run can go over line ends. Each word is hashed once, the hashes of runs follow from prefix sums.
+    """
+    found = shingles.runs(_pieces(lines(files)), among=shingles.known(corpus_hashes(corpus)))
+    return _rows(found.select(F.col("key").alias("path"), F.col("at").alias("line")).distinct(), "corpus", CORPUS_RULE)
+
+
+def scan_corpus_pieces(pieces: DataFrame, blocks: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The same over files of any size (textfiles.numbered_pieces): many tasks read one file.
 
-    A run can go over line ends, so a file's words stay one array with their lines.
+    Runs that begin in one block and end in another come from the few words at the blocks' edges.
     """
-    spoken = lines(files).select("path", "line", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    per_file = spoken.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "w"))).alias("all"))
-    tokens = F.flatten(F.transform("all", lambda x: x["w"]))
-    places = F.flatten(F.transform("all", lambda x: F.array_repeat(x["line"], F.size(x["w"]))))
-    runs = per_file.select("path", places.alias("places"), F.posexplode(shingle_keys(tokens)).alias("at", "digest"))
-    starts = runs.select("path", F.element_at("places", F.col("at") + 1).alias("line"), "digest")
-    return _rows(starts.join(corpus_hashes(corpus), "digest", "left_semi").select("path", "line").distinct(), "corpus", CORPUS_RULE)
+    among = shingles.known(corpus_hashes(corpus))
+    rows = pieces.select(F.col("path").alias("key"), "block", "at", shingles.word_hashes(F.col("text")).alias("hashes"))
+    found = cut(shingles.runs(rows, among=among, edges=True), "corpus-runs")
+    beyond = shingles.stitched(found)
+    if among.table is not None:
+        beyond = beyond.join(among.table, ["a", "b"], "left_semi")
+    else:
+        keep = F.pandas_udf(lambda a, b: pd.Series(among.has(a.to_numpy(), b.to_numpy())), "boolean")
+        beyond = beyond.filter(keep("a", "b"))
+    hits = found.filter("edge is null").select("key", "block", "at").unionByName(beyond.select("key", "block", "at"))
+    named = blocks.filter("readable").withColumnsRenamed({"block": "b"})
+    hits = hits.join(named, (F.col("key") == F.col("path")) & (F.col("block") == F.col("b")))
+    return _rows(hits.select("path", (F.col("before") + F.col("at")).alias("line")).distinct(), "corpus", CORPUS_RULE)
 
 
 def scan_identity(text_lines: DataFrame, declared: set[str] = frozenset(), literals: list[str] = ()) -> DataFrame:
@@ -146,17 +168,47 @@ def scan_identity(text_lines: DataFrame, declared: set[str] = frozenset(), liter
 
     Addresses and device names count once for each match, names and literals once for each line.
     """
+    known = F.array(*(F.lit(x) for x in sorted(declared) or [""]))
+    text = F.col("folded")
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    told = lambda rule, values: F.transform(values, lambda _: F.lit(rule))
+    rules = F.concat(
+        told(IPV4_RULE, F.filter(found(PRIVATE_IPV4), lambda v: ~F.array_contains(known, v))),
+        told(MAC_RULE, F.filter(found(MAC_ADDRESS), lambda v: ~F.array_contains(known, F.translate(v, "-", ":")))),
+        told(DEVICE_RULE, found(DEVICE_NAME)),
+        F.when(text.rlike(PROJECT_NAME), F.array(F.lit(PROJECT_RULE))).otherwise(F.array().cast("array<string>")),
+    )
     folded = with_folded(text_lines, "text", "folded")
-    found = lambda pattern: folded.select("path", "line", F.explode(F.regexp_extract_all("folded", F.lit(pattern), F.lit(0))).alias("value"))
-    known = sorted(declared) or [""]
-    out = _rows(found(PRIVATE_IPV4).filter(~F.col("value").isin(known)), "identity", IPV4_RULE)
-    out = out.unionByName(_rows(found(MAC_ADDRESS).filter(~F.translate("value", "-", ":").isin(known)), "identity", MAC_RULE))
-    out = out.unionByName(_rows(found(DEVICE_NAME), "identity", DEVICE_RULE))
-    out = out.unionByName(_rows(folded.filter(F.col("folded").rlike(PROJECT_NAME)), "identity", PROJECT_RULE))
-    wanted = [x for x in map(fold, literals) if x]
-    if wanted:
-        terms = folded.sparkSession.createDataFrame([(x,) for x in wanted], "term string")
-        out = out.unionByName(_rows(folded.join(F.broadcast(terms), F.col("folded").contains(F.col("term"))), "identity", LITERAL_RULE))
+    out = folded.select("path", "line", F.explode(rules).alias("rule_id")).select("path", F.col("line").cast("int").alias("line"), F.lit("identity").alias("layer"), "rule_id")
+    if wanted := {x for x in map(fold, literals) if x}:
+        out = out.unionByName(_rows(literal_lines(folded, wanted), "identity", LITERAL_RULE))
+    return out
+
+
+#: Characters of the longest piece of a literal by which lines are looked up.
+GRAM = 5
+
+
+def literal_lines(folded: DataFrame, literals: set[str]) -> DataFrame:
+    """(path, line, term): folded lines that contain a literal, once for each of them.
+
+    Each literal is filed under one of its pieces of GRAM characters (all of a shorter literal), the one that fewest
+    literals share; a line looks up its own distinct pieces by equality, and what it finds is verified.
+    """
+    counts: dict[str, int] = {}
+    pieces = {x: {x[k : k + GRAM] for k in range(max(1, len(x) - GRAM + 1))} for x in literals}
+    for of in pieces.values():
+        for piece in of:
+            counts[piece] = counts.get(piece, 0) + 1
+    index = [(min(of, key=lambda piece: (counts[piece], piece)), x) for x, of in sorted(pieces.items())]
+    terms = folded.sparkSession.createDataFrame(index, "piece string, term string")
+    rows = folded.select("path", "line", "folded")
+    out = None
+    for size in sorted({len(piece) for piece, _ in index}):
+        own = F.transform(F.sequence(F.lit(1), F.length("folded") - size + 1), lambda k: F.substring(F.col("folded"), k, F.lit(size)))
+        asked = rows.filter(F.length("folded") >= size).withColumn("asked", F.explode(F.array_distinct(own)))
+        hits = asked.join(terms.filter(F.length("piece") == size), F.col("asked") == F.col("piece")).filter(F.col("folded").contains(F.col("term"))).select("path", "line", "term")
+        out = hits if out is None else out.unionByName(hits)
     return out
 
 
@@ -184,28 +236,38 @@ def forbidden_phrases(files: DataFrame, patterns: dict[str, str] = FORBIDDEN) ->
 
     Phrases are found alone, so that the context of one never takes in the next.
     """
-    folded = with_folded(files, "content", "folded").select("path", "folded")
-    out = None
-    for name, pattern in patterns.items():
-        found = folded.select("path", "folded", F.explode(_places(F.col("folded"), pattern)).alias("at"))
-        first = F.greatest(F.col("at.start") - CONTEXT, F.lit(0))
-        context = F.substring(F.col("folded"), first + 1, F.col("at.stop") + CONTEXT - first)
-        hits = found.select("path", F.lit(name).alias("rule_id"), context.alias("context"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    folded = with_folded(files, "content", "folded").select("path", F.translate("folded", OPEN + CLOSE, "??").alias("folded"))
 
+    def named(name: str, pattern: str) -> Column:
+        return F.transform(contexts(F.col("folded"), pattern), lambda x: F.struct(F.lit(name).alias("rule_id"), x.alias("context")))
 
-def _places(text: Column, pattern: str) -> Column:
-    """Where the matches of a pattern start and stop, from what lies between them and their own lengths."""
-    sizes = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
-    none = F.array().cast("array<struct<start:int,stop:int>>")
+    found = F.concat(*(named(*rule) for rule in patterns.items()))
+    return folded.select("path", F.explode(found).alias("hit")).select("path", "hit.rule_id", "hit.context")
+
+
+#: Two characters that no text may contain (not characters at all in Unicode) mark where a match begins and ends.
+OPEN, CLOSE = "￾", "￿"
+
+
+def contexts(text: Column, pattern: str) -> Column:
+    """Each match of a pattern with CONTEXT characters around it.
+
+    Matches are marked, and the text is cut where they begin. A piece has one character at least, so that a
+    bounded number of pieces on either side holds the context of a match.
+    """
+    pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN, -1)
 
-    def add(done, x):
-        start = done["at"] + x["gap"]
-        return F.struct((start + x["hit"]).alias("at"), F.concat(done["places"], F.array(F.struct(start.alias("start"), (start + x["hit"]).alias("stop")))).alias("places"))
+    def around(k: Column, of: Column) -> Column:
+        plain = lambda some: F.translate(F.array_join(some, ""), CLOSE, "")
+        first = F.greatest(k - CONTEXT - 1, F.lit(0))
+        before = plain(F.slice(of, first + 1, k - first))
+        hit = F.substring_index(F.get(of, k), CLOSE, 1)
+        after = plain(F.concat(F.array(F.substring_index(F.get(of, k), CLOSE, -1)), F.slice(of, k + 2, CONTEXT + 1)))
+        return F.concat(F.right(before, F.lit(CONTEXT)), hit, F.left(after, F.lit(CONTEXT)))
 
-    last = F.aggregate(F.filter(sizes, lambda x: x["hit"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("places")), add)
-    return last["places"]
+    # The pieces are bound once, as the element of an array.
+    each = F.transform(F.array(pieces), lambda of: F.when(F.size(of) > 1, F.transform(F.sequence(F.lit(1), F.size(of) - 1), lambda k: around(k, of))).otherwise(F.array().cast("array<string>")))
+    return F.coalesce(F.get(each, F.lit(0)), F.array().cast("array<string>"))
 
 
 def substring_scan(text_lines: DataFrame, patterns: list[str]) -> DataFrame:
@@ -237,10 +299,11 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many twelve-word runs of each document a benchmark item has too."""
-    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(shingle_keys(words(F.col("text")))).alias("digest"))
-    corpus = corpus_hashes(table(spark, sf_dir, "benchmark").select(F.col("text").alias("content")))
-    hits = runs.join(corpus, "digest", "left_semi")
-    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits"))
+    corpus = shingles.known(corpus_hashes(table(spark, sf_dir, "benchmark").select(F.col("text").alias("content"))))
+    # Each document is a block of its own.
+    pieces = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.monotonically_increasing_id().alias("block"), F.lit(0).alias("at"), shingles.word_hashes(F.col("text")).alias("hashes"))
+    hits = shingles.runs(pieces, among=corpus)
+    return hits.groupBy("key").agg(F.count(F.lit(1)).alias("hits")).select(F.col("key").cast("long").alias("doc_id"), "hits")
 
 
 def ipv4_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +348,7 @@ PHRASES = ("Nie zgodny", "a non-compliant", "compliance, COMPLIANCE and complian
 
 
 def report_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forbidden phrases in the first words of documents with two phrases put between them, by document and rule."""
+    """Forbidden phrases in documents with two phrases put between them, by document and rule."""
     pick = lambda n: F.element_at(F.array(*map(F.lit, PHRASES)), ((F.col("doc_id") * n) % len(PHRASES) + 1).cast("int"))
     text = F.concat(F.coalesce(F.col("text"), F.lit("")), F.lit(" says "), pick(1), F.lit("; then "), pick(3), F.lit("."))
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), text.alias("content"))
