@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import shingles
 from ..functions.text import SHINGLE_WORDS, fold, folded_path, lines, matches_any, with_folded
 from ..session import cut, table
+from ..sources.textfiles import numbered_pieces
 
 #: The corpus folder, rule names, layers, word lists and address shapes.
 CORPUS_PATH = "standards/.local"
@@ -185,8 +186,8 @@ def scan_identity(text_lines: DataFrame, declared: set[str] = frozenset(), liter
     return out
 
 
-#: Characters of the longest piece of a literal by which lines are looked up.
-GRAM = 5
+#: Characters of the longest piece of a literal by which lines are looked up, and literals that are sent to all workers at most.
+GRAM, SENT = 5, 200_000
 
 
 def literal_lines(folded: DataFrame, literals: set[str]) -> DataFrame:
@@ -201,11 +202,13 @@ def literal_lines(folded: DataFrame, literals: set[str]) -> DataFrame:
         for piece in of:
             counts[piece] = counts.get(piece, 0) + 1
     index = [(min(of, key=lambda piece: (counts[piece], piece)), x) for x, of in sorted(pieces.items())]
-    terms = folded.sparkSession.createDataFrame(index, "piece string, term string")
+    # Never the lines: their pieces are many times their size, which no estimate knows.
+    terms = folded.sparkSession.createDataFrame(index, "piece string, term string").hint("broadcast" if len(index) <= SENT else "merge")
     rows = folded.select("path", "line", "folded")
     out = None
     for size in sorted({len(piece) for piece, _ in index}):
-        own = F.transform(F.sequence(F.lit(1), F.length("folded") - size + 1), lambda k: F.substring(F.col("folded"), k, F.lit(size)))
+        # Looking ahead finds overlapping pieces in one walk over the line.
+        own = F.regexp_extract_all("folded", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
         asked = rows.filter(F.length("folded") >= size).withColumn("asked", F.explode(F.array_distinct(own)))
         hits = asked.join(terms.filter(F.length("piece") == size), F.col("asked") == F.col("piece")).filter(F.col("folded").contains(F.col("term"))).select("path", "line", "term")
         out = hits if out is None else out.unionByName(hits)
@@ -222,13 +225,41 @@ def scan_files(files: DataFrame, corpus: DataFrame | None = None, allow: AllowLi
     out = scan_paths(files)
     if corpus is not None:
         out = out.unionByName(scan_corpus(readable, corpus))
-    checked = readable.filter(~matches_any(F.col("path"), allow.patterns)) if allow.patterns else readable
-    out = out.unionByName(scan_structure(lines(checked)))
-    identity = scan_identity(lines(readable), allow.values, literals)
+    return out.unionByName(_line_rules(lines(readable), allow, literals))
+
+
+def _line_rules(text_lines: DataFrame, allow: AllowList, literals: list[str]) -> DataFrame:
+    """The layers that look at single lines, with their exceptions."""
+    checked = text_lines.filter(~matches_any(F.col("path"), allow.patterns)) if allow.patterns else text_lines
+    identity = scan_identity(text_lines, allow.values, literals)
     for rule in IDENTITY_RULES:
         if patterns := allow.for_rule(rule):
             identity = identity.filter(~((F.col("rule_id") == rule) & matches_any(F.col("path"), patterns)))
-    return out.unionByName(identity)
+    return scan_structure(checked).unionByName(identity)
+
+
+def scan_paths_of(spark: SparkSession, paths: list[str], corpus: DataFrame | None = None, allow: AllowList | None = None, literals: list[str] = ()) -> DataFrame:
+    """scan_files over files of this machine or a mounted store, of any size: many tasks read one file.
+
+    A path that is missing, or no UTF-8 text, is held against the path rule only. The driver knows names, no texts.
+    """
+    from pathlib import Path
+
+    allow = allow or AllowList()
+    full = {str(Path(p).resolve()): p for p in paths if Path(p).is_file()}
+    names = spark.createDataFrame([(f, p) for f, p in full.items()], "full string, path string")
+    out = scan_paths(spark.createDataFrame([(p,) for p in paths], "path string"))
+    if not full:
+        return out
+    pieces, blocks = numbered_pieces(spark, [f"file://{p}" for p in full])
+    # Given names come back in place of full ones.
+    given = lambda df: df.withColumnRenamed("path", "full").join(F.broadcast(names), "full").drop("full")
+    pieces, blocks = given(pieces), given(blocks)
+    if corpus is not None:
+        out = out.unionByName(scan_corpus_pieces(pieces, blocks, corpus))
+    named = blocks.filter("readable").withColumnsRenamed({"path": "p", "block": "b"})
+    text_lines = pieces.join(named, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b"))).select("path", (F.col("before") + F.col("at")).alias("line"), "text")
+    return out.unionByName(_line_rules(text_lines, allow, literals))
 
 
 def forbidden_phrases(files: DataFrame, patterns: dict[str, str] = FORBIDDEN) -> DataFrame:
