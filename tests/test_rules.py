@@ -315,14 +315,16 @@ def test_files_of_many_blocks_are_scanned_as_whole_ones(spark, tmp_path, monkeyp
     assert sorted((r.path, r.line) for r in textscan.scan_corpus(whole, table).collect()) == got
 
 
-def test_literals_are_looked_up_by_pieces(spark):
+@pytest.mark.parametrize("sent", [1000, 10])
+def test_literals_are_looked_up_by_pieces(spark, sent):
     import random
 
     r = random.Random(8)
     text = ["".join(r.choice("abcde ") for _ in range(r.randrange(60))) for _ in range(200)]
     literals = {"".join(r.choice("abcde") for _ in range(r.randrange(1, 9))) for _ in range(300)}
     rows = spark.createDataFrame([("f", k, t) for k, t in enumerate(text)], "path string, line int, folded string")
-    found = textscan.literal_lines(rows, literals)
+    terms = spark.createDataFrame([(x,) for x in literals], "term string")
+    found = textscan.literal_lines(rows, terms, sent)
     assert sorted((x.line, x.term) for x in found.collect()) == sorted((k, x) for k, t in enumerate(text) for x in literals if x in t)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan

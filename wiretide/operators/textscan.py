@@ -182,7 +182,8 @@ def scan_identity(text_lines: DataFrame, declared: set[str] = frozenset(), liter
     folded = with_folded(text_lines, "text", "folded")
     out = folded.select("path", "line", F.explode(rules).alias("rule_id")).select("path", F.col("line").cast("int").alias("line"), F.lit("identity").alias("layer"), "rule_id")
     if wanted := {x for x in map(fold, literals) if x}:
-        out = out.unionByName(_rows(literal_lines(folded, wanted), "identity", LITERAL_RULE))
+        terms = folded.sparkSession.createDataFrame([(x,) for x in sorted(wanted)], "term string")
+        out = out.unionByName(_rows(literal_lines(folded, terms), "identity", LITERAL_RULE))
     return out
 
 
@@ -190,28 +191,32 @@ def scan_identity(text_lines: DataFrame, declared: set[str] = frozenset(), liter
 GRAM, SENT = 5, 200_000
 
 
-def literal_lines(folded: DataFrame, literals: set[str]) -> DataFrame:
-    """(path, line, term): folded lines that contain a literal, once for each of them.
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of so many characters: looking ahead finds overlapping ones in one walk over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
-    Each literal is filed under one of its pieces of GRAM characters (all of a shorter literal), the one that fewest
-    literals share; a line looks up its own distinct pieces by equality, and what it finds is verified.
+
+def literal_lines(folded: DataFrame, terms: DataFrame, sent: int = SENT) -> DataFrame:
+    """(path, line, term): folded lines that contain a term, once for each of them.
+
+    Each term is filed under one of its pieces of GRAM characters (all of a shorter term), the one that fewest
+    terms share; a line looks up its own distinct pieces by equality, and what it finds is verified.
     """
-    counts: dict[str, int] = {}
-    pieces = {x: {x[k : k + GRAM] for k in range(max(1, len(x) - GRAM + 1))} for x in literals}
-    for of in pieces.values():
-        for piece in of:
-            counts[piece] = counts.get(piece, 0) + 1
-    index = [(min(of, key=lambda piece: (counts[piece], piece)), x) for x, of in sorted(pieces.items())]
+    terms = terms.filter("term <> ''").select("term").distinct()
+    whole = F.array("term")
+    pieces = terms.select("term", F.explode(F.when(F.length("term") > GRAM, _grams(F.col("term"), GRAM)).otherwise(whole)).alias("piece"))
+    counts = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("piece", "p")
+    index = pieces.join(counts, F.col("piece") == F.col("p")).groupBy("term").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    index = cut(index, "literals")
     # Never the lines: their pieces are many times their size, which no estimate knows.
-    terms = folded.sparkSession.createDataFrame(index, "piece string, term string").hint("broadcast" if len(index) <= SENT else "merge")
+    index = index.hint("broadcast" if index.limit(sent + 1).count() <= sent else "merge")
     rows = folded.select("path", "line", "folded")
-    out = None
-    for size in sorted({len(piece) for piece, _ in index}):
-        # Looking ahead finds overlapping pieces in one walk over the line.
-        own = F.regexp_extract_all("folded", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-        asked = rows.filter(F.length("folded") >= size).withColumn("asked", F.explode(F.array_distinct(own)))
-        hits = asked.join(terms.filter(F.length("piece") == size), F.col("asked") == F.col("piece")).filter(F.col("folded").contains(F.col("term"))).select("path", "line", "term")
-        out = hits if out is None else out.unionByName(hits)
+    sizes = [r.n for r in index.select(F.length("piece").alias("n")).distinct().orderBy("n").collect()]
+    out = rows.select("path", "line", F.lit("").alias("term")).limit(0)
+    for size in sizes:  # GRAM at most
+        asked = rows.filter(F.length("folded") >= size).withColumn("asked", F.explode(_grams(F.col("folded"), size)))
+        hits = asked.join(index.filter(F.length("piece") == size), F.col("asked") == F.col("piece")).filter(F.col("folded").contains(F.col("term")))
+        out = out.unionByName(hits.select("path", "line", "term"))
     return out
 
 
@@ -400,8 +405,17 @@ def substring_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("path", "pattern").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def literal_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents that contain a long word of the benchmark, by document: lines and words found."""
+    long_words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0)))
+    terms = table(spark, sf_dir, "benchmark").select(long_words.alias("term"))
+    folded = with_folded(lines(_documents(spark, sf_dir)), "text", "folded")
+    hits = literal_lines(folded, terms)
+    return hits.groupBy("path").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("term").alias("words")).select(F.col("path").cast("long").alias("doc_id"), "hits", "words")
+
+
 def contract_queries() -> dict:
-    return {f.__name__: f for f in (shingle_overlap, ipv4_mentions, clause_lines, pattern_rules, phrase_rules, page_request_lines, report_phrases, modal_clauses, substring_hits)}
+    return {f.__name__: f for f in (literal_hits, shingle_overlap, ipv4_mentions, clause_lines, pattern_rules, phrase_rules, page_request_lines, report_phrases, modal_clauses, substring_hits)}
 
 
 _LOG = f"""WITH k AS (SELECT event_id, 'log/' || (user_id % 7) AS path, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events),
@@ -413,6 +427,10 @@ _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 def contract_sql() -> dict[str, str]:
     n = SHINGLE_WORDS
     return {
+        "literal_hits": """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS term FROM benchmark),
+  l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13), chr(10)), chr(10))) AS line FROM documents),
+  h AS (SELECT doc_id, term FROM l JOIN t ON contains(strip_accents(lower(line)), term))
+  SELECT doc_id, count(*) AS hits, count(DISTINCT term) AS words FROM h GROUP BY doc_id""",
         "shingle_overlap": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
   bs AS (SELECT DISTINCT list_aggregate(w[i:i + {n - 1}], 'string_agg', ' ') AS s FROM (SELECT w, unnest(range(1, len(w) - {n - 2})) AS i FROM b WHERE len(w) >= {n})),
   ds AS (SELECT doc_id, list_aggregate(w[i:i + {n - 1}], 'string_agg', ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d WHERE len(w) >= {n}))
