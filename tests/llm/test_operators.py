@@ -371,6 +371,43 @@ def test_sharding(spark, n):
         assert max(counts) - min(counts) <= 2
 
 
+def plain_shards(rows, shards, seed=sharding.SEED):
+    """(id, stratum, size, crc, shard, slot) by sorting in one list."""
+    import hashlib
+
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+    strata = {}
+    for i, of, text in rows:
+        data = (text or "").encode()
+        size, crc = len(data) + 1, zlib.crc32(data)
+        strata.setdefault(of, []).append((number(f"{seed}:{'' if i is None else i}:{size}:{crc}"), (i is not None, i or 0), crc, size, i))
+    order = []
+    for of, held in strata.items():
+        offset = number(f"{seed}:{'none' if of is None else '=' + of}") / (1 << 60)
+        for rank, (key, by, crc, size, i) in enumerate(sorted(held)):
+            order.append(((rank + offset) / len(held), key, by, crc, size, of or "", i, of))
+    out, n = [], len(rows)
+    for k, (*_, crc, size, _, i, of) in enumerate(sorted(order, key=lambda r: r[:6])):
+        shard = k * shards // n
+        out.append((i, of, size, crc, shard, k - (shard * n + shards - 1) // shards))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["few", "many"])
+def test_shards_are_those_of_one_sorted_list(spark, kind):
+    r = random.Random(9)
+    strata = ["a", "b", None, ""] if kind == "few" else [f"host{k}" for k in range(400)]
+    rows = [(r.choice([None, *range(300)]), r.choice(strata), r.choice([None, "", "é", "x" * r.randrange(50)])) for _ in range(500)]
+    docs = table(spark, rows, "doc_id long, source string, text string")
+    got = sharding.interleave(docs, 8)
+    want = plain_shards(rows, 8)
+    same(plain(got, "doc_id", "source", "size", "text_crc32", "shard", "slot"), want)
+    if kind == "many":
+        # Names don't decide: each shard has hosts of all parts of the alphabet.
+        firsts = [{of[4] for _, of, *_, shard, _ in want if shard == s} for s in range(8)]
+        assert min(map(len, firsts)) >= 6
+
+
 def test_sharding_is_repeatable(spark):
     rows = [(k, str(k), f"s{k % 3}") for k in range(100)]
     place = lambda parts: sorted(map(tuple, sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts), 8).collect()))

@@ -1,7 +1,8 @@
 """Sharding by proportional stratified interleaving.
 
 Rows are shuffled by a seeded hash and ranked within their source; sorted by fractional rank, every
-stretch of the whole order has the mixture of the whole table; equal cuts of it are the shards.
+stretch of the whole order has the mixture of the whole table; equal cuts of it are the shards. The
+fraction of a source's first row is a seeded offset of that source, so small sources are spread too.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ def interleave(docs: DataFrame, shards: int, id_col: str = "doc_id", stratum: st
     repeated ids are ordinary rows (rows alike in id, text and source are interchangeable). An empty
     table gives an empty result.
 
-    Rows are shuffled by a hash of id and text, so many rows without id, or of one id, don't meet in one
-    bucket. Columns of any name don't matter. No task gets a whole source: ranks are an offset of a bucket of hash values, from a small table of
+    Rows are shuffled by an MD5 of id, size and CRC, so many rows without id, or of one id, don't meet in one
+    bucket unless their texts are alike. Equal fractional ranks are ordered by that hash, never by the
+    source's name. Columns of any name don't matter. No task gets a whole source: ranks are an offset of a bucket of hash values, from a small table of
     counts, plus the rank within the bucket. There are about sqrt(rows) buckets of sqrt(rows) rows.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -33,12 +35,16 @@ def interleave(docs: DataFrame, shards: int, id_col: str = "doc_id", stratum: st
         F.col(stratum).cast("string").alias("__of"),
         (F.octet_length(body) + 1).cast("long").alias("__size"),
         F.crc32(F.encode(body, "UTF-8")).cast("long").alias("__crc"),
-        F.xxhash64(F.lit(seed), F.col(id_col), body).alias("__key"),
     )
+    number = lambda text: F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    # 60 bits of a digest, the same in any language: of the row, and of its stratum.
+    told = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("__id").cast("string"), F.lit("")), "__size", "__crc")
+    of_stratum = F.concat(F.lit(f"{seed}:"), F.when(F.col("__of").isNull(), "none").otherwise(F.concat(F.lit("="), F.col("__of"))))
+    rows = rows.withColumns({"__key": number(told), "__offset": number(of_stratum) / F.lit(float(1 << 60))})
     rows = materialize(rows, "shard-rows")
     total = rows.count()
     bits = max(1, math.ceil(math.log2(max(2, total)) / 2))
-    rows = rows.withColumn("__bucket", F.shiftrightunsigned("__key", 64 - bits))
+    rows = rows.withColumn("__bucket", F.shiftright("__key", 60 - bits))
     counts = rows.groupBy("__of", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     of = Window.partitionBy("__of")
     counts = counts.select(
@@ -50,12 +56,12 @@ def interleave(docs: DataFrame, shards: int, id_col: str = "doc_id", stratum: st
     inner = Window.partitionBy("__of", "__bucket").orderBy("__key", "__id", "__crc", "__size")
     ranked = rows.withColumn("__within", F.row_number().over(inner)).join(counts, F.col("__of").eqNullSafe(F.col("__o")) & (F.col("__bucket") == F.col("__b")))
     rank = F.col("__before") + F.col("__within") - 1
-    ranked = ranked.select("__id", "__of", "__size", "__crc", rank.alias("__rank"), ((rank + 0.5) / F.col("__all")).alias("__at"))
+    ranked = ranked.select("__id", "__of", "__size", "__crc", "__key", ((rank + F.col("__offset")) / F.col("__all")).alias("__at"))
     ranked = ranked.withColumn("__cell", F.floor(F.col("__at") * (1 << bits)))
     ranked = materialize(ranked, "shard-ranks")
     cells = ranked.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
     cells = cells.select(F.col("__cell").alias("__c"), (F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__start"))
-    order = F.row_number().over(Window.partitionBy("__cell").orderBy("__at", "__of", "__rank"))
+    order = F.row_number().over(Window.partitionBy("__cell").orderBy("__at", "__key", "__id", "__crc", "__size", "__of"))
     placed = ranked.withColumn("__nth", order).join(cells, F.col("__cell") == F.col("__c")).withColumn("__global", F.col("__start") + F.col("__nth") - 1)
     placed = placed.withColumn("__shard", F.expr(f"(__global * {shards}L) div {max(1, total)}L"))
     first = F.expr(f"(__shard * {max(1, total)}L + {shards - 1}L) div {shards}L")
