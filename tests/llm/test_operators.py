@@ -258,6 +258,20 @@ def test_anchors_find_every_window():
             assert (n, int(mask.sum()), sorted(map(str, found))) == (want_n, want_hit, want)
 
 
+def test_templated_items_have_rare_anchors():
+    opening = "which of the following is true of"
+    items = [(k, f"{opening} {' '.join(words(k, 14, 5000))}".encode()) for k in range(3000)]
+    machine = decontaminate.automaton(items)
+    assert max(len(places) for _, (_, places) in machine[0].items()) < 20
+    text = f"{opening} this ".encode() * 40
+    assert decontaminate.scan(machine, text)[1:] == (pytest.approx(np.zeros(0)), set()) or not decontaminate.scan(machine, text)[2]
+    _, mask, found = decontaminate.scan(machine, text + items[7][1])
+    assert found == {7} and mask.sum() == 21
+    for _, text in items[:50]:  # each window still holds an anchor
+        own = decontaminate.anchor_places([(0, text)])[0]
+        assert all(any(w <= p <= w + 5 for p in own) for w in range(21 - 9))
+
+
 @pytest.mark.parametrize("block", [1 << 20, 100])
 def test_items_without_id_are_hits(spark, block):
     items = [(None, " ".join(words(k, 12, 500))) for k in range(3)] + [(4, " ".join(words(4, 12, 500)))]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read_table, small_batches, texts, tidy
+from .common import discard, intern_words, materialize, ngram_hashes, read_table, small_batches, texts, tidy, word_hashes
 
 #: Words of a window.
 WINDOW = 10
@@ -29,26 +29,58 @@ ROW = "row number of the scan"
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def automaton(items: list[tuple], window: int = WINDOW):
-    """An automaton of anchors: every window of an item holds one of the item's anchors whole.
+def anchor_places(items: list[tuple], window: int = WINDOW) -> list[list[int]]:
+    """For each item the places of its anchors: every window holds one of them whole.
 
-    An anchor is half a window, from every place where one is needed; an item of fewer words than a
-    window is an anchor itself. Values are (words of the anchor, [(number of the item, place in it)]).
-    The automaton has some 5 nodes for each word of the items; whole windows would take 75.
+    Of all ways to place them the one is taken whose anchors occur least often in all items together, so
+    that what templated items have in common is no anchor where a window has anything else.
+    """
+    size = window - window // 2
+    ids, starts, distinct = intern_words([text.translate(FOLD).split() for _, text in items])
+    keys, at = ngram_hashes(word_hashes(distinct)[ids], starts, size)
+    _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    often = np.zeros(len(ids), np.int64)
+    often[at] = counts[which]
+    out, step = [], window - size + 1
+    for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        n = end - begin - size + 1
+        if end - begin < window:
+            out.append([0] if end > begin else [])
+            continue
+        cost, least, back = often[begin : begin + n].tolist(), [], []
+        for p in range(n):
+            # The anchor before this one is at most `step` places away, and the first one is in the first window.
+            before = min(range(max(0, p - step), p), key=least.__getitem__, default=-1)
+            if p < step:
+                before = -1
+            least.append(cost[p] + (least[before] if before >= 0 else 0))
+            back.append(before)
+        p, chosen = min(range(n - step, n), key=least.__getitem__), []
+        while p >= 0:
+            chosen.append(p)
+            p = back[p]
+        out.append(chosen[::-1])
+    return out
+
+
+def automaton(items: list[tuple], window: int = WINDOW, places: list[list[int]] | None = None):
+    """An automaton of anchors at the given places: every window of an item holds one of the item's anchors whole.
+
+    An anchor is half a window; an item of fewer words than a window is an anchor itself. Values are
+    (words of the anchor, [(number of the item, place in it)]). The automaton has some 5 nodes for each
+    word of the items; whole windows would take 75.
     """
     import ahocorasick
 
     size, found, held = window - window // 2, {}, []
-    for k, (_, text) in enumerate(items):
+    for k, ((_, text), own) in enumerate(zip(items, places or anchor_places(items, window))):
         words = text.translate(FOLD).split()
         held.append(words)
-        whole = len(words) < window
-        for p in range(0, 1 if whole else len(words) - size + 1, window - size + 1):
-            if words:
-                found.setdefault(b" ".join(words if whole else words[p : p + size]), []).append((k, p))
+        for p in own:
+            found.setdefault(b" ".join(words if len(words) < window else words[p : p + size]), []).append((k, p))
     machine = ahocorasick.Automaton()
-    for anchor, places in found.items():
-        machine.add_word(f" {anchor.decode('latin-1')} ", (anchor.count(b" ") + 1, places))
+    for anchor, where in found.items():
+        machine.add_word(f" {anchor.decode('latin-1')} ", (anchor.count(b" ") + 1, where))
     if found:
         machine.make_automaton()
     return (machine, held) if found else None
@@ -121,11 +153,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: st
     schema = lambda more: f"`{id_col}` {kind}, {''.join(f'`{c}` long, ' for c in more)}n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>, words array<struct<start:long,stop:long>>"
 
     def scanned(block: list[tuple], rows: DataFrame, more: tuple = ()) -> DataFrame:
-        held = spark.sparkContext.broadcast(block)
+        held = spark.sparkContext.broadcast((block, anchor_places(block, window)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = held.value
-            machine = automaton(items, window)
+            items, places = held.value
+            machine = automaton(items, window, places)
             for batch in batches:
                 out = []
                 for value in texts(batch.column(1)):
@@ -192,7 +224,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes
     blocks = _blocks(benchmark, "item_id", "text", block_bytes)
     first = next(blocks)
     if next(blocks, None) is None:
-        return _cut(docs, text, spark.sparkContext.broadcast(first))
+        return _cut(docs, text, spark.sparkContext.broadcast((first, anchor_places(first))))
     row, number, spans = "row number of the cut", "number of the cut", "spans of the cut"
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "scan-docs")
     found = hits(numbered, benchmark, row, text, block_bytes=block_bytes).filter(F.size("spans") > 0)
@@ -206,7 +238,7 @@ def _cut(docs: DataFrame, text: str, held) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(held.value) if held else None
+        machine = automaton(held.value[0], places=held.value[1]) if held else None
         for batch in batches:
             out, given = [], batch.column(at).is_valid().to_pylist()
             spans = None if held else [[(x["start"], x["stop"]) for x in r or ()] for r in batch.columns[-1].to_pylist()]
