@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wiretide.llm import bpe, common, components, decontaminate, exact_dedup, jaccard, labelled, language_model, line_dedup, quality, sharding, substring_dedup, toxicity
+from wiretide.llm import bpe, common, components, decontaminate, exact_dedup, groups, jaccard, labelled, language_model, line_dedup, quality, sharding, substring_dedup, toxicity
 from wiretide.llm.labelled import remainder
 
 import brute
@@ -162,6 +162,30 @@ def test_language_model_scores_as_exact_counts_do(spark, order):
         assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-6)
 
 
+def test_layouts_grow_with_the_root_of_the_input():
+    each, bits = groups.layout(1000)
+    assert (each, bits) == (4 << 20, 8)
+    sent = {}
+    for total in (30e9, 1e12, 1e14):
+        each, bits = groups.layout(int(total))
+        assert total / each <= 2**bits < 4 * total / each
+        sent[total] = total / each * 2**bits / total  # rows for each byte
+    assert each < 300 << 20 and max(sent.values()) < 4 * min(sent.values())
+
+
+@pytest.mark.parametrize("cached", [False, True])
+def test_scores_follow_from_the_texts_alone(spark, tmp_path, cached):
+    rows = [(k, " ".join(words(k % 50, 80))) for k in range(150)]
+    for codec in ("none", "zstd"):
+        table(spark, rows).write.option("compression", codec).parquet(f"{tmp_path}/{codec}")
+    ask = lambda df: {r.doc_id: r.score for r in language_model.score(df, F.col("doc_id") % 5 > 0).collect()}
+    want = ask(spark.read.parquet(f"{tmp_path}/none"))
+    other = spark.read.parquet(f"{tmp_path}/zstd")
+    got = ask(other.cache() if cached else other)
+    assert got == pytest.approx(want, abs=1e-9)
+    other.unpersist()
+
+
 def test_texts_that_occur_twice_score_higher(spark):
     rows = [(k, " ".join(words(k if k < 100 else k - 20, 60, 400))) for k in range(120)]
     got = {r.doc_id: r.score / r.n_tokens for r in language_model.score(table(spark, rows), F.lit(True)).collect()}

@@ -266,14 +266,14 @@ def per_segment(rows: DataFrame, solve, schema: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of the size of a table, 0 where it has none."""
+    """The optimiser's estimate of the size of a table; where it has none, the counted bytes of its texts."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
+    if size < 1 << 60:
+        return size
+    wide = [F.octet_length(c) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return df.agg(F.sum(sum((F.coalesce(c, F.lit(0)) for c in wide), F.lit(8)))).first()[0] or 0
 
 
 def segment_bits(df: DataFrame, least: int = 8, most: int = 16, each: int = 64 << 20) -> int:
-    """Leading hash bits that name a segment, so that a segment stands for a bounded part of the input.
-
-    The optimiser's estimate of the input's size decides; where it has none, the least.
-    """
+    """Leading hash bits that name a segment, so that a segment stands for a bounded part of the input; results don't depend on them."""
     return max(least, min(most, (input_bytes(df) // each).bit_length()))

@@ -2,8 +2,7 @@
 
 A group of texts (some MB) sends each of its distinct hashes once to the segment that its leading bits
 name; the segment has all that was asked of it together, and answers every group. The answers meet the
-tokens of the group by its number. So nothing is gathered or broadcast: groups and segments have the
-same size whatever the input is.
+tokens of the group by its number. So nothing is gathered or broadcast.
 """
 
 from __future__ import annotations
@@ -17,11 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import grouped_batches, intern_words, mix64, texts, word_hashes
 
-#: Input that a segment stands for, and bits by which its hashes are told apart.
-SEGMENT_BYTES, LOW_BITS = 4 << 20, 28
+#: Text that a group and a segment stand for at least, the input from which both grow with its square root,
+#: and bits by which the hashes of a segment are told apart.
+SEGMENT_BYTES, GROWS_FROM, LOW_BITS = 4 << 20, 32 << 30, 31
+#: 256 segments at least.
+LEAST_BITS = 8
 #: Stands for the end of a text, and before its first word for the start; no word has a space.
 END = b" "
 #: The tokens of a group as they travel; ids and further columns of its rows follow.
@@ -92,16 +95,31 @@ def low_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys >> np.uint64(64 - bits - LOW_BITS)) & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32)
 
 
+def layout(total: int) -> tuple[int, int]:
+    """(bytes of a group, leading hash bits that name a segment) for so many bytes of text.
+
+    Each group asks each segment, so both grow with the square root of a large input: what they send
+    then grows with the input, not with its square, and no segment is bounded by a cap. A group of 1 TB has 22 MB.
+    """
+    each = round(SEGMENT_BYTES * max(1.0, total / GROWS_FROM) ** 0.5)
+    return each, max(LEAST_BITS, (total // each).bit_length())
+
+
+def text_bytes(docs: DataFrame, text: str) -> int:
+    """The bytes of a column, counted: a layout follows from the texts alone, not from an estimate."""
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
 def record_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "binary": pa.binary()}
     names, types = zip(*(c.split() for c in schema.split(", ")))
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], names=names)
 
 
-def read_groups(batches: Iterator[pa.RecordBatch], ends: bool) -> Iterator[tuple]:
+def read_groups(batches: Iterator[pa.RecordBatch], ends: bool, each: int = SEGMENT_BYTES) -> Iterator[tuple]:
     """(number, table, tokens) of each group of texts (column text)."""
     number = TaskContext.get().partitionId() << 33
-    for table in grouped_batches(batches, "text"):
+    for table in grouped_batches(batches, "text", each):
         yield number, table, Tokens.read(texts(table.column("text").combine_chunks()), ends)
         number += 1
 

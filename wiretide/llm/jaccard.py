@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_segments, discard, free_shuffles, materialize, mix64, per_segment, read_table, segment_bits, small_batches, tidy
+from .common import cut_segments, discard, free_shuffles, materialize, mix64, per_segment, read_table, small_batches, tidy
 from .components import components
-from .groups import OWN, SEGMENT_BYTES, Tokens, low_of, met, pack, read_groups, record_batch, repeatable, unpack
+from .groups import OWN, Tokens, layout, low_of, met, pack, read_groups, record_batch, repeatable, text_bytes, unpack
 
 #: Sizes in one cell of a list differ by less than this factor.
 STEP = 1.05
@@ -55,9 +55,9 @@ def shingles(tokens: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([tokens.of[inside[k - 2]], short]), np.concatenate([grams[k - 2][inside[k - 2]], whole])
 
 
-def _asked(batches: Iterator[pa.RecordBatch], bits: int, k: int) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], each: int, bits: int, k: int) -> Iterator[pa.RecordBatch]:
     """For each group of texts and each segment the distinct shingles, and how often they occur."""
-    for number, _, tokens in read_groups(batches, False):
+    for number, _, tokens in read_groups(batches, False, each):
         keys, counts = np.unique(shingles(tokens, k)[1], return_counts=True)
         ends, low, counts = cut_segments(keys, bits), low_of(keys, bits), counts.astype(np.uint32)
         rows = [(s, number, tokens.mark, b - a, pack(np.concatenate([np.diff(low[a:b], prepend=np.uint32(0)), counts[a:b]]))) for s, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
@@ -103,17 +103,17 @@ def _solved(own: pa.Table, answers: pa.Table, k: int, percent: int) -> pa.Table:
 def _sets(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> tuple[DataFrame, float]:
     """(id, n, z, digest, items) of every document, items only where it can link at all; the mean length of a list."""
     spark = docs.sparkSession
-    bits = segment_bits(docs, most=20, each=SEGMENT_BYTES)
     given = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     given = given if repeatable(given) else materialize(given, "jaccard-texts")
+    each, bits = layout(text_bytes(given, "text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table, tokens in read_groups(batches, False):
+        for number, table, tokens in read_groups(batches, False, each):
             whole = record_batch([tokens.packed(number)], OWN)
             yield pa.RecordBatch.from_arrays([*whole.columns, pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type))], names=[*whole.schema.names, "ids"])
 
-    asked = given.mapInArrow(tidy(lambda batches: _asked(batches, bits, k)), ASK)
+    asked = given.mapInArrow(tidy(lambda batches: _asked(batches, each, bits, k)), ASK)
     answers = materialize(per_segment(asked, _segment, ANSWER), "jaccard-lists")
     free_shuffles(spark)
     lists, total = answers.agg(F.coalesce(F.sum("lists"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()

@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bloom_positions, cut_segments, free_shuffles, has_bits, materialize, per_segment, read_table, segment_bits, small_batches, tidy
-from .groups import LOW_BITS, OWN, SEGMENT_BYTES, Tokens, low_of, met, pack, read_groups, record_batch, repeatable, unpack
+from .common import bloom_positions, cut_segments, free_shuffles, has_bits, materialize, per_segment, read_table, small_batches, tidy
+from .groups import LOW_BITS, OWN, Tokens, layout, low_of, met, pack, read_groups, record_batch, repeatable, text_bytes, unpack
 from .labelled import remainder
 
 #: Words of the longest n-gram.
 ORDER = 4
 #: Bits that a segment of the filter has for each of its entries at least, and probes for an entry.
-ROOM, PROBES = 16, 3
+ROOM, PROBES = 32, 3
 #: Counts from BASE**(q-1) on have level q.
 BASE, LEVELS = 1.5, 64
 #: Weight of the estimate of the next shorter n-gram beside the counts of a context.
@@ -102,12 +102,12 @@ def log_probabilities(tokens: Tokens, words: np.ndarray, grams: np.ndarray, trai
     return np.add.reduceat(logs, tokens.starts[:-1]) if len(logs) else np.zeros(0)
 
 
-def _asked(batches: Iterator[pa.RecordBatch], bits: int, order: int) -> Iterator[pa.RecordBatch]:
+def _asked(batches: Iterator[pa.RecordBatch], each: int, bits: int, order: int) -> Iterator[pa.RecordBatch]:
     """For each group of texts and each segment the distinct words and n-grams, with their counts in learnt rows.
 
     A frequent n-gram travels once a group. Words go as whole hashes, n-grams as differences of short ones.
     """
-    for number, table, tokens in read_groups(batches, True):
+    for number, table, tokens in read_groups(batches, True, each):
         learnt = table.column("learnt").to_numpy()[tokens.of]
         by = np.argsort(tokens.hashes)
         words, times = tokens.hashes[by], np.bincount(tokens.ids[learnt & (tokens.nth > 0)], minlength=len(by))[by].astype(np.uint32)
@@ -172,24 +172,24 @@ def score(docs: DataFrame, learnt: Column, id_col: str = "doc_id", text: str = "
     null or repeat; further columns of any name don't matter. An empty table gives an empty result, a
     table without learnt rows gives every token the same probability.
 
-    A group holds some MB of texts, a segment what SEGMENT_BYTES of input put there, whatever the size
-    of the whole; no word or n-gram is moved more than once a group, however frequent it is. The texts
-    are read twice, so a table that is more than read and filtered is written first.
+    Sizes follow from the counted bytes of the texts (groups.layout), so the same texts have the same scores
+    however they are stored; no word or n-gram is moved more than once a group, however frequent it is. The
+    texts are read three times, so a table that is more than read and filtered is written first.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    bits = segment_bits(docs, most=20, each=SEGMENT_BYTES)
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(learnt, F.lit(False)).alias("learnt"))
     given = given if repeatable(given) else materialize(given, "lm-texts")
+    each, bits = layout(text_bytes(given, "text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table, tokens in read_groups(batches, True):
+        for number, table, tokens in read_groups(batches, True, each):
             whole = record_batch([tokens.packed(number)], OWN)
             ids, held = pa.array([table.column("id").to_pylist()], pa.list_(table.schema.field("id").type)), pa.array([[not x for x in table.column("learnt").to_pylist()]])
             yield pa.RecordBatch.from_arrays([*whole.columns, ids, held], names=[*whole.schema.names, "ids", "held"])
 
-    asked = given.mapInArrow(tidy(lambda batches: _asked(batches, bits, order)), ASK)
+    asked = given.mapInArrow(tidy(lambda batches: _asked(batches, each, bits, order)), ASK)
     answers = materialize(per_segment(asked, lambda s, columns: _segment(s, columns, bits, room), ANSWER), "lm-answers")
     free_shuffles(spark)
     trained, types = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
