@@ -375,3 +375,19 @@ def test_gaps_over_the_bounds_of_cells(spark, monkeypatch):
     rows = [("c", 1, n, "p", float(t), "request") for n, t in ((1, 0), (2, 1), (4, 9), (7, 10), (8, 5), (11, 6))] + [("c", 2, 3, "p", 1.0, "request")]
     events = spark.createDataFrame(rows, "capture_id string, session_id long, packet_number long, protocol string, timestamp double, direction string")
     assert [tuple(r) for r in coverage.polling_cycles(events).collect()] == [("c", 1, 8.0, 6)]
+
+
+def test_differences_of_documents(spark):
+    from wiretide.operators import documents
+
+    put = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "id long, json string")
+    left = put('{"a": 1, "b": {"c": [1, {"d": null}], "e": []}, "f": [{"n": 1, "v": "x"}, {"n": 2, "v": "y"}]}', '{"same": [1.5, true, "t"]}', None)
+    right = put('{"a": 2, "b": {"c": [1, {"d": 3}], "e": [7]}, "f": [{"n": 2, "v": "z"}, {"n": 3}]}', '{"same": [1.5, true, "t"]}', "{}")
+    got = sorted(tuple(r) for r in documents.differences(left, right, "id", "json", {"f": "n"}).collect())
+    want = [(0, "a", "changed", "1", "2"), (0, "b/c/1/d", "changed", "null", "3"), (0, "b/e", "missing", "[]", None), (0, "b/e/0", "added", None, "7")]
+    want += [(0, "f/[n=1]/n", "missing", "1", None), (0, "f/[n=1]/v", "missing", '"x"', None), (0, "f/[n=2]/v", "changed", '"y"', '"z"'), (0, "f/[n=3]/n", "added", None, "3"), (2, "", "added", None, "{}")]
+    assert got == sorted(want)
+    assert documents.differences(left, left, "id", "json").count() == 0
+    assert {r.path for r in documents.differences(left, right, "id", "json", {"f": "n"}, ["f/", "b"]).filter("id = 0").collect()} == {"a"}
+    shapes = {(r.path, r.state) for r in documents.same_shape(put('{"a": 1, "l": [{"x": 1}], "n": null}'), put('{"a": "1", "l": [{"x": 2.5}, {"y": 1}], "n": 4}'), "id", "json").collect()}
+    assert shapes == {("a", "kind"), ("l/*/y", "added")}

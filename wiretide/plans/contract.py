@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import provenance as P
-from ..operators import analytics, checks, coverage, decode, inventory, recognise, records, standards, textscan
+from ..operators import analytics, checks, coverage, decode, documents, inventory, recognise, records, standards, textscan
 from ..session import cut, table
 from ..sources import lens
 from . import definitions, plugins
@@ -293,7 +293,7 @@ def vendor_table(spark, sf_dir):
     return build_table(rows)[0]
 
 
-for _module in (textscan, records):
+for _module in (textscan, records, documents):
     QUERIES.update(_module.contract_queries())
     SQL.update(_module.contract_sql())
 
