@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import read_table, small_batches, tidy
+from .common import materialize, read_table, small_batches, tidy
 from .labelled import SAMPLE_ROWS, remainder, sample
 
 #: Insults in plain use: the lexicon voters, fixed values.
@@ -253,8 +253,8 @@ def train(docs: DataFrame, labels: DataFrame, learnt, label: str = "toxic", rows
     matter.
     """
     small_batches(docs.sparkSession)
-    # Copies would make every word of a toxic text stand out.
-    found = sample(docs, labels, label, learnt, rows=rows).dropDuplicates(["text", "y"])
+    # Copies would make every word of a toxic text stand out. The sample is written, as three jobs read it.
+    found = materialize(sample(docs, labels, label, learnt, rows=rows).dropDuplicates(["text", "y"]), "toxic-sample")
     picked, share = mined(found)
     names = Voters(picked).voters
 
