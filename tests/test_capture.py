@@ -232,7 +232,7 @@ def test_written_parts_are_named_by_the_commit(spark, put, tmp_path):
         with pytest.raises(Exception, match="one link type"):
             bad.repartition(3).write.format("capture").option("single", "true").mode("overwrite").save(str(target))
     assert not (tmp_path / "failed").exists() and len(C.audit(one).snaplen_truncated_packet_numbers) == 29
-    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".")]
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["one.pcap", "out", "x.pcap"]
     with pytest.raises(Exception):
         packets.write.format("capture").mode("append").save(str(out))
     assert sorted(p.name for p in out.iterdir()) == parts

@@ -5,7 +5,7 @@ one. Filters on packet_number, ts and capture_id leave out the ranges that an in
 stop a file without one early; columns that the given schema leaves out are not built.
 
 Writing is done by the tasks: each writes a part that nobody sees, and the commit names all of them into
-place at once. A job that fails leaves nothing.
+place at once. A job that fails leaves nothing that can be seen, and what was there before stays.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import shutil
 import struct
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -198,7 +199,10 @@ class CaptureWriter(DataSourceArrowWriter):
         shutil.rmtree(self.hidden, ignore_errors=True)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        shutil.rmtree(self.hidden, ignore_errors=True)
+        # A task that is being stopped may just begin, and make the folder again.
+        for _ in range(4):
+            shutil.rmtree(self.hidden, ignore_errors=True)
+            time.sleep(0.25)
 
 
 class CaptureSource(DataSource):
