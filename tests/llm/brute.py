@@ -141,3 +141,29 @@ def substrings(rows, window=35):
                 gone[a : a + window] = [True] * window
         out.append((i, len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone) if not g))))
     return out
+
+
+def label_model(rows, share, rounds, silent, spoken, forest):
+    """P(label) of rows of votes by EM, one row and voter at a time; forest(posteriors) gives each voter's parent."""
+    q = [spoken if any(r) else silent for r in rows]
+    for step in range(rounds):
+        if step in (0, rounds // 2):
+            parent = forest(q)
+        odds = []
+        for r in rows:
+            z = math.log(share / (1 - share))
+            for sign, w in ((1, q), (-1, [1 - x for x in q])):
+                total = sum(w) + 1
+                if not any(r):
+                    z += sign * math.log((sum(x for x, o in zip(w, rows) if not any(o)) + 0.5) / total)
+                for j, fired in enumerate(r):
+                    if not fired:
+                        continue
+                    base = (sum(x for x, o in zip(w, rows) if o[j]) + 0.05) / total
+                    if parent[j] >= 0:
+                        alike = [(x, o) for x, o in zip(w, rows) if o[parent[j]] == r[parent[j]]]
+                        base = (sum(x for x, o in alike if o[j]) + 2 * base) / (sum(x for x, _ in alike) + 2)
+                    z += sign * math.log(base)
+            odds.append(z)
+        q = [1 / (1 + math.exp(-max(-30, min(30, z)))) for z in odds]
+    return q

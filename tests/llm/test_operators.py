@@ -609,10 +609,21 @@ def test_label_model_knows_copies_of_a_voter():
     parent = toxicity.dependences(votes.astype(float), y.astype(float))
     copies = {0, 4, 5}
     assert sum(p in copies and k in copies for k, p in enumerate(parent.tolist())) == 2
-    q = toxicity.posterior(votes, y.astype(float), 0.2)
+    q = toxicity.posterior(votes, 0.2)
     assert ((q > 0.5) == y).mean() > 0.9
 
 
+def test_label_model_equals_its_plain_version():
+    r = np.random.RandomState(4)
+    for n, m, share in ((200, 5, 0.2), (60, 1, 0.5), (3, 4, 0.1)):
+        y = r.rand(n) < share
+        votes = np.stack([np.where(y, r.rand(n) < 0.6, r.rand(n) < 0.1) for _ in range(m)], axis=1)
+        votes[:, -1] |= votes[:, 0]
+        for rounds in (1, 7):
+            want = brute.label_model(votes.tolist(), share, rounds, toxicity.SILENT, toxicity.SPOKEN, lambda q: toxicity.dependences(votes.astype(float), np.array(q)).tolist())
+            assert np.allclose(toxicity.posterior(votes, share, rounds), want, atol=1e-9)
+
+
 def test_toxicity_odd_rows(spark, toxic_tables):
     docs, marks = toxic_tables
     odd = table(spark, [(None, None), (1, ""), (1, "moron " * 50_000)])

@@ -3,7 +3,8 @@
 Many voters look at a text: words of a lexicon, and words and word beginnings that stand out in
 labelled rows. A generative model with a latent label estimates how accurate the voters are and which
 of them depend on each other (a tree of dependences given the label), and turns their votes into
-posterior labels. A linear classifier is trained on these posteriors and scores all texts.
+posterior labels. It sees no labels: accuracies come from how the voters agree. A linear classifier is
+trained on these posteriors and scores all texts.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ LEXICON = ["clown", "crap", "disgusting", "dumb", "fool", "freak", "garbage", "h
 #: many words, one of level 2 if two words at least and twice that share match.
 SHARE, COUNT = 0.004, 3
 #: Share of toxic rows among those that a voter fires on.
-PRECISION = 0.8
+PRECISION = 0.9
 #: Lengths of word beginnings, and how many voters there are at most.
 BEGIN, VOTERS = range(3, 9), 160
 #: Chance, over all candidates, that a voter stands out by luck.
 LUCK = 0.01
 ROUNDS, RIDGE = 15, 0.05
-#: Weight of the sample's labels beside the model's own posteriors when accuracies are estimated.
-ANCHOR = 0.5
+#: First guess of P(toxic) where no voter fires and where one does.
+SILENT, SPOKEN = 0.02, 0.9
 FOLDS, REMAINDER, THRESHOLD = 3, 1, 0.7
 
 #: ASCII other than letters becomes a space; other bytes stay.
@@ -138,26 +139,24 @@ def dense(rows: list[tuple[list[int], list[float]]], width: int) -> np.ndarray:
     return x
 
 
-def posterior(votes: np.ndarray, labels: np.ndarray, share: float, rounds: int = ROUNDS, anchor: float = ANCHOR) -> np.ndarray:
+def posterior(votes: np.ndarray, share: float, rounds: int = ROUNDS) -> np.ndarray:
     """P(toxic | votes) by EM over a latent label; dependences given the label form a tree.
 
     A voter that doesn't fire abstains and says nothing, but that none fires at all is evidence. The
-    labels keep the latent label's meaning: they have the weight `anchor` when accuracies are
-    estimated, and are not seen when posteriors are made from them.
+    first guess gives the latent label its meaning; `share` is the prior of toxic rows.
     """
     n, m = votes.shape
     if not n or not m:
         return np.full(n, share)
     v = votes.astype(float)
     none = ~votes.any(axis=1)
-    q = np.where(none, 0.02, 0.9)
+    q = np.where(none, SILENT, SPOKEN)
     parent = np.full(m, -1)
     for step in range(rounds):
         if step in (0, rounds // 2):
-            parent = dependences(v, anchor * labels + (1 - anchor) * q)
+            parent = dependences(v, q)
         z = np.full(n, math.log(share / (1 - share)))
-        for side, of in ((1.0, labels), (-1.0, 1.0 - labels)):
-            weight = anchor * of + (1 - anchor) * (q if side > 0 else 1 - q)
+        for side, weight in ((1.0, q), (-1.0, 1 - q)):
             total = weight.sum() + 1
             z[none] += side * math.log((weight[none].sum() + 0.5) / total)
             for j in range(m):
@@ -247,8 +246,8 @@ def regress(x: np.ndarray, target: np.ndarray, share: float, ridge: float = RIDG
 def train(docs: DataFrame, labels: DataFrame, learnt, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Linear:
     """Voters from a bounded labelled sample, then the label model and the classifier.
 
-    The labels choose the voters and give the share of toxic rows; the classifier's targets are the
-    label model's posteriors. Without usable labels only the lexicon votes. Null labels and ids are
+    The labels choose the voters and give the share of toxic rows, no more; the classifier's targets are
+    the label model's posteriors. Without usable labels only the lexicon votes. Null labels and ids are
     left out, null texts are empty, equal texts with equal labels count once; further columns don't
     matter.
     """
@@ -262,13 +261,11 @@ def train(docs: DataFrame, labels: DataFrame, learnt, label: str = "toxic", rows
         own = Voters(names)
         for batch in batches:
             got = [own.row(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64())), batch.column(1)], names=["k", "v", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64()))], names=["k", "v"])
 
-    votes = found.select("text", "y").mapInArrow(tidy(run), "k array<int>, v array<double>, y int").toArrow()
-    got = sorted(zip(votes.column("k").to_pylist(), votes.column("v").to_pylist(), votes.column("y").to_pylist()))
-    x = dense([(k, v) for k, v, _ in got], len(names))
-    target = posterior(x >= 1, np.array([y != 0 for _, _, y in got], float), share)
-    return Linear(names, regress(x, target, share))
+    votes = found.select("text").mapInArrow(tidy(run), "k array<int>, v array<double>").toArrow()
+    x = dense(sorted(zip(votes.column("k").to_pylist(), votes.column("v").to_pylist())), len(names))
+    return Linear(names, regress(x, posterior(x >= 1, share), share))
 
 
 def score(docs: DataFrame, model: Linear, id_col: str = "doc_id", text: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
