@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -24,10 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_folder() -> str:
+    """One folder of this machine for a process without a shared one; a running session's setting can't be changed."""
+    return "file://" + tempfile.mkdtemp(prefix="wiretide-")
+
+
 def cut(df, name: str):
     """Write to the shared folder (spark.checkpoint.dir) and read back, so that plans stay short.
 
-    Where that setting is empty in a single process, as in tests, a folder of this machine is set; on a
+    Where that setting is empty in a single process, as in tests, a folder of this machine is taken; on a
     cluster executors would not see each other's files, so there the setting is needed.
     """
     spark = df.sparkSession
@@ -35,8 +42,7 @@ def cut(df, name: str):
     if not folder:
         if not spark.sparkContext._jsc.isLocal():
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="wiretide-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder()
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
