@@ -8,6 +8,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,14 +34,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+@cache
+def _own_folder() -> str:
+    """One folder of this machine for a process without a shared one; a running session's setting can't be changed."""
+    return "file://" + tempfile.mkdtemp(prefix="wiretide-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, in a single process only, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext._jsc.isLocal():
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="wiretide-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_folder()
     return found.rstrip("/")
 
 
