@@ -624,6 +624,21 @@ def test_label_model_equals_its_plain_version():
             assert np.allclose(toxicity.posterior(votes, share, rounds), want, atol=1e-9)
 
 
+def test_voters_of_one_language_keep_their_rows():
+    # Ten words of one language, some in each of its toxic rows, and two of each of three others: what fires is toxic.
+    r = np.random.RandomState(5)
+    kind = r.choice(3, 12000, p=[0.896, 0.063, 0.041])
+    votes = np.zeros((12000, 16), np.bool_)
+    for row in np.flatnonzero(kind == 1):
+        votes[row, r.choice(10, 1 if r.rand() < 0.25 else r.randint(2, 11), replace=False)] = True
+    tongue = r.randint(3, size=12000)
+    for row in np.flatnonzero(kind == 2):
+        votes[row, 10 + tongue[row]] = True
+        votes[row, 13 + tongue[row]] = r.rand() < 0.5
+    caught = [(toxicity.posterior(votes, 0.104, one_sided=x) >= toxicity.THRESHOLD)[kind > 0].mean() for x in (False, True)]
+    assert caught[0] < 0.9 and caught[1] == 1
+
+
 def test_toxicity_odd_rows(spark, toxic_tables):
     docs, marks = toxic_tables
     odd = table(spark, [(None, None), (1, ""), (1, "moron " * 50_000)])

@@ -139,11 +139,13 @@ def dense(rows: list[tuple[list[int], list[float]]], width: int) -> np.ndarray:
     return x
 
 
-def posterior(votes: np.ndarray, share: float, rounds: int = ROUNDS) -> np.ndarray:
+def posterior(votes: np.ndarray, share: float, rounds: int = ROUNDS, one_sided: bool = False) -> np.ndarray:
     """P(toxic | votes) by EM over a latent label; dependences given the label form a tree.
 
     A voter that doesn't fire abstains and says nothing, but that none fires at all is evidence. The
-    first guess gives the latent label its meaning; `share` is the prior of toxic rows.
+    first guess gives the latent label its meaning; `share` is the prior of toxic rows. one_sided: a
+    voter that fires never speaks for a clean row. Without that, the rows of one voter can drift to the
+    clean side, round by round, and take with them those that differ by their other voters alone.
     """
     n, m = votes.shape
     if not n or not m:
@@ -152,22 +154,23 @@ def posterior(votes: np.ndarray, share: float, rounds: int = ROUNDS) -> np.ndarr
     none = ~votes.any(axis=1)
     q = np.where(none, SILENT, SPOKEN)
     parent = np.full(m, -1)
+    least = 0.0 if one_sided else -math.inf
     for step in range(rounds):
         if step in (0, rounds // 2):
             parent = dependences(v, q)
         z = np.full(n, math.log(share / (1 - share)))
-        for side, weight in ((1.0, q), (-1.0, 1 - q)):
-            total = weight.sum() + 1
-            z[none] += side * math.log((weight[none].sum() + 0.5) / total)
-            for j in range(m):
-                fired, base = votes[:, j], (weight @ v[:, j] + 0.05) / total
-                if parent[j] < 0:
-                    z[fired] += side * math.log(base)
-                    continue
-                for state in (False, True):
-                    at = votes[:, parent[j]] == state
-                    p = (weight[at] @ v[at, j] + 2 * base) / (weight[at].sum() + 2)
-                    z[at & fired] += side * math.log(p)
+        sides = [(weight, weight.sum() + 1) for weight in (q, 1 - q)]
+        silent = [math.log((weight[none].sum() + 0.5) / total) for weight, total in sides]
+        z[none] += silent[0] - silent[1]
+        for j in range(m):
+            fired, base = votes[:, j], [(weight @ v[:, j] + 0.05) / total for weight, total in sides]
+            if parent[j] < 0:
+                z[fired] += max(least, math.log(base[0] / base[1]))
+                continue
+            for state in (False, True):
+                at = votes[:, parent[j]] == state
+                p = [(weight[at] @ v[at, j] + 2 * b) / (weight[at].sum() + 2) for (weight, _), b in zip(sides, base)]
+                z[at & fired] += max(least, math.log(p[0] / p[1]))
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return q
 
@@ -265,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, learnt, label: str = "toxic", rows
 
     votes = found.select("text").mapInArrow(tidy(run), "k array<int>, v array<double>").toArrow()
     x = dense(sorted(zip(votes.column("k").to_pylist(), votes.column("v").to_pylist())), len(names))
-    return Linear(names, regress(x, posterior(x >= 1, share), share))
+    return Linear(names, regress(x, posterior(x >= 1, share, one_sided=True), share))
 
 
 def score(docs: DataFrame, model: Linear, id_col: str = "doc_id", text: str = "text", keep: bool = False, name: str = "score") -> DataFrame:
