@@ -44,3 +44,15 @@ def test_entry_and_names(spark):
 def test_document_is_one_row(spark):
     found = contract.queries()["json_document"](spark, DATA).collect()
     assert len(found) == 1 and found[0].analysis.startswith('{"assets":')
+
+
+def test_document_in_parts_is_the_document(spark):
+    from wiretide.plans import analysis
+    from wiretide.plans.report import dump
+    from wiretide.sources import lens
+
+    v = contract.View(spark, DATA)
+    tables = analysis.Tables(v.tcp, v.sessions, v.segments.drop("payload"), v.high, v.low, v.initiators, contract._vendors(spark, DATA))
+    found = analysis.document_parts(tables, lens.CAPTURE, {}, size=300).collect()
+    assert len(found) > 3 and max(len(r.analysis) for r in found) < sum(len(r.analysis) for r in found) / 2
+    assert "".join(r.analysis for r in sorted(found)) == dump(analysis.document(tables, lens.CAPTURE, {}).analysis)

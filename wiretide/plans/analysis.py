@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +22,7 @@ from ..sources import capture as C
 from ..sources import vendors as V
 from . import definitions
 from .registry import Dissector, run_dissectors
+from .report import dump
 
 #: Identifiers and versions in the document.
 ZONE_ID, CONDUIT_ID, RUBRIC = "z-default", "c-default", "1.0"
@@ -24,6 +30,8 @@ ZONE_NAME = "Default zone (undifferentiated, provisional)"
 ZONE_NOTE = "Filled from the capture alone; the network's real division into zones is not known."
 CONDUIT_NOTE = "Seen in this capture's traffic, not taken from a network design."
 METHOD_NOTE = "Severities follow the written criteria of the rubric."
+#: Begins a place of the frame that entries fill; no text of a document has it.
+HOLE = "\ue000"
 LIMITS = (
     "Absence proves nothing: hosts that talked elsewhere, or kept silent, are in none of these tables.",
     "A row is an address. Behind one address there can be several machines (gateways, address translation), and one machine can have several.",
@@ -194,6 +202,65 @@ def write_sections(t: Tables, folder: str, specs: dict | None = None) -> None:
     section_rows(t, specs).write.partitionBy("capture_id", "section").json(folder)
 
 
+#: Entries of a part of a document, some more or fewer as the range's bounds are estimates.
+PART = 10_000
+
+
+def document_parts(t: Tables, capture_id: str, capture: dict, specs: dict | None = None, size: int = PART) -> DataFrame:
+    """(part, analysis): the document of one capture as JSON, in parts of some `size` entries that the workers make.
+
+    Joined in the order of part they are the bytes of report.dump(document(...).analysis); a document of at
+    most `size` entries is one row. The driver holds the frame around the entries, and none of them.
+    """
+    one = lambda df: df.filter(F.col("capture_id") == capture_id)
+    P.assert_complete(one(analytics.matrix(t.tcp, t.sessions, t.segments, t.high, t.low, t.initiators)), "comm_matrix", ("capture_id", "first_packet"))
+    hosts = one(inventory.inventory(t.segments, t.high, t.vendors))
+    P.assert_complete(hosts, "assets", ("capture_id", "place"))
+    if "first_seen" in capture:
+        first, last = capture["first_seen"], capture["last_seen"]
+    else:
+        summary = one(analytics.capture_summary(t.tcp, "timestamp")).first()
+        first, last = (summary.first_seen, summary.last_seen) if summary else (None, None)
+    protocols = sorted(r.protocol for r in one(t.high).select("protocol").distinct().collect())
+    frame = {
+        "capture": capture,
+        **{name: [_hole(name)] for name in ("conversations", "protocol_events", "low_confidence_events", "findings", "assets", "comm_matrix")},
+        "zones": [{"id": ZONE_ID, "name": ZONE_NAME, "members": [_hole("members")], "provisional": True, "note": ZONE_NOTE}],
+        "conduits": [{"id": CONDUIT_ID, "zones": [ZONE_ID], "protocols": protocols, "provisional": True, "note": CONDUIT_NOTE}],
+        "methodology": {"rubric_version": RUBRIC, "note": METHOD_NOTE},
+        "coverage": {"window_duration_s": round(last - first, 6) if first is not None else None, "window_multiplier_threshold": coverage.MULTIPLIER, "polling_cycles": [_hole("polling_cycles")]},
+    }
+    # Texts of the frame and names of sections, in turn.
+    around = re.split(f'"{HOLE}(\\w+)"', dump(frame))
+    at = F.element_at(F.create_map(*(F.lit(x) for k, name in enumerate(around) if k % 2 for x in (name, k))), F.col("section"))
+    spoken = F.pandas_udf(lambda rows: rows.map(lambda row: dump(json.loads(row))), "string")
+    rows = one(section_rows(t, specs)).select("section", "place", "row")
+    fractions = F.col("section").isin("polling_cycles", "protocol_events", "low_confidence_events")
+    # Numbers with a fraction are written as Python writes them.
+    rows = rows.filter(~fractions).unionByName(rows.filter(fractions).withColumn("row", spoken("row")))
+    members = hosts.select(F.lit("members").alias("section"), F.col("ip.value").alias("place")).distinct().withColumn("row", F.concat(F.lit('"'), "place", F.lit('"')))
+    entries = rows.unionByName(members).select(at.alias("at"), F.split("place", "/", 4).alias("place"), "row")
+    texts = entries.sparkSession.createDataFrame([(k, [], text) for k, text in enumerate(around) if k % 2 == 0], "at int, place array<string>, row string")
+    order = ["at", "place", "row", "id"]
+    pieces = cut(entries.unionByName(texts).withColumn("id", F.monotonically_increasing_id()), "document-pieces")
+    heads = pieces.groupBy("at").agg(F.min(F.struct("place", "row", "id")).getField("id").alias("id"), F.count(F.lit(1)).alias("n")).collect()
+    head = F.col("id").isin([r.id for r in heads])
+    told = pieces.select(*order, F.when(head, F.col("row")).otherwise(F.concat(F.lit(","), "row")).alias("text"))
+    ranges = told.repartitionByRange(-(-sum(r.n for r in heads) // (size + len(around))), *order).sortWithinPartitions(*order)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [x for batch in batches for x in batch.column(1).to_pylist()]
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array(["".join(texts)], pa.string())], names=["part", "analysis"])
+
+    # The order of a task's rows is that of the sort, on which the columns that it read have no bearing.
+    return ranges.select("at", "text").mapInArrow(joined, "part long, analysis string")
+
+
+def _hole(name: str) -> str:
+    return HOLE + name
+
+
 def capture_section(row: dict, first_seen: float | None, last_seen: float | None) -> dict:
     """The capture's part of the document, from its row of the audit."""
     told = ("sha256", "packet_count", "snaplen", "snaplen_note", "snaplen_truncated_packet_count", "snaplen_truncated_first_packet_number")

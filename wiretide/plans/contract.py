@@ -335,13 +335,12 @@ def json_sections(spark, sf_dir):
 
 @query()
 def json_document(spark, sf_dir):
-    """One row: the whole analysis of the lens as deterministic JSON."""
-    from .analysis import Tables, document
-    from .report import dump
+    """The whole analysis of the lens as deterministic JSON: the parts of the document, a short one in one row."""
+    from .analysis import Tables, document_parts
 
     v = View(spark, sf_dir)
     tables = Tables(v.tcp, v.sessions, v.segments.drop("payload"), v.high, v.low, v.initiators, _vendors(spark, sf_dir))
-    return spark.createDataFrame([(dump(document(tables, lens.CAPTURE, {}).analysis),)], "analysis string")
+    return document_parts(tables, lens.CAPTURE, {})
 
 
 def queries() -> dict:
