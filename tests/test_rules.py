@@ -404,3 +404,15 @@ def test_differences_of_documents(spark):
     assert {r.path for r in documents.differences(left, right, "id", "json", {"f": "n"}, ["f/", "b"]).filter("id = 0").collect()} == {"a"}
     shapes = {(r.path, r.state) for r in documents.same_shape(put('{"a": 1, "l": [{"x": 1}], "n": null}'), put('{"a": "1", "l": [{"x": 2.5}, {"y": 1}], "n": 4}'), "id", "json").collect()}
     assert shapes == {("a", "kind"), ("l/*/y", "added")}
+
+
+def test_differences_exchange_texts_and_no_leaves(spark):
+    from wiretide.operators import documents
+
+    put = lambda *rows: spark.createDataFrame(rows, "id long, json string")
+    left, right = put((1, r'{"a\\\"{[": [1, {"b": "]"}], "e": {}}'), (None, '{"x": 1}')), put((1, '{"e": { }}'), (None, '{"x": 1}'))
+    found = documents.differences(left, right, "id", "json")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted((r.id or 0, r.state, r.left or r.right) for r in found.collect()) == [(0, "added", "1"), (0, "missing", "1"), (1, "missing", '"]"'), (1, "missing", "1")]
+    texts = ["1", "{}", "[ ]", '{"a": [{ }]}', '["{[\\"{", [[2]]]', r'["\\", [1]]']
+    assert [r.d for r in put(*enumerate(texts)).orderBy("id").select(documents.depth(F.col("json")).alias("d")).collect()] == [0, 0, 0, 2, 3, 2]

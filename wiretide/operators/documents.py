@@ -1,19 +1,29 @@
 """Two JSON documents compared leaf by leaf: which paths differ, and how.
 
 Documents are parsed as VARIANT values and opened level by level, so a document of any depth becomes
-rows (path, kind, value) that Spark joins. Elements of an array are matched by their place, or by a key of
+rows (path, kind, value) that Spark groups where the document's text already lies. Elements of an array are matched by their place, or by a key of
 their own where one is named for that array, so that one element more doesn't shift all behind it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
 
 #: Objects nested deeper than this raise.
 DEEPEST = 64
+#: Characters of documents that one task compares: their leaves are some ten times that, and are sorted in memory.
+SHARE = 8 << 20
+
+
+def depth(json: Column) -> Column:
+    """How many arrays and objects that aren't empty lie in each other at most, by the brackets of a JSON text."""
+    bare = F.regexp_replace(F.regexp_replace(json, r"(?s)\\.", ""), '"[^"]*"', '""')
+    brackets = F.regexp_replace(F.regexp_replace(bare, r"\{\s*\}|\[\s*\]", ""), r"[^\[\]{}]+", "")
+    step = lambda now, x: F.when(x.isin("{", "["), F.struct((now["at"] + 1).alias("at"), F.greatest(now["most"], now["at"] + 1).alias("most"))).otherwise(F.struct((now["at"] - 1).alias("at"), now["most"].alias("most")))
+    return F.when(brackets == "", 0).otherwise(F.aggregate(F.split(brackets, "(?<=.)(?=.)"), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda now: now["most"]))
 
 
 def leaves(documents: DataFrame, id_col: str, json: str, keys: dict[str, str] | None = None) -> DataFrame:
@@ -23,31 +33,34 @@ def leaves(documents: DataFrame, id_col: str, json: str, keys: dict[str, str] |
     for the array's path, [field=value] (its place where the element has no such field). In the paths of keys
     every array element is *. value: a leaf as JSON text. Null texts have no leaves, invalid ones raise.
     """
+    return _leaves(documents.select(F.col(id_col).alias("id"), F.col(json).alias("json")), keys).select("id", "path", "kind", "value")
+
+
+def _leaves(documents: DataFrame, keys: dict[str, str] | None = None, together: str | None = None) -> DataFrame:
+    """The rows' further columns with path, kind and value of the leaves of json; together: a column whose equal
+    values go to one task, texts and not leaves, so that what groups by it needs no exchange.
+
+    The texts are written once, with their depth. All levels are opened in one pass; what is no container stays as it is.
+    """
     spark = documents.sparkSession
-    now = documents.filter(F.col(json).isNotNull()).select(F.col(id_col).alias("id"), F.lit("").alias("path"), F.lit("").alias("shape"), F.parse_json(json).alias("at"))
-    kind = lambda at: F.regexp_extract(F.schema_of_variant(at), "^[A-Z]+", 0)
-    out, level = None, 0
-    while True:
-        now = now.withColumns({"kind": kind(F.col("at")), "text": F.to_json("at")})
-        inside = F.col("kind").isin("OBJECT", "ARRAY") & ~F.col("text").isin("{}", "[]")
-        done = now.filter(~inside).select("id", "path", "kind", F.col("text").alias("value"))
-        out = done if out is None else out.unionByName(done)
-        containers = now.filter(inside).drop("text")
-        if containers.isEmpty():
-            return out
-        level += 1
-        if level > DEEPEST:
-            raise ValueError(f"a document is nested more than {DEEPEST} levels deep")
-        opened = containers.lateralJoin(spark.tvf.variant_explode(F.col("at").outer())).select("id", "path", "shape", "kind", "pos", "key", "value")
+    rows = cut(documents.filter("json is not null").withColumn("levels", depth(F.col("json"))), "documents")
+    levels, size = rows.agg(F.coalesce(F.max("levels"), F.lit(0)), F.coalesce(F.sum(F.length("json")), F.lit(0))).first()
+    if levels > DEEPEST:
+        raise ValueError(f"a document is nested more than {DEEPEST} levels deep")
+    rows = rows.repartition(size // SHARE + 1, together) if together else rows
+    told = [c for c in rows.columns if c not in ("json", "levels")]
+    now = rows.select(*told, F.lit("").alias("path"), F.lit("").alias("shape"), F.parse_json("json").alias("at"))
+    for _ in range(levels):
+        opened = now.lateralJoin(spark.tvf.variant_explode_outer(F.col("at").outer())).select(*told, "path", "shape", "at", "pos", "key", "value")
         place = F.col("pos").cast("string")
         for of, field in (keys or {}).items():
             own = F.try_variant_get("value", F.lit(f"$.{field}"), "string")
             place = F.when((F.col("shape") == of) & own.isNotNull(), F.concat(F.lit(f"[{field}="), own, F.lit("]"))).otherwise(place)
-        step = F.when(F.col("kind") == "OBJECT", F.col("key")).otherwise(place)
-        shape = F.when(F.col("kind") == "OBJECT", F.col("key")).otherwise("*")
-        join = lambda a, b: F.when(F.col(a) == "", b).otherwise(F.concat(F.col(a), F.lit("/"), b))
-        # Written, so that a plan has one level only and no level is opened twice.
-        now = cut(opened.select("id", join("path", step).alias("path"), join("shape", shape).alias("shape"), F.col("value").alias("at")), "document-level")
+        step = F.coalesce("key", place)
+        shape = F.coalesce("key", F.lit("*"))
+        join = lambda a, b: F.when(F.col("pos").isNull(), F.col(a)).when(F.col(a) == "", b).otherwise(F.concat(F.col(a), F.lit("/"), b))
+        now = opened.select(*told, join("path", step).alias("path"), join("shape", shape).alias("shape"), F.when(F.col("pos").isNull(), F.col("at")).otherwise(F.col("value")).alias("at"))
+    return now.select(*told, "path", F.regexp_extract(F.schema_of_variant("at"), "^[A-Z]+", 0).alias("kind"), F.to_json("at").alias("value"))
 
 
 def differences(left: DataFrame, right: DataFrame, id_col: str, json: str, keys: dict[str, str] | None = None, ignore: list[str] = ()) -> DataFrame:
@@ -56,11 +69,15 @@ def differences(left: DataFrame, right: DataFrame, id_col: str, json: str, keys:
     state: changed, missing (right hasn't it) or added. ignore: patterns of paths that are not compared (as for
     RLIKE, from the beginning). Where a path occurs several times in one document, each value counts once.
     """
-    a, b = (leaves(x, id_col, json, keys).dropDuplicates(["id", "path", "value"]) for x in (left, right))
+    texts = [x.select(F.col(id_col).alias("id"), F.lit(side).alias("side"), F.col(json).alias("json")) for x, side in ((left, "left"), (right, "right"))]
+    rows = _leaves(texts[0].unionByName(texts[1]), keys, together="id")
     for pattern in ignore:
-        a, b = (x.filter(~F.col("path").rlike(f"^(?:{pattern})")) for x in (a, b))
-    a, b = (x.groupBy("id", "path").agg(F.array_join(F.array_sort(F.collect_set("value")), " ").alias(side)) for x, side in ((a, "left"), (b, "right")))
-    joined = a.join(b, ["id", "path"], "full").filter(~F.col("left").eqNullSafe(F.col("right")))
+        rows = rows.filter(~F.col("path").rlike(f"^(?:{pattern})"))
+    values = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("value"))).alias(side)
+    # A null id equals no other.
+    found = rows.groupBy("id", "path", F.when(F.col("id").isNull(), F.col("side")).alias("lone")).agg(values("left"), values("right"))
+    text = lambda side: F.when(F.size(side) > 0, F.array_join(F.array_sort(side), " ")).alias(side)
+    joined = found.select("id", "path", text("left"), text("right")).filter(~F.col("left").eqNullSafe(F.col("right")))
     state = F.when(F.col("left").isNull(), "added").when(F.col("right").isNull(), "missing").otherwise("changed")
     return joined.select(F.col("id").alias(id_col), "path", state.alias("state"), "left", "right")
 
