@@ -416,3 +416,10 @@ def test_differences_exchange_texts_and_no_leaves(spark):
     assert sorted((r.id or 0, r.state, r.left or r.right) for r in found.collect()) == [(0, "added", "1"), (0, "missing", "1"), (1, "missing", '"]"'), (1, "missing", "1")]
     texts = ["1", "{}", "[ ]", '{"a": [{ }]}', '["{[\\"{", [[2]]]', r'["\\", [1]]']
     assert [r.d for r in put(*enumerate(texts)).orderBy("id").select(documents.depth(F.col("json")).alias("d")).collect()] == [0, 0, 0, 2, 3, 2]
+
+
+def test_folding_takes_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert T.with_folded(spark.createDataFrame([("\u00e9",)], "t string"), "t", "f").columns == ["t", "f"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(T.ARROW_ROWS)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(T.ARROW_BYTES)

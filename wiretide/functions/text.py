@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Line ends, as Python's splitlines knows them.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 SHINGLE_WORDS = 12
+#: Rows and bytes of an Arrow batch, those of the text operators: a worker holds a batch several times over.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def fold(text: str) -> str:
@@ -28,6 +30,9 @@ def with_folded(df: DataFrame, column: str, name: str) -> DataFrame:
 
     Spark's collations can't stand in for this: they equate letters that decomposition keeps apart.
     """
+    conf = df.sparkSession.conf
+    for limit, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        conf.set(f"spark.sql.execution.arrow.{limit}", str(most))
     plain = F.coalesce(F.col(column).rlike(r"\A\p{ASCII}*\z"), F.lit(True))
     ascii_rows = df.filter(plain).withColumn(name, F.lower(column))
     return ascii_rows.unionByName(df.filter(~plain).withColumn(name, F.pandas_udf(_fold_batch, "string")(column)))
